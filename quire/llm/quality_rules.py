@@ -104,6 +104,17 @@ def _n_repeat_words(t: Texts) -> np.ndarray:
     return out
 
 
+def _n_same_neighbours(t: Texts) -> np.ndarray:
+    starts, ends, first = t.words()
+    h = kernels.word_hashes(t.data, starts, ends)
+    same = np.zeros(len(h) + 1, np.int64)
+    if len(h) > 1:
+        same[1:-1] = h[1:] == h[:-1]
+    same[first[:-1]] = 0
+    total = np.concatenate([[0], np.cumsum(same)])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def _n_lines(t: Texts) -> np.ndarray:
     return t.sums(t.data == 10) + 1
 
@@ -114,6 +125,7 @@ METRICS: dict[str, Callable[[Texts], np.ndarray]] = {
     "n_symbols": _n_symbols,
     "n_dup_lines": _n_dup_lines,
     "n_repeat_words": _n_repeat_words,
+    "n_same_neighbours": _n_same_neighbours,
     "n_lines": _n_lines,
 }
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -136,6 +148,7 @@ RULES = (
     Rule("word_length", ("n_words", "word_chars"), lambda n, c: (c > 15 * n) | (10 * c < 15 * n), "word_chars > 15 * n_words OR 10 * word_chars < 15 * n_words"),
     Rule("symbols", ("n_words", "n_symbols"), lambda n, s: 10 * s > 3 * n, "10 * n_symbols > 3 * n_words"),
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda n, d: 2 * d > n, "2 * n_dup_lines > n_lines"),
+    Rule("same_neighbours", ("n_words", "n_same_neighbours"), lambda n, s: 10 * s > 3 * n, "10 * n_same_neighbours > 3 * n_words"),
 )
 
 
@@ -208,7 +221,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM a),
-c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(string_split(t, chr(10))) AS n_lines FROM b),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(string_split(t, chr(10))) AS n_lines, len([i for i in range(2, len(w) + 1) if w[i] = w[i-1]]) AS n_same_neighbours FROM b),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM b)),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM h WHERE k > 1) GROUP BY doc_id),
