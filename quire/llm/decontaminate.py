@@ -27,7 +27,6 @@ GRAM = 6
 POSITION_BITS = 30
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -47,11 +46,11 @@ def fingerprints(w: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
     low = (1 << POSITION_BITS) - 1
 
     def grams(h: Column) -> Column:
-        return F.transform(F.slice(h, 1, F.size(h) - (gram - 1)), lambda _, i: F.xxhash64(F.slice(h, i + 1, gram)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+        return F.transform(F.slice(h, 1, F.size(h) - (gram - 1)), lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in range(gram)]).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
 
     def least(g: Column) -> Column:
         n = window - gram + 1
-        return F.array_distinct(F.transform(F.slice(g, 1, F.size(g) - (n - 1)), lambda _, i: F.array_min(F.slice(g, i + 1, n))))
+        return F.array_distinct(F.transform(F.slice(g, 1, F.size(g) - (n - 1)), lambda _, i: F.least(*[F.get(g, i + k) for k in range(n)])))
 
     def of(h: Column) -> Column:
         return F.when(F.size(h) >= window, let(grams(h), least)).otherwise(F.array().cast("array<long>"))
@@ -110,7 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = met.groupBy("doc_id", "text_hash").agg(span.alias("n_hit"))
     listed = met.select("doc_id", "text_hash", "window", "len").distinct().join(_bounded(windows), ["window", "len"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     both = _meet(covered, listed)
-    counted = docs.select("doc_id", "text_hash", F.regexp_count("text", F.lit(_ANY_CASE_WORD)).cast("long").alias("n"))
+    counted = docs.select("doc_id", "text_hash", F.size(words(F.col("text"))).cast("long").alias("n"))
     out = _meet(counted, both, "left")
     n, n_hit, listed_items = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
