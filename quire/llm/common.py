@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,13 @@ def durable(df: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether the counted rows of `df` are few enough to broadcast."""
     return df.limit(limit + 1).count() <= limit
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of `df` as a Parquet table in the shared checkpoint folder, read again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
