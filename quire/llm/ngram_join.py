@@ -2,8 +2,9 @@
 
 The set of a document holds the hashes of its distinct shingles. If two sets have a Jaccard similarity of T or more, they
 share a token among the first n - ceil(T n) + 1 of each under *any* global order of tokens. Candidates come from the order
-"rare first" (known frequent tokens last, so that a passage which many documents share seldom generates a candidate); those
-that fail the same test under two hash orders are dropped before the exact verification.
+"rare first" (by a table of counts over all documents, so that a passage which many documents share seldom generates one); those
+that fail the same test under two hash orders are dropped before the exact verification, as are those whose parity bit maps
+differ more than linked sets can. Both tests are made on signatures of some n/2 bytes, so that few whole sets travel.
 
 Scale: equal sets collapse first, by a pre-aggregated group. A token's documents (its block) are never paired with each
 other; each round pairs a block's smallest document with the rest, so that a round is linear in the postings. Blocks whose
@@ -19,6 +20,7 @@ null. An empty table gives no rows. Other columns of the input are ignored.
 from __future__ import annotations
 
 import gc
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -35,38 +37,128 @@ MAX_HEAVY = 65_536
 #: A token counts as frequent if at least so many texts of one 4 MB chunk have it.
 HEAVY_IN_CHUNK = 8
 HUB_ROUNDS = 3
+#: Cells of the table of shingle counts, of fixed size. A passage in a fixed share of the texts stands out the more, the more texts.
+CELLS = 1 << 19
 
 
-def _heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """At most MAX_HEAVY frequent shingles, the most frequent last. Each chunk of 4 MB of text reports those it sees often."""
+def _add_up(parts: DataFrame) -> DataFrame:
+    """Adds count arrays (block, counts) elementwise; a task holds one array for each block, however many parts there are."""
 
-    def count(batches):
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for _, _, data, offs in kernels.chunks(batch.column(0)):
-                found = [s for s in kernels.shingles(data, offs, size)]
-                token, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64),) * 2
-                often = n >= HEAVY_IN_CHUNK
-                yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(zlib.decompress(raw.as_py()), np.uint64)
+                total[block] = total[block] + own if block in total else own
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["block", "counts"])
 
-    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_HEAVY).collect()
-    return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
+    for salt in (32, 1):
+        parts = parts.repartition(*["block"] + ([(F.spark_partition_id() % salt)] if salt > 1 else [])).mapInArrow(run, "block int, counts binary")
+    return parts
+
+
+def _survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """What the first order needs: at most MAX_HEAVY frequent shingles, the most frequent last, and a table of CELLS counts.
+
+    Also a row for each document: its id, set size and 128-bit set digest. The table adds up, for all documents, how many have
+    a shingle in each cell; it puts passages that recur anywhere behind those that don't. Each chunk of 4 MB of text reports
+    the shingles that it sees often.
+    """
+
+    def run(batches):
+        table = np.zeros(CELLS, np.uint64)
+        for batch in batches:
+            for row, to, data, offs in kernels.chunks(batch.column(1)):
+                found = [*kernels.shingles(data, offs, size)]
+                every = np.concatenate(found)
+                table += np.bincount(every & np.uint64(CELLS - 1), minlength=CELLS).astype(np.uint64)
+                token, times = np.unique(every, return_counts=True)
+                often = times >= HEAVY_IN_CHUNK
+                k, m = to - row, int(often.sum())
+                n = pa.array([len(s) for s in found], pa.int64())
+                d1 = pa.array([int(kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64())
+                d2 = pa.array([int(kernels.mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, k), n, d1, d2, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                none = pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        if table.any():
+            blocks = table.reshape(-1, 1 << 16)
+            none = pa.nulls(len(blocks), pa.int64())
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(len(blocks)), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in blocks], pa.binary())], names)
+
+    names = ["doc_id", "n", "d1", "d2", "block", "counts"]
+    seen = common.durable(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, block int, counts binary"))
+    top = seen.filter("n IS NULL AND block IS NULL").groupBy(F.col("d1").alias("token")).agg(F.sum("d2").alias("times")).orderBy(F.desc("times"), "token").limit(MAX_HEAVY).collect()
+    table = np.zeros((CELLS >> 16, 1 << 16), np.uint64)
+    for r in _add_up(seen.filter("block IS NOT NULL").select("block", "counts")).collect():  # CELLS / 65,536 rows
+        table[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint64)
+    return seen.filter("n IS NOT NULL").select("doc_id", "n", "d1", "d2"), np.array([r.token for r in reversed(top)], np.int64).view(np.uint64), np.minimum(table.reshape(-1), (1 << 24) - 1)
 
 
 def _prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _sets(docs: DataFrame, heavy: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, a 128-bit digest of the set, and its prefix under the first order, split in rare and frequent tokens."""
+#: Seeds of the second and third order.
+_ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def _bits(at: np.ndarray, size: int) -> bytes:
+    flags = np.zeros(size, np.uint8)
+    flags[at] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _width(n: int) -> int:
+    return 1 << max(6, (2 * n - 1).bit_length())
+
+
+def _orders(s: np.ndarray, p: int) -> list[np.ndarray]:
+    """The prefixes of a set under the second and third order."""
+    return [np.partition(v, p - 1)[:p] for v in (kernels.mix(s * np.uint64(seed)) for seed in _ORDERS)]
+
+
+def _signature(s: np.ndarray, p: int) -> bytes:
+    """The set's size, the parities of its tokens over some 2 n bits, and bit maps of its prefixes under two more orders."""
+    width = _width(len(s))
+    at, odd = np.unique(kernels.mix(s) & np.uint64(width - 1), return_counts=True)
+    maps = [_bits(((v >> np.uint64(20)) & np.uint64(width // 2 - 1)).astype(np.int64), width // 2) for v in _orders(s, p)]
+    return b"".join([len(s).to_bytes(8, "little"), _bits(at[odd % 2 == 1].astype(np.int64), width), *maps])
+
+
+def _read_signature(raw: bytes) -> tuple[int, int, list[int]]:
+    n = int.from_bytes(raw[:8], "little")
+    width, at, out = _width(n), 8, []
+    for size in (width // 8, width // 16, width // 16):
+        out.append(int.from_bytes(raw[at : at + size], "little"))
+        at += size
+    return n, width, out
+
+
+def _may_link(x: tuple, y: tuple, num: int, den: int) -> bool:
+    """False only for pairs that can't be linked: no prefix token in common under an order, or too many odd differences."""
+    if x[1] > y[1]:
+        x, y = y, x
+    n, width, a = x
+    m, wide, b = y
+    b = list(b)
+    while wide > width:  # a wider map folds to a narrower one
+        wide //= 2
+        b = [(b[0] >> wide) ^ (b[0] & ((1 << wide) - 1)), *((v >> (wide // 2)) | (v & ((1 << (wide // 2)) - 1)) for v in b[1:])]
+    return all(u & v for u, v in zip(a[1:], b[1:], strict=True)) and (a[0] ^ b[0]).bit_count() * (den + num) <= (n + m) * (den - num)
+
+
+def _prefixes(docs: DataFrame, heavy: np.ndarray, table: np.ndarray, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, set digest, signature, and the set's prefix under the first order, split in rare and frequent tokens."""
     by_value = np.argsort(heavy)
     values = heavy[by_value]
-    shared = docs.sparkSession.sparkContext.broadcast((values, by_value))
+    shared = docs.sparkSession.sparkContext.broadcast((values, by_value, table.astype(np.uint32)))
 
     def make(batches):
-        values, rank = shared.value
+        values, rank, table = shared.value
         for batch in batches:
-            n, d1, d2, light, frequent = [], [], [], [], []
-            for _, _, data, offs in kernels.chunks(batch.column(1)):
+            for row, to, data, offs in kernels.chunks(batch.column(1)):
+                n, d1, d2, light, frequent, signature = [], [], [], [], [], []
                 for s in kernels.shingles(data, offs, size):
                     n.append(len(s))
                     d1.append(int(kernels.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
@@ -77,54 +169,54 @@ def _sets(docs: DataFrame, heavy: np.ndarray, size: int, num: int, den: int) ->
                     if len(values):
                         at[at == len(values)] = 0
                         known = values[at] == s
-                    rare = s[~known][:p]
+                    rare = s[~known]
+                    if len(rare) > p:
+                        order = table[rare & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(40) | rare >> np.uint64(24)
+                        rare = rare[np.argpartition(order, p - 1)[:p]]
                     light.append(rare.view(np.int64))
                     frequent.append(s[known][np.argsort(rank[at[known]], kind="stable")][: p - len(rare)].view(np.int64))
-            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *v])) for v in (light, frequent)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *lists], ["doc_id", "n", "d1", "d2", "light", "frequent"])
+                    signature.append(_signature(s, p) if p else b"")
+                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *v])) for v in (light, frequent)]
+                longs = [pa.array(x, pa.int64()) for x in (n, d1, d2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), *longs, *lists, pa.array(signature, pa.binary())], ["doc_id", "n", "d1", "d2", "light", "frequent", "signature"])
+
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, d1 long, d2 long, light array<long>, frequent array<long>, signature binary")
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, d1 long, d2 long, light array<long>, frequent array<long>")
 
+def _verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those linked. Signatures drop most others, by the intersected filters, before whole sets are compared."""
 
-def _verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those linked: share a prefix token under two more orders, then reach the similarity exactly."""
+    def sift(batches):
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            keep = [_may_link(_read_signature(u.as_py()), _read_signature(v.as_py()), num, den) for u, v in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    known = pairs.join(signatures.select(F.col("rep").alias("a"), F.col("signature").alias("x")), "a").join(signatures.select(F.col("rep").alias("b"), F.col("signature").alias("y")), "b")
+    pairs = common.durable(known.select("a", "b", "x", "y").mapInArrow(sift, "a long, b long").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if common.small_enough(ids) else ids
 
     def full(batches):
         for batch in batches:
-            sets = [s.tobytes() for _, _, data, offs in kernels.chunks(batch.column(1)) for s in kernels.shingles(data, offs, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            for row, to, data, offs in kernels.chunks(batch.column(1)):
+                sets = [s.tobytes() for s in kernels.shingles(data, offs, size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array(sets, pa.binary())], ["id", "set"])
 
     sets = common.durable(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(full, "id long, set binary"))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
 
-    def orders(s: np.ndarray) -> list[np.ndarray]:
-        p = _prefix_length(len(s), num, den)
-        out = []
-        for seed in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-            v = kernels.mix(s * np.uint64(seed))
-            out.append(np.sort(np.partition(v, p - 1)[:p]))
-        return out
-
-    def linked(x: np.ndarray, y: np.ndarray, of_x: list[np.ndarray], of_y: list[np.ndarray]) -> bool:
-        if any(not len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(of_x, of_y, strict=True)):
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        prefixes = zip(_orders(x, _prefix_length(len(x), num, den)), _orders(y, _prefix_length(len(y), num, den)), strict=True)
+        if any(not len(np.intersect1d(u, v, assume_unique=True)) for u, v in prefixes):
             return False
-        common_size = len(np.intersect1d(x, y, assume_unique=True))
-        return den * common_size >= num * (len(x) + len(y) - common_size)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return den * shared >= num * (len(x) + len(y) - shared)
 
     def check(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(k) for k in ("a", "b", "x", "y"))
-            keep, hub = np.zeros(len(a), bool), (None, None, None)
-            for i in range(len(a)):
-                raw = x[i].as_py()
-                if hub[0] != raw:
-                    own = np.frombuffer(raw, np.uint64)
-                    hub = (raw, own, orders(own))
-                other = np.frombuffer(y[i].as_py(), np.uint64)
-                keep[i] = linked(hub[1], other, hub[2], orders(other))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -151,10 +243,8 @@ def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
     return F.least(x, y) * den >= F.greatest(x, y) * num
 
 
-def _postings(sets: DataFrame, num: int) -> DataFrame:
+def _postings(reps: DataFrame) -> DataFrame:
     """(token, rep, n) of tokens that at least two representatives have in their prefixes."""
-    reps = sets.filter("n > 3 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "light", "frequent")).alias("r"))
-    reps = reps.select(F.col("r.doc_id").alias("rep"), "n", "r.light", "r.frequent")
     light = reps.select("rep", "n", F.explode("light").alias("token")).repartition("token")
     block = [F.min("rep").alias("hub"), F.max("rep").alias("last")]
     several = light.groupBy("token").agg(*block).filter("hub < last").select("token")
@@ -168,8 +258,10 @@ def _postings(sets: DataFrame, num: int) -> DataFrame:
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id (smallest doc_id with an equal set) for each row of `docs` (doc_id, text)."""
     num, den = threshold
-    sets = common.durable(_sets(docs, _heavy_tokens(docs, size), size, num, den))
-    live = common.durable(_postings(sets, num))
+    sets, heavy, table = _survey(docs, size)
+    reps = _prefixes(docs, heavy, table, size, num, den).filter("n > 3 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "light", "frequent", "signature")).alias("r"))
+    reps = common.durable(reps.select(F.col("r.doc_id").alias("rep"), "n", "r.light", "r.frequent", "r.signature"))
+    live = common.durable(_postings(reps))
     gc.collect()
     links: list[DataFrame] = []
     labels = None
@@ -192,7 +284,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
         pairs = common.durable(pairs.distinct())
         if pairs.isEmpty():
             continue
-        found = common.durable(_verify(pairs, docs, size, num, den))
+        found = common.durable(_verify(pairs, reps, docs, size, num, den))
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.union, links))
