@@ -7,8 +7,10 @@ that fail the same test under two hash orders are dropped before the exact verif
 differ more than linked sets can. Both tests are made on signatures of some n/2 bytes, so that few whole sets travel.
 
 Scale: equal sets collapse first, by a pre-aggregated group. A token's documents (its block) are never paired with each
-other; each round pairs a block's smallest document with the rest, so that a round is linear in the postings. Blocks whose
-documents are already connected are done. What is left after `HUB_ROUNDS` is compared across components only. Frequent tokens
+other; each round pairs one document of a block (that with the largest share of recurring tokens: an original
+rather than its edited copies) with the rest, so that a round is linear in the postings. Blocks whose
+documents are already connected are done. What is left after `HUB_ROUNDS` is compared across components only, chunk by
+chunk inside tasks, by signatures; pairs that can't be linked are never emitted. Frequent tokens
 (a bounded list) never travel by key: their blocks' smallest documents are a pre-aggregated, broadcast table of at most
 `MAX_HEAVY` rows. Intermediate tables live in the shared checkpoint folder; nothing is collected.
 
@@ -36,7 +38,11 @@ THRESHOLD = (80, 100)
 MAX_HEAVY = 65_536
 #: A token counts as frequent if at least so many texts of one 4 MB chunk have it.
 HEAVY_IN_CHUNK = 8
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Documents in a chunk of a block; a task compares two chunks.
+CHUNK = 2048
+#: A block of at most so many documents is paired by a join: a document meets a bounded number of others there.
+SMALL = 32
 #: Cells of the table of shingle counts, of fixed size. A passage in a fixed share of the texts stands out the more, the more texts.
 CELLS = 1 << 19
 
@@ -183,8 +189,60 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, table: np.ndarray, size: int,
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, d1 long, d2 long, light array<long>, frequent array<long>, signature binary")
 
 
-def _verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those linked. Signatures drop most others, by the intersected filters, before whole sets are compared."""
+def _compare_blocks(members: DataFrame, blocks: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) with different labels in the same block whose signatures allow a link. Pairs are compared inside tasks.
+
+    A block is cut into chunks of some CHUNK documents by a hash, and a task gets two chunks; only what passes is emitted.
+    """
+    cut = members.join(blocks.select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("cuts")), "token").withColumn("own", F.pmod(F.xxhash64("rep"), "cuts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    dealt = cut.select("token", "rep", "label", "own", other).select("token", "rep", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def rows(found: list[tuple], width: int, label: np.ndarray):
+        """Sizes, labels, ids and the three maps of documents as matrices, folded to `width` bits."""
+        out = [np.array([f[1] for f in found]), label, np.array([f[0] for f in found])]
+        for k, size in enumerate((width, width // 2, width // 2)):
+            m = np.stack([np.frombuffer(f[3 + k], np.uint8) for f in found])
+            while m.shape[1] * 8 > size:
+                half = m.shape[1] // 2
+                m = m[:, half:] ^ m[:, :half] if k == 0 else m[:, half:] | m[:, :half]
+            out.append(m if m.shape[1] % 8 else np.ascontiguousarray(m).view(np.uint64))
+        return out
+
+    def compare(table: pa.Table) -> pa.Table:
+        i = table.column("i")[0].as_py()
+        own, labels = table.column("own").to_numpy(), table.column("label").to_numpy()
+        by_width: dict[int, list[int]] = {}
+        docs = []
+        for k, (rep, raw) in enumerate(zip(table.column("rep").to_pylist(), table.column("signature").to_pylist(), strict=True)):
+            n = int.from_bytes(raw[:8], "little")
+            w = _width(n) // 8
+            docs.append((rep, n, None, raw[8 : 8 + w], raw[8 + w : 8 + w + w // 2], raw[8 + w + w // 2 :]))
+            by_width.setdefault(w * 8, []).append(k)
+        same = table.column("j")[0].as_py() == i
+        out_a, out_b = [], []
+        for width, narrow in by_width.items():
+            for wide in (width, 2 * width):
+                if wide not in by_width:
+                    continue
+                left, right = np.array(narrow), np.array(by_width[wide])
+                x, y = rows([docs[k] for k in left], width, labels[left]), rows([docs[k] for k in right], width, labels[right])
+                for k in range(len(left)):
+                    ok = (y[1] != x[1][k]) & (np.minimum(y[0], x[0][k]) * den >= np.maximum(y[0], x[0][k]) * num)
+                    ok &= (y[2] > x[2][k]) if wide == width and same else (own[right] != own[left[k]]) | same
+                    at = np.flatnonzero(ok)
+                    at = at[np.bitwise_count(y[3][at] ^ x[3][k]).sum(1, dtype=np.int64) * (den + num) <= (y[0][at] + x[0][k]) * (den - num)]
+                    for m in (4, 5):
+                        at = at[(y[m][at] & x[m][k]).any(1)]
+                    out_a.append(np.minimum(x[2][k], y[2][at]))
+                    out_b.append(np.maximum(x[2][k], y[2][at]))
+        return pa.table({"a": np.concatenate(out_a).astype(np.int64), "b": np.concatenate(out_b).astype(np.int64)})
+
+    return dealt.join(signatures.select("rep", "signature"), "rep").groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _sift(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those whose signatures allow a link."""
 
     def sift(batches):
         for batch in batches:
@@ -193,7 +251,11 @@ def _verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, size: int,
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     known = pairs.join(signatures.select(F.col("rep").alias("a"), F.col("signature").alias("x")), "a").join(signatures.select(F.col("rep").alias("b"), F.col("signature").alias("y")), "b")
-    pairs = common.durable(known.select("a", "b", "x", "y").mapInArrow(sift, "a long, b long").distinct())
+    return known.select("a", "b", "x", "y").mapInArrow(sift, "a long, b long")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those linked, by their whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if common.small_enough(ids) else ids
 
@@ -244,7 +306,7 @@ def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(token, rep, n) of tokens that at least two representatives have in their prefixes."""
+    """(token, rep, n, weight) of tokens that at least two representatives have in their prefixes."""
     light = reps.select("rep", "n", F.explode("light").alias("token")).repartition("token")
     block = [F.min("rep").alias("hub"), F.max("rep").alias("last")]
     several = light.groupBy("token").agg(*block).filter("hub < last").select("token")
@@ -252,7 +314,10 @@ def _postings(reps: DataFrame) -> DataFrame:
     frequent = reps.select("rep", "n", F.explode("frequent").alias("token"))
     # at most MAX_HEAVY rows
     frequent = frequent.join(F.broadcast(frequent.groupBy("token").agg(*block).filter("hub < last").select("token")), "token")
-    return light.select("token", "rep", "n").union(frequent.select("token", "rep", "n"))
+    live = light.select("token", "rep", "n").union(frequent.select("token", "rep", "n"))
+    # copies that were edited share more with their original than with each other: in its prefix all tokens recur
+    weight = live.groupBy("rep").agg((F.count("*") / F.first("n")).alias("weight"))
+    return live.join(weight, "rep").select("token", "rep", "n", "weight")
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -267,8 +332,8 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
     labels = None
     for turn in range(HUB_ROUNDS + 1):
         known = live.withColumn("label", F.col("rep")) if labels is None else live.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        block = known.groupBy("token").agg(F.min(F.struct("rep", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-        block = block.filter("low < high").select("token", "hub")
+        block = known.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("last"), "rep", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        block = block.filter("low < high").select("token", "hub", "size")
         if turn < HUB_ROUNDS:
             rest = known.join(block, "token").filter("rep <> hub.rep")
             if turn:
@@ -276,15 +341,18 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
                 if rest.isEmpty():
                     break
             pairs = rest.filter(F.col("label") != F.col("hub.label")).filter(_sizes_fit(F.col("n"), F.col("hub.n"), num, den)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-            live = rest.select("token", "rep", "n") if turn else live
+            live = rest.select("token", "rep", "n", "weight") if turn else live
+            pairs = _sift(pairs.distinct(), reps, num, den)
         else:
-            rest = known.join(block.select("token"), "token", "left_semi")
-            other = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label")])
-            pairs = rest.join(other, "token").filter("rep < rep2 AND label <> label2").filter(_sizes_fit(F.col("n"), F.col("n2"), num, den)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            few = known.join(block.filter(F.col("size") <= SMALL).select("token"), "token").select("token", "rep", "n", "label")
+            other = few.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label")])
+            few = few.join(other, "token").filter("rep < rep2 AND label <> label2").filter(_sizes_fit(F.col("n"), F.col("n2"), num, den))
+            many = _compare_blocks(known.select("token", "rep", "label"), block.filter(F.col("size") > SMALL), reps, num, den)
+            pairs = _sift(few.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), reps, num, den).union(many)
         pairs = common.durable(pairs.distinct())
         if pairs.isEmpty():
             continue
-        found = common.durable(_verify(pairs, reps, docs, size, num, den))
+        found = common.durable(_verify(pairs, docs, size, num, den))
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.union, links))
