@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quire.llm import common
 
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 200 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -58,48 +59,38 @@ class PerfectHash:
             for k, i in zip(own, at, strict=True):
                 taken[i] = 1
                 self.slots[i] = k
-        self.tokens = tokens
+        self.tokens, self.seeds, self.slots = tokens, self.seeds.tolist(), self.slots.tolist()
 
     def rank(self, token: bytes) -> int:
         """The token's rank, or -1; the stored bytes decide."""
-        seed = int(self.seeds[xxhash.xxh64_intdigest(token) % self.buckets])
-        k = int(self.slots[xxhash.xxh64_intdigest(token, seed) % self.n])
+        seed = self.seeds[xxhash.xxh64_intdigest(token) % self.buckets]
+        k = self.slots[xxhash.xxh64_intdigest(token, seed) % self.n]
         return k if self.tokens[k] == token else -1
 
 
-def merge(piece: bytes, rank) -> list[int]:
-    """Ids of a piece: the adjacent pair of least rank merges first, the leftmost of equals."""
-    n = len(piece)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: the adjacent pair of least rank merges first, the leftmost of equals.
 
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (r := rank(piece[i : end[j]])) >= 0:
-            heap.append((r, i, end[j])) if not ready else heapq.heappush(heap, (r, i, end[j]))
-
-    ready = False
-    for i in range(n):
-        offer(i)
+    A part is its first byte's place; `end` links it to the next one and `before` to the last one.
+    """
+    n, get, push, pop = len(piece), ranks.get, heapq.heappush, heapq.heappop
+    end, before = list(range(1, n + 1)), list(range(-1, n))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
-    ready = True
-    gone = bytearray(n)
     while heap:
-        _, i, to = heapq.heappop(heap)
-        j = after[i]
-        if gone[i] or j >= n or end[j] != to:  # a part has changed since
+        _, i, to = pop(heap)
+        j = end[i]
+        if j < 0 or j >= n or end[j] != to:  # a part has changed since
             continue
-        gone[j] = 1
-        end[i], after[i] = to, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        end[i], end[j], before[to] = to, -1, i
+        if to < n and (r := get(piece[i : end[to]])) is not None:
+            push(heap, (r, i, end[to]))
+        if (k := before[i]) >= 0 and (r := get(piece[k:to])) is not None:
+            push(heap, (r, k, to))
     out, i = [], 0
     while i < n:
-        out.append(rank(piece[i : end[i]]))
-        i = after[i]
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
     return out
 
 
@@ -108,11 +99,12 @@ class Codec(dict):
 
     def __init__(self, hashed: PerfectHash, pattern: str):
         self.hashed, self.split, self.held = hashed, regex.compile(pattern).findall, 0
+        self.ranks = {token: k for k, token in enumerate(hashed.tokens)}
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.hashed.rank(raw)
-        ids = np.array([whole] if whole >= 0 else merge(raw, self.hashed.rank), "<u4").tobytes()
+        ids = array("I", [whole] if whole >= 0 else merge(raw, self.ranks)).tobytes()
         self.held += len(raw) + len(ids) + 150
         if self.held > CACHE_BYTES:
             self.clear()
@@ -127,6 +119,17 @@ class Codec(dict):
         return b"".join(map(self.hashed.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def _codec(vocabulary: str, pattern: str, shared) -> Codec:
+    """The codec of this worker process, kept from task to task."""
+    if (vocabulary, pattern) not in _codecs:
+        _codecs.clear()
+        _codecs[vocabulary, pattern] = Codec(shared.value, pattern)
+    return _codecs[vocabulary, pattern]
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, digest_only: bool = False) -> DataFrame:
     """The columns of `docs` (which has text), then n_tokens and ids (binary, little-endian 32-bit) and decoded (text's bytes).
 
@@ -137,7 +140,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digest_only: bool = F
     at = keep.columns.index("text")
 
     def run(batches):
-        codec = Codec(shared.value, pattern)
+        codec = _codec(vocabulary, pattern, shared)
         for batch in batches:
             n, first, second = [], [], []
             for value in batch.column(at):
