@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quire.llm import common
 
-CACHE_BYTES = 200 << 20
+CACHE_BYTES = 96 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds the memory of a Python worker whatever the batch holds (one text is never split).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240501)

@@ -7,7 +7,7 @@ long as the log-likelihood rises by more than the penalty of one more proportion
 
 Scale: training is one pass that counts per task and adds the counts by key (at most languages x 65,536 keys); the model is
 broadcast, languages x 256 KB, with at most `MAX_LANGUAGES` languages (more are refused). Prediction is one pass without a
-shuffle. A worker holds 4 MB of text and one long text's distinct trigrams at a time.
+shuffle. A worker holds 2 MB of text and one long text's distinct trigrams at a time.
 
 Cases: a text that is null or has no letter is `und` with score 0. Rows with a null lang or text teach nothing. A null doc_id
 is not held out and teaches nothing. Without any training rows all texts are `und`. Ties go to the first language by name.

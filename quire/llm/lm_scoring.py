@@ -6,7 +6,7 @@ from all texts, its counts scaled to the target's size, so that the two match. A
 loss(target) - loss(background) over its tokens: the lower, the more it looks like the target.
 
 Scale: counting is one pass; each task adds up its own n-grams, then counts are added by key. The model has at most 2^24
-n-grams whatever the corpus (16 bytes each), and is broadcast; a worker expands it to one 64 MB table. Scoring is one pass without
+n-grams whatever the corpus (16 bytes each), and is broadcast; a worker expands it to one 62 MB table. Scoring is one pass without
 a shuffle. Labels are broadcast up to `common.BROADCAST_ROWS` rows and joined by shuffle beyond.
 
 Cases: a null or empty text has no tokens and null losses and score. Without any target text the target model is uniform.

@@ -36,7 +36,7 @@ SHINGLE = 5
 THRESHOLD = (80, 100)
 #: Frequent tokens that come last in the first order. Only the order of tokens depends on it, never a result.
 MAX_HEAVY = 65_536
-#: A token counts as frequent if at least so many texts of one 4 MB chunk have it.
+#: A token counts as frequent if at least so many texts of one 2 MB chunk have it.
 HEAVY_IN_CHUNK = 8
 HUB_ROUNDS = 2
 #: Documents in a chunk of a block; a task compares two chunks.
@@ -67,7 +67,7 @@ def _survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, np.ndarr
     """What the first order needs: at most MAX_HEAVY frequent shingles, the most frequent last, and a table of CELLS counts.
 
     Also a row for each document: its id, set size and 128-bit set digest. The table adds up, for all documents, how many have
-    a shingle in each cell; it puts passages that recur anywhere behind those that don't. Each chunk of 4 MB of text reports
+    a shingle in each cell; it puts passages that recur anywhere behind those that don't. Each chunk of 2 MB of text reports
     the shingles that it sees often.
     """
 

@@ -5,7 +5,7 @@ costs for each document and what share it rejects, and orders the rules by rejec
 documents that all rules before it have passed. The order changes the work and never the result, since every rule is a pure
 function of the text. Rules that share a metric share its cost.
 
-Scale: one pass, no shuffle, 4 MB of text at a time in a worker. The sample is `SAMPLE_ROWS` rows of the first partitions,
+Scale: one pass, no shuffle, 2 MB of text at a time in a worker. The sample is `SAMPLE_ROWS` rows of the first partitions,
 read once on the driver; only the order of the rules depends on it.
 
 Cases: a null text has no words; empty and very short texts fail `few_words`. Repeated rows are judged alike. All columns of
