@@ -1,7 +1,283 @@
-"""All queries by name, and their SQL."""
+"""All queries by name, and the same in SQL for DuckDB.
+
+The test tables hold no reports, figures or records. The views below derive them from documents, events and lineitem by
+formulas that both engines share; word lists are those of `config.PROSE`, since the Korean ones match nothing there.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire import config
+from quire.functions import text as T
+from quire.operators import figures as G
+from quire.operators import records as R
+from quire.operators import sections as S
+
+FLAGSHIP = "section_ranking"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "section_ranking"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# Documents as reports: every seventh line is a heading of each kind.
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = lambda i: F.when(i % 7 == 0, "1. ").when(i % 7 == 2, "가. ").when(i % 7 == 4, "- ").otherwise("")
+    md = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(mark(i), x)), "\n")
+    return _read(spark, sf_dir, "documents").select("doc_id", md.alias("md"))
+
+
+_WS = r"[\s\x{00A0}]"
+_REPORTS = "reports AS (SELECT doc_id, array_to_string([CASE (i - 1) % 7 WHEN 0 THEN '1. ' WHEN 2 THEN '가. ' WHEN 4 THEN '- ' ELSE '' END || x for x, i in string_split(text, chr(10))], chr(10)) AS md FROM documents)"
+_LINES = _REPORTS + """, raw AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) - 1 AS ord FROM reports),
+lines AS (SELECT doc_id, ord, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - length(line) - 1 AS BIGINT) AS start FROM raw)"""
+_SECTIONS = _LINES + r""", dep AS (SELECT *, CASE WHEN regexp_matches(trim(line, chr(32) || chr(9) || chr(10) || chr(13)), '^\d+\.\s+') THEN 1 WHEN regexp_matches(trim(line), '^[가나다라마바사아자차카타파하]\.\s+') THEN 2 WHEN regexp_matches(trim(line), '^-\s+') THEN 4 END AS depth FROM lines),
+sec AS (SELECT *, count(depth) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS sec FROM dep),
+grp AS (SELECT doc_id, sec, arg_min(depth, ord) AS depth, arg_min(line, ord) AS line, string_agg(line, chr(10) ORDER BY ord) AS body, min(start) AS char_start, max(start + length(line) + 1) AS e FROM sec WHERE sec >= 0 GROUP BY doc_id, sec),
+sections AS (SELECT doc_id, CAST(sec AS INTEGER) AS ord, 'S' || sec AS section_id, CAST(depth AS INTEGER) AS depth,
+  coalesce(nullif(trim(regexp_replace(line, '^(\d+\.\s+|[가나다라마바사아자차카타파하]\.\s+|-\s+)', '')), ''), trim(line)) AS title, regexp_replace(body, '^\s+|\s+$', '', 'g') AS text,
+  CAST(char_start AS BIGINT) AS char_start, CAST(e - CASE WHEN sec = max(sec) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS BIGINT) AS char_end FROM grp)"""
+_COUNT = "CAST(len(regexp_extract_all(text, '(?i){}')) AS INTEGER)"
+_P = config.PROSE
+_FEATURES = _SECTIONS + rf""", feat AS (SELECT *, CAST(length(text) AS INTEGER) AS length, len(regexp_extract_all(text, '\d+')) / greatest(len(regexp_extract_all(text, '\S+')), 1) AS numeric_density,
+  {_COUNT.format(_P.comparison)} AS comparison_words, {_COUNT.format(_P.process)} AS process_words, {_COUNT.format(_P.space)} AS space_words, {_COUNT.format(_P.evidence)} AS evidence_words,
+  regexp_matches(text, '(?m)^[|].*[|]$') AS has_table, ord = 0 OR (depth = 1 AND ord <= 2) AS is_top FROM sections)"""
+_SCORES = _FEATURES + rf""", scored AS (SELECT *, CASE WHEN regexp_matches(text, '{_P.definition}') THEN 0.3e0 ELSE 0e0 END AS t1,
+  least(1e0, numeric_density * 0.4e0 + comparison_words * 0.2e0) * CASE WHEN has_table THEN 0.3e0 ELSE 1e0 END AS t2, least(1e0, space_words * 0.5e0) AS t3, least(1e0, process_words * 0.5e0) AS t4,
+  CASE WHEN evidence_words > 0 AND numeric_density > 0 THEN 0.3e0 ELSE 0e0 END AS t5, CASE WHEN depth = 1 AND is_top THEN 0.2e0 ELSE 0e0 END AS t6 FROM feat)"""
+_T = "round(t1, 6) AS t1, round(t2, 6) AS t2, round(t3, 6) AS t3, round(t4, 6) AS t4, round(t5, 6) AS t5, round(t6, 6) AS t6"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.scores(S.features(S.split_sections(_reports(spark, sf_dir)), config.PROSE), config.PROSE)
+
+
+def _rounded() -> list:
+    return [F.round(t, 6).alias(t) for t in S.TRIGGERS]
+
+
+@_query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS md FROM documents")
+def normalize_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("md"))
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, CAST(ord AS INTEGER) AS ord, line, start FROM lines")
+def split_lines_offsets(spark, sf_dir):
+    return S.lines(_reports(spark, sf_dir))
+
+
+@_query(f"WITH {_SECTIONS} SELECT * FROM sections")
+def sections(spark, sf_dir):
+    return S.split_sections(_reports(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {_SECTIONS}, l AS (SELECT doc_id, list({{'d': depth, 't': title, 's': CAST([] AS VARCHAR[])}} ORDER BY ord) AS l FROM sections GROUP BY doc_id),
+r AS (SELECT s.doc_id, s.section_id, s.title, s.depth, list_reduce(list_prepend({{'d': 0, 't': '', 's': CAST([] AS VARCHAR[])}}, l[1:s.ord]), lambda a, x: {{'d': x.d, 't': x.t, 's': list_append(a.s[1:greatest(x.d - 1, 0)], x.t)}}).s AS st FROM sections s JOIN l USING (doc_id)),
+p AS (SELECT *, array_to_string(st[1:greatest(depth - 1, 0)], ' > ') AS parent_path FROM r)
+SELECT doc_id, section_id, parent_path, CASE WHEN parent_path = '' THEN title ELSE parent_path || ' > ' || title END AS section_path FROM p"""
+)
+def section_paths(spark, sf_dir):
+    return S.with_parents(S.split_sections(_reports(spark, sf_dir))).select("doc_id", "section_id", "parent_path", "section_path")
+
+
+@_query(f"WITH {_FEATURES} SELECT doc_id, section_id, length, round(numeric_density, 6) AS numeric_density, comparison_words, process_words, space_words, evidence_words, has_table, is_top FROM feat")
+def section_features(spark, sf_dir):
+    f = S.features(S.split_sections(_reports(spark, sf_dir)), config.PROSE)
+    return f.select("doc_id", "section_id", "length", F.round("numeric_density", 6).alias("numeric_density"), "comparison_words", "process_words", "space_words", "evidence_words", "has_table", "is_top")
+
+
+@_query(f"WITH {_SCORES} SELECT doc_id, section_id, {_T} FROM scored")
+def trigger_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "section_id", *_rounded())
+
+
+@_query(f"WITH {_SCORES} SELECT doc_id, section_id FROM scored WHERE greatest(t1, t2, t3, t4, t5, t6) >= 0.4")
+def candidates(spark, sf_dir):
+    return S.candidates(_scored(spark, sf_dir)).select("doc_id", "section_id")
+
+
+_DOMINANT = "CASE greatest(t1, t2, t3, t4, t5, t6) WHEN t1 THEN 'T1' WHEN t2 THEN 'T2' WHEN t3 THEN 'T3' WHEN t4 THEN 'T4' WHEN t5 THEN 'T5' ELSE 'T6' END"
+
+
+@_query(f"WITH {_SCORES} SELECT doc_id, section_id, {_DOMINANT} AS dominant FROM scored")
+def dominant_trigger(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "section_id", S.dominant().alias("dominant"))
+
+
+@_query(
+    rf"""WITH {_SCORES}, d AS (SELECT doc_id, section_id, text, {_DOMINANT} AS t FROM scored)
+SELECT doc_id, section_id, CASE t WHEN 'T6' THEN 'cover_banner' WHEN 'T3' THEN 'map_layout' WHEN 'T4' THEN CASE WHEN len(regexp_extract_all(text, '\d{{4}}년|\d{{1,2}}월|\d{{4}}')) >= 3 THEN 'roadmap' ELSE 'flow_chart' END
+  WHEN 'T2' THEN CASE WHEN len(regexp_extract_all(text, '\d+(?:\.\d+)?')) >= 5 THEN 'bar_chart' ELSE 'comparison_table' END WHEN 'T5' THEN 'photo' ELSE 'concept_diagram' END AS figure_type FROM d"""
+)
+def classify(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "section_id", S.figure_type(S.dominant(), F.col("text")).alias("figure_type"))
+
+
+@_query(f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY greatest(t1, t2, t3, t4, t5, t6) DESC, ord) AS rank FROM scored)
+SELECT doc_id, section_id, title, CAST(rank AS INTEGER) AS rank, round(greatest(t1, t2, t3, t4, t5, t6), 6) AS score FROM r WHERE rank <= 3""")
+def section_ranking(spark, sf_dir):
+    return S.ranking(_scored(spark, sf_dir)).select("doc_id", "section_id", "title", "rank", F.round(F.greatest(*S.TRIGGERS), 6).alias("score"))
+
+
+# Events as runs of a planner: a document is ten users, a run is event_id % 3.
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    return e.select(
+        (F.col("user_id") % 10).alias("doc_id"), (F.col("event_id") % 3).alias("run_id"), F.col("event_id").alias("pos"), (F.col("user_id") % 7).cast("string").alias("section_path"),
+        F.col("event_type").alias("figure_type"), (F.col("event_id") % 10 / 10).alias("confidence"), (F.col("event_id") % 100 / 100).alias("final_score"), F.array("event_type", (F.col("event_id") % 5).cast("string")).alias("suggested_content"),
+    )
+
+
+_RUNS = "runs AS (SELECT user_id % 10 AS doc_id, event_id % 3 AS run_id, event_id AS pos, CAST(user_id % 7 AS VARCHAR) AS section_path, event_type AS figure_type, event_id % 10 / 10 AS confidence, event_id % 100 / 100 AS final_score, [event_type, CAST(event_id % 5 AS VARCHAR)] AS suggested_content FROM events)"
+_VOTE = _RUNS + """, items AS (SELECT doc_id, section_path, figure_type, x, min((run_id * 1000000000 + pos) * 2 + i) AS f FROM (SELECT *, unnest(suggested_content) AS x, generate_subscripts(suggested_content, 1) AS i FROM runs) GROUP BY ALL),
+lists AS (SELECT doc_id, section_path, figure_type, list(x ORDER BY f)[1:8] AS items FROM items GROUP BY ALL),
+g AS (SELECT doc_id, section_path, figure_type, count(*) AS vote_count, avg(confidence) AS confidence, avg(final_score) AS final_score, min(run_id * 1000000000 + pos) AS f FROM runs GROUP BY ALL),
+n AS (SELECT doc_id, count(DISTINCT run_id) AS n FROM runs GROUP BY doc_id),
+voted AS (SELECT g.*, items, 'F' || row_number() OVER (PARTITION BY doc_id ORDER BY f) AS figure_id FROM g JOIN n USING (doc_id) JOIN lists USING (doc_id, section_path, figure_type) WHERE vote_count >= n // 2 + 1)"""
+
+
+@_query(f"WITH {_VOTE} SELECT doc_id, section_path, figure_type, figure_id, vote_count, round(confidence, 6) AS confidence, round(final_score, 6) AS final_score, array_to_string(items, ',') AS content FROM voted")
+def vote(spark, sf_dir):
+    v = G.vote(_runs(spark, sf_dir))
+    return v.select("doc_id", "section_path", "figure_type", "figure_id", "vote_count", F.round("confidence", 6).alias("confidence"), F.round("final_score", 6).alias("final_score"), F.array_join("suggested_content", ",").alias("content"))
+
+
+@_query(
+    f"""WITH {_VOTE}, rev AS (SELECT user_id % 10 AS doc_id, 'F' || (event_id % 40) AS figure_id, event_id % 4 <> 0 AS approved, CASE event_id % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'null' END AS alt, event_id FROM events),
+last AS (SELECT doc_id, figure_id, arg_max(approved, event_id) AS approved, arg_max({{'a': alt}}, event_id).a AS alt FROM rev GROUP BY ALL)
+SELECT doc_id, figure_id, section_path, CASE WHEN alt IS NOT NULL AND alt <> 'null' THEN alt ELSE figure_type END AS figure_type FROM voted LEFT JOIN last USING (doc_id, figure_id) WHERE coalesce(approved, true)"""
+)
+def critic_merge(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    alt = F.when(F.col("event_id") % 3 == 0, "photo").when(F.col("event_id") % 3 == 1, "null")
+    reviews = e.select((F.col("user_id") % 10).alias("doc_id"), F.concat(F.lit("F"), F.col("event_id") % 40).alias("figure_id"), (F.col("event_id") % 4 != 0).alias("approved"), alt.alias("alternative"), F.col("event_id").alias("ord"))
+    return G.review(G.vote(_runs(spark, sf_dir)), reviews).select("doc_id", "figure_id", "section_path", "figure_type")
+
+
+# Line items as figures of orders: total_chars from the order, score from the quantity.
+def _lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"))
+    li = li.agg(F.min("l_returnflag").alias("section_path"), F.min("l_linestatus").alias("figure_type"), F.max("l_quantity").alias("final_score"), F.min("l_partkey").alias("part"))
+    return li.select("doc_id", "pos", F.concat(F.lit("F"), "pos").alias("figure_id"), "section_path", "figure_type", "final_score", F.when(F.col("part") % 5 != 0, F.col("part")).alias("char_start"), (F.col("doc_id") % 10 * 1000).alias("total_chars"))
+
+
+_FIGURES = """figs AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, 'F' || l_linenumber AS figure_id, min(l_returnflag) AS section_path, min(l_linestatus) AS figure_type, max(l_quantity) AS final_score,
+  CASE WHEN min(l_partkey) % 5 <> 0 THEN min(l_partkey) END AS char_start, l_orderkey % 10 * 1000 AS total_chars FROM lineitem GROUP BY l_orderkey, l_linenumber),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, pos) AS rank FROM figs),
+top AS (SELECT * FROM ranked WHERE rank <= greatest(1, least(total_chars // 1500, 8)))"""
+_ISLANDS = _FIGURES + """, ch AS (SELECT *, CASE WHEN section_path = lag(section_path) OVER w AND figure_type = lag(figure_type) OVER w THEN 0 ELSE 1 END AS c FROM top WINDOW w AS (PARTITION BY doc_id ORDER BY rank)),
+isl AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY rank) AS island FROM ch),
+merged AS (SELECT doc_id, island, arg_min(figure_id, rank) AS figure_id, any_value(section_path) AS section_path, any_value(figure_type) AS figure_type, max(final_score) AS final_score, count(*) AS merged, arg_min({'c': char_start}, rank).c AS char_start FROM isl GROUP BY doc_id, island)"""
+
+
+@_query(f"WITH {_FIGURES} SELECT doc_id, figure_id, final_score, CAST(rank AS INTEGER) AS rank FROM top")
+def optimize_topk(spark, sf_dir):
+    return G.top_k(_lineitems(spark, sf_dir)).select("doc_id", "figure_id", "final_score", "rank")
+
+
+@_query(f"WITH {_ISLANDS} SELECT doc_id, figure_id, section_path, figure_type, final_score, merged FROM merged")
+def merge_islands(spark, sf_dir):
+    return G.merge_islands(G.top_k(_lineitems(spark, sf_dir))).select("doc_id", "figure_id", "section_path", "figure_type", "final_score", "merged")
+
+
+@_query(f"WITH {_ISLANDS} SELECT doc_id, 'F' || row_number() OVER (PARTITION BY doc_id ORDER BY char_start NULLS LAST, island) AS figure_id, section_path, figure_type, CAST(coalesce(char_start, -1) AS BIGINT) AS char_start FROM merged")
+def doc_order_renumber(spark, sf_dir):
+    return G.in_document_order(G.merge_islands(G.top_k(_lineitems(spark, sf_dir)))).select("doc_id", "figure_id", "section_path", "figure_type", F.coalesce("char_start", F.lit(-1)).alias("char_start"))
+
+
+# Anchors cut from a document, every third with another word in it.
+@_query(
+    r"""WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN substr(text, 20, 14) || ' zzzz ' || substr(text, 60, 10) WHEN doc_id % 3 = 1 THEN replace(substr(text, 20, 40), ' ', '  ') ELSE substr(text, 20, doc_id % 40) END AS anchor FROM documents),
+f AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, trim(regexp_replace(anchor, '\s+', ' ', 'g')) AS a FROM a),
+p AS (SELECT *, greatest(1, CAST(floor(length(a) * 0.7e0) AS INTEGER)) AS p FROM f)
+SELECT doc_id, length(anchor) >= 10 AND (contains(text, anchor) OR contains(t, a) OR len(list_filter(range(0, greatest(length(a) - p, 0) + 1), lambda i: contains(t, substr(a, i + 1, p)))) > 0) AS found FROM p"""
+)
+def anchor_exists(spark, sf_dir):
+    d, key = _read(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    sub = lambda at, n: F.substring(F.col("text"), F.lit(at), n)
+    anchor = F.when(key == 0, F.concat(sub(20, F.lit(14)), F.lit(" zzzz "), sub(60, F.lit(10)))).when(key == 1, F.replace(sub(20, F.lit(40)), F.lit(" "), F.lit("  "))).otherwise(sub(20, (F.col("doc_id") % 40).cast("int")))
+    return d.select("doc_id", G.anchor_exists(anchor, F.col("text")).alias("found"))
+
+
+@_query(None)
+def near_dup_greedy(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("purpose"))
+    return G.drop_similar(c)
+
+
+@_query("SELECT event_id, trim(props) AS object FROM events")
+def json_extract(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    return e.select("event_id", T.json_object(F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))).alias("object"))
+
+
+@_query("""WITH x AS (SELECT n_regionkey, '| ' || n_nationkey || ' | ' || n_name || ' |' AS l, n_nationkey FROM nation)
+SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(l, chr(10) ORDER BY n_nationkey) AS md FROM x GROUP BY n_regionkey""")
+def md_table(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation").withColumn("row", F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("cells")))
+    rows = n.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["cells"]).alias("rows"))
+    return rows.select("n_regionkey", T.table_markdown(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), "rows")).alias("md"))
+
+
+# Line items as records: the order is the file.
+def _records(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ord")).agg(F.min("l_partkey").alias("p"))
+    tag = F.element_at(F.array(*map(F.lit, (0x32, 0x33, 0x36, 0x3A, 0x45))), (F.col("p") % 5 + 1).cast("int"))
+    rows = li.select("file", "ord", tag.alias("tag"), (F.col("p") % 7 % 4).cast("int").alias("level"), (F.col("p") % 11).alias("size"), "p")
+    if shift:  # a perturbed copy
+        rows = rows.filter(F.col("p") % 13 != 0).withColumn("tag", F.when(F.col("p") % 17 == 0, 0x99).otherwise(F.col("tag"))).withColumn("size", F.when(F.col("p") % 19 == 0, F.col("size") + shift).otherwise(F.col("size")))
+    return rows.drop("p")
+
+
+_RECORDS = "base AS (SELECT l_orderkey AS file, l_linenumber AS ord, min(l_partkey) AS p FROM lineitem GROUP BY ALL), rec AS (SELECT file, ord, [50, 51, 54, 58, 69][p % 5 + 1] AS tag, p % 7 % 4 AS level, p % 11 AS size, p FROM base)"
+_FINDINGS = _RECORDS + """, w AS (SELECT *, lag(level) OVER o AS pl, lag(tag) OVER o AS pt, list({'t': tag, 'l': level}) OVER (PARTITION BY file ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS ahead FROM rec WINDOW o AS (PARTITION BY file ORDER BY ord)),
+st AS (SELECT *, list_filter([CASE WHEN x.l <= level AND x.t <> 58 THEN -1 WHEN x.t = 69 AND x.l = level + 1 THEN 1 ELSE 0 END for x in ahead], lambda s: s <> 0)[1] AS s FROM w),
+findings AS (SELECT file, ord, 'R-040' AS rule, 'HIGH' AS severity FROM w WHERE level - pl > 1 UNION ALL SELECT file, ord, 'R-042', 'MEDIUM' FROM w WHERE tag = 51 AND pt IS DISTINCT FROM 50 UNION ALL SELECT file, ord, 'R-041', 'HIGH' FROM st WHERE tag = 54 AND s IS DISTINCT FROM 1)"""
+_DIFF = _RECORDS + """, cand AS (SELECT file, ord, CASE WHEN p % 17 = 0 THEN 153 ELSE tag END AS tag, level, CASE WHEN p % 19 = 0 THEN size + 3 ELSE size END AS size FROM rec WHERE p % 13 <> 0),
+j AS (SELECT r.file AS file, r.ord AS ord, r.tag AS a, c.tag AS b, r.level AS al, c.level AS bl, r.size AS sa, c.size AS sb FROM rec r LEFT JOIN cand c USING (file, ord)),
+diffs AS (SELECT file, ord, 'MISSING' AS kind, 'CRITICAL' AS severity FROM j WHERE b IS NULL UNION ALL SELECT file, ord, 'TAG', 'HIGH' FROM j WHERE a <> b UNION ALL SELECT file, ord, 'LEVEL', 'HIGH' FROM j WHERE a = b AND al <> bl UNION ALL SELECT file, ord, 'SIZE', 'HIGH' FROM j WHERE a = b AND sa <> sb)"""
+
+
+@_query(f"WITH {_FINDINGS} SELECT * FROM findings")
+def record_rules(spark, sf_dir):
+    return R.findings(_records(spark, sf_dir))
+
+
+@_query(f"WITH {_RECORDS} SELECT file, ord, coalesce((SELECT max(e.ord) FROM rec e WHERE e.file = rec.file AND e.ord < rec.ord AND e.level < rec.level), -1) AS parent_ord FROM rec")
+def record_parent(spark, sf_dir):
+    return R.parents(_records(spark, sf_dir)).select("file", "ord", F.coalesce("parent_ord", F.lit(-1)).alias("parent_ord"))
+
+
+@_query(f"WITH {_DIFF} SELECT * FROM diffs")
+def record_diff(spark, sf_dir):
+    return R.compare(_records(spark, sf_dir), _records(spark, sf_dir, 3))
+
+
+@_query(f"WITH {_DIFF} SELECT file, CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS n_critical, CAST(count_if(severity = 'HIGH') AS BIGINT) AS n_high, CAST(count_if(severity = 'MEDIUM') AS BIGINT) AS n_medium, CAST(count_if(severity = 'LOW') AS BIGINT) AS n_low, 'FAIL' AS status FROM diffs GROUP BY file")
+def severity_rollup(spark, sf_dir):
+    return R.roll_up(R.compare(_records(spark, sf_dir), _records(spark, sf_dir, 3)))
+
+
+@_query(f"WITH {_RECORDS}, f AS (SELECT DISTINCT file FROM rec), n AS (SELECT file, tag FROM f, (VALUES (50), (69)) v(tag)) SELECT file, tag FROM n WHERE NOT EXISTS (SELECT 1 FROM rec WHERE rec.file = n.file AND rec.tag = n.tag)")
+def required_tags(spark, sf_dir):
+    return R.missing_tags(_records(spark, sf_dir), [0x32, 0x45])
+
+
+@_query("SELECT text AS prompt, min(conv_id) AS first_conv, count(*) AS uses FROM conversations GROUP BY text")
+def prompt_dedup(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations").groupBy(F.col("text").alias("prompt")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("uses"))
