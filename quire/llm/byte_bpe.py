@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quire.llm import common
+from quire.llm import common, kernels
 
 CACHE_BYTES = 96 << 20
 
@@ -141,7 +141,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digest_only: bool = F
 
     def run(batches):
         codec = _codec(vocabulary, pattern, shared)
-        for batch in batches:
+        for batch in kernels.parts(batches):
             n, first, second = [], [], []
             for value in batch.column(at):
                 ids = codec.encode(value.as_py() or "")

@@ -5,6 +5,9 @@ All kernels see the raw UTF-8 bytes of many texts at once. A null text counts as
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -56,6 +59,19 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
         row = to
 
 
+def parts(batches, rows: int = 512):
+    """The batches of a task in slices of a few rows, so that no output is gathered for long; then gives memory back.
+
+    A worker process lives on between tasks, and the executor's memory has to hold for what comes next.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -42,7 +42,8 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and the log-probabilities of the table's cells for each."""
 
     def count(batches):
-        for batch in batches:
+        total: dict[str, np.ndarray] = {}  # at most MAX_LANGUAGES tables, else the key's own rows are sent on
+        for batch in kernels.parts(batches):
             langs = np.array(batch.column(1).to_pylist(), object)
             for row, to, data, offs in kernels.chunks(batch.column(0)):
                 cell = grams(data)
@@ -51,8 +52,16 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 own = langs[row:to][last - 1]
                 for lang in set(langs[row:to]):
                     n = np.bincount(cell[inside & (own == lang)], minlength=TABLE)
-                    at = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "cell", "n"])
+                    total[lang] = total[lang] + n if lang in total else n
+            if len(total) > MAX_LANGUAGES:
+                yield from map(rows, total.items())
+                total.clear()
+        yield from map(rows, total.items())
+
+    def rows(found):
+        lang, n = found
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "cell", "n"])
 
     counts = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most TABLE entries each
@@ -102,7 +111,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFra
 
     def judge(batches):
         model = shared.value
-        for batch in batches:
+        for batch in kernels.parts(batches):
             texts, pred, score, mixes = batch.column(1), [], [], []
             for row, _, data, offs in kernels.chunks(texts):
                 cell = grams(data)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from quire.llm import common, kernels
 
 CELLS = 1 << 24
+#: Counts that a task holds before it adds up those of equal n-grams.
+HELD = 1_000_000
 #: Weight of the model of the shorter context.
 SMOOTHING = 4.0
 
@@ -43,13 +45,24 @@ def count(docs: DataFrame) -> DataFrame:
     """code, n (in all texts), good (in target texts) from rows (text, target)."""
 
     def run(batches):
-        for batch in batches:
+        held, size = [], 0
+        for batch in kernels.parts(batches):
             target = batch.column(1)
             for row, to, data, offs in kernels.chunks(batch.column(0)):
                 cell = codes(data, offs)
                 good = np.repeat(target[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(bool), np.diff(offs))
-                cell, n = np.unique(cell * 2 + good.astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((cell >> 1).astype(np.int32)), pa.array(n), pa.array(n * (cell & 1))], ["code", "n", "good"])
+                held.append(np.unique(cell * 2 + good.astype(np.int64), return_counts=True))
+                size += len(held[-1][0])
+            if size > HELD:
+                held = [merged(held)]
+                size = 0
+        if held:
+            cell, n = merged(held)
+            yield pa.RecordBatch.from_arrays([pa.array((cell >> 1).astype(np.int32)), pa.array(n), pa.array(n * (cell & 1))], ["code", "n", "good"])
+
+    def merged(held):
+        cell, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return cell, np.bincount(at, np.concatenate([h[1] for h in held]), len(cell)).astype(np.int64)
 
     return docs.select("text", "target").mapInArrow(run, "code int, n long, good long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
@@ -81,7 +94,7 @@ def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
     def run(batches):
         code, all_n, good_n = shared.value
         target, background = losses(code, good_n), losses(code, all_n)
-        for batch in batches:
+        for batch in kernels.parts(batches):
             n, a, b = [], [], []
             for _, _, data, offs in kernels.chunks(batch.column(1)):
                 cell = codes(data, offs)

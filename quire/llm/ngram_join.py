@@ -52,7 +52,7 @@ def _add_up(parts: DataFrame) -> DataFrame:
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in kernels.parts(batches):
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(zlib.decompress(raw.as_py()), np.uint64)
                 total[block] = total[block] + own if block in total else own
@@ -73,7 +73,7 @@ def _survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, np.ndarr
 
     def run(batches):
         table = np.zeros(CELLS, np.uint64)
-        for batch in batches:
+        for batch in kernels.parts(batches):
             for row, to, data, offs in kernels.chunks(batch.column(1)):
                 found = [*kernels.shingles(data, offs, size)]
                 every = np.concatenate(found)
@@ -162,7 +162,7 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, table: np.ndarray, size: int,
 
     def make(batches):
         values, rank, table = shared.value
-        for batch in batches:
+        for batch in kernels.parts(batches):
             for row, to, data, offs in kernels.chunks(batch.column(1)):
                 n, d1, d2, light, frequent, signature = [], [], [], [], [], []
                 for s in kernels.shingles(data, offs, size):
@@ -245,7 +245,7 @@ def _sift(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFr
     """Of pairs (a, b) those whose signatures allow a link."""
 
     def sift(batches):
-        for batch in batches:
+        for batch in kernels.parts(batches):
             x, y = batch.column(2), batch.column(3)
             keep = [_may_link(_read_signature(u.as_py()), _read_signature(v.as_py()), num, den) for u, v in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -260,7 +260,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
     ids = F.broadcast(ids) if common.small_enough(ids) else ids
 
     def full(batches):
-        for batch in batches:
+        for batch in kernels.parts(batches):
             for row, to, data, offs in kernels.chunks(batch.column(1)):
                 sets = [s.tobytes() for s in kernels.shingles(data, offs, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array(sets, pa.binary())], ["id", "set"])
@@ -276,7 +276,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
         return den * shared >= num * (len(x) + len(y) - shared)
 
     def check(batches):
-        for batch in batches:
+        for batch in kernels.parts(batches):
             keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

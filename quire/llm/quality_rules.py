@@ -189,7 +189,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
     names = schema.names
 
     def run(batches):
-        for batch in batches:
+        for batch in kernels.parts(batches):
             parts: dict[str, list] = {f.name: [] for f in added}
             for _, _, data, offs in kernels.chunks(batch.column(at)):
                 t = Texts(data, offs)

@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import common
+from quire.llm import common, kernels
 
 MAX_RULES = 50_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,7 +115,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow")
     def judge(batches):
         store = RuleStore(SparkFiles.get(name))
         shapes = [int(x) for x in store.shapes]
-        for batch in batches:
+        for batch in kernels.parts(batches):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             of = [candidates(h, p, shapes) for h, p in zip(hosts, paths, strict=True)]
             found = store.find([c for x in of for c in x])
