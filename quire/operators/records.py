@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quire import config
 
-_W = Window.partitionBy("file").orderBy("ord")
+def _w():
+    return Window.partitionBy("file").orderBy("ord")
 
 
 def _finding(rows: DataFrame, rule: str, severity: str) -> DataFrame:
@@ -19,19 +20,19 @@ def _finding(rows: DataFrame, rule: str, severity: str) -> DataFrame:
 
 def level_jumps(records: DataFrame) -> DataFrame:
     """A record more than one level below the one before it."""
-    rows = records.withColumn("jump", F.col("level") - F.lag("level").over(_W))
+    rows = records.withColumn("jump", F.col("level") - F.lag("level").over(_w()))
     return _finding(rows.filter("jump > 1"), "R-040", "HIGH")
 
 
 def text_without_head(records: DataFrame) -> DataFrame:
     """A paragraph text that doesn't follow a paragraph head directly."""
-    rows = records.withColumn("before", F.lag("tag").over(_W)).filter(F.col("tag") == config.PARA_TEXT)
+    rows = records.withColumn("before", F.lag("tag").over(_w())).filter(F.col("tag") == config.PARA_TEXT)
     return _finding(rows.filter(~F.col("before").eqNullSafe(F.lit(config.PARA_HEAD))), "R-042", "MEDIUM")
 
 
 def controls_without_list(records: DataFrame, reach: int = 5) -> DataFrame:
     """A control header without a list header one level below among the next records, before its level ends."""
-    ahead = F.collect_list(F.struct("tag", "level")).over(_W.rowsBetween(1, reach))
+    ahead = F.collect_list(F.struct("tag", "level")).over(_w().rowsBetween(1, reach))
     rows = records.withColumn("ahead", ahead).filter(F.col("tag") == config.CTRL_HEADER)
     state = F.aggregate(
         "ahead", F.lit(0),
@@ -46,7 +47,7 @@ def findings(records: DataFrame) -> DataFrame:
 
 def parents(records: DataFrame) -> DataFrame:
     """Adds parent_ord: the nearest earlier record of a smaller level, or null."""
-    below = F.array_sort(F.collect_list(F.struct("ord", "level")).over(_W.rowsBetween(Window.unboundedPreceding, -1)))
+    below = F.array_sort(F.collect_list(F.struct("ord", "level")).over(_w().rowsBetween(Window.unboundedPreceding, -1)))
     return records.withColumn("parent_ord", F.array_max(F.transform(F.filter(below, lambda x: x["level"] < F.col("level")), lambda x: x["ord"])))
 
 
