@@ -370,11 +370,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, all columns kept; of repeated such rows one stays."""
+    """The rows of `docs` whose doc_id is the smallest of its component, all columns kept.
+
+    Of rows that repeat such a doc_id one with the smallest text stays. Rows without a doc_id are no nodes: all of them stay.
+    """
     found = ngram_jaccard_join(docs).select("doc_id", "component_id").distinct()
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty() else kept
+    named = kept.filter("doc_id IS NOT NULL")
+    least = named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text").alias("least")).filter("rows > 1").select(F.col("doc_id").alias("id"), "least")
+    if least.isEmpty():
+        return kept
+    once = named.join(least.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    again = named.join(least, (F.col("doc_id") == F.col("id")) & F.col("text").eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["doc_id"])
+    return once.union(again).union(kept.filter("doc_id IS NULL"))
 
 
 #: DuckDB: exact where a fixed number of label steps reaches all of a component.
