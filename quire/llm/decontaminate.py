@@ -119,9 +119,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with their columns."""
+    """The rows of `docs` that are not contaminated, with their columns, whatever these are called."""
     bad = decontaminate(docs, benchmark).filter("contaminated").select("doc_id", "text_hash")
-    return _meet(docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), bad, "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.struct("*").alias("row"))
+    return _meet(rows, bad, "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
