@@ -13,7 +13,7 @@ from quire.llm import byte_bpe, common, decontaminate, ngram_join, pii, quality_
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ documents that all rules before it have passed. The order changes the work and n
 function of the text. Rules that share a metric share its cost.
 
 Scale: one pass, no shuffle, 2 MB of text at a time in a worker. The sample is `SAMPLE_ROWS` rows of the first partitions,
-read once on the driver; only the order of the rules depends on it.
+measured inside a task, of which only sums come to the driver; only the order of the rules depends on it.
 
 Cases: a null text has no words; empty and very short texts fail `few_words`. Repeated rows are judged alike. All columns of
-the input stay; own columns replace input columns of the same name.
+the input stay; own columns of `judge` replace input columns of the same name, and `passing` adds none.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from quire.llm import common, kernels
@@ -154,39 +155,48 @@ RULES = (
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules in order of rejections per cost on a sample; a metric costs only the first rule that needs it."""
-    texts = docs.select("text").limit(sample_rows).toArrow().column(0)
-    cost, rejected, n = dict.fromkeys(METRICS, 1e-9), {}, 0
-    for _, _, data, offs in kernels.chunks(texts):
-        t = Texts(data, offs)
-        for m in METRICS:
-            began = time.perf_counter()
-            t.get(m)
-            cost[m] += time.perf_counter() - began
-        n += t.n
-        for r in rules:
-            rejected.setdefault(r.name, []).append(r.rejects(*map(t.get, r.metrics)))
-    share = {r.name: (np.concatenate(rejected[r.name]).mean() if n else 0) for r in rules}
+
+    def measure(batches):
+        cost, rejected, n = dict.fromkeys(METRICS, 0.0), {r.name: 0 for r in rules}, 0
+        for batch in kernels.parts(batches):
+            for _, _, data, offs in kernels.chunks(batch.column(0)):
+                t = Texts(data, offs)
+                for m in METRICS:
+                    began = time.perf_counter()
+                    t.get(m)
+                    cost[m] += time.perf_counter() - began
+                n += t.n
+                for r in rules:
+                    rejected[r.name] += int(r.rejects(*map(t.get, r.metrics)).sum())
+        names, values = zip(*[(f"cost {k}", v) for k, v in cost.items()], *[(f"rejected {k}", v) for k, v in rejected.items()], ("rows", n), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["name", "value"])
+
+    sums = docs.select("text").limit(sample_rows).mapInArrow(measure, "name string, value double").groupBy("name").agg(F.sum("value").alias("value")).collect()
+    seen = {r.name: r.value for r in sums}
+    share = {r.name: seen.get(f"rejected {r.name}", 0) / max(1, seen.get("rows", 0)) for r in rules}
     order, paid = [], set()
     while len(order) < len(rules):
         rest = [r for r in rules if r.name not in order]
-        best = max(rest, key=lambda r: ((share[r.name] + 1e-6) / (1e-9 + sum(cost[m] for m in r.metrics if m not in paid)), -rules.index(r)))
+        best = max(rest, key=lambda r: ((share[r.name] + 1e-6) / (1e-9 + sum(seen.get(f"cost {m}", 0) for m in r.metrics if m not in paid)), -rules.index(r)))
         order.append(best.name)
         paid |= set(best.metrics)
     return order
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, report: bool = False) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, report: bool = False, drop: bool = False) -> DataFrame:
     """The columns of `docs` (which has text), then kept and rejected_by (the first rule of the cascade that rejects, or null).
 
-    With report: doc_id, all reported metrics of every text, base_failed, kept, rejected_by.
+    With report: doc_id, all reported metrics of every text, base_failed, kept, rejected_by. With drop: only the rows kept, as
+    they are.
     """
     order = order or plan_cascade(docs, rules)
     cascade = [next(r for r in rules if r.name == name) for name in order]
-    keep = docs.select("doc_id", "text") if report else docs.drop("kept", "rejected_by")
+    keep = docs.select("doc_id", "text") if report else docs if drop else docs.drop("kept", "rejected_by")
     at = keep.columns.index("text")
     added = [*(StructField(m, LongType()) for m in REPORTED if report), *([StructField("base_failed", BooleanType())] if report else []), StructField("kept", BooleanType()), StructField("rejected_by", StringType())]
     schema = StructType([*(keep.select("doc_id").schema.fields if report else keep.schema.fields), *added])
     names = schema.names
+    schema = keep.schema if drop else schema
 
     def run(batches):
         for batch in kernels.parts(batches):
@@ -208,12 +218,20 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
                         rest = rest.only(~out)
                 parts["rejected_by"].append(by)
                 parts["kept"].append(np.equal(by, None))
+            if drop:
+                yield batch.filter(pa.array(np.concatenate(parts["kept"]) if parts["kept"] else [], pa.bool_()))
+                continue
             own = [pa.array(np.concatenate(v) if v else [], type=pa.string() if k == "rejected_by" else pa.bool_() if k in ("kept", "base_failed") else pa.int64()) for k, v in parts.items()]
             yield pa.RecordBatch.from_arrays([*([batch.column(0)] if report else batch.columns), *own], names)
 
     return keep.mapInArrow(run, schema)
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that no rule rejects, with their columns, whatever these are called."""
+    return judge(docs, drop=True)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.read(spark, sf_dir, "documents"), report=True).drop("rejected_by")
 
