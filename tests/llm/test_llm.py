@@ -176,3 +176,38 @@ def test_shards(spark):
     assert all(r.grown_shard in (r.shard, 8) for r in rows) and len(rows) == 2002
     heavy = [r.shard for r in sharding.shard(docs, [3.0, 1.0]).collect()]
     assert 0.7 < heavy.count(0) / len(heavy) < 0.8
+
+
+CLASH = "doc_id long, text string, text_hash string, _id int, _hash int, kept string, rejected_by string, row int, n int, label int"
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(300)]
+    make = lambda: " ".join(rng.choices(words, k=60))
+    same, item = make(), " ".join(rng.choices(words, k=40))
+    rows = [(i, t, "a", 1, 2, "c", "d", 3, 4, 5) for i, t in [(1, make()), (2, same), (3, same), (4, item), (5, make()), (5, make()), (None, make()), (None, make()), (6, None), (7, "")]]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, CLASH)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.columns, stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == before
+    got = docs.collect()
+    fives = [r for r in rows if r[0] == 5]
+    assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2, 5] and all(tuple(r)[2:] == rows[0][2:] for r in got)
+    assert next(r.text for r in got if r.doc_id == 5) == min(r[1] for r in fives)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 5
+    assert all(stage(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_personal_data_of_many_entities_on_one_line():
+    text = "name x@y.zz " * 20_000
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000 and len(list(pii._near(text))) == 40_000
+    assert len(pii.all_spans(text, {"name": 0.6})) == 40_000
+    test = pii._outside([("a", 3, 5), ("b", 4, 9), ("c", 12, 14)])
+    text = "abcdefghijklmnop"
+    want = {(s, e): not any(a < e and s < b for a, b in ((3, 5), (4, 9), (12, 14))) for s in range(15) for e in range(s + 1, 16)}
+    assert {k: test(re.compile(".{%d}" % (k[1] - k[0])).match(text, k[0])) for k in want} == want
