@@ -82,3 +82,41 @@ def drop_similar(figures: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("pos", "purpose")))
     kept = F.aggregate(rows, F.slice(rows, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: similar(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
     return figures.groupBy("doc_id").agg(kept.alias("k")).select("doc_id", F.explode("k").alias("x")).select("doc_id", "x.*")
+
+
+def locate(figures: DataFrame, reports: DataFrame, sections: DataFrame) -> DataFrame:
+    """Adds char_start and char_end: of the anchor in the report, else of the section path, else of the first title in the path.
+
+    Of sections with the same path or title the last one counts; titles are tried in order of first appearance. The titles of a
+    report meet its figures as one array, so that no pairs are made.
+    """
+    at = F.struct("char_start", "char_end")
+    paths = sections.groupBy("doc_id", "section_path").agg(F.max_by(at, "ord").alias("by_path"))
+    titles = sections.filter("title <> ''").groupBy("doc_id", "title").agg(F.min("ord").alias("first"), F.max_by(at, "ord").alias("at"))
+    titles = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "title", "at"))).alias("titles"))
+    known = figures.join(reports.select("doc_id", "md"), "doc_id", "left").join(paths, ["doc_id", "section_path"], "left").join(titles, "doc_id", "left")
+    found = F.when(F.col("anchor_text") != "", F.position(F.col("anchor_text"), F.col("md")))
+    by_title = F.get(F.filter("titles", lambda t: F.contains(F.col("section_path"), t["title"])), F.lit(0))["at"]
+    here = F.when(found > 0, F.struct((found - 1).cast("long").alias("char_start"), (found - 1 + F.length("anchor_text")).cast("long").alias("char_end")))
+    return known.withColumn("_at", F.coalesce(here, "by_path", by_title)).select(*figures.columns, "_at.char_start", "_at.char_end")
+
+
+def add_missing(approved: DataFrame, voted: DataFrame, missing: DataFrame) -> DataFrame:
+    """`approved` and the figures that a review adds, numbered on from the voted ones; they have fixed scores and one vote.
+
+    `missing`: doc_id, pos, section_path, figure_type, confidence.
+    """
+    n = voted.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    rows = missing.withColumn("rank", rank).join(n, "doc_id", "left").select(
+        "doc_id", F.concat(F.lit("F"), F.coalesce("n", F.lit(0)) + F.col("rank")).alias("figure_id"), F.coalesce("section_path", F.lit("")).alias("section_path"),
+        F.coalesce("figure_type", F.lit("concept_diagram")).alias("figure_type"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.lit(0.6).alias("final_score"), F.lit(1).cast("long").alias("vote_count"),
+    )
+    return approved.select(*rows.columns).unionByName(rows)
+
+
+def drop_repeated(figures: DataFrame) -> DataFrame:
+    """Of figures with equal anchor (else opening of the purpose), type and section the first one in each document."""
+    anchor = F.lower(F.trim(F.coalesce("anchor_text", F.lit(""))))
+    key = F.when(anchor != "", anchor).otherwise(F.lower(F.substring(F.coalesce("purpose", F.lit("")), 1, 30)))
+    return figures.groupBy("doc_id", key.alias("key"), "figure_type", F.coalesce("section_path", F.lit("")).alias("section_path")).agg(F.min("pos").alias("pos")).drop("key")

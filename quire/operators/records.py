@@ -5,11 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import config
 
+
 def _w():
     return Window.partitionBy("file").orderBy("ord")
 
@@ -46,9 +47,32 @@ def findings(records: DataFrame) -> DataFrame:
 
 
 def parents(records: DataFrame) -> DataFrame:
-    """Adds parent_ord: the nearest earlier record of a smaller level, or null."""
-    below = F.array_sort(F.collect_list(F.struct("ord", "level")).over(_w().rowsBetween(Window.unboundedPreceding, -1)))
-    return records.withColumn("parent_ord", F.array_max(F.transform(F.filter(below, lambda x: x["level"] < F.col("level")), lambda x: x["ord"])))
+    """Adds parent_ord: the nearest earlier record of a smaller level, or null.
+
+    One running maximum for each level that occurs (a level has 10 bits, so that there are at most 1,024); nothing is gathered.
+    """
+    levels = sorted(r.level for r in records.select("level").filter("level IS NOT NULL").distinct().collect())
+    past = _w().rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("ord"))).over(past)) for k in levels[:-1]]
+    none = F.lit(None).cast(records.schema["ord"].dataType)
+    return records.withColumn("parent_ord", F.greatest(*last, none, none))
+
+
+def declared_count(data: Column) -> Column:
+    """The little-endian number in the first two bytes of a payload; null for a shorter one."""
+    return F.when(F.length(data) >= 2, F.conv(F.hex(F.concat(F.substring(data, 2, 1), F.substring(data, 1, 1))), 16, 10).cast("int"))
+
+
+def wrong_list_counts(records: DataFrame) -> DataFrame:
+    """file, ord, declared, actual of list headers whose `declared` is not the number of paragraph heads one level below them.
+
+    A null `declared` (a payload too short) is a finding too. A head one level below belongs to the header that is its parent.
+    """
+    known = parents(records)
+    heads = known.filter(F.col("tag") == config.PARA_HEAD).groupBy("file", F.col("parent_ord").alias("ord"), (F.col("level") - 1).alias("level")).agg(F.count("*").alias("actual"))
+    lists = records.filter(F.col("tag") == config.LIST_HEADER).select("file", "ord", "level", "declared")
+    counted = lists.join(heads, ["file", "ord", "level"], "left").withColumn("actual", F.coalesce("actual", F.lit(0).cast("long")))
+    return counted.filter("declared IS NULL OR declared <> actual").select("file", "ord", "declared", "actual")
 
 
 def compare(reference: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire import config
 from quire.functions import text as T
+from quire.operators import blocks as B
 from quire.operators import figures as G
 from quire.operators import records as R
 from quire.operators import sections as S
@@ -235,13 +236,13 @@ def md_table(spark, sf_dir):
 
 
 # Line items as records: the order is the file.
-def _records(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, shift: int = 0, keep: bool = False) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ord")).agg(F.min("l_partkey").alias("p"))
     tag = F.element_at(F.array(*map(F.lit, (0x32, 0x33, 0x36, 0x3A, 0x45))), (F.col("p") % 5 + 1).cast("int"))
     rows = li.select("file", "ord", tag.alias("tag"), (F.col("p") % 7 % 4).cast("int").alias("level"), (F.col("p") % 11).alias("size"), "p")
     if shift:  # a perturbed copy
         rows = rows.filter(F.col("p") % 13 != 0).withColumn("tag", F.when(F.col("p") % 17 == 0, 0x99).otherwise(F.col("tag"))).withColumn("size", F.when(F.col("p") % 19 == 0, F.col("size") + shift).otherwise(F.col("size")))
-    return rows.drop("p")
+    return rows if keep else rows.drop("p")
 
 
 _RECORDS = "base AS (SELECT l_orderkey AS file, l_linenumber AS ord, min(l_partkey) AS p FROM lineitem GROUP BY ALL), rec AS (SELECT file, ord, [50, 51, 54, 58, 69][p % 5 + 1] AS tag, p % 7 % 4 AS level, p % 11 AS size, p FROM base)"
@@ -281,3 +282,65 @@ def required_tags(spark, sf_dir):
 @_query("SELECT text AS prompt, min(conv_id) AS first_conv, count(*) AS uses FROM conversations GROUP BY text")
 def prompt_dedup(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").groupBy(F.col("text").alias("prompt")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("uses"))
+
+
+@_query(f"""WITH {_RECORDS}, lists AS (SELECT file, ord, level, p % 3 AS declared FROM rec WHERE tag = 69),
+own AS (SELECT l.file, l.ord, c.ord AS child FROM lists l JOIN rec c ON c.file = l.file AND c.ord > l.ord AND c.tag = 50 AND c.level = l.level + 1 WHERE NOT EXISTS (SELECT 1 FROM rec b WHERE b.file = l.file AND b.ord > l.ord AND b.ord < c.ord AND b.level <= l.level)),
+n AS (SELECT file, ord, count(*) AS n FROM own GROUP BY ALL)
+SELECT file, ord, CAST(declared AS INTEGER) AS declared, CAST(coalesce(n, 0) AS BIGINT) AS actual FROM lists LEFT JOIN n USING (file, ord) WHERE declared <> coalesce(n, 0)""")
+def list_counts(spark, sf_dir):
+    return R.wrong_list_counts(_records(spark, sf_dir, keep=True).withColumn("declared", (F.col("p") % 3).cast("int")))
+
+
+# Line items as table cells: three rows, with spans from the part.
+@_query(f"""WITH {_RECORDS}, cells AS (SELECT file AS doc_id, ord, ord % 3 AS r, ord // 3 AS c, 1 + p // 2 % 2 AS rs, 1 + p % 2 AS cs, CASE WHEN p % 3 = 0 THEN '' ELSE 'c' || p END AS text FROM base),
+kept AS (SELECT * FROM cells a WHERE NOT EXISTS (SELECT 1 FROM cells b WHERE b.doc_id = a.doc_id AND a.r >= b.r AND a.r < b.r + b.rs AND a.c >= b.c AND a.c < b.c + b.cs AND (a.r <> b.r OR a.c <> b.c)))
+SELECT doc_id, CAST(r AS INTEGER) AS r, string_agg(text, '|' ORDER BY ord) AS cells FROM kept GROUP BY doc_id, r HAVING bool_or(text <> '')""")
+def merged_cells(spark, sf_dir):
+    ord_, p = F.col("ord"), F.col("p")
+    cells = _records(spark, sf_dir, keep=True).select(
+        F.col("file").alias("doc_id"), F.lit(0).alias("table_id"), "ord", (ord_ % 3).cast("int").alias("r"), F.floor(ord_ / 3).cast("int").alias("c"),
+        (F.floor(p / 2) % 2 + 1).cast("int").alias("rowspan"), (p % 2 + 1).cast("int").alias("colspan"), F.when(p % 3 == 0, "").otherwise(F.concat(F.lit("c"), p)).alias("text"),
+    )
+    return B.merged_rows(cells).select("doc_id", "r", F.array_join("texts", "|").alias("cells"))
+
+
+# Each section as a figure: with an anchor from its text, with its path, or with a path that only holds its title.
+@_query(f"""WITH {_SECTIONS}, s AS (SELECT doc_id, ord, title, title || '#' || depth AS path, text, {{'a': char_start, 'b': char_end}} AS v FROM sections),
+f AS (SELECT doc_id, 'F' || ord AS figure_id, CASE WHEN ord % 3 = 0 THEN substr(text, 1, 12) ELSE '' END AS anchor, CASE WHEN ord % 3 = 1 THEN path ELSE 'x ' || title END AS path FROM s),
+p AS (SELECT doc_id, path, arg_max(v, ord) AS pv FROM s GROUP BY ALL), t AS (SELECT doc_id, title, min(ord) AS first, arg_max(v, ord) AS tv FROM s WHERE title <> '' GROUP BY ALL),
+m AS (SELECT f.doc_id, f.figure_id, arg_min(t.tv, t.first) AS mv FROM f JOIN t ON f.doc_id = t.doc_id AND contains(f.path, t.title) GROUP BY ALL),
+j AS (SELECT doc_id, figure_id, anchor, CASE WHEN anchor <> '' THEN instr(md, anchor) ELSE 0 END AS i, pv, mv FROM f JOIN reports USING (doc_id) LEFT JOIN p USING (doc_id, path) LEFT JOIN m USING (doc_id, figure_id))
+SELECT doc_id, figure_id, CAST(CASE WHEN i > 0 THEN i - 1 ELSE coalesce(pv.a, mv.a) END AS BIGINT) AS char_start, CAST(CASE WHEN i > 0 THEN i - 1 + length(anchor) ELSE coalesce(pv.b, mv.b) END AS BIGINT) AS char_end FROM j""")
+def figure_positions(spark, sf_dir):
+    reports = _reports(spark, sf_dir)
+    s = S.split_sections(reports).withColumn("section_path", F.concat("title", F.lit("#"), "depth"))
+    path = F.when(F.col("ord") % 3 == 1, F.col("section_path")).otherwise(F.concat(F.lit("x "), "title"))
+    f = s.select("doc_id", F.concat(F.lit("F"), "ord").alias("figure_id"), F.when(F.col("ord") % 3 == 0, F.substring("text", 1, 12)).otherwise("").alias("anchor_text"), path.alias("section_path"))
+    return G.locate(f, reports, s).select("doc_id", "figure_id", "char_start", "char_end")
+
+
+@_query(f"""WITH {_VOTE}, nv AS (SELECT doc_id, count(*) AS n FROM voted GROUP BY doc_id),
+more AS (SELECT user_id % 10 AS doc_id, CAST(user_id % 7 AS VARCHAR) AS section_path, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS k FROM events WHERE event_type = 'error')
+SELECT doc_id, figure_id, section_path, figure_type, vote_count, round(final_score, 6) AS final_score FROM voted UNION ALL SELECT doc_id, 'F' || (coalesce(n, 0) + k), section_path, 'concept_diagram', 1, 0.6e0 FROM more LEFT JOIN nv USING (doc_id)""")
+def critic_additions(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").filter("event_type = 'error'")
+    more = e.select((F.col("user_id") % 10).alias("doc_id"), F.col("event_id").alias("pos"), (F.col("user_id") % 7).cast("string").alias("section_path"), F.lit(None).cast("string").alias("figure_type"), F.lit(None).cast("double").alias("confidence"))
+    voted = G.vote(_runs(spark, sf_dir))
+    return G.add_missing(voted, voted, more).select("doc_id", "figure_id", "section_path", "figure_type", "vote_count", F.round("final_score", 6).alias("final_score"))
+
+
+@_query("""WITH k AS (SELECT conv_id AS doc_id, turn, role, CASE WHEN role <> 'user' AND trim(text) <> '' THEN lower(trim(text)) ELSE lower(substr(text, 1, 30)) END AS k FROM conversations)
+SELECT doc_id, role AS figure_type, min(turn) AS pos FROM k GROUP BY doc_id, role, k""")
+def figure_dedup(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    f = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("role") != "user", F.col("text")).alias("anchor_text"), F.col("text").alias("purpose"), F.col("role").alias("figure_type"), F.lit("").alias("section_path"))
+    return G.drop_repeated(f).select("doc_id", "figure_type", "pos")
+
+
+@_query(rf"""WITH {_LINES}, t AS (SELECT doc_id, ord, line, last_value(CASE WHEN regexp_matches(line, '^[0-9]+[.] ') THEN substr(regexp_replace(line, '\s+', ' ', 'g'), 1, 80) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM lines),
+c AS (SELECT doc_id, ord, coalesce(t, 'none') AS nearest_title, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS c FROM t)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, nearest_title, regexp_replace(regexp_replace(regexp_replace(c, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS context FROM c""")
+def block_context(spark, sf_dir):
+    blocks = S.lines(_reports(spark, sf_dir)).withColumnRenamed("line", "text")
+    return B.with_context(B.with_nearest_title(blocks, "^[0-9]+[.] ", "none")).select("doc_id", "ord", "nearest_title", "context")

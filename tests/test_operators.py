@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire import config
 from quire.functions import text as T
-from quire.operators import figures, records, sections
+from quire.operators import blocks, figures, records, sections
 from quire.sources.records import decode_records
 
 REPORT = "머리말\n# 사업 개요\n1. 추진 계획\n가. 2024년 1단계 착공\n◦ 세부 위치\n◦ 면적 비교"
@@ -68,3 +68,37 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_list_counts_and_parents(spark):
+    raw = b"".join(struct.pack("<I", tag | level << 10 | len(data) << 20) + data for tag, level, data in [(0x45, 0, b"\2\0"), (0x32, 1, b""), (0x32, 2, b""), (0x32, 1, b""), (0x45, 0, b"\3\0"), (0x32, 1, b""), (0x45, 0, b"\1"), (0x32, 0, b"")])
+    out = decode_records(spark.createDataFrame([("a", raw)], "file string, content binary")).withColumn("declared", records.declared_count(F.col("data")))
+    assert {(r.ord, r.declared, r.actual) for r in records.wrong_list_counts(out).collect()} == {(4, 3, 1), (6, None, 0)}
+    assert {r.ord: r.parent_ord for r in records.parents(out).collect()} == {0: None, 1: 0, 2: 1, 3: 0, 4: None, 5: 4, 6: None, 7: None}
+    assert records.parents(out.limit(0)).count() == 0 and {r.parent_ord for r in records.parents(out.filter("level = 0")).collect()} == {None}
+
+
+def test_merged_cells(spark):
+    rows = [(1, 0, 0, 0, 0, 1, 2, "h"), (1, 0, 1, 0, 1, 1, 1, "p"), (1, 0, 2, 1, 0, 1, 1, "a"), (1, 0, 3, 1, 1, 1, 1, "b"), (1, 0, 4, 2, 0, 0, 0, None), (1, 0, 5, 2, 1, 1, 1, "")]
+    out = blocks.merged_rows(spark.createDataFrame(rows, "doc_id long, table_id int, ord int, r int, c int, rowspan int, colspan int, text string"))
+    assert {r.r: r.texts for r in out.collect()} == {0: ["h"], 1: ["a", "b"]}
+
+
+def test_context_and_nearest_title(spark):
+    rows = [(1, 0, "x"), (1, 1, "# T  one"), (1, 2, None), (1, 3, "y"), (2, 0, "z")]
+    out = blocks.with_context(blocks.with_nearest_title(spark.createDataFrame(rows, "doc_id long, ord int, text string"), "^#", "none"), 1).collect()
+    assert {(r.doc_id, r.ord): (r.nearest_title, r.context) for r in out} == {(1, 0): ("none", "x\n# T  one"), (1, 1): ("# T one", "x\n# T  one"), (1, 2): ("# T one", "# T  one\n\ny"), (1, 3): ("# T one", "y"), (2, 0): ("none", "z")}
+
+
+def test_positions_and_additions(spark):
+    reports = spark.createDataFrame([(1, "ab cd ef")], "doc_id long, md string")
+    parts = spark.createDataFrame([(1, 0, "A", "A", 0, 2), (1, 1, "B", "A > B", 3, 5), (1, 2, "A", "A", 6, 8), (1, 3, "", "", 9, 9)], "doc_id long, ord int, title string, section_path string, char_start long, char_end long")
+    figs = spark.createDataFrame([(1, "F1", "cd", "A"), (1, "F2", "", "A"), (1, "F3", "zz", "x B"), (1, "F4", None, "none"), (2, "F1", "ab", "A")], "doc_id long, figure_id string, anchor_text string, section_path string")
+    out = {(r.doc_id, r.figure_id): (r.char_start, r.char_end) for r in figures.locate(figs, reports, parts).collect()}
+    assert out == {(1, "F1"): (3, 5), (1, "F2"): (6, 8), (1, "F3"): (3, 5), (1, "F4"): (None, None), (2, "F1"): (None, None)}
+    voted = spark.createDataFrame([(1, "F1", "A", "photo", 0.9, 0.8, 2), (1, "F2", "A", "map", 0.9, 0.8, 2)], "doc_id long, figure_id string, section_path string, figure_type string, confidence double, final_score double, vote_count long")
+    more = spark.createDataFrame([(1, 5, None, None, None), (3, 1, "B", "photo", 0.7)], "doc_id long, pos long, section_path string, figure_type string, confidence double")
+    out = figures.add_missing(voted.filter("figure_id = 'F2'"), voted, more).collect()
+    assert {(r.doc_id, r.figure_id, r.section_path, r.figure_type, r.confidence) for r in out} == {(1, "F2", "A", "map", 0.9), (1, "F3", "", "concept_diagram", 0.5), (3, "F1", "B", "photo", 0.7)}
+    same = spark.createDataFrame([(1, 0, " An ", "p", "t", None), (1, 1, "an", "q", "t", ""), (1, 2, "", "an", "t", ""), (1, 3, None, "", "t", "")], "doc_id long, pos int, anchor_text string, purpose string, figure_type string, section_path string")
+    assert sorted(r.pos for r in figures.drop_repeated(same).collect()) == [0, 3]
