@@ -1,13 +1,17 @@
-"""Operator 9: cross-entropy difference of two n-gram models.
+"""Operator 9: cross-entropy difference of two n-gram models over words.
 
-Both models predict a text byte by byte from the two bytes before it (a shared vocabulary of 256 tokens; a text starts after
-two zero bytes), with the same smoothing. The target model learns from the texts that are labelled good; the background model
-from all texts, its counts scaled to the target's size, so that the two match. A document's score is the mean of
-loss(target) - loss(background) over its tokens: the lower, the more it looks like the target.
+Both models predict a text word by word from the word before it (the start of the text for the first), with one vocabulary, the
+words of all texts, and the same smoothing: p(w | v) = (c(v, w) + S p(w)) / (c(v) + S), p(w) = (c(w) + S / V) / (N + S); what
+c(v) counts at the end of texts is the probability of the end. The target model learns from the texts that are labelled good;
+the background model from all texts, its counts scaled to the target's size, so that the two match. A document's score is the
+mean of loss(target) - loss(background) over its words: the lower, the more it looks like the target. Words are runs outside
+white space (U+0009-U+000D, U+0020), compared by 64-bit hashes, as are equal rows.
 
-Scale: counting is one pass; each task adds up its own n-grams, then counts are added by key. The model has at most 2^24
-n-grams whatever the corpus (16 bytes each), and is broadcast; a worker expands it to one 62 MB table. Scoring is one pass without
-a shuffle. Labels are broadcast up to `common.BROADCAST_ROWS` rows and joined by shuffle beyond.
+Scale: neither model is ever gathered. A document's distinct word pairs go once through a shuffle, grouped by their second word:
+there c(w), c(v, w), and so the losses are added up and applied to the documents of the pairs, and one row of sums for
+each document and group goes back. log p(w | v) is the log of its numerator less that of c(v) + S, which is added in the group of v. The
+pairs travel as compressed blocks of columns. Words of at least 1 / FREQUENT of all words (at most FREQUENT) are known to
+every task, and grouped by pair; so are the counts of pairs as frequent, which are scored without a shuffle. Labels are broadcast up to `common.BROADCAST_ROWS` rows and joined by shuffle beyond.
 
 Cases: a null or empty text has no tokens and null losses and score. Without any target text the target model is uniform.
 Rows of `labels` that repeat a doc_id count once. An empty table gives no rows.
@@ -22,93 +26,227 @@ from pyspark.sql import functions as F
 
 from quire.llm import common, kernels
 
-CELLS = 1 << 24
-#: Counts that a task holds before it adds up those of equal n-grams.
+#: Counts or pairs that a task holds before it adds them up or hands them on.
 HELD = 1_000_000
 #: Weight of the model of the shorter context.
 SMOOTHING = 4.0
+FREQUENT = 20_000
+#: Word pairs in a group, about.
+GROUP = 1_000_000
+#: Hashes that stand for the start and the end of a text.
+START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
-def codes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """context * 256 + byte for each byte."""
-    b = data.astype(np.int32)
-    one, two = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
-    one[1:], two[2:] = b[:-1], b[:-2]
-    starts = np.unique(offs[:-1][offs[:-1] < offs[1:]])
-    one[starts] = two[starts] = 0
-    second = starts + 1
-    two[second[second < len(b)]] = 0
-    return (two << 16) | (one << 8) | b
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word, the hash of the one before it, and the number of words of each text."""
+    starts, ends, first = kernels.words(data, offs)
+    w = kernels.word_hashes(data, starts, ends)
+    before = np.empty_like(w)
+    before[1:] = w[:-1]
+    before[first[:-1][first[:-1] < first[1:]]] = START
+    return w, before, np.diff(first)
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """code, n (in all texts), good (in target texts) from rows (text, target)."""
+def pair_hash(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return kernels.mix(kernels.mix(w) + before * np.uint64(0x9E3779B97F4A7C15))
+
+
+def added(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys in order, and the sums of the values of each."""
+    keys, at = np.unique(key, return_inverse=True)
+    return [keys, *(np.bincount(at, v, len(keys)) for v in values)]
+
+
+def count(docs: DataFrame, keys) -> DataFrame:
+    """key, n (in all texts), good (in target texts) of what `keys` makes of words and the words before them."""
 
     def run(batches):
         held, size = [], 0
         for batch in kernels.parts(batches):
             target = batch.column(1)
             for row, to, data, offs in kernels.chunks(batch.column(0)):
-                cell = codes(data, offs)
-                good = np.repeat(target[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(bool), np.diff(offs))
-                held.append(np.unique(cell * 2 + good.astype(np.int64), return_counts=True))
+                w, before, n = tokens(data, offs)
+                good = np.repeat(target[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(np.float64), n)
+                key, keep = keys(w, before)
+                held.append(added(key[keep], np.ones(int(keep.sum())), good[keep]))
                 size += len(held[-1][0])
             if size > HELD:
-                held = [merged(held)]
-                size = 0
+                held = [added(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > HELD / 2:
+                    yield table(held.pop())
+                    size = 0
         if held:
-            cell, n = merged(held)
-            yield pa.RecordBatch.from_arrays([pa.array((cell >> 1).astype(np.int32)), pa.array(n), pa.array(n * (cell & 1))], ["code", "n", "good"])
+            yield table(added(*map(np.concatenate, zip(*held, strict=True))))
+
+    def table(x):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64)) for c in x], ["key", "n", "good"])
 
-    def merged(held):
-        cell, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return cell, np.bincount(at, np.concatenate([h[1] for h in held]), len(cell)).astype(np.int64)
+    return docs.select("text", "target").mapInArrow(run, "key long, n long, good long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
-    return docs.select("text", "target").mapInArrow(run, "code int, n long, good long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
+def frequent(counts: DataFrame, least: float) -> list[np.ndarray]:
+    """key, n, good of the keys with at least `least` occurrences, by key."""
+    t = counts.filter(F.col("n") >= least).toArrow()
+    key, n, good = (t.column(c).to_numpy().astype(k) for c, k in (("key", np.int64), ("n", np.float64), ("good", np.float64)))
+    order = np.argsort(key.view(np.uint64))
+    return [key.view(np.uint64)[order], n[order], good[order]]
 
-def losses(code: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """-log p(byte | two bytes) of all cells: each order is smoothed with the shorter one, the shortest with a uniform one."""
-    full = np.zeros(CELLS, np.float32)
-    full[code] = n
-    full = full.reshape(256, 256, 256)
-    pair = full.sum(0, dtype=np.float64)
-    byte = pair.sum(0)
-    p0 = (byte + SMOOTHING / 256) / (byte.sum() + SMOOTHING)
-    p1 = (pair + SMOOTHING * p0) / (pair.sum(1, keepdims=True) + SMOOTHING)
-    for first in range(256):  # in parts, for memory
-        part = full[first]
-        full[first] = -np.log((part + SMOOTHING * p1) / (part.sum(1, keepdims=True) + SMOOTHING))
-    return full.reshape(-1)
+
+def place(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in the sorted keys, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == key
 
 
 def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score for each row of `docs` (doc_id, text)."""
+    spark = docs.sparkSession
     ids = good_ids.select("doc_id").distinct().withColumn("target", F.lit(True))
-    ids = F.broadcast(ids) if common.small_enough(ids) else ids
-    model = count(docs.select("doc_id", "text").join(ids, "doc_id", "left")).toArrow()
-    code, n, good = (model.column(k).to_numpy() for k in ("code", "n", "good"))
-    size = max(1, int(good.sum()))
-    shared = docs.sparkSession.sparkContext.broadcast((code.astype(np.int32), (n * (size / max(1, int(n.sum())))).astype(np.float32), good.astype(np.float32)))
+    few = common.small_enough(ids)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left")
+    rows = rows if few else common.written(rows)
+
+    words = common.written(count(rows, lambda w, before: (w, np.ones(len(w), bool))))
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
+    n_all, n_good, vocabulary = (max(1, int(x)) for x in total)
+    least = max(2.0, n_all / FREQUENT)
+    known = frequent(words, least)
+    opened = rows.filter(F.col("text").rlike(r"[^\x09-\x0D\x20]")).agg(F.count("*"), F.count_if(F.col("target"))).first()
+
+    def both_known(w, before):
+        keep = place(known[0], w)[1] & (place(known[0], before)[1] | (before == START))
+        return pair_hash(before, w), keep
+
+    pairs = frequent(count(rows, both_known), least)
+    shared = spark.sparkContext.broadcast((known, pairs))
+    scale, s = n_good / n_all, SMOOTHING
+    groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_all // GROUP))
+    base = tuple(float(np.log(c + s)) for c in (opened[1], opened[0] * scale))  # the context of each first word
+
+    def of_context(n, good):
+        """What a word as context adds to the losses, for both models."""
+        return np.log(good + s), np.log(n * scale + s)
+
+    def of_pair(n, good, pair_n, pair_good):
+        """What a word after another adds to the losses, from the counts of the word and of both."""
+        p = [(c + s / vocabulary) / (m + s) for c, m in ((good, int(total[1])), (n * scale, n_good))]
+        return -np.log(pair_good + s * p[0]), -np.log(pair_n * scale + s * p[1])
+
+    def deal(batches):
+        (word, word_n, word_good), (pair, pair_n, pair_good) = shared.value
+        codec = pa.Codec("zstd")
+        held, size = [], 0
 
-    def run(batches):
-        code, all_n, good_n = shared.value
-        target, background = losses(code, good_n), losses(code, all_n)
+        def flush():
+            w, before, doc, m, good, group = map(np.concatenate, zip(*held, strict=True))
+            order = np.lexsort((before, w, group))
+            w, before, doc, m, good, group = (x[order] for x in (w, before, doc, m, good, group))
+            ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+            a = 0
+            for b in ends.tolist():
+                first = np.flatnonzero(np.diff(w[a:b], prepend=~w[a]))
+                own, at = np.unique(doc[a:b], return_inverse=True)
+                raw = [len(first), len(own)], w[a:b][first], np.diff(first, append=b - a), before[a:b], own, at.astype(np.int32), m[a:b].astype(np.int32), good[a:b]
+                raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (np.array([b - a, *raw[0]], np.int64), *raw[1:]))
+                yield int(group[a]), len(raw), codec.compress(raw, asbytes=True)
+                a = b
+
+        def packed():
+            out = list(flush())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), *[pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
+
+        names = ["part", "size", "block", "doc", "doc_id", "n", "a", "b"]
         for batch in kernels.parts(batches):
-            n, a, b = [], [], []
-            for _, _, data, offs in kernels.chunks(batch.column(1)):
-                cell = codes(data, offs)
-                n.append(np.diff(offs))
-                for out, table in ((a, target), (b, background)):
-                    total = np.concatenate([[0], np.cumsum(table[cell], dtype=np.float64)])
-                    out.append(total[offs[1:]] - total[offs[:-1]])
-            n, a, b = (np.concatenate(x) if x else np.zeros(0) for x in (n, a, b))
-            none = n == 0
-            with np.errstate(invalid="ignore", divide="ignore"):
-                a, b = a / n, b / n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *[pa.array(x, pa.float64(), mask=none) for x in (a, b, a - b)]], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+            for row, to, data, offs in kernels.chunks(batch.column(1)):
+                w, before, n = tokens(data, offs)
+                text = np.repeat(np.arange(to - row), n)
+                doc = batch.column(3)[row:to].to_numpy()
+                target = batch.column(2)[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(np.int8)
+                some = np.flatnonzero(n)
+                last = np.cumsum(n)[some] - 1
+                # Equal pairs of a text become one row; after them a row for each last word, which is no context.
+                key = pair_hash(before, w)
+                order = np.lexsort((key, text))
+                new = np.ones(len(key), bool)
+                new[1:] = (np.diff(key[order]) != 0) | (np.diff(text[order]) != 0)
+                first = np.flatnonzero(new)
+                m = np.concatenate([np.diff(first, append=len(key)), np.ones(len(some), np.int64)])
+                at = order[first]
+                key = np.concatenate([key[at], np.full(len(some), END)])
+                w, before, text = np.concatenate([w[at], w[last]]), np.concatenate([before[at], np.full(len(some), END)]), np.concatenate([text[at], some])
+                end = np.arange(len(w)) >= len(at)
+                wk, is_word = place(word, w)
+                pk, is_pair = place(pair, key)
+                is_pair &= is_word & ~end
+                sums = []
+                context = of_context(word_n[wk[is_word]], word_good[wk[is_word]])
+                paired = of_pair(word_n[wk[is_pair]], word_good[wk[is_pair]], pair_n[pk[is_pair]], pair_good[pk[is_pair]])
+                for k in (0, 1):
+                    x = np.bincount(text[is_word], context[k] * m[is_word] * np.where(end[is_word], -1, 1), to - row)
+                    sums.append(x + np.bincount(text[is_pair], paired[k] * m[is_pair], to - row) + base[k] * (n > 0))
+                count_ = to - row
+                part = (doc.view(np.uint64) % np.uint64(groups)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(count_, pa.int64()), pa.nulls(count_, pa.binary()), pa.array(doc), batch.column(0)[row:to], pa.array(n.astype(np.int64)), *map(pa.array, sums)], names)
+                rest = ~is_pair & ~(end & is_word)
+                group = (np.where(is_word, kernels.mix(key), kernels.mix(w)) % np.uint64(groups)).astype(np.int32)
+                held.append([x[rest] for x in (w, before, doc[text], m, target[text], group)])
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield packed()
+                    size = 0
+        if size:
+            yield packed()
+
+    def rate(table: pa.Table) -> pa.Table:
+        """The rows of documents as they are, and the sums of the pairs of the group for each document."""
+        word, word_n, word_good = shared.value[0]
+        codec = pa.Codec("zstd")
+        is_doc = table.column("block").is_null()
+        out = [table.filter(is_doc).select(["doc", "doc_id", "n", "a", "b"])]
+        cols = []
+        blocks = table.filter(table.column("block").is_valid())
+        for size, block in zip(blocks.column("size").to_pylist(), blocks.column("block"), strict=True):
+            raw, at = codec.decompress(block.as_buffer(), size, asbytes=True), 24
+            n, n_words, n_docs = np.frombuffer(raw, np.int64, 3).tolist()
+
+            def take(kind, k):
+                nonlocal at
+                x = np.frombuffer(raw, kind, k, at)
+                at += x.nbytes
+                return x
+
+            w, runs, before, own = take(np.uint64, n_words), take(np.int64, n_words), take(np.uint64, n), take(np.int64, n_docs)
+            cols.append([np.repeat(w, runs), before, own[take(np.int32, n)], take(np.int32, n), take(np.int8, n)])
+        if cols:
+            w, before, doc, m, good = map(np.concatenate, zip(*cols, strict=True))
+            end = before == END
+            wk, is_word = place(word, w)
+            seen = np.where(end, 0, m)
+            words_, at = np.unique(w, return_inverse=True)
+            n, n_ok = np.bincount(at, seen)[at], np.bincount(at, seen * good)[at]
+            if is_word.any():  # of a frequent word only some pairs are here
+                n[is_word], n_ok[is_word] = word_n[wk[is_word]], word_good[wk[is_word]]
+            _, at = np.unique(pair_hash(before, w), return_inverse=True)
+            paired = of_pair(n, n_ok, np.bincount(at, seen)[at], np.bincount(at, seen * good)[at])
+            context = of_context(n, n_ok)
+            sums = [np.where(end, -c, m * (p + np.where(is_word, 0, c))) for p, c in zip(paired, context, strict=True)]
+            docs_, a, b = added(doc, *sums)
+            out.append(pa.table([pa.array(docs_), pa.nulls(len(docs_), pa.int64()), pa.nulls(len(docs_), pa.int64()), pa.array(a), pa.array(b)], names=out[0].column_names))
+        return pa.concat_tables([t.cast(kind) for t in out])
+
+    kind = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
+    keyed = rows.select("doc_id", "text", "target", F.xxhash64("doc_id", "text").alias("doc"))
+    dealt = keyed.mapInArrow(deal, "part int, size long, block binary, doc long, doc_id long, n long, a double, b double")
+    sums = dealt.groupBy("part").applyInArrow(rate, "doc long, doc_id long, n long, a double, b double")
+    # Rows with equal doc_id and text have their sums added, and so have equal means.
+    each = sums.groupBy("doc").agg(F.max("doc_id").alias("doc_id"), F.count("n").alias("rows"), F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    each = each.select("doc_id", F.expr("n div rows").alias("n_tokens"), mean("a").alias("loss_target"), mean("b").alias("loss_background"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
+    return each.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; brute force where SQL is none."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,6 +170,46 @@ def test_scores(spark):
     assert rows[1].score < 0 < rows[2].score and rows[3].score is None and rows[4].n_tokens == 0 and rows[5].score == rows[1].score
 
 
+def word_losses(docs, good, s=lm_scoring.SMOOTHING):
+    """Mean losses by a model of all words and pairs, straight from the definition."""
+    texts = [(i, (t or "").split()) for i, t in docs]
+    model = {}
+    for name, own in (("good", [w for i, w in texts if i in good]), ("all", [w for _, w in texts])):
+        model[name] = Counter(x for w in own for x in w), Counter(x for w in own for x in zip([None, *w], w)), sum(map(len, own)), sum(bool(w) for w in own)
+    scale, vocabulary = max(1, model["good"][2]) / max(1, model["all"][2]), max(1, len(model["all"][0]))
+
+    def loss(w, name, k):
+        one, two, n, texts_ = model[name]
+        out = 0
+        for v, x in zip([None, *w], w):
+            p = (one[x] * k + s / vocabulary) / (n * k + s)
+            out -= math.log((two[v, x] * k + s * p) / ((texts_ if v is None else one[v]) * k + s))
+        return out / len(w)
+
+    return sorted((i, len(w), *((loss(w, "good", 1), loss(w, "all", scale)) if w else (-1, -1))) for i, w in texts)
+
+
+@pytest.mark.parametrize("frequent", [3, 60, 20_000])  # no, some and all words known to every task
+def test_word_scores_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices(("the", "of", *(f"w{rng.randrange(300)}" for _ in range(6))), k=rng.randrange(60)))) for i in range(120)]
+    docs += [(200, None), (201, ""), (202, " \n"), (203, "of"), (4, docs[4][1]), (4, "the the the"), *((300 + k, docs[0][1]) for k in range(40))]
+    good = set(range(0, 120, 3)) | {203}
+    got = lm_scoring.score(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
+    rows = sorted((r.doc_id, r.n_tokens, -1 if r.loss_target is None else r.loss_target, -1 if r.loss_background is None else r.loss_background) for r in got)
+    assert np.allclose(rows, word_losses(docs, good))
+
+
+def test_scores_tell_phrases_of_equal_spelling_apart(spark):
+    rng = random.Random(9)
+    make = lambda own: " ".join(rng.choices(own, k=60))
+    names = ["".join(rng.choices("abc", k=6)) for _ in range(80)]
+    docs = [(i, make(names[:40] if i % 2 else names[40:])) for i in range(80)]
+    rows = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i,) for i in range(1, 80, 2)], "doc_id long")).collect()}
+    assert all(rows[i] < 0 if i % 2 else rows[i] > 3 for i in range(80))
+
+
 def test_shards(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 5)) for i in range(2000)] + [(7, "x" * 2), (None, None)], DOCS)
     rows = sharding.shard(docs, [1.0] * 8).collect()
