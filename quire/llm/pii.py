@@ -7,11 +7,13 @@ t within CONTEXT words of e, a term discloses e if
 
     n(e, t) >= SUPPORT,   n(e, t) / n(t) >= GENERALISE,   log2(N n(e, t) / (n(e) n(t))) >= BITS.
 
-An entity more than COPIED of whose neighbours recur in half of its lines stands in copied text (near copies, signatures), which
-is no independent evidence; its neighbours disclose nothing. Disclosing terms are generalised to `[TERM]`; from REMOVE on they are removed. Entities become `[EMAIL]` and the like.
+Lines of one entity whose other words, beyond CONTEXT words of any entity, are nearly the same are copies: but one of them
+counts, in n(e), n(e, t) and n(t). The neighbours themselves are not compared, so that a signature that recurs on different
+lines is evidence; so is each different line with under REST other words. Near copies are found by BANDS of ROWS minimum hashes, so that of
+lines that share nine tenths of these words all but some millionths are found. Disclosing terms are generalised to `[TERM]`; from REMOVE on they are removed. Entities become `[EMAIL]` and the like.
 
-Scale: three passes over the texts and no shuffle of texts. Only (entity, term, line digest) rows near entities, and (term, line
-digest) rows of terms with enough support, are shuffled, pre-aggregated. Term tables are broadcast up to MAX_TERMS rows; beyond
+Scale: three passes over the texts and no shuffle of texts. Only (entity, term, line digest) and (entity, line digest, bucket) rows of
+entities, and (term, line digest) rows of terms with enough support, are shuffled, pre-aggregated. Term tables are broadcast up to MAX_TERMS rows; beyond
 that words are joined by key. All patterns take time linear in a text, however long its runs are.
 
 Cases: a null text has no spans and stays null. Offsets are code points, the end exclusive. Equal rows are judged alike. A null
@@ -24,6 +26,7 @@ import hashlib
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quire.llm import common, kernels
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, GENERALISE, REMOVE, BITS, COPIED = 8, 3, 0.5, 0.9, 6.0, 4
+CONTEXT, SUPPORT, GENERALISE, REMOVE, BITS = 8, 3, 0.5, 0.9, 6.0
+REST, BANDS, ROWS = 8, 10, 3
 #: Terms that may be broadcast (some 50 bytes each).
 MAX_TERMS = 500_000
 
@@ -44,6 +48,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
+_SEEDS = kernels.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
 def luhn(digits: str) -> bool:
@@ -106,6 +111,11 @@ def _outside(spans: list[tuple[str, int, int]]):
     return test
 
 
+def _entity(text: str, span: tuple[str, int, int]) -> str:
+    kind, start, end = span
+    return f"{kind}:" + re.sub(r"[^0-9.]" if kind != "email" else "$^", "", text[start:end].lower())
+
+
 def _near(text: str):
     """(entity, term or None, line digest) of each term within CONTEXT words of an entity on its line; None once an entity."""
     spans = base_spans(text)
@@ -115,8 +125,7 @@ def _near(text: str):
         if start >= b:  # each line is searched and hashed once, however many entities it has
             a, b = _line(text, start)
             digest = _digest(text[a:b])
-        value = re.sub(r"[^0-9.]" if kind != "email" else "$^", "", text[start:end].lower())
-        key = f"{kind}:{value}"
+        key = _entity(text, (kind, start, end))
         yield key, None, digest
         before = [m[0].lower() for m in _TERM.finditer(text, max(a, start - 40 * CONTEXT), start) if outside(m)][-CONTEXT:]
         after = [m[0].lower() for m in _TERM.finditer(text, end, min(b, end + 40 * CONTEXT)) if outside(m)][:CONTEXT]
@@ -124,6 +133,34 @@ def _near(text: str):
             yield key, term, digest
 
 
+def _copies(text: str):
+    """(entity, line digest, bucket) for each entity and each band of its line; near copies of a line share a bucket with it."""
+    spans = sorted(base_spans(text), key=lambda s: s[1])
+    k = 0
+    while k < len(spans):
+        a, b = _line(text, spans[k][1])
+        own = []
+        while k < len(spans) and spans[k][1] < b:
+            own.append(spans[k])
+            k += 1
+        words, outside = list(_TERM.finditer(text, a, b)), _outside(own)
+        words = [m for m in words if outside(m)]
+        starts, near = [m.start() for m in words], np.zeros(len(words) + 1, np.int64)
+        for _, start, end in own:
+            near[max(0, bisect_left(starts, start) - CONTEXT)] += 1
+            near[min(len(words), bisect_left(starts, end) + CONTEXT)] -= 1
+        rest = {m[0].lower() for m, n in zip(words, np.cumsum(near[:-1]).tolist(), strict=True) if not n}
+        if len(rest) < REST:
+            continue
+        h = np.array([_digest(x) for x in rest], np.int64).view(np.uint64)
+        least = np.array([kernels.mix(h ^ seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
+        buckets = [_digest(f"{i}:{x.tolist()}") for i, x in enumerate(least)]
+        digest = _digest(text[a:b])
+        for key in {_entity(text, s) for s in own}:
+            for bucket in buckets:
+                yield key, digest, bucket
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, p: the terms that disclose some entity, with the largest n(e, t) / n(t)."""
 
@@ -133,18 +170,26 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 if text := text.as_py():
                     lines += 1 + text.count("\n")
-                    rows += _near(text)
-            rows.append((None, None, lines))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "line"])
+                    if found := [(*x, None) for x in _near(text)]:
+                        rows += found
+                        rows += [(entity, None, line, bucket) for entity, line, bucket in _copies(text)]
+            rows.append((None, None, lines, None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["entity", "term", "line", "bucket"])
 
     texts = docs.select("text")
-    seen = common.durable(texts.mapInArrow(near, "entity string, term string, line long"))
+    seen = common.durable(texts.mapInArrow(near, "entity string, term string, line long, bucket long"))
     lines = seen.filter("entity IS NULL").agg(F.sum("line")).first()[0] or 0
-    rows = seen.filter("entity IS NOT NULL").distinct()
-    joint = rows.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
-    joint = joint.join(rows.filter("term IS NULL").groupBy("entity").agg(F.count("*").alias("own")), "entity")
-    copied = joint.filter("2 * both >= own").groupBy("entity").agg(F.count("*").alias("k")).filter(F.col("k") > COPIED).select("entity")
-    joint = common.durable(joint.join(copied, "entity", "left_anti"))
+    inside = seen.filter("bucket IS NOT NULL").distinct()
+    first = inside.groupBy("entity", "bucket").agg(F.min("line").alias("first"), F.count("*").alias("k")).filter("k > 1").select("entity", "bucket", "first")
+    copied = inside.join(first, ["entity", "bucket"]).filter("line <> first").select("entity", "line").distinct().withColumn("copy", F.lit(True))
+    rows = seen.filter("entity IS NOT NULL AND bucket IS NULL").select("entity", "term", "line").distinct().join(copied, ["entity", "line"], "left")
+    each = rows.groupBy("entity", "term").agg(F.count_if(F.col("copy").isNull()).alias("both"), F.count("copy").alias("copies"))
+    each = common.durable(each.filter((F.col("both") >= SUPPORT) | F.col("term").isNull()))
+    joint = each.filter("term IS NOT NULL").join(each.filter("term IS NULL").select("entity", F.col("both").alias("own")), "entity")
+    # Lines near any entity are a part of all lines, so that a term too frequent among them is so among all.
+    close = rows.filter("term IS NOT NULL").select("term", "line").distinct().groupBy("term").agg(F.count("*").alias("close"))
+    joint = joint.join(close, "term").filter(F.col("both") / (F.col("close") - F.col("copies")) >= GENERALISE).drop("close")
+    joint = common.durable(joint)
     if joint.isEmpty():
         return joint.select("term", F.lit(1.0).alias("p"))
     terms = joint.select("term").distinct()
@@ -163,7 +208,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     at = texts.mapInArrow(where, "term string, line long")
     at = at if known is not None else at.join(terms, "term", "left_semi")
     counts = at.distinct().groupBy("term").agg(F.count("*").alias("n"))
-    p, bits = F.col("both") / F.col("n"), F.log2(F.col("both") * F.lit(float(lines)) / (F.col("own") * F.col("n")))
+    n = F.col("n") - F.col("copies")
+    p, bits = F.col("both") / n, F.log2(F.col("both") * F.lit(float(lines)) / (F.col("own") * n))
     return joint.join(counts, "term").filter((p >= GENERALISE) & (bits >= BITS)).groupBy("term").agg(F.max(p).alias("p"))
 
 

@@ -153,6 +153,23 @@ def test_personal_data(spark):
     assert len(pii.base_spans("1" * 100_000 + "a" * 100_000 + "+1" + "(" * 50_000)) == 0
 
 
+def test_signatures_disclose_and_near_copies_do_not(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    six, copied = ("zorblaxa", "quimbyer", "directrix", "logistica", "acmeworks", "springtown"), [word() for _ in range(60)]
+    signed = [(k, f"{' '.join(word() for _ in range(k % 3 * 10))} {' '.join(six)} boss@corp.example {word()} {word()}") for k in range(6)]
+    near = []
+    for k in range(60):  # one line, copied with two other words in the rest
+        c = list(copied)
+        for at in rng.sample([*range(20), *range(40, 60)], 2):
+            c[at] = word()
+        near.append((100 + k, " ".join([*c[:30], "info@copy.example", *c[30:]])))
+    other = [(1000 + k, "\n".join(" ".join(word() for _ in range(4)) for _ in range(40))) for k in range(60)]
+    rows = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame([*signed, *near, *other], DOCS)).collect()}
+    assert not any(t in rows[k] for k, _ in signed for t in six)
+    assert all(rows[k] == text.replace("info@copy.example", "[EMAIL]") for k, text in near)
+
+
 def test_quality(spark, texts):
     df = spark.createDataFrame(texts, DOCS)
     got = quality_rules.judge(df, report=True).collect()
