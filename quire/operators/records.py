@@ -58,6 +58,21 @@ def parents(records: DataFrame) -> DataFrame:
     return records.withColumn("parent_ord", F.greatest(*last, none, none))
 
 
+def tree_parents(records: DataFrame) -> DataFrame:
+    """Adds parent_ord by the stack of open records: a record closes those from its level on, has the top one as parent, is pushed.
+
+    A record past a gap in levels is pushed on the next free place, depth = min(level, depth before + 1). That is a running
+    minimum of level less position; and as depths have no gaps, the parent is the nearest earlier record of a smaller depth.
+    """
+    levels = "_" * (1 + max(map(len, records.columns)))  # longer than any name in use
+    at = F.row_number().over(_w())
+    deepest = F.min(F.col("level") - F.col(levels)).over(_w().rowsBetween(Window.unboundedPreceding, 0)) + F.col(levels)
+    numbered = records.withColumn(levels, at)
+    depth = F.when(F.col("level").isNotNull(), F.least(deepest, F.col(levels) - 1))
+    known = parents(numbered.withColumn(levels, depth).withColumnsRenamed({"level": f"{levels}own", levels: "level"}))
+    return known.drop("level").withColumnRenamed(f"{levels}own", "level").select(*records.columns, "parent_ord")
+
+
 def declared_count(data: Column) -> Column:
     """The little-endian number in the first two bytes of a payload; null for a shorter one."""
     return F.when(F.length(data) >= 2, F.conv(F.hex(F.concat(F.substring(data, 2, 1), F.substring(data, 1, 1))), 16, 10).cast("int"))

@@ -264,6 +264,15 @@ def record_parent(spark, sf_dir):
     return R.parents(_records(spark, sf_dir)).select("file", "ord", F.coalesce("parent_ord", F.lit(-1)).alias("parent_ord"))
 
 
+# The stack itself, folded for each record over those up to it; its last but one element is the parent.
+@_query(f"""WITH {_RECORDS}, l AS (SELECT file, list({{'o': CAST(ord AS BIGINT), 'l': level, 's': CAST([] AS BIGINT[])}} ORDER BY ord) AS l FROM rec GROUP BY file),
+i AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) AS i FROM rec),
+st AS (SELECT i.file, i.ord, list_reduce(list_prepend({{'o': CAST(-1 AS BIGINT), 'l': CAST(0 AS BIGINT), 's': CAST([] AS BIGINT[])}}, l[1:i]), lambda a, x: {{'o': x.o, 'l': x.l, 's': list_append(a.s[1:x.l], x.o)}}).s AS s FROM i JOIN l USING (file))
+SELECT file, ord, coalesce(s[len(s) - 1], -1) AS parent_ord FROM st""")
+def record_tree(spark, sf_dir):
+    return R.tree_parents(_records(spark, sf_dir)).select("file", "ord", F.coalesce("parent_ord", F.lit(-1)).alias("parent_ord"))
+
+
 @_query(f"WITH {_DIFF} SELECT * FROM diffs")
 def record_diff(spark, sf_dir):
     return R.compare(_records(spark, sf_dir), _records(spark, sf_dir, 3))

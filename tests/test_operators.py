@@ -1,3 +1,4 @@
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -102,3 +103,19 @@ def test_positions_and_additions(spark):
     assert {(r.doc_id, r.figure_id, r.section_path, r.figure_type, r.confidence) for r in out} == {(1, "F2", "A", "map", 0.9), (1, "F3", "", "concept_diagram", 0.5), (3, "F1", "B", "photo", 0.7)}
     same = spark.createDataFrame([(1, 0, " An ", "p", "t", None), (1, 1, "an", "q", "t", ""), (1, 2, "", "an", "t", ""), (1, 3, None, "", "t", "")], "doc_id long, pos int, anchor_text string, purpose string, figure_type string, section_path string")
     assert sorted(r.pos for r in figures.drop_repeated(same).collect()) == [0, 3]
+
+
+def test_tree_parents_past_gaps(spark):
+    rng = random.Random(12)
+    files = {"gap": [0, 3, 3, 2], "deep": [5, 1, 0, 2, 9, 9, 1], **{f"r{k}": [rng.randrange(6) for _ in range(rng.randrange(1, 40))] for k in range(30)}}
+    want = {}
+    for name, levels in files.items():
+        stack = []
+        for i, level in enumerate(levels):
+            del stack[level:]
+            want[name, 10 * i] = stack[-1] if stack else None
+            stack.append(10 * i)
+    assert [want["gap", i] for i in (0, 10, 20, 30)] == [None, 0, 10, 10]
+    rows = spark.createDataFrame([(name, 10 * i, level) for name, levels in files.items() for i, level in enumerate(levels)], "file string, ord long, level int")
+    assert {(r.file, r.ord): r.parent_ord for r in records.tree_parents(rows).collect()} == want
+    assert records.tree_parents(rows.limit(0)).columns == ["file", "ord", "level", "parent_ord"]
