@@ -10,10 +10,13 @@ t within CONTEXT words of e, a term discloses e if
 Lines of one entity whose other words, beyond CONTEXT words of any entity, are nearly the same are copies: but one of them
 counts, in n(e), n(e, t) and n(t). The neighbours themselves are not compared, so that a signature that recurs on different
 lines is evidence; so is each different line with under REST other words. Near copies are found by BANDS of ROWS minimum hashes, so that of
-lines that share nine tenths of these words all but some millionths are found. Disclosing terms are generalised to `[TERM]`; from REMOVE on they are removed. Entities become `[EMAIL]` and the like.
+lines that share nine tenths of these words all but some millionths are found. Disclosing terms are generalised to the kind of
+entity they disclose most of (`[EMAIL TERM]`); from REMOVE on they are removed. Entities become `[EMAIL]` and the like.
 
 Scale: three passes over the texts and no shuffle of texts. Only (entity, term, line digest) and (entity, line digest, bucket) rows of
-entities, and (term, line digest) rows of terms with enough support, are shuffled, pre-aggregated. Term tables are broadcast up to MAX_TERMS rows; beyond
+entities, and (term, line digest) rows of terms with enough support, are shuffled, pre-aggregated. A term with n(e, t) can pass
+only while n(t) <= n(e, t) / GENERALISE; a task that finds it on more lines says so in one row and stops counting it, so that
+no term has more rows in a task than this bound. Term tables are broadcast up to MAX_TERM_BYTES; beyond
 that words are joined by key. All patterns take time linear in a text, however long its runs are.
 
 Cases: a null text has no spans and stays null. Offsets are code points, the end exclusive. Equal rows are judged alike. A null
@@ -37,8 +40,8 @@ from quire.llm import common, kernels
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, SUPPORT, GENERALISE, REMOVE, BITS = 8, 3, 0.5, 0.9, 6.0
 REST, BANDS, ROWS = 8, 10, 3
-#: Terms that may be broadcast (some 50 bytes each).
-MAX_TERMS = 500_000
+#: Bytes of terms, with TERM_BYTES for what belongs to each, that may be broadcast.
+MAX_TERM_BYTES, TERM_BYTES = 64 << 20, 150
 
 # Possessive runs and a look at the character before keep them linear; what they match is what the plain patterns match.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -116,25 +119,17 @@ def _entity(text: str, span: tuple[str, int, int]) -> str:
     return f"{kind}:" + re.sub(r"[^0-9.]" if kind != "email" else "$^", "", text[start:end].lower())
 
 
-def _near(text: str):
-    """(entity, term or None, line digest) of each term within CONTEXT words of an entity on its line; None once an entity."""
-    spans = base_spans(text)
-    outside = _outside(spans)
-    a = b = digest = -1
-    for kind, start, end in sorted(spans, key=lambda s: s[1]):
-        if start >= b:  # each line is searched and hashed once, however many entities it has
-            a, b = _line(text, start)
-            digest = _digest(text[a:b])
-        key = _entity(text, (kind, start, end))
-        yield key, None, digest
-        before = [m[0].lower() for m in _TERM.finditer(text, max(a, start - 40 * CONTEXT), start) if outside(m)][-CONTEXT:]
-        after = [m[0].lower() for m in _TERM.finditer(text, end, min(b, end + 40 * CONTEXT)) if outside(m)][:CONTEXT]
-        for term in {*before, *after}:
-            yield key, term, digest
-
-
-def _copies(text: str):
-    """(entity, line digest, bucket) for each entity and each band of its line; near copies of a line share a bucket with it."""
+def _terms(text: str, a: int = 0, b: int | None = None) -> list[re.Match]:
+    """The words of three letters or more; the one tokeniser of this module."""
+    return list(_TERM.finditer(text, a, len(text) if b is None else b))
+
+
+def _evidence(text: str):
+    """(entity, term, line digest, bucket) rows of each line that holds entities.
+
+    A row without term and bucket for each entity of a line, one with a term for each term within CONTEXT words of it, and, if
+    the line has REST other words, one for each band of minimum hashes; near copies of a line share a bucket with it.
+    """
     spans = sorted(base_spans(text), key=lambda s: s[1])
     k = 0
     while k < len(spans):
@@ -143,26 +138,36 @@ def _copies(text: str):
         while k < len(spans) and spans[k][1] < b:
             own.append(spans[k])
             k += 1
-        words, outside = list(_TERM.finditer(text, a, b)), _outside(own)
-        words = [m for m in words if outside(m)]
-        starts, near = [m.start() for m in words], np.zeros(len(words) + 1, np.int64)
-        for _, start, end in own:
-            near[max(0, bisect_left(starts, start) - CONTEXT)] += 1
-            near[min(len(words), bisect_left(starts, end) + CONTEXT)] -= 1
-        rest = {m[0].lower() for m, n in zip(words, np.cumsum(near[:-1]).tolist(), strict=True) if not n}
+        digest, outside = _digest(text[a:b]), _outside(own)
+        words = [m for m in _terms(text, a, b) if outside(m)]
+        starts, low, near = [m.start() for m in words], [m[0].lower() for m in words], np.zeros(len(words) + 1, np.int64)
+        for span in own:
+            key = _entity(text, span)
+            i, j = bisect_left(starts, span[1]), bisect_left(starts, span[2])
+            first, last = max(0, i - CONTEXT), min(len(words), j + CONTEXT)
+            near[first] += 1
+            near[last] -= 1
+            yield key, None, digest, None
+            for term in {*low[first:i], *low[j:last]}:
+                yield key, term, digest, None
+        rest = {x for x, n in zip(low, np.cumsum(near[:-1]).tolist(), strict=True) if not n}
         if len(rest) < REST:
             continue
         h = np.array([_digest(x) for x in rest], np.int64).view(np.uint64)
         least = np.array([kernels.mix(h ^ seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
         buckets = [_digest(f"{i}:{x.tolist()}") for i, x in enumerate(least)]
-        digest = _digest(text[a:b])
         for key in {_entity(text, s) for s in own}:
             for bucket in buckets:
-                yield key, digest, bucket
+                yield key, None, digest, bucket
+
+
+def _broadcastable(terms: DataFrame) -> bool:
+    """Whether the bytes of the column `term` allow to send it to every task."""
+    return (terms.agg(F.sum(F.octet_length("term") + TERM_BYTES)).first()[0] or 0) <= MAX_TERM_BYTES
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """term, p: the terms that disclose some entity, with the largest n(e, t) / n(t)."""
+    """term, p, kind: the terms that disclose some entity, with the largest n(e, t) / n(t) and the kind of that entity."""
 
     def near(batches):
         for batch in kernels.parts(batches):
@@ -170,9 +175,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 if text := text.as_py():
                     lines += 1 + text.count("\n")
-                    if found := [(*x, None) for x in _near(text)]:
-                        rows += found
-                        rows += [(entity, None, line, bucket) for entity, line, bucket in _copies(text)]
+                    rows += _evidence(text)
             rows.append((None, None, lines, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["entity", "term", "line", "bucket"])
 
@@ -191,57 +194,90 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     joint = joint.join(close, "term").filter(F.col("both") / (F.col("close") - F.col("copies")) >= GENERALISE).drop("close")
     joint = common.durable(joint)
     if joint.isEmpty():
-        return joint.select("term", F.lit(1.0).alias("p"))
-    terms = joint.select("term").distinct()
-    known = frozenset(r.term for r in terms.collect()) if common.small_enough(terms, MAX_TERMS) else None
+        return joint.select("term", F.lit(1.0).alias("p"), F.lit("").alias("kind"))
+    # A term on more lines than this passes for no entity.
+    most = joint.groupBy("term").agg(F.floor(F.max(F.col("both") / GENERALISE + F.col("copies"))).alias("most"))
+    known = {r.term: r.most for r in most.collect()} if _broadcastable(most) else None
 
     def where(batches):
+        at: dict[str, set[int]] = {}
+        common_ = set()
         for batch in kernels.parts(batches):
             rows = []
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
-                    if found := {m.lower() for m in _TERM.findall(line)} if known is None else known.intersection(m.lower() for m in _TERM.findall(line)):
+                    found = {m.lower() for m in _TERM.findall(line)}
+                    if known is None:
                         digest = _digest(line)
                         rows += [(t, digest) for t in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "line"])
+                    elif found := (known.keys() & found) - common_:
+                        digest = _digest(line)
+                        for t in found:
+                            at.setdefault(t, set()).add(digest)
+                            if len(at[t]) > known[t]:
+                                common_.add(t)
+                                del at[t]
+            if known is None:
+                yield pairs(rows)
+        yield pairs([(t, x) for t, own in at.items() for x in own])
+        yield pairs([(t, None) for t in common_])
+
+    def pairs(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "line"])
 
     at = texts.mapInArrow(where, "term string, line long")
-    at = at if known is not None else at.join(terms, "term", "left_semi")
-    counts = at.distinct().groupBy("term").agg(F.count("*").alias("n"))
+    at = at if known is not None else at.join(most, "term", "left_semi")
+    counts = at.distinct().groupBy("term").agg(F.count("line").alias("n"), F.max(F.col("line").isNull()).alias("over")).filter("NOT over")
     n = F.col("n") - F.col("copies")
     p, bits = F.col("both") / n, F.log2(F.col("both") * F.lit(float(lines)) / (F.col("own") * n))
-    return joint.join(counts, "term").filter((p >= GENERALISE) & (bits >= BITS)).groupBy("term").agg(F.max(p).alias("p"))
+    passed = joint.join(counts, "term").filter((p >= GENERALISE) & (bits >= BITS))
+    best = F.min_by(F.substring_index("entity", ":", 1), F.struct(-p, "entity"))
+    return passed.groupBy("term").agg(F.max(p).alias("p"), best.alias("kind"))
 
 
-def _with_terms(docs: DataFrame) -> tuple[DataFrame, dict[str, float] | None]:
+def _with_terms(docs: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, str]] | None]:
     """Few disclosing terms come as a dict; very many as one more, last column of those that a text has, joined by key."""
     terms = common.durable(disclosing_terms(docs))
-    if common.small_enough(terms, MAX_TERMS):
-        return docs, {r.term: r.p for r in terms.collect()}
+    if _broadcastable(terms):
+        return docs, {r.term: (r.p, r.kind) for r in terms.collect()}
     free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name in use
     key, own_terms = f"{free}row", f"{free}terms"
     row = F.xxhash64(F.coalesce("text", F.lit("")))
-    each = docs.select(row.alias(key), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("term"))
-    own = each.distinct().join(terms, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias(own_terms))
+
+    def words(batches):
+        for batch in kernels.parts(batches):
+            rows = [(k, t) for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for t in {m[0].lower() for m in _terms(text.as_py() or "")}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["key", "term"])
+
+    each = docs.select(row.alias("key"), "text").mapInArrow(words, "key long, term string")
+    own = each.distinct().join(terms, "term").groupBy(F.col("key").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("p", "kind")))).alias(own_terms))
     return docs.withColumn(key, row).join(own, key, "left").drop(key), None
 
 
-def all_spans(text: str, terms: dict[str, float]) -> list[tuple[str, int, int]]:
+def _own_terms(held) -> dict[str, tuple[float, str]]:
+    return {t: (x["p"], x["kind"]) for t, x in held.as_py() or ()}
+
+
+def all_spans(text: str, terms: dict[str, tuple[float, str]]) -> list[tuple[str, int, int]]:
     """The base spans, then those of disclosing terms (kind `term`) outside them."""
     base = base_spans(text)
     if not terms:
         return base
     outside = _outside(base)
-    return base + [("term", *m.span()) for m in _TERM.finditer(text) if m[0].lower() in terms and outside(m)]
+    return base + [("term", *m.span()) for m in _terms(text) if m[0].lower() in terms and outside(m)]
 
 
-def clean(text: str, spans: list[tuple[str, int, int]], terms: dict[str, float]) -> str:
+def clean(text: str, spans: list[tuple[str, int, int]], terms: dict[str, tuple[float, str]]) -> str:
     """The text with its spans replaced; of overlapping spans the first names the whole."""
     out, at = [], 0
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if start >= at:
             out.append(text[at:start])
-            out.append("" if kind == "term" and terms[text[start:end].lower()] >= REMOVE else f"[{kind.upper()}]")
+            if kind == "term":
+                p, of = terms[text[start:end].lower()]
+                out.append("" if p >= REMOVE else f"[{of.upper()} TERM]")
+            else:
+                out.append(f"[{kind.upper()}]")
         at = max(at, end)
     return "".join([*out, text[at:]])
 
@@ -254,7 +290,7 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in kernels.parts(batches):
             own = batch.column(2) if few is None else None
-            spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in all_spans(t.as_py() or "", few if own is None else dict(own[i].as_py() or ()))] for i, t in enumerate(batch.column(1))]
+            spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in all_spans(t.as_py() or "", few if own is None else _own_terms(own[i]))] for i, t in enumerate(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
@@ -271,7 +307,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             own = batch.column(len(names)) if few is None else None
             out = []
             for i, t in enumerate(batch.column(at)):
-                text, terms = t.as_py(), few if own is None else dict(own[i].as_py() or ())
+                text, terms = t.as_py(), few if own is None else _own_terms(own[i])
                 out.append(clean(text, all_spans(text, terms), terms) if text else text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names)
 

@@ -264,9 +264,71 @@ def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
 def test_personal_data_of_many_entities_on_one_line():
     text = "name x@y.zz " * 20_000
     spans = pii.base_spans(text)
-    assert len(spans) == 20_000 and len(list(pii._near(text))) == 40_000
-    assert len(pii.all_spans(text, {"name": 0.6})) == 40_000
+    assert len(spans) == 20_000 and len([x for x in pii._evidence(text) if x[3] is None]) == 40_000
+    assert len(pii.all_spans(text, {"name": (0.6, "email")})) == 40_000
     test = pii._outside([("a", 3, 5), ("b", 4, 9), ("c", 12, 14)])
     text = "abcdefghijklmnop"
     want = {(s, e): not any(a < e and s < b for a, b in ((3, 5), (4, 9), (12, 14))) for s in range(15) for e in range(s + 1, 16)}
     assert {k: test(re.compile(".{%d}" % (k[1] - k[0])).match(text, k[0])) for k in want} == want
+
+
+def plain_spans(text):
+    """The contract's patterns as they stand, with their conditions."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(sum(divmod(x * (1 + i % 2), 10)) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_base_spans_brute_force(spark):
+    rng = random.Random(12)
+    pieces = ["a.b", "@", "x-y", ".", "com", "1", "25", "255", "300", "0007", "4111111111111111", " ", "-", "+1", "(", ")", "é", "Ⅷ", "\n", "+44 20 7946 0958", "4111-1111 1111-1111"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(40))) for _ in range(4000)]
+    assert all(pii.base_spans(t) == plain_spans(t) for t in texts) and sum(len(pii.base_spans(t)) for t in texts) > 2000
+    rows = pii.find(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:500])] + [(-1, None)], DOCS)).collect()
+    assert len(rows) == 501 and all([tuple(s) for s in r.spans if s.kind != "term"] == plain_spans(texts[r.doc_id] if r.doc_id >= 0 else "") for r in rows)
+
+
+def plain_disclosure(texts):
+    """n(e), n(t), n(e, t) over distinct lines, by nested loops; no near copies in the input."""
+    lines = [x for t in texts for x in t.split("\n")]
+    word = lambda x: re.findall(r"[^\W\d_]{3,}", x)
+    joint, own = {}, {}
+    for line in set(lines):
+        spans = plain_spans(line)
+        cut = [m for m in re.finditer(r"[^\W\d_]{3,}", line) if not any(m.start() < e and s < m.end() for _, s, e in spans)]
+        for kind, s, e in spans:
+            key = kind, re.sub(r"[^0-9.]", "", line[s:e]) if kind != "email" else line[s:e].lower()
+            own.setdefault(key, set()).add(line)
+            for m in [m for m in cut if m.end() <= s][-8:] + [m for m in cut if m.start() >= e][:8]:
+                joint.setdefault((key, m[0].lower()), set()).add(line)
+    n = Counter(t for line in set(lines) for t in {x.lower() for x in word(line)})
+    ok = {}
+    for (key, t), at in joint.items():
+        p = len(at) / n[t]
+        if len(at) >= pii.SUPPORT and p >= pii.GENERALISE and math.log2(len(lines) * len(at) / (len(own[key]) * n[t])) >= pii.BITS:
+            ok[t] = max(ok.get(t, (0, "")), (p, ""))
+    return {t: round(p, 9) for t, (p, _) in ok.items()}
+
+
+@pytest.mark.parametrize("limit", [0, pii.MAX_TERM_BYTES])  # terms joined by key, and sent to every task
+def test_disclosure_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(pii, "MAX_TERM_BYTES", limit)
+    rng = random.Random(13)
+    word = lambda k=3: "".join(rng.choices("abcdeé", k=k))
+    names = ["zorblⅧx", "quimby", "Ümlaut"] + ["".join(rng.choices("mnop", k=6)) for _ in range(25)]
+    texts = [None, "", "e" * 330 + " a@b.cc"]
+    for k in range(300):
+        i = rng.randrange(len(names))
+        name, e = names[i], rng.choice(["a@b.cc", "1.2.3.4", "x@y.zz", "+44 20 7946 0958"]) if rng.random() < 0.2 else f"own{i}@b.cc"
+        texts.append("\n".join(f"{k}{j} {' '.join(word() for _ in range(3))} {'#' * 400} " + (f"{name} {e} {word()}" if rng.random() < 0.2 else rng.choice([name, word()]) * (rng.random() < 0.1)) for j in range(6)))
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.term: round(r.p, 9) for r in pii.disclosing_terms(df).collect()}
+    assert got == plain_disclosure([t for t in texts if t is not None]) and got
+    few = pii.find(df).collect()
+    assert any(s.kind == "term" for r in few for s in r.spans)
+    terms = {s for r in few for s in ((texts[r.doc_id] or "")[x.start : x.end].lower() for x in r.spans if x.kind == "term")}
+    assert terms == set(got) or terms < set(got)
