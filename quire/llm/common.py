@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables with at most so many rows of two or three longs (some 50 MB) may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Tables with at most so many rows of two or three longs may be broadcast (some 60 bytes each, 30 MB); larger ones are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

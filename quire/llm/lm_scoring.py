@@ -8,10 +8,13 @@ mean of loss(target) - loss(background) over its words: the lower, the more it l
 white space (U+0009-U+000D, U+0020), compared by 64-bit hashes, as are equal rows.
 
 Scale: neither model is ever gathered. A document's distinct word pairs go once through a shuffle, grouped by their second word:
-there c(w), c(v, w), and so the losses are added up and applied to the documents of the pairs, and one row of sums for
-each document and group goes back. log p(w | v) is the log of its numerator less that of c(v) + S, which is added in the group of v. The
-pairs travel as compressed blocks of columns. Words of at least 1 / FREQUENT of all words (at most FREQUENT) are known to
-every task, and grouped by pair; so are the counts of pairs as frequent, which are scored without a shuffle. Labels are broadcast up to `common.BROADCAST_ROWS` rows and joined by shuffle beyond.
+there c(w), c(v, w), and so the losses are added up and applied to the documents of the pairs, and one pair of sums for
+each document and group goes back. log p(w | v) is the log of its numerator less that of c(v) + S, which is added in the group of v.
+The pairs travel as compressed blocks of columns, one for each group and HELD pairs of a task, and the sums go back to the block of
+documents that they came from; in these blocks a word or pair is 48 bits of its hash and a sum a 32-bit float. Words of at least
+1 / FREQUENT of all words (at most FREQUENT) are known to every task, and their pairs are grouped by pair; so are the counts of
+pairs as frequent that some chunk of text holds often, which are scored without a shuffle. Labels are broadcast up to
+`common.BROADCAST_ROWS` rows and joined by shuffle beyond.
 
 Cases: a null or empty text has no tokens and null losses and score. Without any target text the target model is uniform.
 Rows of `labels` that repeat a doc_id count once. An empty table gives no rows.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,9 @@ from quire.llm import common, kernels
 HELD = 1_000_000
 #: Weight of the model of the shorter context.
 SMOOTHING = 4.0
-FREQUENT = 20_000
+FREQUENT = 40_000
+#: A pair can be among the frequent ones if a chunk of text (some 2 MB) has it so many times.
+OFTEN = 8
 #: Word pairs in a group, about.
 GROUP = 1_000_000
 #: Hashes that stand for the start and the end of a text.
@@ -58,36 +64,72 @@ def added(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 
 
 def count(docs: DataFrame, keys) -> DataFrame:
-    """key, n (in all texts), good (in target texts) of what `keys` makes of words and the words before them."""
+    """kind, key, n (in all texts), good (in target texts) of the kinds of keys that `keys` makes of words and the words before them.
+
+    `keys` returns (kind, key, keep, least) tuples; keys that a chunk of text holds fewer than `least` times are left out there.
+    """
 
     def run(batches):
-        held, size = [], 0
+        held, size = {}, 0
         for batch in kernels.parts(batches):
             target = batch.column(1)
             for row, to, data, offs in kernels.chunks(batch.column(0)):
                 w, before, n = tokens(data, offs)
                 good = np.repeat(target[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(np.float64), n)
-                key, keep = keys(w, before)
-                held.append(added(key[keep], np.ones(int(keep.sum())), good[keep]))
-                size += len(held[-1][0])
+                for kind, key, keep, least in keys(w, before):
+                    own = added(key[keep], np.ones(int(keep.sum())), good[keep])
+                    held.setdefault(kind, []).append([x[own[1] >= least] for x in own] if least > 1 else own)
+                    size += len(held[kind][-1][0])
             if size > HELD:
-                held = [added(*map(np.concatenate, zip(*held, strict=True)))]
-                size = len(held[0][0])
+                held = {k: [added(*map(np.concatenate, zip(*x, strict=True)))] for k, x in held.items()}
+                size = sum(len(x[0][0]) for x in held.values())
                 if size > HELD / 2:
-                    yield table(held.pop())
-                    size = 0
-        if held:
-            yield table(added(*map(np.concatenate, zip(*held, strict=True))))
-
-    def table(x):
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64)) for c in x], ["key", "n", "good"])
-
-    return docs.select("text", "target").mapInArrow(run, "key long, n long, good long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-
-
-def frequent(counts: DataFrame, least: float) -> list[np.ndarray]:
+                    yield from map(table, held.items())
+                    held, size = {}, 0
+        yield from map(table, held.items())
+
+    def table(item):
+        x = added(*map(np.concatenate, zip(*item[1], strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), item[0], np.int32)), *[pa.array(c.astype(np.uint64).view(np.int64)) for c in x]], ["kind", "key", "n", "good"])
+
+    return docs.select("text", "target").mapInArrow(run, "kind int, key long, n long, good long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of hashes (uint64, of which 48 bits stay), of floats, and of other numbers from 0 on, in as few bytes as hold them."""
+    out = [len(columns).to_bytes(1, "little")]
+    for x in columns:
+        if x.dtype == np.uint64:
+            code, raw = 6, np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        elif x.dtype == np.float32:
+            code, raw = 5, x.tobytes()
+        else:
+            code = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+            raw = x.astype(f"<u{code}").tobytes()
+        out += [code.to_bytes(1, "little"), len(x).to_bytes(4, "little"), raw]
+    return b"".join(out)
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    at, out = 1, []
+    for _ in range(raw[0]):
+        code, n = raw[at], int.from_bytes(raw[at + 1 : at + 5], "little")
+        at += 5
+        size = 4 if code == 5 else code
+        own = raw[at : at + n * size]
+        at += n * size
+        if code == 6:
+            x = np.zeros((n, 8), np.uint8)
+            x[:, :6] = np.frombuffer(own, np.uint8).reshape(-1, 6)
+            out.append(x.reshape(-1).view(np.uint64))
+        else:
+            out.append(np.frombuffer(own, "<f4" if code == 5 else f"<u{code}"))
+    return out
+
+
+def frequent(counts: DataFrame, kind: int, least: float) -> list[np.ndarray]:
     """key, n, good of the keys with at least `least` occurrences, by key."""
-    t = counts.filter(F.col("n") >= least).toArrow()
+    t = counts.filter((F.col("kind") == kind) & (F.col("n") >= least)).drop("kind").toArrow()  # at most FREQUENT rows
     key, n, good = (t.column(c).to_numpy().astype(k) for c, k in (("key", np.int64), ("n", np.float64), ("good", np.float64)))
     order = np.argsort(key.view(np.uint64))
     return [key.view(np.uint64)[order], n[order], good[order]]
@@ -109,18 +151,20 @@ def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left")
     rows = rows if few else common.written(rows)
 
-    words = common.written(count(rows, lambda w, before: (w, np.ones(len(w), bool))))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
+    everything = lambda w, before: [(0, w, np.ones(len(w), bool), 1), (1, pair_hash(before, w), np.ones(len(w), bool), OFTEN)]
+    counts = common.written(count(rows, everything))
+    total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
     n_all, n_good, vocabulary = (max(1, int(x)) for x in total)
     least = max(2.0, n_all / FREQUENT)
-    known = frequent(words, least)
+    known = frequent(counts, 0, least)
+    often = frequent(counts, 1, least)[0]
     opened = rows.filter(F.col("text").rlike(r"[^\x09-\x0D\x20]")).agg(F.count("*"), F.count_if(F.col("target"))).first()
 
     def both_known(w, before):
-        keep = place(known[0], w)[1] & (place(known[0], before)[1] | (before == START))
-        return pair_hash(before, w), keep
+        key = pair_hash(before, w)
+        return [(1, key, place(known[0], w)[1] & place(often, key)[1], 1)]
 
-    pairs = frequent(count(rows, both_known), least)
+    pairs = frequent(count(rows, both_known), 1, 1)
     shared = spark.sparkContext.broadcast((known, pairs))
     scale, s = n_good / n_all, SMOOTHING
     groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_all // GROUP))
@@ -137,35 +181,37 @@ def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
 
     def deal(batches):
         (word, word_n, word_good), (pair, pair_n, pair_good) = shared.value
-        codec = pa.Codec("zstd")
-        held, size = [], 0
-
-        def flush():
-            w, before, doc, m, good, group = map(np.concatenate, zip(*held, strict=True))
-            order = np.lexsort((before, w, group))
-            w, before, doc, m, good, group = (x[order] for x in (w, before, doc, m, good, group))
-            ends = np.flatnonzero(np.diff(group, append=-1)) + 1
-            a = 0
-            for b in ends.tolist():
-                first = np.flatnonzero(np.diff(w[a:b], prepend=~w[a]))
-                own, at = np.unique(doc[a:b], return_inverse=True)
-                raw = [len(first), len(own)], w[a:b][first], np.diff(first, append=b - a), before[a:b], own, at.astype(np.int32), m[a:b].astype(np.int32), good[a:b]
-                raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (np.array([b - a, *raw[0]], np.int64), *raw[1:]))
-                yield int(group[a]), len(raw), codec.compress(raw, asbytes=True)
-                a = b
+        codec, task, sent = pa.Codec("zstd"), TaskContext.get().partitionId(), 0
+        docs, ofknown, others, size, held_docs = [], [], [], 0, 0
 
         def packed():
-            out = list(flush())
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), *[pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
+            """A block of the documents held and one of their pairs for each group."""
+            f, out = task << 32 | sent, []
+            out.append((f % groups, f, True, pa.concat_batches(docs).serialize()))
+            some = []
+            for rows, order in ((ofknown, (1, 0)), (others, (2, 1, 0))):
+                cols = list(map(np.concatenate, zip(*rows, strict=True)))
+                at = np.lexsort([cols[k] for k in order])
+                cols = [x[at] for x in cols]
+                some.append((cols, np.searchsorted(cols[0], np.arange(groups + 1))))
+            for g in range(groups):
+                cut = [[x[e[g] : e[g + 1]] for x in cols[1:]] for cols, e in some]
+                if len(cut[0][0]) or len(cut[1][0]):
+                    out.append((g, f, False, pack(*cut[0], *cut[1])))
+            for x in (docs, ofknown, others):
+                x.clear()
+            raw = [x[3] for x in out]
+            return pa.RecordBatch.from_arrays([
+                pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_()),
+                pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()),
+            ], ["part", "f", "docs", "size", "block"])
 
-        names = ["part", "size", "block", "doc", "doc_id", "n", "a", "b"]
         for batch in kernels.parts(batches):
             for row, to, data, offs in kernels.chunks(batch.column(1)):
                 w, before, n = tokens(data, offs)
-                text = np.repeat(np.arange(to - row), n)
-                doc = batch.column(3)[row:to].to_numpy()
-                target = batch.column(2)[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(np.int8)
+                count_ = to - row
+                text = np.repeat(np.arange(count_), n)
+                target = batch.column(2)[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
                 some = np.flatnonzero(n)
                 last = np.cumsum(n)[some] - 1
                 # Equal pairs of a text become one row; after them a row for each last word, which is no context.
@@ -186,67 +232,76 @@ def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
                 context = of_context(word_n[wk[is_word]], word_good[wk[is_word]])
                 paired = of_pair(word_n[wk[is_pair]], word_good[wk[is_pair]], pair_n[pk[is_pair]], pair_good[pk[is_pair]])
                 for k in (0, 1):
-                    x = np.bincount(text[is_word], context[k] * m[is_word] * np.where(end[is_word], -1, 1), to - row)
-                    sums.append(x + np.bincount(text[is_pair], paired[k] * m[is_pair], to - row) + base[k] * (n > 0))
-                count_ = to - row
-                part = (doc.view(np.uint64) % np.uint64(groups)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(count_, pa.int64()), pa.nulls(count_, pa.binary()), pa.array(doc), batch.column(0)[row:to], pa.array(n.astype(np.int64)), *map(pa.array, sums)], names)
-                rest = ~is_pair & ~(end & is_word)
-                group = (np.where(is_word, kernels.mix(key), kernels.mix(w)) % np.uint64(groups)).astype(np.int32)
-                held.append([x[rest] for x in (w, before, doc[text], m, target[text], group)])
-                size += len(held[-1][0])
-                if size > HELD:
+                    x = np.bincount(text[is_word], context[k] * m[is_word] * np.where(end[is_word], -1, 1), count_)
+                    sums.append(x + np.bincount(text[is_pair], paired[k] * m[is_pair], count_) + base[k] * (n > 0))
+                docs.append(pa.RecordBatch.from_arrays([batch.column(0)[row:to], pa.array(n.astype(np.int64)), *map(pa.array, sums)], ["doc_id", "n", "a", "b"]))
+                local, good = text + held_docs, target[text]
+                x = is_word & ~is_pair & ~end
+                ofknown.append([(kernels.mix(key[x]) % np.uint64(groups)).astype(np.int32), key[x], wk[x], local[x], m[x], good[x]])
+                x = ~is_word
+                others.append([(kernels.mix(w[x]) % np.uint64(groups)).astype(np.int32), w[x], before[x], local[x], m[x], good[x]])
+                size += len(ofknown[-1][0]) + len(others[-1][0])
+                held_docs += count_
+                if size > HELD or held_docs > HELD:
                     yield packed()
-                    size = 0
-        if size:
+                    size, held_docs, sent = 0, 0, sent + 1
+        if docs:
             yield packed()
 
+    def counted(key, m, good):
+        """How often each key is seen here, and in target texts."""
+        _, at = np.unique(key, return_inverse=True)
+        return np.bincount(at, m)[at], np.bincount(at, m * good)[at]
+
     def rate(table: pa.Table) -> pa.Table:
-        """The rows of documents as they are, and the sums of the pairs of the group for each document."""
-        word, word_n, word_good = shared.value[0]
+        """Blocks of documents as they are; for each block of pairs the sums of its documents."""
+        _, word_n, word_good = shared.value[0]
         codec = pa.Codec("zstd")
-        is_doc = table.column("block").is_null()
-        out = [table.filter(is_doc).select(["doc", "doc_id", "n", "a", "b"])]
-        cols = []
-        blocks = table.filter(table.column("block").is_valid())
-        for size, block in zip(blocks.column("size").to_pylist(), blocks.column("block"), strict=True):
-            raw, at = codec.decompress(block.as_buffer(), size, asbytes=True), 24
-            n, n_words, n_docs = np.frombuffer(raw, np.int64, 3).tolist()
-
-            def take(kind, k):
-                nonlocal at
-                x = np.frombuffer(raw, kind, k, at)
-                at += x.nbytes
-                return x
-
-            w, runs, before, own = take(np.uint64, n_words), take(np.int64, n_words), take(np.uint64, n), take(np.int64, n_docs)
-            cols.append([np.repeat(w, runs), before, own[take(np.int32, n)], take(np.int32, n), take(np.int8, n)])
-        if cols:
-            w, before, doc, m, good = map(np.concatenate, zip(*cols, strict=True))
-            end = before == END
-            wk, is_word = place(word, w)
+        own = table.column("docs").to_numpy()
+        out = [table.filter(pa.array(own)).select(["f", "docs", "size", "block"])]
+        blocks = table.filter(pa.array(~own))
+        held = [unpack(codec.decompress(x.as_buffer(), size, asbytes=True)) for size, x in zip(blocks.column("size").to_pylist(), blocks.column("block"), strict=True)]
+        if held:
+            key, wk, _, m, good = (np.concatenate([x[k] for x in held]) for k in range(5))
+            m, good = m.astype(np.float64), good.astype(np.float64)
+            losses = [[m * p for p in of_pair(word_n[wk], word_good[wk], *counted(key, m, good))]]
+            w, before, _, m, good = (np.concatenate([x[k] for x in held]) for k in range(5, 10))
+            end, m, good = before == END, m.astype(np.float64), good.astype(np.float64)
             seen = np.where(end, 0, m)
-            words_, at = np.unique(w, return_inverse=True)
-            n, n_ok = np.bincount(at, seen)[at], np.bincount(at, seen * good)[at]
-            if is_word.any():  # of a frequent word only some pairs are here
-                n[is_word], n_ok[is_word] = word_n[wk[is_word]], word_good[wk[is_word]]
-            _, at = np.unique(pair_hash(before, w), return_inverse=True)
-            paired = of_pair(n, n_ok, np.bincount(at, seen)[at], np.bincount(at, seen * good)[at])
-            context = of_context(n, n_ok)
-            sums = [np.where(end, -c, m * (p + np.where(is_word, 0, c))) for p, c in zip(paired, context, strict=True)]
-            docs_, a, b = added(doc, *sums)
-            out.append(pa.table([pa.array(docs_), pa.nulls(len(docs_), pa.int64()), pa.nulls(len(docs_), pa.int64()), pa.array(a), pa.array(b)], names=out[0].column_names))
-        return pa.concat_tables([t.cast(kind) for t in out])
-
-    kind = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-    keyed = rows.select("doc_id", "text", "target", F.xxhash64("doc_id", "text").alias("doc"))
-    dealt = keyed.mapInArrow(deal, "part int, size long, block binary, doc long, doc_id long, n long, a double, b double")
-    sums = dealt.groupBy("part").applyInArrow(rate, "doc long, doc_id long, n long, a double, b double")
-    # Rows with equal doc_id and text have their sums added, and so have equal means.
-    each = sums.groupBy("doc").agg(F.max("doc_id").alias("doc_id"), F.count("n").alias("rows"), F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    each = each.select("doc_id", F.expr("n div rows").alias("n_tokens"), mean("a").alias("loss_target"), mean("b").alias("loss_background"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
-    return each.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+            n, ok = counted(w, seen, good)
+            paired = of_pair(n, ok, *counted(pair_hash(before, w), seen, good))
+            losses.append([np.where(end, -c, m * (p + c)) for p, c in zip(paired, of_context(n, ok), strict=True)])
+            raw, done = [], [0, 0]
+            for x in held:
+                cut = [slice(d, d + len(x[5 * k])) for k, d in enumerate(done)]
+                done = [c.stop for c in cut]
+                docs_, a, b = added(np.concatenate([x[2], x[7]]), *(np.concatenate([losses[0][k][cut[0]], losses[1][k][cut[1]]]) for k in (0, 1)))
+                raw.append(pack(docs_, a.astype(np.float32), b.astype(np.float32)))
+            out.append(pa.table([blocks.column("f"), blocks.column("docs"), pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=out[0].column_names))
+        return pa.concat_tables(out)
+
+    def gather(table: pa.Table) -> pa.Table:
+        """The documents of a block with all their sums."""
+        codec = pa.Codec("zstd")
+        docs_, sums = None, []
+        for is_docs, size, x in zip(table.column("docs").to_pylist(), table.column("size").to_pylist(), table.column("block"), strict=True):
+            raw = codec.decompress(x.as_buffer(), size, asbytes=not is_docs)
+            if is_docs:
+                docs_ = pa.ipc.read_record_batch(raw, block)
+            else:
+                sums.append(unpack(raw))
+        n, a, b = (docs_.column(k).to_numpy() for k in (1, 2, 3))
+        if sums:
+            at = np.concatenate([x[0] for x in sums])
+            a, b = (c + np.bincount(at, np.concatenate([x[k] for x in sums]).astype(np.float64), len(n)) for k, c in ((1, a), (2, b)))
+        none = n == 0
+        a, b = (np.divide(c, n, where=~none, out=np.zeros(len(n))) for c in (a, b))
+        return pa.table([docs_.column(0), docs_.column(1), *[pa.array(x, mask=none) for x in (a, b, a - b)]], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    block = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
+    dealt = rows.mapInArrow(deal, "part int, f long, docs boolean, size long, block binary")
+    sums = dealt.groupBy("part").applyInArrow(rate, "f long, docs boolean, size long, block binary")
+    return sums.groupBy("f").applyInArrow(gather, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
