@@ -6,7 +6,8 @@ share a token among the first n - ceil(T n) + 1 of each under *any* global order
 that fail the same test under two hash orders are dropped before the exact verification, as are those whose parity bit maps
 differ more than linked sets can. Both tests are made on signatures of some n/2 bytes, so that few whole sets travel.
 
-Scale: equal sets collapse first, by a pre-aggregated group. A token's documents (its block) are never paired with each
+Scale: equal sets collapse first, by a pre-aggregated group; a class of more than HOT copies meets its documents by salted keys, and
+documents without a shingle meet nothing. A token's documents (its block) are never paired with each
 other; each round pairs one document of a block (that with the largest share of recurring tokens: an original
 rather than its edited copies) with the rest, so that a round is linear in the postings. Blocks whose
 documents are already connected are done. What is left after `HUB_ROUNDS` is compared across components only, chunk by
@@ -39,6 +40,8 @@ MAX_HEAVY = 65_536
 #: A token counts as frequent if at least so many texts of one 2 MB chunk have it.
 HEAVY_IN_CHUNK = 8
 HUB_ROUNDS = 2
+#: A class of more equal sets than this is dealt over SALTS tasks.
+HOT, SALTS = 1000, 64
 #: Documents in a chunk of a block; a task compares two chunks.
 CHUNK = 2048
 #: A block of at most so many documents is paired by a join: a document meets a bounded number of others there.
@@ -321,8 +324,14 @@ def _postings(reps: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id (smallest doc_id with an equal set) for each row of `docs` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, set_id (smallest doc_id with an equal set) for each row of `docs` (doc_id, text).
+
+    The threshold must be over 3/4: below, sets of three shingles could link to others, and sizes differ by more than the
+    comparison of blocks allows for.
+    """
     num, den = threshold
+    if 4 * num <= 3 * den:
+        raise ValueError("the threshold must be over 3/4")
     sets, heavy, table = _survey(docs, size)
     reps = _prefixes(docs, heavy, table, size, num, den).filter("n > 3 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "light", "frequent", "signature")).alias("r"))
     reps = common.durable(reps.select(F.col("r.doc_id").alias("rep"), "n", "r.light", "r.frequent", "r.signature"))
@@ -335,13 +344,11 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
         block = known.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("last"), "rep", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
         block = block.filter("low < high").select("token", "hub", "size")
         if turn < HUB_ROUNDS:
-            rest = known.join(block, "token").filter("rep <> hub.rep")
-            if turn:
-                rest = common.durable(rest)
-                if rest.isEmpty():
-                    break
+            rest = common.durable(known.join(block, "token").filter("rep <> hub.rep"))
+            if rest.isEmpty():
+                break
             pairs = rest.filter(F.col("label") != F.col("hub.label")).filter(_sizes_fit(F.col("n"), F.col("hub.n"), num, den)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-            live = rest.select("token", "rep", "n", "weight") if turn else live
+            live = rest.select("token", "rep", "n", "weight")
             pairs = _sift(pairs.distinct(), reps, num, den)
         else:
             few = known.join(block.filter(F.col("size") <= SMALL).select("token"), "token").select("token", "rep", "n", "label")
@@ -356,13 +363,19 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
         if not found.isEmpty():
             links.append(found)
             labels = components(reduce(DataFrame.union, links))
-    classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("set_id"))
-    out = sets.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")).otherwise(F.col("doc_id")))
+    classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("k"))
     if labels is None:
-        out = out.withColumn("label", F.lit(None).cast("long"))
+        classes = classes.withColumn("label", F.col("set_id"))
     else:
-        out = out.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "set_id").alias("component_id"), "set_id")
+        classes = classes.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    classes = classes.select("d1", "d2", "n", "k", F.struct("set_id", "label").alias("class"))
+    # a large class is known SALTS times; its documents then carry a key of their own, so that the second join spreads them
+    large = classes.filter(F.col("k") > HOT).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("d1", "d2", "n", "salt", F.col("class").alias("large"))
+    rows = sets.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(large, ["d1", "d2", "n", "salt"], "left")
+    rows = rows.withColumn("d1", F.when(F.col("large").isNull(), F.col("d1")).otherwise(F.xxhash64("doc_id", "d1"))).drop("salt")
+    rows = rows.join(classes.filter(F.col("k") <= HOT).drop("k"), ["d1", "d2", "n"], "left").withColumn("class", F.coalesce("large", "class"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("class.label").alias("component_id"), F.col("class.set_id").alias("set_id"))
+    return out.union(sets.filter("n = 0").select("doc_id", "n", "doc_id", "doc_id"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
