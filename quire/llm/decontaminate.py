@@ -7,8 +7,10 @@ words and joined with the benchmark's windows. Benchmark items of fewer words ar
 
 Scale: the documents are read three times (fingerprints, texts with hits, word counts) and their texts are shuffled only where
 a fingerprint hit and the hit documents are too many for a checked broadcast. Nothing pairs documents with items: windows join
-by their hash, and item lists only with distinct (document, window) rows. Benchmark tables are broadcast up to
-`common.BROADCAST_ROWS` rows and shuffled beyond.
+by their hash; the set of items that hold a window has an id, a document gathers such ids, and each distinct list of ids is
+expanded to items once. Positions are packed longs, so that a text with very many hits costs time in proportion. Benchmark
+tables are broadcast up to `common.BROADCAST_ROWS` rows and shuffled beyond; up to MAX_ANCHORS first words of short items are
+looked up inside a text's array of words, more by a join of all words.
 
 Cases: null and empty texts have no words and no hits; an item without words occurs nowhere; a null item_id marks its words
 but is not counted or listed. Rows that repeat a doc_id are judged each by its own text. Empty tables work on either side.
@@ -23,6 +25,9 @@ from quire.llm import common
 
 WINDOW = 13
 GRAM = 6
+MAX_ANCHORS = 10_000
+#: A position and a length (at most WINDOW) in one long.
+LENGTH_BITS = 4
 #: The low bits of a packed fingerprint hold its position; a text of at most 2 GB has fewer words.
 POSITION_BITS = 30
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,6 +63,18 @@ def fingerprints(w: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
     return let(F.transform(w, lambda x: F.xxhash64(x)), of)
 
 
+def _packed(at: Column, length: Column) -> Column:
+    return F.shiftleft(at.cast("long"), LENGTH_BITS).bitwiseOR(length.cast("long"))
+
+
+def _at(x: Column) -> Column:
+    return F.shiftright(x, LENGTH_BITS).cast("int")
+
+
+def _len(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
+
+
 def _hash(fp: Column) -> Column:
     return F.shiftright(fp, POSITION_BITS)
 
@@ -78,7 +95,8 @@ def _meet(left: DataFrame, right: DataFrame, how: str = "inner", fits=lambda x:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash for each row of `docs` (doc_id, text)."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).cache()
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    items = common.durable(items)
     long, short = items.filter(F.size("w") >= WINDOW), items.filter(F.size("w") < WINDOW)
     windows = long.select("item_id", F.explode(F.transform(F.slice("w", 1, F.size("w") - (WINDOW - 1)), lambda _, i: F.xxhash64(F.slice("w", i + 1, WINDOW)))).alias("window"), F.lit(WINDOW).alias("len"))
     windows = windows.union(short.select("item_id", F.xxhash64("w"), F.size("w"))).distinct()
@@ -86,35 +104,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64(text).alias("text_hash"))
     kept = docs.select("doc_id", "text_hash", F.explode(fingerprints(words(F.col("text")))).alias("fp")).withColumn("f", _hash(F.col("fp")))
     known = long.select(F.explode(fingerprints(F.col("w"))).alias("fp")).select(_hash(F.col("fp")).alias("f")).distinct()
-    found = kept.join(_bounded(known), "f", "left_semi").select("doc_id", "text_hash", F.struct(_position(F.col("fp")).alias("at"), F.lit(WINDOW).alias("len")).alias("hit"))
+    found = kept.join(_bounded(known), "f", "left_semi").select("doc_id", "text_hash", _packed(_position(F.col("fp")), F.lit(WINDOW)).alias("hit"))
     if not short.isEmpty():
-        anchors = short.select(F.element_at("w", 1).alias("word"), F.size("w").alias("len")).distinct()
-        each = docs.select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("at", "word"))
-        found = found.union(each.join(_bounded(anchors), "word").select("doc_id", "text_hash", F.struct("at", "len")))
+        anchors = common.durable(short.select(F.element_at("w", 1).alias("word"), F.size("w").alias("len")).distinct())
+        if common.small_enough(anchors, MAX_ANCHORS):
+            first = sorted({r.word for r in anchors.collect()})
+            own = F.filter(F.transform(words(F.col("text")), lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda x: x["word"].isin(first))
+            each = docs.select("doc_id", "text_hash", F.explode(own).alias("x")).select("doc_id", "text_hash", "x.*")
+        else:
+            each = docs.select("doc_id", "text_hash", F.posexplode(words(F.col("text"))).alias("at", "word"))
+        found = found.union(each.join(_bounded(anchors), "word").select("doc_id", "text_hash", _packed(F.col("at"), F.col("len"))))
     hits = common.durable(found.groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("hits")))
     ids = hits.select("doc_id", "text_hash")
     hit_docs = _meet(docs, ids, "left_semi", F.broadcast) if common.small_enough(ids) else docs
     hit_docs = _meet(hit_docs, hits).select("doc_id", "text_hash", "hits", words(F.col("text")).alias("w"))
     reach = WINDOW - GRAM
-    starts = F.flatten(F.transform("hits", lambda x: F.when(x["len"] < WINDOW, F.array(F.struct(x["at"].alias("at"), x["len"].alias("len")))).otherwise(F.transform(F.sequence(F.greatest(F.lit(0), x["at"] - reach), x["at"]), lambda i: F.struct(i.alias("at"), F.lit(WINDOW).alias("len"))))))
-    own = F.transform(F.filter(F.array_distinct(starts), lambda x: x["at"] + x["len"] <= F.size("w")), lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.xxhash64(F.slice("w", x["at"] + 1, x["len"])).alias("window")))
-    met = hit_docs.select("doc_id", "text_hash", F.explode(own).alias("x")).select("doc_id", "text_hash", "x.*")
-    met = common.durable(met.join(_bounded(windows.select("window", "len").distinct()), ["window", "len"], "left_semi"))
+    around = F.array(*map(F.lit, range(reach + 1)))
+    starts = F.flatten(F.transform("hits", lambda x: F.when(_len(x) < WINDOW, F.array(x)).otherwise(F.transform(F.filter(around, lambda k: k <= _at(x)), lambda k: _packed(_at(x) - k, F.lit(WINDOW))))))
+    own = F.transform(F.filter(F.array_distinct(starts), lambda x: _at(x) + _len(x) <= F.size("w")), lambda x: F.struct(x.alias("place"), F.xxhash64(F.slice("w", _at(x) + 1, _len(x))).alias("window")))
+    met = hit_docs.select("doc_id", "text_hash", F.explode(own).alias("x")).select("doc_id", "text_hash", "x.*").withColumn("len", _len(F.col("place")))
+    sets = common.durable(windows.groupBy("window", "len").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("set_id", F.xxhash64("items")))
+    met = common.durable(met.join(_bounded(sets.select("window", "len", "set_id")), ["window", "len"]).select("doc_id", "text_hash", "place", "set_id"))
     span = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("at", "len"))),
+        F.array_sort(F.collect_set("place")),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda acc, x: F.struct(F.greatest(acc["end"], x["at"] + x["len"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(acc["end"], x["at"]))).alias("n")),
+        lambda acc, x: F.struct(F.greatest(acc["end"], _at(x) + _len(x)).alias("end"), (acc["n"] + F.greatest(F.lit(0), _at(x) + _len(x) - F.greatest(acc["end"], _at(x)))).alias("n")),
         lambda acc: acc["n"],
     )
-    covered = met.groupBy("doc_id", "text_hash").agg(span.alias("n_hit"))
-    listed = met.select("doc_id", "text_hash", "window", "len").distinct().join(_bounded(windows), ["window", "len"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    both = _meet(covered, listed)
+    covered = met.groupBy("doc_id", "text_hash").agg(span.alias("n_hit"), F.array_sort(F.collect_set("set_id")).alias("set_ids"))
+    covered = common.durable(covered.withColumn("list_id", F.xxhash64("set_ids")))
+    lists = covered.groupBy("list_id").agg(F.first("set_ids").alias("set_ids")).select("list_id", F.explode("set_ids").alias("set_id"))
+    each_set = sets.groupBy("set_id").agg(F.first("items").alias("items"))
+    lists = lists.join(each_set, "set_id").select("list_id", F.explode_outer("items").alias("item")).groupBy("list_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = lists.select("list_id", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    both = covered.select("doc_id", "text_hash", "n_hit", "list_id").join(_bounded(listed), "list_id").drop("list_id")
     counted = docs.select("doc_id", "text_hash", F.size(words(F.col("text"))).cast("long").alias("n"))
     out = _meet(counted, both, "left")
-    n, n_hit, listed_items = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    n, n_hit = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id", n.alias("n_words"), n_hit.alias("n_hit"), F.size(listed_items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed_items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= n)).alias("contaminated"), "text_hash",
+        "doc_id", n.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= n)).alias("contaminated"), "text_hash",
     )
 
 
