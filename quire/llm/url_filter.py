@@ -6,7 +6,8 @@ executor; workers memory-map it, so that all workers of a machine share its page
 and every prefix length that occurs among the rules, in one vectorised binary search a batch; each hit is confirmed against
 the stored string, so that a digest collision cannot decide anything. The longest rule wins.
 
-Scale: one pass over the URLs, no shuffle; only page_id and url are read. The store takes 8 + 8 + 1 bytes and the string for
+Scale: one pass over the URLs, no shuffle; only page_id and url are read. Suffixes longer than the longest host among the rules
+are not tried, so that a host of very many labels costs no more than one of that length. The store takes 8 + 8 + 1 bytes and the string for
 each rule and is bounded by `MAX_RULES`; a longer list is refused rather than cut.
 
 Cases: a null URL, or one without `://`, has an empty host and path and no rule; where no rule fits, the verdict is the
@@ -15,6 +16,7 @@ Cases: a null URL, or one without `://`, has an empty host and path and no rule;
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -47,9 +49,9 @@ class RuleStore:
     """A file of sorted digests, offsets, verdicts and strings; opened by memory map."""
 
     def __init__(self, path: str):
-        head = np.memmap(path, np.uint64, "r", shape=(2,))
-        n, shapes = int(head[0]), int(head[1])
-        at = 16
+        head = np.memmap(path, np.uint64, "r", shape=(3,))
+        n, shapes, self.longest = (int(x) for x in head)
+        at = 24
         self.shapes = np.memmap(path, np.uint64, "r", at, (shapes,)) if shapes else np.zeros(0, np.uint64)
         at += 8 * shapes
         self.keys = np.memmap(path, np.uint64, "r", at, (n,)) if n else np.zeros(0, np.uint64)
@@ -67,8 +69,9 @@ class RuleStore:
             raise ValueError(f"{len(rules)} rules; the store holds {MAX_RULES}")
         raw = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), v == "block") for k, v in rules.items())
         shapes = sorted({len(k.partition("/")[2]) + 1 for k in rules})
+        longest = max((len(k.partition("/")[0]) for k in rules), default=0)
         with open(path, "wb") as f:
-            for part in ([len(raw), len(shapes)], shapes, [x[0] for x in raw], np.concatenate([[0], np.cumsum([len(x[1]) for x in raw])])):
+            for part in ([len(raw), len(shapes), longest], shapes, [x[0] for x in raw], np.concatenate([[0], np.cumsum([len(x[1]) for x in raw])])):
                 f.write(np.array(part, np.uint64).tobytes())
             f.write(np.array([x[2] for x in raw], np.uint8).tobytes())
             f.write(b"".join(x[1] for x in raw))
@@ -93,12 +96,12 @@ class RuleStore:
         return self.strings[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes()
 
 
-def candidates(host: str, path: str, shapes: list[int]) -> list[bytes]:
-    """Host suffixes x prefix lengths, longest rule string first."""
+def candidates(host: str, path: str, shapes: list[int], longest: int) -> list[bytes]:
+    """Host suffixes of at most `longest` characters x prefix lengths, longest rule string first."""
     if not host or not path.startswith("/"):
         return []
-    labels = host.split(".")
-    suffixes = [".".join(labels[i:]) for i in range(len(labels))]
+    end = host[max(0, len(host) - longest - 1) :]
+    suffixes = [end[i + 1 :] for i, c in enumerate(end) if c == "."] + ([host] if len(host) <= longest else [])
     out = [s + path[:n] for s in suffixes for n in shapes if n <= len(path)]
     return [c.encode() for c in sorted(out, key=len, reverse=True)]
 
@@ -110,6 +113,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow")
     os.close(fd)
     RuleStore.write(rules, path)
     sc.addFile(path)
+    atexit.register(os.unlink, path)  # executors may fetch it as long as the driver lives
     name = os.path.basename(path)
 
     def judge(batches):
@@ -117,7 +121,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow")
         shapes = [int(x) for x in store.shapes]
         for batch in kernels.parts(batches):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            of = [candidates(h, p, shapes) for h, p in zip(hosts, paths, strict=True)]
+            of = [candidates(h, p, shapes, store.longest) for h, p in zip(hosts, paths, strict=True)]
             found = store.find([c for x in of for c in x])
             rule, verdict, at = [], [], 0
             for x in of:
