@@ -64,14 +64,18 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "cell", "n"])
 
     counts = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most TABLE entries each
-    found = rows.limit(MAX_LANGUAGES + 1).toPandas().sort_values("lang")
+
+    def table(own: pa.Table) -> pa.Table:
+        n = np.full(TABLE, 0.5)
+        n[own.column("cell").to_numpy()] += own.column("n").to_numpy()
+        return pa.table({"lang": own.column("lang")[:1], "logs": pa.array([np.log(n / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    found = counts.groupBy("lang").applyInArrow(table, "lang string, logs binary").limit(MAX_LANGUAGES + 1).collect()  # 256 KB each
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    model = np.full((len(found), TABLE), 0.5)
-    for i, cells in enumerate(found.cells):
-        model[i, [c["cell"] for c in cells]] += [c["n"] for c in cells]
-    return list(found.lang), np.log(model / model.sum(1, keepdims=True)).astype(np.float32)
+    found = sorted(found, key=lambda r: r.lang)
+    logs = np.frombuffer(b"".join(r.logs for r in found), np.float32).reshape(len(found), TABLE)
+    return [r.lang for r in found], logs
 
 
 def _em(like: np.ndarray, n: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
