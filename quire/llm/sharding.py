@@ -54,8 +54,8 @@ def shard(docs: DataFrame, weights: list[float], new_weight: float | None = None
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", "doc_id", "text_crc32", "size"))
     ranked = rows.withColumn("rank", rank)
-    # at most shards x 4,096 rows
-    placed = ranked.join(F.broadcast(before), ["shard", "bucket"])
+    few = len(weights) * 16**BUCKET_DIGITS <= common.BROADCAST_ROWS  # the rows of `before`, at most
+    placed = ranked.join(F.broadcast(before) if few else before, ["shard", "bucket"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
 
 
