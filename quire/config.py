@@ -39,3 +39,31 @@ MIN_ANCHOR, ANCHOR_SHARE, MIN_CONFIDENCE, MAX_OVERLAP = 10, 0.7, 0.5, 0.6
 
 # Record tags.
 PARA_HEAD, PARA_TEXT, CTRL_HEADER, CTRL_DATA, LIST_HEADER = 0x32, 0x33, 0x36, 0x3A, 0x45
+DOC_PROPERTIES, ID_MAPPINGS, COMPATIBLE_DOCUMENT = 0x10, 0x11, 0x1E
+
+# Names of record tags.
+TAG_NAMES = {
+    0x10: "DOCUMENT_PROPERTIES", 0x11: "ID_MAPPINGS", 0x12: "BIN_DATA", 0x13: "FACE_NAME", 0x14: "BORDER_FILL", 0x15: "CHAR_SHAPE", 0x16: "TAB_DEF",
+    0x17: "PARA_NUM_DEF", 0x18: "BULLET_DEF", 0x19: "MEMO_SHAPE", 0x1A: "PARA_SHAPE", 0x1B: "STYLE", 0x1C: "DOC_DATA", 0x1D: "DISTRIBUTE_DOC_DATA",
+    0x1E: "COMPATIBLE_DOCUMENT", 0x1F: "LAYOUT_COMPATIBILITY", 0x20: "TRACK_CHANGES", 0x21: "TRACK_CHANGE_AUTHOR", 0x32: "PARA_HEAD", 0x33: "PARA_TEXT",
+    0x34: "PARA_CHAR_SHAPE", 0x35: "PARA_LINE_SEG", 0x36: "CTRL_HEADER", 0x37: "PARA_VERTICAL_ALIGN", 0x38: "PARA_HEAD_2", 0x3A: "CTRL_DATA",
+    0x3C: "EQEDIT", 0x3E: "SHAPE_COMPONENT_TEXTBOX", 0x3F: "SHAPE_COMPONENT_LINE", 0x40: "SHAPE_COMPONENT_RECT", 0x41: "SHAPE_COMPONENT_ELLIPSE",
+    0x42: "SHAPE_COMPONENT_ARC", 0x43: "SHAPE_COMPONENT_POLYGON", 0x44: "SHAPE_COMPONENT_CURVE", 0x45: "LIST_HEADER", 0x46: "PAGE_DEF",
+    0x47: "FOOTNOTE_SHAPE", 0x48: "PAGE_BORDER_FILL", 0x49: "SHAPE_COMPONENT", 0x4A: "TABLE", 0x4B: "CELL_LIST_HEADER", 0x4C: "CELL", 0x4D: "ROW",
+    0x4F: "NUMBERING", 0x50: "BULLET", 0x57: "TRACK_CHANGE", 0x58: "TRACK_CHANGE_MERGED", 0x59: "MEMO", 0x5A: "MEMO_LIST",
+}
+
+# Controls by their four bytes, and those that are known but handled in part only.
+CONTROL_NAMES = {
+    "secd": "SECTION_DEF", "cold": "COLUMN_DEF", "tbl ": "TABLE", "gso ": "DRAWING", "eqed": "EQUATION", "hdr ": "HEADER", "ftr ": "FOOTER",
+    "fn  ": "FOOTNOTE", "en  ": "ENDNOTE", "tc  ": "INDEX_MARK", "fld ": "FIELD", "bokm": "BOOKMARK", "tdut": "HIDDEN_COMMENT", "idot": "MEMO",
+    "nwno": "NEW_NUMBER", "pgnp": "PAGE_NUM_POS", "pgct": "PAGE_COUNT", "spbp": "START_NUM", "hyln": "HYPERLINK", "tab ": "TAB", "revt": "REVISION",
+    "mequ": "MATH_EQUATION", "head": "SECTION_HEAD",
+}
+PARTIAL_CONTROLS = ("revt", "mequ", "idot")
+
+# Tags whose counts the second record of the document stream declares, four bytes each, in this order.
+DECLARED_TAGS = (0x12, 0x13, 0x14, 0x15, 0x16, 0x17, 0x18, 0x1A)
+COLUMNS = (1, 20)
+LOOK_AHEAD, DATA_AHEAD = 5, 4
+DOC_STREAM, SECTION_STREAM, MASTER_STREAM = "DocInfo", "BodyText/Section", "MasterPage"

@@ -15,24 +15,9 @@ from quire.operators import blocks as B
 from quire.operators import figures as G
 from quire.operators import records as R
 from quire.operators import sections as S
+from quire.plans.base import ORACLE_SQL, QUERIES, _query, _read
 
 FLAGSHIP = "section_ranking"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 # Documents as reports: every seventh line is a heading of each kind.
@@ -353,3 +338,6 @@ SELECT doc_id, CAST(ord AS INTEGER) AS ord, nearest_title, regexp_replace(regexp
 def block_context(spark, sf_dir):
     blocks = S.lines(_reports(spark, sf_dir)).withColumnRenamed("line", "text")
     return B.with_context(B.with_nearest_title(blocks, "^[0-9]+[.] ", "none")).select("doc_id", "ord", "nearest_title", "context")
+
+
+from quire.plans import block_queries, plan_queries, slot_queries, stream_queries  # noqa: E402, F401  (they add theirs)
