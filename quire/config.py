@@ -29,6 +29,32 @@ class Lexicons:
     number: str = r"\d+(?:\.\d+)?(?:\s*(?:개|건|명|원|억|만|km|m|㎡|MW|톤|%|년|월|일|회|층))?"
 
 
+# Words that tell types of figures apart.
+@dataclass(frozen=True)
+class TypeWords:
+    maps: str = "지도|입지|위치|좌표"
+    plans: str = "단면|평면|배치|층"
+    views: str = "조망|투시|조감|렌더링|3D"
+    dates: str = r"\d{4}년|\d{1,2}월|\d{4}"
+    numbers: str = r"\d+(?:\.\d+)?"
+    trends: str = "추이|추세|변화|연도별|월별|시계열"
+
+
+# Words that the content of a figure of a type is expected to have.
+TYPE_CONTENT = {
+    "concept_diagram": ("개념", "정의", "원리", "구조", "체계"),
+    "comparison_table": ("비교", "대비", "항목", "구분", "차이"),
+    "flow_chart": ("단계", "절차", "흐름", "과정", "순서"),
+    "roadmap": ("년", "월", "계획", "일정", "추진"),
+    "map_layout": ("위치", "지도", "입지", "지역", "현장"),
+    "floor_plan": ("평면", "단면", "배치", "층", "공간"),
+    "rendering": ("조감", "투시", "3D", "렌더링", "조망"),
+    "bar_chart": ("수치", "통계", "현황", "건", "개"),
+    "line_chart": ("추이", "변화", "추세", "연도", "시계열"),
+    "photo": ("사진", "현장", "실물", "외관", "모습"),
+    "cover_banner": ("표지", "제목", "배너", "로고"),
+}
+
 #: Words of the invented prose in the test tables, where the Korean lists match nothing.
 PROSE = Lexicons(comparison="the|que", process="and|und", space="ing|eau", evidence="tion|mente", definition="with|avec", number=r"\d+")
 

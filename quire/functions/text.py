@@ -22,20 +22,20 @@ def normalise(c: Column) -> Column:
 
 def title(line: Column) -> Column:
     """A heading's title: one list or number prefix goes, then hash marks; a line that would be empty stays."""
-    bare = strip(F.regexp_replace(strip(F.regexp_replace(line, config.TITLE_PREFIX, "")), r"^#{1,6}\s+", ""))
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(line, f"(?U){config.TITLE_PREFIX}", "")), r"(?U)^#{1,6}\s+", ""))
     return F.when(bare != "", bare).otherwise(strip(line))
 
 
 def depth(line: Column) -> Column:
     """The depth of a heading line, or null."""
     line = strip(line)
-    marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
+    marks = F.length(F.regexp_extract(line, r"(?U)^(#{1,6})\s+\S", 1))
     found = F.when(marks > 0, F.least(marks, F.lit(config.MAX_MARKDOWN_DEPTH)))
-    return reduce(lambda c, p: c.when(line.rlike(p[0]), F.lit(p[1])), config.HEADINGS, found)
+    return reduce(lambda c, p: c.when(line.rlike(f"(?U){p[0]}"), F.lit(p[1])), config.HEADINGS, found)
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), 1))
+    return F.size(F.regexp_extract_all(text, F.lit(f"(?iU)({pattern})"), 1))
 
 
 def n_tokens(text: Column) -> Column:

@@ -30,6 +30,6 @@ def with_context(blocks: DataFrame, span: int = 8) -> DataFrame:
 
 def with_nearest_title(blocks: DataFrame, pattern: str, default: str, chars: int = 80) -> DataFrame:
     """Adds nearest_title: the last text up to the block that has the pattern, white space collapsed, cut for display."""
-    shown: Column = F.substring(F.regexp_replace("text", r"\s+", " "), 1, chars)
+    shown: Column = F.substring(F.regexp_replace("text", r"(?U)\s+", " "), 1, chars)
     found = F.last(F.when(F.col("text").rlike(pattern), shown), ignorenulls=True)
     return blocks.withColumn("nearest_title", F.coalesce(found.over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)), F.lit(default)))

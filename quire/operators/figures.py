@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from quire import config
 
 
-def vote(runs: DataFrame) -> DataFrame:
+def vote(figures: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Keeps (section_path, figure_type) groups with a majority of the document's runs, numbered in order of first appearance.
 
-    `runs`: doc_id, run_id, pos, section_path, figure_type, confidence, final_score, suggested_content.
+    `figures`: doc_id, run_id, pos, section_path, figure_type, confidence, final_score, suggested_content, and more, which the
+    first figure of a group keeps. `results` (doc_id, run_id) lists all successful runs, also those without figures; without it
+    the runs that have figures count. vote_rank is the order by score. The items of a group are reduced to the distinct ones
+    before they are gathered, and only the first CONTENT_ITEMS of these are.
     """
-    n = runs.groupBy("doc_id").agg(F.count_distinct("run_id").alias("n"))
-    items = F.transform(F.array_sort(F.collect_list(F.struct("run_id", "pos", "suggested_content"))), lambda x: x["suggested_content"])
-    groups = runs.groupBy("doc_id", "section_path", "figure_type").agg(
+    key, first = ["doc_id", "section_path", "figure_type"], F.struct("run_id", "pos")
+    figures = figures.withColumns({c: F.coalesce(c, F.lit("")) for c in key[1:]})
+    n = (figures if results is None else results).groupBy("doc_id").agg(F.count_distinct("run_id").alias("n"))
+    own = [c for c in figures.columns if c not in (*key, "run_id", "pos", "confidence", "final_score", "suggested_content")]
+    groups = figures.groupBy(*key).agg(
         F.count("*").alias("vote_count"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.avg(F.coalesce("final_score", F.lit(0.0))).alias("final_score"),
-        F.slice(F.array_distinct(F.flatten(items)), 1, config.CONTENT_ITEMS).alias("suggested_content"), F.min(F.struct("run_id", "pos")).alias("first"),
+        F.min(first).alias("first"), *[F.min_by(c, first).alias(c) for c in own],
     )
-    kept = groups.join(n, "doc_id").filter(F.col("vote_count") >= F.floor(F.col("n") / 2) + 1)
+    items = figures.select(*key, "run_id", "pos", F.posexplode("suggested_content").alias("at", "item")).groupBy(*key, "item").agg(F.min(F.struct("run_id", "pos", "at")).alias("seen"))
+    items = items.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("seen"))).filter(F.col("rank") <= config.CONTENT_ITEMS)
+    items = items.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("suggested_content"))
+    kept = groups.join(n, "doc_id").filter(F.col("vote_count") >= F.floor(F.col("n") / 2) + 1).join(items, key, "left")
+    kept = kept.withColumn("suggested_content", F.coalesce("suggested_content", F.array().cast("array<string>")))
     ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
-    return kept.withColumn("figure_id", F.concat(F.lit("F"), ordinal)).drop("n", "first")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("final_score"), "first"))
+    return kept.withColumns({"figure_id": F.concat(F.lit("F"), ordinal), "vote_rank": rank}).drop("n", "first")
 
 
 def review(figures: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -43,13 +53,15 @@ def top_k(figures: DataFrame) -> DataFrame:
 
 
 def merge_islands(ranked: DataFrame) -> DataFrame:
-    """Neighbours in order of rank with equal section and type become one: the first, with the others' content added."""
+    """Neighbours in order of rank with equal section and type become one: the first, with the others' unseen content items added."""
     w = Window.partitionBy("doc_id").orderBy("rank")
     key = F.struct("section_path", "figure_type")
     island = F.sum(F.when(key.eqNullSafe(F.lag(key).over(w)), 0).otherwise(1)).over(w)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggested_content"))), lambda x: F.coalesce(x["suggested_content"], F.array().cast("array<string>")))
+    content = F.aggregate(rows, F.array().cast("array<string>"), lambda seen, own: F.concat(seen, F.filter(own, lambda x: ~F.array_contains(seen, x))))
+    own = [c for c in ranked.columns if c not in ("doc_id", "final_score", "suggested_content", "island")]
     return ranked.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.min_by("figure_id", "rank").alias("figure_id"), F.first("section_path").alias("section_path"), F.first("figure_type").alias("figure_type"),
-        F.max("final_score").alias("final_score"), F.count("*").alias("merged"), F.min_by("char_start", "rank").alias("char_start"),
+        F.max("final_score").alias("final_score"), F.count("*").alias("merged"), content.alias("suggested_content"), *[F.min_by(c, "rank").alias(c) for c in own],
     )
 
 
@@ -63,7 +75,7 @@ def in_document_order(figures: DataFrame) -> DataFrame:
 
 def anchor_exists(anchor: Column, text: Column) -> Column:
     """At least ten characters of anchor that occur as they are, with other white space, or in a run of seven tenths."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    flat = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     a, t = flat(anchor), flat(text)
     part = F.floor(F.length(a) * config.ANCHOR_SHARE).cast("int")
     part = F.greatest(part, F.lit(1))
@@ -72,16 +84,24 @@ def anchor_exists(anchor: Column, text: Column) -> Column:
     return (F.length(anchor) >= config.MIN_ANCHOR) & (F.contains(text, anchor) | F.contains(t, a) | some)
 
 
-def drop_similar(figures: DataFrame) -> DataFrame:
-    """In document order, a figure goes if its purpose shares over six tenths of its words with one kept before."""
+def drop_similar(figures: DataFrame, order: str = "pos") -> DataFrame:
+    """In document order, a figure goes if its purpose shares over six tenths of its words with one kept before.
 
-    def similar(x: Column, y: Column) -> Column:
-        a, b = F.array_distinct(F.array_remove(F.split(x["purpose"], r"\s+"), "")), F.array_distinct(F.array_remove(F.split(y["purpose"], r"\s+"), ""))
-        return (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) > config.MAX_OVERLAP)
+    Of figures with equal sets of words only the first takes part in the comparison: whatever drops it drops the others, and else
+    it drops them itself. Words are taken once for each figure.
+    """
+    words = F.array_sort(F.array_distinct(F.array_remove(F.split(F.coalesce("purpose", F.lit("")), r"(?U)\s+"), "")))
+    rows = figures.withColumn("_words", words)
+    first = rows.filter(F.size("_words") > 0).groupBy("doc_id", "_words").agg(F.min(order).alias("_first"))
+
+    def similar(a: Column, b: Column) -> Column:
+        return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) > config.MAX_OVERLAP
 
-    rows = F.array_sort(F.collect_list(F.struct("pos", "purpose")))
-    kept = F.aggregate(rows, F.slice(rows, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: similar(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return figures.groupBy("doc_id").agg(kept.alias("k")).select("doc_id", F.explode("k").alias("x")).select("doc_id", "x.*")
+    each = F.array_sort(F.collect_list(F.struct("_first", "_words")))
+    kept = F.aggregate(each, F.slice(each, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: similar(x["_words"], y["_words"])), acc).otherwise(F.concat(acc, F.array(x))))
+    kept = first.groupBy("doc_id").agg(F.transform(kept, lambda x: x["_first"]).alias("k")).select("doc_id", F.explode("k").alias(order))
+    some = rows.filter(F.size("_words") > 0).join(kept, ["doc_id", order], "left_semi")
+    return some.unionByName(rows.filter(F.size("_words") == 0)).select(*figures.columns)
 
 
 def locate(figures: DataFrame, reports: DataFrame, sections: DataFrame) -> DataFrame:
@@ -104,15 +124,17 @@ def locate(figures: DataFrame, reports: DataFrame, sections: DataFrame) -> DataF
 def add_missing(approved: DataFrame, voted: DataFrame, missing: DataFrame) -> DataFrame:
     """`approved` and the figures that a review adds, numbered on from the voted ones; they have fixed scores and one vote.
 
-    `missing`: doc_id, pos, section_path, figure_type, confidence.
+    `missing`: doc_id, pos, section_path, figure_type, confidence, and perhaps anchor_text and purpose. Columns that only one side
+    has are null on the other.
     """
     n = voted.groupBy("doc_id").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
     rows = missing.withColumn("rank", rank).join(n, "doc_id", "left").select(
         "doc_id", F.concat(F.lit("F"), F.coalesce("n", F.lit(0)) + F.col("rank")).alias("figure_id"), F.coalesce("section_path", F.lit("")).alias("section_path"),
         F.coalesce("figure_type", F.lit("concept_diagram")).alias("figure_type"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.lit(0.6).alias("final_score"), F.lit(1).cast("long").alias("vote_count"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("anchor_text", "purpose") if c in missing.columns],
     )
-    return approved.select(*rows.columns).unionByName(rows)
+    return approved.unionByName(rows, allowMissingColumns=True)
 
 
 def drop_repeated(figures: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import config
+from quire.operators import streams
 
 
 def _w():
@@ -104,11 +105,9 @@ def compare(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.select("file", "ord", F.explode(F.array_compact(found)).alias("x")).select("file", "ord", "x.*")
 
 
-def roll_up(found: DataFrame) -> DataFrame:
-    """file, counts of each severity, status."""
-    n = {s: F.count_if(F.col("severity") == s) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")}
-    bad = n["CRITICAL"] + n["HIGH"] > 0
-    return found.groupBy("file").agg(*[c.alias(f"n_{s.lower()}") for s, c in n.items()], F.when(bad, "FAIL").otherwise("PASS").alias("status"))
+def roll_up(files: DataFrame, found: DataFrame) -> DataFrame:
+    """file, counts of each severity, status (IDENTICAL, WARN, FAIL) for each row of `files`, with or without differences."""
+    return streams.diff_report(files, found)
 
 
 def declared_and_actual(records: DataFrame, declared: DataFrame) -> DataFrame:

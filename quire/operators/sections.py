@@ -45,18 +45,19 @@ def split_sections(reports: DataFrame) -> DataFrame:
 
 
 def with_parents(sections: DataFrame) -> DataFrame:
-    """Adds parent_path and section_path. The ancestors are a stack cut to depth - 1, so that depth gaps make siblings nest."""
-    state = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<ord:int,parent:string>>").alias("out"))
+    """Adds parent_path and section_path. The ancestors are a stack cut to depth - 1, so that depth gaps make siblings nest.
 
-    def step(acc: Column, x: Column) -> Column:
-        above = F.slice(acc["stack"], 1, F.greatest(x["depth"] - 1, F.lit(0)))
-        row = F.struct(x["ord"].alias("ord"), F.array_join(above, " > ").alias("parent"))
-        return F.struct(F.concat(above, F.array(x["title"])).alias("stack"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    each = sections.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("ord", "depth", "title"))), state, step, lambda acc: acc["out"]).alias("out"))
-    parents = each.select("doc_id", F.explode("out").alias("x")).select("doc_id", "x.ord", F.col("x.parent").alias("parent_path"))
-    path = F.when(F.col("parent_path") == "", F.col("title")).otherwise(F.concat_ws(" > ", "parent_path", "title"))
-    return sections.join(parents, ["doc_id", "ord"]).withColumn("section_path", path)
+    The height of the stack is min(depth, height before + 1), a running minimum; the ancestor at height k is the last section
+    of that height. All windows share the key and order of the sections.
+    """
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.row_number().over(w)
+    height = at + F.least(F.lit(0), F.min(F.col("depth") - F.col("_at")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = sections.withColumn("_at", at).withColumn("_height", height)
+    above = [F.when(F.col("_height") > k, F.last(F.when(F.col("_height") == k, F.col("title")), ignorenulls=True).over(past)) for k in range(1, config.MAX_MARKDOWN_DEPTH)]
+    rows = rows.withColumn("parent_path", F.concat_ws(" > ", *above)).drop("_at", "_height")
+    return rows.withColumn("section_path", F.when(F.col("parent_path") == "", F.col("title")).otherwise(F.concat_ws(" > ", "parent_path", "title")))
 
 
 def features(sections: DataFrame, words: config.Lexicons = config.Lexicons()) -> DataFrame:
@@ -94,14 +95,14 @@ def dominant() -> Column:
     return reduce(lambda c, t: c.when(F.col(t) == best, t.upper()), TRIGGERS[1:], F.when(F.col("t1") == best, "T1"))
 
 
-def figure_type(trigger: Column, text: Column) -> Column:
+def figure_type(trigger: Column, text: Column, words: config.TypeWords = config.TypeWords()) -> Column:
     """The type of figure that a dominant trigger and the text call for."""
     return (
         F.when(trigger == "T6", "cover_banner")
-        .when(trigger == "T3", F.when(text.rlike("지도|입지|위치|좌표"), "map_layout").when(text.rlike("단면|평면|배치|층"), "floor_plan").when(text.rlike("조망|투시|조감|렌더링|3D"), "rendering").otherwise("map_layout"))
-        .when(trigger == "T4", F.when(T.occurrences(text, r"\d{4}년|\d{1,2}월|\d{4}") >= 3, "roadmap").otherwise("flow_chart"))
-        .when(trigger == "T2", F.when(T.occurrences(text, r"\d+(?:\.\d+)?") >= 5, "bar_chart").otherwise("comparison_table"))
-        .when(trigger == "T5", F.when(text.rlike("추이|추세|변화|연도별|월별|시계열"), "line_chart").otherwise("photo"))
+        .when(trigger == "T3", F.when(text.rlike(words.maps), "map_layout").when(text.rlike(words.plans), "floor_plan").when(text.rlike(words.views), "rendering").otherwise("map_layout"))
+        .when(trigger == "T4", F.when(T.occurrences(text, words.dates) >= 3, "roadmap").otherwise("flow_chart"))
+        .when(trigger == "T2", F.when(T.occurrences(text, words.numbers) >= 5, "bar_chart").otherwise("comparison_table"))
+        .when(trigger == "T5", F.when(text.rlike(words.trends), "line_chart").otherwise("photo"))
         .otherwise("concept_diagram")
     )
 

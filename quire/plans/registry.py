@@ -125,22 +125,29 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     return e.select(
         (F.col("user_id") % 10).alias("doc_id"), (F.col("event_id") % 3).alias("run_id"), F.col("event_id").alias("pos"), (F.col("user_id") % 7).cast("string").alias("section_path"),
-        F.col("event_type").alias("figure_type"), (F.col("event_id") % 10 / 10).alias("confidence"), (F.col("event_id") % 100 / 100).alias("final_score"), F.array("event_type", (F.col("event_id") % 5).cast("string")).alias("suggested_content"),
+        F.col("event_type").alias("figure_type"), (F.col("event_id") % 10 / 10).alias("confidence"), (F.col("event_id") % 100 / 100).alias("final_score"), F.array("event_type", (F.col("event_id") % 5).cast("string")).alias("suggested_content"), F.concat(F.lit("a"), "event_id").alias("anchor_text"),
     )
 
 
-_RUNS = "runs AS (SELECT user_id % 10 AS doc_id, event_id % 3 AS run_id, event_id AS pos, CAST(user_id % 7 AS VARCHAR) AS section_path, event_type AS figure_type, event_id % 10 / 10 AS confidence, event_id % 100 / 100 AS final_score, [event_type, CAST(event_id % 5 AS VARCHAR)] AS suggested_content FROM events)"
+def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document has one more run, without figures."""
+    runs = _runs(spark, sf_dir)
+    empty = runs.filter(F.col("doc_id") % 2 == 0).select("doc_id", F.lit(3).cast("long").alias("run_id"))
+    return G.vote(runs, runs.select("doc_id", "run_id").union(empty).distinct())
+
+
+_RUNS = "runs AS (SELECT user_id % 10 AS doc_id, event_id % 3 AS run_id, event_id AS pos, CAST(user_id % 7 AS VARCHAR) AS section_path, event_type AS figure_type, event_id % 10 / 10 AS confidence, event_id % 100 / 100 AS final_score, [event_type, CAST(event_id % 5 AS VARCHAR)] AS suggested_content, 'a' || event_id AS anchor_text FROM events)"
 _VOTE = _RUNS + """, items AS (SELECT doc_id, section_path, figure_type, x, min((run_id * 1000000000 + pos) * 2 + i) AS f FROM (SELECT *, unnest(suggested_content) AS x, generate_subscripts(suggested_content, 1) AS i FROM runs) GROUP BY ALL),
 lists AS (SELECT doc_id, section_path, figure_type, list(x ORDER BY f)[1:8] AS items FROM items GROUP BY ALL),
-g AS (SELECT doc_id, section_path, figure_type, count(*) AS vote_count, avg(confidence) AS confidence, avg(final_score) AS final_score, min(run_id * 1000000000 + pos) AS f FROM runs GROUP BY ALL),
-n AS (SELECT doc_id, count(DISTINCT run_id) AS n FROM runs GROUP BY doc_id),
-voted AS (SELECT g.*, items, 'F' || row_number() OVER (PARTITION BY doc_id ORDER BY f) AS figure_id FROM g JOIN n USING (doc_id) JOIN lists USING (doc_id, section_path, figure_type) WHERE vote_count >= n // 2 + 1)"""
+g AS (SELECT doc_id, section_path, figure_type, count(*) AS vote_count, avg(confidence) AS confidence, avg(final_score) AS final_score, min(run_id * 1000000000 + pos) AS f, arg_min(anchor_text, run_id * 1000000000 + pos) AS anchor_text FROM runs GROUP BY ALL),
+n AS (SELECT doc_id, count(DISTINCT run_id) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM runs GROUP BY doc_id),
+voted AS (SELECT g.*, items, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, f) AS INTEGER) AS vote_rank, 'F' || row_number() OVER (PARTITION BY doc_id ORDER BY f) AS figure_id FROM g JOIN n USING (doc_id) JOIN lists USING (doc_id, section_path, figure_type) WHERE vote_count >= n // 2 + 1)"""
 
 
-@_query(f"WITH {_VOTE} SELECT doc_id, section_path, figure_type, figure_id, vote_count, round(confidence, 6) AS confidence, round(final_score, 6) AS final_score, array_to_string(items, ',') AS content FROM voted")
+@_query(f"WITH {_VOTE} SELECT doc_id, section_path, figure_type, figure_id, vote_count, round(confidence, 6) AS confidence, round(final_score, 6) AS final_score, array_to_string(items, ',') AS content, anchor_text, vote_rank FROM voted")
 def vote(spark, sf_dir):
-    v = G.vote(_runs(spark, sf_dir))
-    return v.select("doc_id", "section_path", "figure_type", "figure_id", "vote_count", F.round("confidence", 6).alias("confidence"), F.round("final_score", 6).alias("final_score"), F.array_join("suggested_content", ",").alias("content"))
+    v = _voted(spark, sf_dir)
+    return v.select("doc_id", "section_path", "figure_type", "figure_id", "vote_count", F.round("confidence", 6).alias("confidence"), F.round("final_score", 6).alias("final_score"), F.array_join("suggested_content", ",").alias("content"), "anchor_text", "vote_rank")
 
 
 @_query(
@@ -152,23 +159,23 @@ def critic_merge(spark, sf_dir):
     e = _read(spark, sf_dir, "events")
     alt = F.when(F.col("event_id") % 3 == 0, "photo").when(F.col("event_id") % 3 == 1, "null")
     reviews = e.select((F.col("user_id") % 10).alias("doc_id"), F.concat(F.lit("F"), F.col("event_id") % 40).alias("figure_id"), (F.col("event_id") % 4 != 0).alias("approved"), alt.alias("alternative"), F.col("event_id").alias("ord"))
-    return G.review(G.vote(_runs(spark, sf_dir)), reviews).select("doc_id", "figure_id", "section_path", "figure_type")
+    return G.review(_voted(spark, sf_dir), reviews).select("doc_id", "figure_id", "section_path", "figure_type")
 
 
 # Line items as figures of orders: total_chars from the order, score from the quantity.
 def _lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"))
     li = li.agg(F.min("l_returnflag").alias("section_path"), F.min("l_linestatus").alias("figure_type"), F.max("l_quantity").alias("final_score"), F.min("l_partkey").alias("part"))
-    return li.select("doc_id", "pos", F.concat(F.lit("F"), "pos").alias("figure_id"), "section_path", "figure_type", "final_score", F.when(F.col("part") % 5 != 0, F.col("part")).alias("char_start"), (F.col("doc_id") % 10 * 1000).alias("total_chars"))
+    return li.select("doc_id", "pos", F.concat(F.lit("F"), "pos").alias("figure_id"), "section_path", "figure_type", "final_score", F.when(F.col("part") % 5 != 0, F.col("part")).alias("char_start"), F.array("section_path", F.concat(F.lit("p"), F.col("part") % 3)).alias("suggested_content"), (F.col("doc_id") % 10 * 1000).alias("total_chars"))
 
 
 _FIGURES = """figs AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, 'F' || l_linenumber AS figure_id, min(l_returnflag) AS section_path, min(l_linestatus) AS figure_type, max(l_quantity) AS final_score,
-  CASE WHEN min(l_partkey) % 5 <> 0 THEN min(l_partkey) END AS char_start, l_orderkey % 10 * 1000 AS total_chars FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  CASE WHEN min(l_partkey) % 5 <> 0 THEN min(l_partkey) END AS char_start, [min(l_returnflag), 'p' || min(l_partkey) % 3] AS suggested_content, l_orderkey % 10 * 1000 AS total_chars FROM lineitem GROUP BY l_orderkey, l_linenumber),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, pos) AS rank FROM figs),
 top AS (SELECT * FROM ranked WHERE rank <= greatest(1, least(total_chars // 1500, 8)))"""
 _ISLANDS = _FIGURES + """, ch AS (SELECT *, CASE WHEN section_path = lag(section_path) OVER w AND figure_type = lag(figure_type) OVER w THEN 0 ELSE 1 END AS c FROM top WINDOW w AS (PARTITION BY doc_id ORDER BY rank)),
 isl AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY rank) AS island FROM ch),
-merged AS (SELECT doc_id, island, arg_min(figure_id, rank) AS figure_id, any_value(section_path) AS section_path, any_value(figure_type) AS figure_type, max(final_score) AS final_score, count(*) AS merged, arg_min({'c': char_start}, rank).c AS char_start FROM isl GROUP BY doc_id, island)"""
+merged AS (SELECT doc_id, island, arg_min(figure_id, rank) AS figure_id, any_value(section_path) AS section_path, any_value(figure_type) AS figure_type, max(final_score) AS final_score, count(*) AS merged, flatten(list(suggested_content ORDER BY rank)) AS items, arg_min({'c': char_start}, rank).c AS char_start FROM isl GROUP BY doc_id, island)"""
 
 
 @_query(f"WITH {_FIGURES} SELECT doc_id, figure_id, final_score, CAST(rank AS INTEGER) AS rank FROM top")
@@ -176,9 +183,9 @@ def optimize_topk(spark, sf_dir):
     return G.top_k(_lineitems(spark, sf_dir)).select("doc_id", "figure_id", "final_score", "rank")
 
 
-@_query(f"WITH {_ISLANDS} SELECT doc_id, figure_id, section_path, figure_type, final_score, merged FROM merged")
+@_query(f"WITH {_ISLANDS} SELECT doc_id, figure_id, section_path, figure_type, final_score, merged, array_to_string(list_filter(items, lambda x, i: list_position(items, x) = i), ',') AS content FROM merged")
 def merge_islands(spark, sf_dir):
-    return G.merge_islands(G.top_k(_lineitems(spark, sf_dir))).select("doc_id", "figure_id", "section_path", "figure_type", "final_score", "merged")
+    return G.merge_islands(G.top_k(_lineitems(spark, sf_dir))).select("doc_id", "figure_id", "section_path", "figure_type", "final_score", "merged", F.array_join("suggested_content", ",").alias("content"))
 
 
 @_query(f"WITH {_ISLANDS} SELECT doc_id, 'F' || row_number() OVER (PARTITION BY doc_id ORDER BY char_start NULLS LAST, island) AS figure_id, section_path, figure_type, CAST(coalesce(char_start, -1) AS BIGINT) AS char_start FROM merged")
@@ -263,9 +270,15 @@ def record_diff(spark, sf_dir):
     return R.compare(_records(spark, sf_dir), _records(spark, sf_dir, 3))
 
 
-@_query(f"WITH {_DIFF} SELECT file, CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS n_critical, CAST(count_if(severity = 'HIGH') AS BIGINT) AS n_high, CAST(count_if(severity = 'MEDIUM') AS BIGINT) AS n_medium, CAST(count_if(severity = 'LOW') AS BIGINT) AS n_low, 'FAIL' AS status FROM diffs GROUP BY file")
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS n_{s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW"))
+
+
+@_query(f"""WITH {_DIFF}, n AS (SELECT f.file AS file, {_COUNTS} FROM (SELECT DISTINCT file FROM base) f LEFT JOIN diffs USING (file) GROUP BY f.file)
+SELECT *, CASE WHEN n_critical + n_high > 0 THEN 'FAIL' WHEN n_medium + n_low > 0 THEN 'WARN' ELSE 'IDENTICAL' END AS status FROM n""")
 def severity_rollup(spark, sf_dir):
-    return R.roll_up(R.compare(_records(spark, sf_dir), _records(spark, sf_dir, 3)))
+    records = _records(spark, sf_dir)
+    return R.roll_up(records, R.compare(records, _records(spark, sf_dir, 3)))
+
 
 
 @_query(f"WITH {_RECORDS}, f AS (SELECT DISTINCT file FROM rec), n AS (SELECT file, tag FROM f, (VALUES (50), (69)) v(tag)) SELECT file, tag FROM n WHERE NOT EXISTS (SELECT 1 FROM rec WHERE rec.file = n.file AND rec.tag = n.tag)")
@@ -320,7 +333,7 @@ SELECT doc_id, figure_id, section_path, figure_type, vote_count, round(final_sco
 def critic_additions(spark, sf_dir):
     e = _read(spark, sf_dir, "events").filter("event_type = 'error'")
     more = e.select((F.col("user_id") % 10).alias("doc_id"), F.col("event_id").alias("pos"), (F.col("user_id") % 7).cast("string").alias("section_path"), F.lit(None).cast("string").alias("figure_type"), F.lit(None).cast("double").alias("confidence"))
-    voted = G.vote(_runs(spark, sf_dir))
+    voted = _voted(spark, sf_dir)
     return G.add_missing(voted, voted, more).select("doc_id", "figure_id", "section_path", "figure_type", "vote_count", F.round("final_score", 6).alias("final_score"))
 
 

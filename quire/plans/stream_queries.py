@@ -111,7 +111,7 @@ def contract_report(spark, sf_dir):
     return S.report(streams, S.contract(streams, records))
 
 
-@_query(f"WITH {_FOUND} SELECT file, row_number() OVER (PARTITION BY file ORDER BY severity, stream, \"offset\", rule, detail NULLS FIRST) AS rank, severity, rule FROM found")
+@_query(f"WITH {_FOUND} SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY severity, stream, \"offset\", rule, detail NULLS FIRST) AS INTEGER) AS rank, severity, rule FROM found")
 def contract_listing(spark, sf_dir):
     return S.listing(S.contract(*_files(spark, sf_dir))).select("file", "rank", "severity", "rule")
 
