@@ -309,7 +309,7 @@ def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(token, rep, n, weight) of tokens that at least two representatives have in their prefixes."""
+    """(token, heavy, rep, n, weight) of tokens that at least two representatives have in their prefixes; at most MAX_HEAVY are heavy."""
     light = reps.select("rep", "n", F.explode("light").alias("token")).repartition("token")
     block = [F.min("rep").alias("hub"), F.max("rep").alias("last")]
     several = light.groupBy("token").agg(*block).filter("hub < last").select("token")
@@ -317,10 +317,10 @@ def _postings(reps: DataFrame) -> DataFrame:
     frequent = reps.select("rep", "n", F.explode("frequent").alias("token"))
     # at most MAX_HEAVY rows
     frequent = frequent.join(F.broadcast(frequent.groupBy("token").agg(*block).filter("hub < last").select("token")), "token")
-    live = light.select("token", "rep", "n").union(frequent.select("token", "rep", "n"))
+    live = light.select("token", F.lit(False).alias("heavy"), "rep", "n").union(frequent.select("token", F.lit(True), "rep", "n"))
     # copies that were edited share more with their original than with each other: in its prefix all tokens recur
     weight = live.groupBy("rep").agg((F.count("*") / F.first("n")).alias("weight"))
-    return live.join(weight, "rep").select("token", "rep", "n", "weight")
+    return live.join(weight, "rep").select("token", "heavy", "rep", "n", "weight")
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -341,14 +341,16 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
     labels = None
     for turn in range(HUB_ROUNDS + 1):
         known = live.withColumn("label", F.col("rep")) if labels is None else live.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        block = known.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("last"), "rep", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        block = block.filter("low < high").select("token", "hub", "size")
+        block = known.groupBy("token", "heavy").agg(F.min(F.struct((-F.col("weight")).alias("last"), "rep", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        block = block.filter("low < high").select("token", "heavy", "hub", "size")
         if turn < HUB_ROUNDS:
-            rest = common.durable(known.join(block, "token").filter("rep <> hub.rep"))
+            # the postings of heavy tokens stay where they are
+            rest = known.filter("NOT heavy").join(block.filter("NOT heavy"), ["token", "heavy"]).union(known.filter("heavy").join(F.broadcast(block.filter("heavy")), ["token", "heavy"]))
+            rest = common.durable(rest.filter("rep <> hub.rep"))
             if rest.isEmpty():
                 break
             pairs = rest.filter(F.col("label") != F.col("hub.label")).filter(_sizes_fit(F.col("n"), F.col("hub.n"), num, den)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-            live = rest.select("token", "rep", "n", "weight")
+            live = rest.select("token", "heavy", "rep", "n", "weight")
             pairs = _sift(pairs.distinct(), reps, num, den)
         else:
             few = known.join(block.filter(F.col("size") <= SMALL).select("token"), "token").select("token", "rep", "n", "label")
