@@ -55,6 +55,27 @@ TYPE_CONTENT = {
     "cover_banner": ("표지", "제목", "배너", "로고"),
 }
 
+REPORT_TITLE = "분석 결과"
+
+
+# Labels of a plan written as text.
+@dataclass(frozen=True)
+class ReportLabels:
+    total: str = "총 글자수"
+    baseline: str = "기준 개수"
+    final: str = "최종 그림 수"
+    figures: str = "추천 그림 목록"
+    section: str = "섹션"
+    place: str = "위치"
+    purpose: str = "목적"
+    anchor: str = "앵커"
+    confidence: str = "신뢰도"
+    score: str = "최종 점수"
+    votes: str = "투표 수"
+    content: str = "구성 요소"
+    prompt: str = "이미지 프롬프트"
+
+
 #: Words of the invented prose in the test tables, where the Korean lists match nothing.
 PROSE = Lexicons(comparison="the|que", process="and|und", space="ing|eau", evidence="tion|mente", definition="with|avec", number=r"\d+")
 

@@ -16,46 +16,11 @@ from quire.operators import figures as G
 from quire.operators import records as R
 from quire.operators import sections as S
 from quire.plans.base import ORACLE_SQL, QUERIES, _query, _read
+from quire.plans.views import _FEATURES, _LINES, _SCORES, _SECTIONS, _T, _reports, _rounded, _scored
 
 FLAGSHIP = "section_ranking"
 
 
-# Documents as reports: every seventh line is a heading of each kind.
-def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = lambda i: F.when(i % 7 == 0, "1. ").when(i % 7 == 2, "가. ").when(i % 7 == 4, "- ").otherwise("")
-    md = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(mark(i), x)), "\n")
-    return _read(spark, sf_dir, "documents").select("doc_id", md.alias("md"))
-
-
-_WS = r"[\s\x{00A0}]"
-_REPORTS = "reports AS (SELECT doc_id, array_to_string([CASE (i - 1) % 7 WHEN 0 THEN '1. ' WHEN 2 THEN '가. ' WHEN 4 THEN '- ' ELSE '' END || x for x, i in string_split(text, chr(10))], chr(10)) AS md FROM documents)"
-_LINES = _REPORTS + """, raw AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) - 1 AS ord FROM reports),
-lines AS (SELECT doc_id, ord, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - length(line) - 1 AS BIGINT) AS start FROM raw)"""
-_SECTIONS = _LINES + r""", dep AS (SELECT *, CASE WHEN regexp_matches(trim(line, chr(32) || chr(9) || chr(10) || chr(13)), '^\d+\.\s+') THEN 1 WHEN regexp_matches(trim(line), '^[가나다라마바사아자차카타파하]\.\s+') THEN 2 WHEN regexp_matches(trim(line), '^-\s+') THEN 4 END AS depth FROM lines),
-sec AS (SELECT *, count(depth) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS sec FROM dep),
-grp AS (SELECT doc_id, sec, arg_min(depth, ord) AS depth, arg_min(line, ord) AS line, string_agg(line, chr(10) ORDER BY ord) AS body, min(start) AS char_start, max(start + length(line) + 1) AS e FROM sec WHERE sec >= 0 GROUP BY doc_id, sec),
-sections AS (SELECT doc_id, CAST(sec AS INTEGER) AS ord, 'S' || sec AS section_id, CAST(depth AS INTEGER) AS depth,
-  coalesce(nullif(trim(regexp_replace(line, '^(\d+\.\s+|[가나다라마바사아자차카타파하]\.\s+|-\s+)', '')), ''), trim(line)) AS title, regexp_replace(body, '^\s+|\s+$', '', 'g') AS text,
-  CAST(char_start AS BIGINT) AS char_start, CAST(e - CASE WHEN sec = max(sec) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS BIGINT) AS char_end FROM grp)"""
-_COUNT = "CAST(len(regexp_extract_all(text, '(?i){}')) AS INTEGER)"
-_P = config.PROSE
-_FEATURES = _SECTIONS + rf""", feat AS (SELECT *, CAST(length(text) AS INTEGER) AS length, len(regexp_extract_all(text, '\d+')) / greatest(len(regexp_extract_all(text, '\S+')), 1) AS numeric_density,
-  {_COUNT.format(_P.comparison)} AS comparison_words, {_COUNT.format(_P.process)} AS process_words, {_COUNT.format(_P.space)} AS space_words, {_COUNT.format(_P.evidence)} AS evidence_words,
-  regexp_matches(text, '(?m)^[|].*[|]$') AS has_table, ord = 0 OR (depth = 1 AND ord <= 2) AS is_top FROM sections)"""
-_SCORES = _FEATURES + rf""", scored AS (SELECT *, CASE WHEN regexp_matches(text, '{_P.definition}') THEN 0.3e0 ELSE 0e0 END AS t1,
-  least(1e0, numeric_density * 0.4e0 + comparison_words * 0.2e0) * CASE WHEN has_table THEN 0.3e0 ELSE 1e0 END AS t2, least(1e0, space_words * 0.5e0) AS t3, least(1e0, process_words * 0.5e0) AS t4,
-  CASE WHEN evidence_words > 0 AND numeric_density > 0 THEN 0.3e0 ELSE 0e0 END AS t5, CASE WHEN depth = 1 AND is_top THEN 0.2e0 ELSE 0e0 END AS t6 FROM feat)"""
-_T = "round(t1, 6) AS t1, round(t2, 6) AS t2, round(t3, 6) AS t3, round(t4, 6) AS t4, round(t5, 6) AS t5, round(t6, 6) AS t6"
-
-
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.scores(S.features(S.split_sections(_reports(spark, sf_dir)), config.PROSE), config.PROSE)
-
-
-def _rounded() -> list:
-    return [F.round(t, 6).alias(t) for t in S.TRIGGERS]
-
-
 @_query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS md FROM documents")
 def normalize_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("md"))
