@@ -114,3 +114,63 @@ DECLARED_TAGS = (0x12, 0x13, 0x14, 0x15, 0x16, 0x17, 0x18, 0x1A)
 COLUMNS = (1, 20)
 LOOK_AHEAD, DATA_AHEAD = 5, 4
 DOC_STREAM, SECTION_STREAM, MASTER_STREAM = "DocInfo", "BodyText/Section", "MasterPage"
+
+# Display classes of lines, in order of precedence.
+LINE_CLASSES = (
+    (r"^\d+\.\s", "h-num"), (r"^[가나다라마바사아자차]\.\s", "h-kor"), (r"^□", "lv1"), (r"^[○◯◦]", "lv2"), (r"^[❍■▪◈‣·]", "lv3"), (r"^[-–]\s", "dash"),
+    (r"^※", "note"), (r"^(붙임|첨부)", "h-attach"),
+)
+NO_TITLE = r"^[\d가-힣]\s*[.)]"
+TITLE_CHARS = 8
+HEADING_CHARS = 40
+HEADING_START = r"^(\s*(\d+\.|[가-힣]\.|[ⅠⅡⅢⅣⅤ]+\.|[【\[].+[】\]])\s*)\S"
+UNITS_PER_MM, UNITS_PER_PIXEL, TEXT_WIDTH = 283.465, 75, 42520
+
+# Lines of plain blocks that become headings and bullets in Markdown.
+MARKDOWN_HEADING = r"^(\d+\.\s|[가-힣]\.\s|붙임|【|<)"
+MARKDOWN_BULLET = r"^[□◈▪▶●◦❍∘·\-*]\s?"
+MARKDOWN_TITLE_CHARS = 6
+
+# Formats by extension, and names of encodings.
+FORMATS = ("hwpx", "hwp", "docx", "pdf", "md", "txt")
+PREVIEW_FORMATS = ("docx", "doc", "hwpx", "hwp", "pdf")
+KOREAN_ENCODINGS = ("ks-c-5601", "ks-c-5601-1987", "cp949")
+
+# Entries that a package must have.
+REQUIRED_ENTRIES = ("mimetype", "META-INF/container.xml", "META-INF/manifest.xml", "version.xml", "settings.xml", "Contents/header.xml", "Contents/content.hpf")
+STYLE_GROUPS = {"charProperties": "charPr", "paraProperties": "paraPr", "borderFills": "borderFill"}
+
+
+# Words that tell places for images and their kinds apart.
+@dataclass(frozen=True)
+class SlotWords:
+    marker: str = r"(?i)#\s*그림|그림\s*삽입|이미지\s*삽입|사진\s*삽입|\[?\s*image\s*\]?"
+    title: str = "전경도|배치도|조감도|홍보물|안내도|포스터|카드뉴스"
+    nearest: str = "붙임|전경도|개요|지원|홍보|행사|기후|음수대|부스"
+    nearest_default: str = "보고서 이미지"
+    kinds: tuple[tuple[str, str], ...] = (
+        ("venue", "전경도|행사장|잠원|한강|배치|지도|location|map"), ("campaign", "qr|홈페이지|홍보|캠페인|실천|대국민"), ("booth", "부스|운영|설치"), ("water", "음수대|수돗물|물탱크|탈플라스틱|water"),
+    )
+    other: str = "diagram"
+    english: str = "[a-zA-Z]{3,}"
+    native: str = "[가-힣]"
+    sentence: str = "[다했다이다니다습니다]$"
+
+
+# Labels of kinds of places, kinds shown for them, and kinds shown for types of figures.
+SLOT_LABELS = {"venue": "행사장 전경도", "campaign": "기후행동 홍보 이미지", "booth": "홍보부스 운영 이미지", "water": "스마트 음수대 안내 이미지", "diagram": "보고서 설명 다이어그램"}
+SLOT_KINDS = {"venue": "지도시각화", "campaign": "홍보물", "booth": "인포그래픽", "water": "인포그래픽", "diagram": "다이어그램", "other": "기타이미지"}
+FIGURE_KINDS = {
+    "concept_diagram": "다이어그램", "comparison_table": "인포그래픽", "flow_chart": "공정도", "roadmap": "공정도", "map_layout": "지도시각화", "floor_plan": "지도시각화",
+    "rendering": "조감도", "bar_chart": "다이어그램", "line_chart": "다이어그램", "photo": "조감도", "cover_banner": "홍보물", "other": "기타이미지",
+}
+DEFAULT_KIND = "다이어그램"
+MAX_SLOTS, SLOT_CHARS, ITEM_CHARS, ANCHOR_CHARS = 12, 46, 25, 20
+WIDE_TABLE, HIGH_TABLE, WIDE_CELL, HIGH_CELL = 50_000, 20_000, 25_000, 12_000
+PROMPT_PURPOSE = "보고서 내용 시각화"
+PROMPT_GUIDE = "공공기관 보고서용, 흰 배경, 명확한 한글 라벨, 16:9 비율, 간결하고 전문적인 스타일"
+PROMPT_LABELS = ("이미지 목적", "시각화 요소", "유형", "생성 방향")
+PLACE_TITLE = "AI 추천 위치"
+
+# What a converter's status lines start with.
+STATUS_PREFIXES = ("Reading:", "Converting:", "Output:", "Image mode:", "Token efficient:", "Wrote markdown:", "Wrote image manifest:")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire import config
 
@@ -49,9 +52,79 @@ def json_object(reply: Column) -> Column:
 
 
 def table_markdown(rows: Column) -> Column:
-    """A pipe table from rows of cells: the first row is the header, short rows are padded, pipes escaped."""
+    """A pipe table from rows of cells: the first row is the header, short rows are padded, pipes and line ends escaped."""
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    lines = F.transform(padded, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |")))
+    lines = F.transform(padded, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit("<br>")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |")))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def clean(c: Column, multiline: bool = False) -> Column:
+    """Entities as characters, no-break spaces as spaces; white space as one space, or (multiline) at most one empty line in a row."""
+    c = F.regexp_replace(F.replace(_unescaped(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(" ")), "[ \t]+\n", "\n")
+    return strip(F.regexp_replace(c, "\n{3,}", "\n\n") if multiline else F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def escape_html(c: Column, apostrophe: bool = True) -> Column:
+    """Markup characters as entities."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))[: 5 if apostrophe else 4]:
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
+def line_class(text: Column, is_title: Column) -> Column:
+    """The display class of a line: the title, or the first of LINE_CLASSES that fits, or `line`."""
+    out = F.when(is_title, "doc-title")
+    for pattern, name in config.LINE_CLASSES:
+        out = out.when(text.rlike(f"(?U){pattern}"), name)
+    return out.otherwise("line")
+
+
+def looks_like_heading(text: Column) -> Column:
+    """At most 40 characters that start with a number, letter or bracket of a heading, or with a square."""
+    return (F.length(text) <= config.HEADING_CHARS) & (text.rlike(f"(?U){config.HEADING_START}") | text.rlike("^[□■▣]"))
+
+
+def is_dark(colour: Column) -> Column:
+    """Whether a colour #rrggbb is dark; anything else is not."""
+    part = lambda at: F.conv(F.substring(colour, at, 2), 16, 10).cast("int")
+    return F.when(colour.rlike("^#[0-9a-fA-F]{6}$"), part(2) * 0.299 + part(4) * 0.587 + part(6) * 0.114 < 100).otherwise(False)
+
+
+def safe_name(name: Column, chars: int = 90) -> Column:
+    """A name for a file: characters that paths can't hold, and white space, as underscores; cut."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(F.when(name != "", name), F.lit("image")), r'[\\/:*?"<>|]+', "_"), r"(?U)\s+", "_"), 1, chars)
+
+
+def plain_name(name: Column) -> Column:
+    """A name for a file: what is no letter, digit, dot, hyphen or underscore, one character at a time, as an underscore."""
+    return F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_")
+
+
+def count_of(text: Column, needle: str) -> Column:
+    """How often the needle occurs in the text, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
+
+
+def clean_reply(text: Column, status: tuple[str, ...]) -> Column:
+    """A program's output without its status lines (by prefix), line ends trimmed, at most one empty line in a row."""
+    rows = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    rows = F.filter(rows, lambda x: reduce(lambda keep, p: keep & ~x.startswith(p), status, F.lit(True)))
+    return strip(F.regexp_replace(F.array_join(rows, "\n"), "\n{3,}", "\n\n"))
+
+
+def hwp_units(mm: Column) -> Column:
+    return F.round(mm * config.UNITS_PER_MM).cast("long")
+
+
+def size_on_page(width: Column, height: Column, target: int = config.TEXT_WIDTH) -> Column:
+    """(org_w, org_h, disp_w, disp_h) of an image of so many pixels, 1920 x 1080 where unknown, shown over the width of the text."""
+    known = (width > 0) & (height > 0)
+    w, h = (F.when(known, x).otherwise(d).cast("long") * config.UNITS_PER_PIXEL for x, d in ((width, 1920), (height, 1080)))
+    return F.struct(w.alias("org_w"), h.alias("org_h"), F.lit(target).cast("long").alias("disp_w"), F.floor(F.lit(target).cast("long") * h / w).alias("disp_h"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import config
 from quire.functions import text as T
 
 
@@ -33,3 +34,100 @@ def with_nearest_title(blocks: DataFrame, pattern: str, default: str, chars: int
     shown: Column = F.substring(F.regexp_replace("text", r"(?U)\s+", " "), 1, chars)
     found = F.last(F.when(F.col("text").rlike(pattern), shown), ignorenulls=True)
     return blocks.withColumn("nearest_title", F.coalesce(found.over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)), F.lit(default)))
+
+
+def _in_order(blocks: DataFrame, piece: Column, sep: str, name: str) -> DataFrame:
+    """doc_id and the pieces of its blocks (null ones left out) in order, as one text."""
+    each = F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct("ord", piece.alias("s")))))
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["s"]), sep).alias(name))
+
+
+def to_markdown(blocks: DataFrame) -> DataFrame:
+    """doc_id, md: text blocks as paragraphs and tables as pipe tables, cleaned, in order; images are left out.
+
+    `blocks`: doc_id, ord, kind (text, table, image), text, rows.
+    """
+    cells = F.transform(F.filter("rows", lambda r: F.size(r) > 0), lambda r: F.transform(r, lambda c: T.strip(F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), r"(?U)\s+", " "))))
+    wide = F.array_max(F.transform(cells, lambda r: F.size(r)))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), wide), " | "), F.lit(" |"))
+    lines = F.transform(cells, line)
+    table = F.when(F.size(cells) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
+    text = T.clean(F.col("text"))
+    piece = F.when((F.col("kind") == "text") & (text != ""), text).when(F.col("kind") == "table", table)
+    return _in_order(blocks, F.concat(piece, F.lit("\n")), "\n", "md").withColumn("md", T.strip(F.col("md")))
+
+
+def to_plain_text(blocks: DataFrame) -> DataFrame:
+    """doc_id, plain: a line for each text and each row of a table that isn't empty, its cells parted by tabs."""
+    rows = F.transform("rows", lambda r: F.transform(r, lambda c: T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))))
+    rows = F.transform(F.filter(rows, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.array_join(r, "\t"))
+    text = T.strip(F.col("text"))
+    piece = F.when((F.col("kind") == "text") & (text != ""), text).when((F.col("kind") == "table") & (F.size(rows) > 0), F.array_join(rows, "\n"))
+    return _in_order(blocks, piece, "\n", "plain")
+
+
+def to_display_markdown(blocks: DataFrame) -> DataFrame:
+    """doc_id, md: the first longer text as title, headings and bullets by their marks, tables as pipe tables with escaped pipes."""
+    text = T.strip(F.coalesce("text", F.lit("")))
+    is_text = (F.col("kind") == "text") & (text != "")
+    first = F.min(F.when(is_text & (F.length(text) > config.MARKDOWN_TITLE_CHARS), F.col("ord"))).over(Window.partitionBy("doc_id"))
+    rows = blocks.withColumn("_first", first)
+    shown = (
+        F.when(F.col("ord") == F.col("_first"), F.concat(F.lit("# "), text)).when(text.rlike(f"(?U){config.MARKDOWN_HEADING}"), F.concat(F.lit("## "), text))
+        .when(text.rlike(f"(?U){config.MARKDOWN_BULLET}"), F.concat(F.lit("- "), F.regexp_replace(text, f"(?U){config.MARKDOWN_BULLET}", ""))).otherwise(text)
+    )
+    cells = F.transform("rows", lambda r: F.transform(r, lambda c: T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))))
+    piece = F.when(is_text, shown).when(F.col("kind") == "table", F.when(F.size("rows") > 0, T.table_markdown(cells)).otherwise(""))
+    return _in_order(rows, piece, "\n\n", "md")
+
+
+def statistics(blocks: DataFrame) -> DataFrame:
+    """doc_id, section_count, paragraph_count, table_count, total_chars (of texts and cells)."""
+    kind = lambda k: F.col("kind") == k
+    cells = F.aggregate(F.flatten("rows"), F.lit(0).cast("long"), lambda n, c: n + F.length(F.coalesce(c, F.lit(""))))
+    chars = F.when(kind("text"), F.length("text").cast("long")).when(kind("table"), cells).otherwise(0)
+    return blocks.groupBy("doc_id").agg(F.count_distinct("section_index").alias("section_count"), F.count_if(kind("text")).alias("paragraph_count"), F.count_if(kind("table")).alias("table_count"), F.sum(F.coalesce(chars, F.lit(0))).alias("total_chars"))
+
+
+def with_line_class(blocks: DataFrame) -> DataFrame:
+    """Adds class to text blocks: the first longer one that has no number is the title."""
+    text = F.col("text")
+    able = (F.col("kind") == "text") & (F.length(text) > config.TITLE_CHARS) & ~text.rlike(f"(?U){config.NO_TITLE}")
+    first = F.min(F.when(able, F.col("ord"))).over(Window.partitionBy("doc_id"))
+    rows = blocks.withColumn("_first", first)
+    return rows.withColumn("class", F.when(F.col("kind") == "text", T.line_class(text, F.coalesce(F.col("ord") == F.col("_first"), F.lit(False))))).drop("_first")
+
+
+def table_class(rows: Column) -> Column:
+    """`title` for a table of one short cell, `restoration` if its first row compares before and after, else null."""
+    first = F.get(rows, F.lit(0))
+    lone = F.get(first, F.lit(0))
+    return F.when((F.size(rows) == 1) & (F.size(first) == 1) & (lone != "") & (F.length(lone) <= 80), "title").when(F.array_join(first, " ").rlike(r"(?U)복원\s*[전후]"), "restoration")
+
+
+def distinct_images(images: DataFrame) -> DataFrame:
+    """The first of the references to one image within a paragraph. `images`: doc_id, paragraph, ord, bin_ref, and more."""
+    first = Window.partitionBy("doc_id", "paragraph", "bin_ref").orderBy("ord")
+    return images.filter(F.coalesce("bin_ref", F.lit("")) != "").withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+
+
+def with_styles(paragraphs: DataFrame, styles: DataFrame, ref: str, prefix: str) -> DataFrame:
+    """Adds the columns of the style that `ref` names, with a prefix; else those of style "0", else null. `styles`: doc_id, id, and more."""
+    own = [c for c in styles.columns if c not in ("doc_id", "id")]
+    named = styles.select("doc_id", F.col("id").alias(ref), F.struct(*own).alias("_own"))
+    default = styles.filter("id = '0'").select("doc_id", F.struct(*own).alias("_default"))
+    rows = paragraphs.withColumn(ref, F.coalesce(ref, F.lit("0"))).join(named, ["doc_id", ref], "left").join(default, "doc_id", "left").withColumn("_s", F.coalesce("_own", "_default"))
+    return rows.select(*paragraphs.columns, *[F.col(f"_s.{c}").alias(f"{prefix}{c}") for c in own])
+
+
+def block_of_anchor(figures: DataFrame, blocks: DataFrame, chars: int = config.ANCHOR_CHARS) -> DataFrame:
+    """Adds block_ord: the first block of the document that holds the start of the figure's anchor, or -1.
+
+    The texts of a document's blocks meet its figures as one array.
+    """
+    texts = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))).alias("_blocks"))
+    needle = F.substring("anchor_text", 1, chars)
+    found = F.get(F.filter("_blocks", lambda b: F.contains(b["text"], needle)), F.lit(0))["ord"]
+    rows = figures.join(texts, "doc_id", "left")
+    return rows.withColumn("block_ord", F.coalesce(F.when(F.coalesce("anchor_text", F.lit("")) != "", found), F.lit(-1)).cast("int")).drop("_blocks")

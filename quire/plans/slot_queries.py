@@ -1 +1,131 @@
-"""x."""
+"""Queries over places for images. Blocks are the lines of reports; words are such as occur in the invented prose."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire import config
+from quire.operators import blocks as B
+from quire.operators import sections as S
+from quire.operators import slots as P
+from quire.plans.base import _query
+from quire.plans.block_queries import _BLOCKS, _blocks
+from quire.plans.views import _SECTIONS, _reports
+
+WORDS = config.SlotWords(
+    marker="ingbl|enbe", title="eaux|ungs", nearest="and|und", nearest_default="none", kinds=(("venue", "ingth"), ("campaign", "enbe"), ("booth", "tionl"), ("water", "einv")), english="[a-z]{3,}", native="e", sentence="n$",
+)
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("ord")
+    return _blocks(spark, sf_dir).withColumns({"width": i * 7919 % 60000, "height": i * 10473 % 24000, "empty_large": i % 13 == 0})
+
+
+def _case(pairs, value: str, default: str) -> str:
+    return "CASE " + value + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs) + f" ELSE '{default}' END"
+
+
+_LABEL = _case(config.SLOT_LABELS.items(), "type", config.SLOT_LABELS["diagram"])
+_UI = _case(config.SLOT_KINDS.items(), "type", config.DEFAULT_KIND)
+_KIND = _case(config.FIGURE_KINDS.items(), "figure_type", config.DEFAULT_KIND)
+_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{p}') THEN '{k}'" for k, p in WORDS.kinds) + " ELSE 'diagram' END"
+_english = "(regexp_matches({0}, '[a-z]{{3,}}') AND NOT regexp_matches({0}, 'e'))".format
+_L = config.PROMPT_LABELS
+
+
+def _prompt(purpose: str, path: str, items: str, kind: str) -> str:
+    return f"""'[{_L[0]}] ' || CASE WHEN {purpose} <> '' AND NOT {_english(purpose)} THEN {purpose} WHEN {path} <> '' THEN {path} ELSE '{config.PROMPT_PURPOSE}' END || CASE WHEN len({items}) > 0 THEN chr(10) || '[{_L[1]}] ' || array_to_string({items}, ' / ') ELSE '' END
+    || chr(10) || '[{_L[2]}] ' || {kind} || chr(10) || '[{_L[3]}] {config.PROMPT_GUIDE}'"""
+
+
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace({}, '\\r\\n?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')".format
+_SLOTS = _BLOCKS + f""", ms AS (SELECT *, CAST(ord AS BIGINT) * 7919 % 60000 AS width, CAST(ord AS BIGINT) * 10473 % 24000 AS height, ord % 13 = 0 AS hole FROM blk),
+nt AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(text, '{WORDS.nearest}') THEN substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 80) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'none') AS near,
+  string_agg(text, chr(10)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS c8, max(ord) OVER (PARTITION BY doc_id) AS top FROM ms),
+cx AS (SELECT *, {_NORMAL('c8')} AS context FROM nt),
+fd AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS id, ord AS block_ord, section_index, CASE WHEN regexp_matches(text, '{WORDS.title}') THEN text ELSE near END AS title, context FROM cx
+  WHERE regexp_matches(text, '{WORDS.marker}') OR kind = 'table' AND (width > 50000 OR height > 20000 OR hole)),
+ro AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY ord) AS c FROM nt WHERE ord BETWEEN least(8, top) - 10 AND least(8, top) + 10 AND doc_id NOT IN (SELECT doc_id FROM fd) GROUP BY doc_id),
+al AS (SELECT *, {_TYPE.format("title || chr(10) || context")} AS type FROM fd WHERE id < 12 UNION ALL SELECT doc_id, 0, 0, 0, near, {_NORMAL('c')}, {_TYPE.format(_NORMAL('c'))} FROM ro JOIN nt USING (doc_id) WHERE ord = 0),
+ds AS (SELECT *, {_UI} AS ui_type, CASE WHEN type = 'venue' THEN 'field' ELSE 'official' END AS style, substr(CASE WHEN title <> '' AND NOT contains(title, {_LABEL}) THEN {_LABEL} || ' - ' || title ELSE {_LABEL} END, 1, 46) AS "desc" FROM al),
+slots AS (SELECT doc_id, CAST(id AS INTEGER) AS id, CAST(block_ord AS INTEGER) AS block_ord, CAST(section_index AS INTEGER) AS section_index, type, title, context, ui_type, style, "desc", {_prompt('"desc"', "title", "CAST([] AS VARCHAR[])", "ui_type")} AS prompt FROM ds)"""
+
+
+@_query(f"WITH {_SLOTS} SELECT * FROM slots")
+def image_slots(spark, sf_dir):
+    return P.find_slots(_measured(spark, sf_dir), WORDS)
+
+
+@_query(f"""WITH {_SLOTS}, j AS (SELECT doc_id, id, json_object('id', id + 1, 'section', section_index + 1, 'block_index', block_ord, 'image_href', 'BinData/visual_flow_' || lpad(CAST(id + 1 AS VARCHAR), 2, '0') || '.png', 'description', regexp_replace("desc", '\\pC', '', 'g'), 'type', type, 'style', style,
+  'title', regexp_replace(title, '\\pC', '', 'g'), 'prompt', regexp_replace(prompt, '\\pC', '', 'g'), 'context', '') AS j FROM slots) SELECT doc_id, '[' || string_agg(j, ',' ORDER BY id) || ']' AS plan FROM j GROUP BY doc_id""")
+def slot_plans(spark, sf_dir):
+    plain = {c: F.regexp_replace(c, r"\p{C}", "") for c in ("desc", "title", "prompt")}
+    return P.plan_documents(P.find_slots(_measured(spark, sf_dir), WORDS).withColumns({**plain, "context": F.lit("")}))
+
+
+@_query(f"WITH {_SLOTS} SELECT b.doc_id AS doc_id, b.ord AS ord, max(s.id) AS slot_id FROM blk b LEFT JOIN (SELECT doc_id, id, block_ord // 3 * 3 AS o FROM slots) s ON s.doc_id = b.doc_id AND s.o = b.ord GROUP BY ALL")
+def slots_over_blocks(spark, sf_dir):
+    b = _measured(spark, sf_dir)
+    slots = P.find_slots(b, WORDS).withColumn("block_ord", (F.floor(F.col("block_ord") / 3) * 3).cast("int"))
+    return P.over_blocks(b, slots).select("doc_id", "ord", "slot_id")
+
+
+_IMAGES = _SLOTS + ", im AS (SELECT prompt, 'img' || min(doc_id) % 5 AS image FROM slots WHERE doc_id % 4 <> 0 GROUP BY prompt), wi AS (SELECT doc_id, id, block_ord, image FROM slots LEFT JOIN im USING (prompt))"
+
+
+def _with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = P.find_slots(_measured(spark, sf_dir), WORDS)
+    made = slots.filter("doc_id % 4 <> 0").groupBy("prompt").agg(F.concat(F.lit("img"), F.min("doc_id") % 5).alias("image"))
+    return P.with_images(slots, made).select("doc_id", "id", "block_ord", "image")
+
+
+@_query(f"WITH {_IMAGES} SELECT * FROM wi")
+def slot_images(spark, sf_dir):
+    return _with_images(spark, sf_dir)
+
+
+@_query(f"WITH {_IMAGES} SELECT * FROM wi WHERE image IS NULL UNION ALL SELECT doc_id, min(id), arg_min(block_ord, id), image FROM wi WHERE image IS NOT NULL GROUP BY doc_id, image")
+def distinct_slot_images(spark, sf_dir):
+    return P.drop_repeated_images(_with_images(spark, sf_dir))
+
+
+# The slots in another visual order: every second one first.
+@_query(f"""WITH {_IMAGES}, v AS (SELECT doc_id, (id % 2) * 100 + id AS id, block_ord, image FROM wi WHERE image IS NOT NULL), a AS (SELECT doc_id, block_ord, row_number() OVER (PARTITION BY doc_id ORDER BY block_ord, id) AS k FROM v),
+b AS (SELECT doc_id, image, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM v) SELECT doc_id, block_ord, image FROM a JOIN b USING (doc_id, k)""")
+def visual_order(spark, sf_dir):
+    slots = _with_images(spark, sf_dir)
+    return P.in_visual_order(slots.withColumn("id", F.col("id") % 2 * 100 + F.col("id")))
+
+
+# Each section as a planned figure.
+_PLANNED = _SECTIONS + f""", fg AS (SELECT doc_id, ord AS pos, CASE WHEN ord % 2 = 0 THEN substr(text, 1, 30) ELSE '' END AS anchor_text, ['photo', '', 'roadmap'][ord % 3 + 1] AS ft, CASE WHEN ord % 5 = 4 THEN '' ELSE title END AS section_path,
+  CASE WHEN ord % 4 = 0 THEN '' ELSE title END AS purpose, [substr(title, 1, 12), 'x y', 'abc', 'en'] AS content FROM sections),
+ft AS (SELECT * EXCLUDE (ft), regexp_replace(anchor_text, '^\\s+|\\s+$', '', 'g') AS a, CASE WHEN ft = '' THEN 'concept_diagram' ELSE ft END AS figure_type FROM fg),
+ab AS (SELECT f.doc_id, f.pos, min(l.ord) AS o FROM ft f JOIN lines l ON l.doc_id = f.doc_id AND f.a <> '' AND contains(l.line, substr(f.a, 1, 20)) GROUP BY ALL),
+fi AS (SELECT ft.*, coalesce(o, 0) AS block_ord, CASE WHEN o IS NULL THEN -1 ELSE o END AS found, list_filter(content, lambda s: NOT {_english("s")} AND length(s) <= 25 AND NOT regexp_matches(s, 'n$')) AS items FROM ft LEFT JOIN ab USING (doc_id, pos))"""
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, title = F.col("ord"), F.col("title")
+    kind = F.element_at(F.array(*map(F.lit, ("photo", "", "roadmap"))), (i % 3 + 1).cast("int"))
+    return S.split_sections(_reports(spark, sf_dir)).select(
+        "doc_id", i.alias("pos"), F.when(i % 2 == 0, F.substring("text", 1, 30)).otherwise("").alias("anchor_text"), kind.alias("figure_type"), F.when(i % 5 == 4, "").otherwise(title).alias("section_path"),
+        F.when(i % 4 == 0, "").otherwise(title).alias("purpose"), F.array(F.substring(title, 1, 12), F.lit("x y"), F.lit("abc"), F.lit("en")).alias("suggested_content"),
+    )
+
+
+@_query(f"WITH {_PLANNED} SELECT doc_id, pos, CAST(found AS INTEGER) AS block_ord FROM fi")
+def blocks_of_anchors(spark, sf_dir):
+    f = _planned(spark, sf_dir)
+    return B.block_of_anchor(f, _blocks(spark, sf_dir)).select("doc_id", "pos", "block_ord")
+
+
+@_query(f"""WITH {_PLANNED}, cc AS (SELECT doc_id, ord, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS c FROM lines)
+SELECT f.doc_id AS doc_id, CAST(row_number() OVER (PARTITION BY f.doc_id ORDER BY pos) - 1 AS INTEGER) AS id, CAST(block_ord AS INTEGER) AS block_ord, CAST(block_ord // 7 AS INTEGER) AS section_index, {_KIND} AS ui_type,
+  CASE WHEN purpose <> '' THEN substr(purpose, 1, 46) WHEN section_path <> '' THEN section_path ELSE {_KIND} || ' 후보' END AS "desc", CASE WHEN section_path <> '' THEN section_path WHEN purpose <> '' THEN purpose ELSE '{config.PLACE_TITLE}' END AS title,
+  {_NORMAL("c")} AS context, {_prompt("purpose", "section_path", "items", _KIND)} AS prompt FROM fi f JOIN cc ON cc.doc_id = f.doc_id AND cc.ord = f.block_ord""")
+def figure_slots(spark, sf_dir):
+    out = P.figure_slots(_planned(spark, sf_dir), _blocks(spark, sf_dir), WORDS)
+    return out.select("doc_id", "id", "block_ord", "section_index", "ui_type", "desc", "title", "context", "prompt")
