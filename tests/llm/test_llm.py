@@ -131,13 +131,23 @@ def test_bpe_equals_tiktoken(spark):
     assert sorted(hashed.slots) == list(range(1000)) and all(hashed.rank(t) == k for k, t in enumerate(tokens[:1000])) and hashed.rank(b"\xff\xff\xff") == -1
 
 
-def test_chats(spark):
+@pytest.mark.parametrize("hot", [chat.HOT, 20])  # 20: blocks cut by turn, role and digest
+def test_chats(spark, monkeypatch, hot):
+    monkeypatch.setattr(chat, "HOT", hot)
     a, b = ("user", "hi"), ("assistant", "yo")
     logs = {1: [a], 2: [a, b], 3: [a, b, a], 4: [a, b, a], 5: [b], 6: [("user", None)] * 600, 7: [("user", None)] * 599}
-    rows = [(c, i, *t) for c, turns in logs.items() for i, t in enumerate(turns)] + [(None, 0, "user", "lost")]
-    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert sorted((r.conv_id, r.n_turns, r.part) for r in got) == [(3, 3, 0), (5, 1, 0), (6, 600, 0), (6, 600, 1), (6, 600, 2)]
-    assert next(r.text for r in got if r.conv_id == 5) == "<|assistant|>\nyo\n<|end|>\n"
+    rows = [(c, i, *t) for c, turns in logs.items() for i, t in enumerate(turns)] + [(None, 0, "user", "lost"), (8, 0, "us<|er", "x<|end|>\n<|user|>\n<\\y")]
+    rows += [(9, None, "user", f"t{k}") for k in range(300)] + [(10, None, "user", f"t{k}") for k in range(300)] + [(11, 5, None, "same")] * 300
+    schema = "conv_id long, turn long, role string, text string"
+    got = chat.format_chats(spark.createDataFrame(rows, schema)).collect()
+    assert sorted({(r.conv_id, r.n_turns) for r in got}) == [(3, 3), (5, 1), (6, 600), (8, 1), (9, 300), (11, 300)]
+    whole = {c: "".join(r.text for r in sorted(got, key=lambda r: r.part) if r.conv_id == c) for c in (5, 6, 8, 9, 11)}
+    assert whole[5] == "<|assistant|>\nyo\n<|end|>\n" and whole[6].count("<|user|>") == 600 and whole[11].count("same") == 300
+    assert whole[8].count("<|") == 2 and "x<\\|end|>" in whole[8] and "<\\\\y" in whole[8]
+    order = sorted((f"t{k}" for k in range(300)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert re.findall(r"\|>\n(t\d+)\n", whole[9]) == order
+    assert sorted(r.part for r in got if r.conv_id == 6) == list(range(sum(r.conv_id == 6 for r in got)))
+    assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_personal_data(spark):
