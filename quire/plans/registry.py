@@ -15,8 +15,11 @@ from quire.operators import blocks as B
 from quire.operators import figures as G
 from quire.operators import records as R
 from quire.operators import sections as S
+from quire.operators import slots
+from quire.plans import block_queries, plan_queries, slot_queries, stream_queries  # noqa: F401  (they add theirs)
 from quire.plans.base import ORACLE_SQL, QUERIES, _query, _read
 from quire.plans.views import _FEATURES, _LINES, _SCORES, _SECTIONS, _T, _reports, _rounded, _scored
+from quire.sources.records import decode_records
 
 FLAGSHIP = "section_ranking"
 
@@ -172,7 +175,7 @@ def anchor_exists(spark, sf_dir):
     return d.select("doc_id", G.anchor_exists(anchor, F.col("text")).alias("found"))
 
 
-@_query(None)
+@_query(f"""WITH cv AS (SELECT conv_id AS doc_id, turn AS pos, text AS purpose FROM conversations), {plan_queries._greedy('cv', 'doc_id', 'pos', plan_queries._WORDS('purpose'))} SELECT cv.* FROM cv JOIN kept USING (doc_id, pos)""")
 def near_dup_greedy(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("purpose"))
     return G.drop_similar(c)
@@ -318,4 +321,38 @@ def block_context(spark, sf_dir):
     return B.with_context(B.with_nearest_title(blocks, "^[0-9]+[.] ", "none")).select("doc_id", "ord", "nearest_title", "context")
 
 
-from quire.plans import block_queries, plan_queries, slot_queries, stream_queries  # noqa: E402, F401  (they add theirs)
+@_query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN trim(props) WHEN 1 THEN trim(props) WHEN 2 THEN trim(props) || ' and ' || trim(props) END AS object FROM events""")
+def json_replies(spark, sf_dir):
+    k, p = F.col("event_id") % 4, F.col("props")
+    fence = lambda tag: F.concat(F.lit(f"Sure.\n```{tag}\n"), p, F.lit("\n```"))
+    reply = F.when(k == 0, fence("json")).when(k == 1, fence("")).when(k == 2, F.concat(F.lit("It is "), p, F.lit(" and "), p, F.lit("."))).otherwise("no object")
+    return _read(spark, sf_dir, "events").select("event_id", T.json_object(reply).alias("object"))
+
+
+# Streams of bytes made from line items, decoded again; every seventh part has its size in a word of its own.
+@_query("""WITH base AS (SELECT l_orderkey AS file, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL), r AS (SELECT file, row_number() OVER w - 1 AS ord, 16 + p % 90 AS tag, p % 5 AS level, p % 9 AS size, sum(CASE WHEN p % 7 = 0 THEN 8 ELSE 4 END + p % 9) OVER w - CASE WHEN p % 7 = 0 THEN 8 ELSE 4 END - p % 9 AS off FROM base WINDOW w AS (PARTITION BY file ORDER BY n))
+SELECT CAST(file AS VARCHAR) AS file, CAST(ord AS INTEGER) AS ord, CAST(off AS BIGINT) AS "offset", CAST(tag AS INTEGER) AS tag, CAST(level AS INTEGER) AS level, CAST(size AS BIGINT) AS size, repeat('AB', CAST(size AS INTEGER)) AS data FROM r""")
+def decoded_records(spark, sf_dir):
+    li = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    p, size = F.col("p"), F.col("p") % 9
+    word = lambda v: F.concat(*[F.lpad(F.hex(F.shiftright(v, k).bitwiseAND(F.lit(255))), 2, "0") for k in (0, 8, 16, 24)])
+    head = lambda n: word(16 + p % 90 + p % 5 * 1024 + n.cast("long") * 1048576)
+    raw = F.concat(F.when(p % 7 == 0, F.concat(head(F.lit(0xFFF)), word(size.cast("long")))).otherwise(head(size)), F.repeat(F.lit("AB"), size.cast("int")))
+    streams = li.select("file", F.struct("n", raw.alias("raw")).alias("x")).groupBy(F.col("file").cast("string").alias("file")).agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["raw"]), "")).alias("content"))
+    return decode_records(streams).withColumn("data", F.hex("data"))
+
+
+@_query(f"""WITH {_RECORDS}, d AS (SELECT DISTINCT file, t AS tag, file % 3 AS declared FROM rec, (VALUES (50), (51)) v(t)), n AS (SELECT d.*, (SELECT count(*) FROM rec r WHERE r.file = d.file AND r.tag = d.tag) AS actual FROM d)
+SELECT file, CAST(tag AS INTEGER) AS tag, declared, actual FROM n WHERE declared <> actual""")
+def declared_counts(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    declared = records.select("file").distinct().select("file", F.explode(F.array(F.lit(50), F.lit(51))).alias("tag"), (F.col("file") % 3).alias("declared"))
+    return R.declared_and_actual(records, declared)
+
+
+# Prompts are answered once each; the answer goes back to all turns with the prompt.
+@_query("SELECT conv_id, turn, c.text AS prompt, 'made for ' || first AS answer FROM conversations c JOIN (SELECT text, min(conv_id) AS first FROM conversations GROUP BY text) p ON p.text IS NOT DISTINCT FROM c.text")
+def prompt_answers(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations").withColumnRenamed("text", "prompt")
+    made = c.groupBy("prompt").agg(F.concat(F.lit("made for "), F.min("conv_id")).alias("image"))
+    return slots.with_images(c.select("conv_id", "turn", "prompt"), made).withColumnRenamed("image", "answer")
