@@ -120,6 +120,59 @@ def _n_lines(t: Texts) -> np.ndarray:
     return t.sums(t.data == 10) + 1
 
 
+_BULLETS = tuple(x.encode() for x in "-*•‣▪●◦")
+_ELLIPSES = (b"...", "…".encode())
+
+
+def _has_at(data: np.ndarray, at: np.ndarray, room: np.ndarray, signs: tuple[bytes, ...]) -> np.ndarray:
+    """Whether one of the signs stands at each place, which has `room` bytes."""
+    out = np.zeros(len(at), bool)
+    for sign in signs:
+        ok = room >= len(sign)
+        for k, byte in enumerate(sign):
+            ok &= data[np.minimum(at + k, len(data) - 1)] == byte
+        out |= ok
+    return out
+
+
+def _line_counts(t: Texts) -> None:
+    """Lines with a word, and those of them that open with a bullet or end with an ellipsis; all three are kept."""
+    starts, ends, first = t.words()
+    breaks = np.concatenate([[0], np.cumsum(t.data == 10)])
+    line = breaks[starts] + np.repeat(np.arange(t.n), np.diff(first))  # rises with each line and each text
+    opens = np.ones(len(line), bool)
+    opens[1:] = line[1:] != line[:-1]
+    closes = np.ones(len(line), bool)
+    closes[:-1] = opens[1:]
+    size = ends - starts
+    bullet = _has_at(t.data, starts, size, _BULLETS)
+    ellipsis = np.zeros(len(line), bool)
+    for sign in _ELLIPSES:
+        ellipsis |= _has_at(t.data, np.maximum(ends - len(sign), 0), np.where(size >= len(sign), len(sign), 0), (sign,))
+    for name, flags in (("n_text_lines", opens), ("n_bullet_lines", opens & bullet), ("n_ellipsis_lines", closes & ellipsis)):
+        total = np.concatenate([[0], np.cumsum(flags)])
+        t.held[name] = total[first[1:]] - total[first[:-1]]
+
+
+def _of_lines(name: str) -> Callable[[Texts], np.ndarray]:
+    def metric(t: Texts) -> np.ndarray:
+        _line_counts(t)
+        return t.held[name]
+
+    return metric
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+
+
+def _n_letter_words(t: Texts) -> np.ndarray:
+    starts, ends, first = t.words()
+    letters = np.concatenate([[0], np.cumsum(_LETTER[t.data])])
+    total = np.concatenate([[0], np.cumsum(letters[ends] > letters[starts])])
+    return total[first[1:]] - total[first[:-1]]
+
+
 METRICS: dict[str, Callable[[Texts], np.ndarray]] = {
     "n_words": _n_words,
     "word_chars": _word_chars,
@@ -128,6 +181,10 @@ METRICS: dict[str, Callable[[Texts], np.ndarray]] = {
     "n_repeat_words": _n_repeat_words,
     "n_same_neighbours": _n_same_neighbours,
     "n_lines": _n_lines,
+    "n_text_lines": _of_lines("n_text_lines"),
+    "n_bullet_lines": _of_lines("n_bullet_lines"),
+    "n_ellipsis_lines": _of_lines("n_ellipsis_lines"),
+    "n_letter_words": _n_letter_words,
 }
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -150,6 +207,9 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda n, s: 10 * s > 3 * n, "10 * n_symbols > 3 * n_words"),
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda n, d: 2 * d > n, "2 * n_dup_lines > n_lines"),
     Rule("same_neighbours", ("n_words", "n_same_neighbours"), lambda n, s: 10 * s > 3 * n, "10 * n_same_neighbours > 3 * n_words"),
+    Rule("bullets", ("n_text_lines", "n_bullet_lines"), lambda n, b: 10 * b > 9 * n, "10 * n_bullet_lines > 9 * n_text_lines"),
+    Rule("ellipses", ("n_text_lines", "n_ellipsis_lines"), lambda n, e: 10 * e > 3 * n, "10 * n_ellipsis_lines > 3 * n_text_lines"),
+    Rule("letters", ("n_words", "n_letter_words"), lambda n, k: 10 * k < 6 * n, "10 * n_letter_words < 6 * n_words"),
 )
 
 
@@ -239,7 +299,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM a),
-c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(string_split(t, chr(10))) AS n_lines, len([i for i in range(2, len(w) + 1) if w[i] = w[i-1]]) AS n_same_neighbours FROM b),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(string_split(t, chr(10))) AS n_lines, len([i for i in range(2, len(w) + 1) if w[i] = w[i-1]]) AS n_same_neighbours,
+  len(l) AS n_text_lines, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣▪●◦]'))) AS n_bullet_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{{80}}-\x{{10FFFF}}]'))) AS n_letter_words FROM b),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM b)),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM h WHERE k > 1) GROUP BY doc_id),

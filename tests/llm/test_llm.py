@@ -62,6 +62,18 @@ def test_unlinked_near_copies_in_one_block(spark):
     assert {r.component_id for r in got if r.doc_id in linked} == {min(linked)}
 
 
+def test_large_classes_of_copies(spark, monkeypatch, texts):
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    base = texts[10][1]
+    rows = [*texts, *((1000 + k, base) for k in range(40)), *((2000 + k, None) for k in range(20))]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, DOCS)).collect()
+    small = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(texts, DOCS)).collect()}
+    own = {r.doc_id: r.component_id for r in got}
+    assert len(got) == len(rows) and all(own[k] == small[k] for k in small) and all(own[1000 + k] == small[10] for k in range(40)) and all(own[2000 + k] == 2000 + k for k in range(20))
+    with pytest.raises(ValueError):
+        ngram_join.ngram_jaccard_join(spark.createDataFrame(texts, DOCS), threshold=(1, 2))
+
+
 def test_components_of_a_chain(spark):
     found = ngram_join.components(spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long"))
     assert {r.label for r in found.collect()} == {1}
@@ -74,6 +86,14 @@ def test_urls(spark):
     assert got[4][2:] == ("example.org/en/1", "block") and got[5] == ("badexample.org", "", None, "allow") and got[6][2:] == ("com/de/", "block")
 
 
+def test_a_host_of_many_labels_and_rules_of_different_length(spark):
+    rules = {"org/": "allow", "a.b.example.org/x": "block", "example.org/": "block", "/": "block"}
+    rows = [(1, "http://" + "a." * 100_000 + "org/x"), (2, "http://c.a.b.example.org/xy"), (3, "http://example.org"), (4, "http://" + "x" * 300_000 + "/"), (5, ""), (6, "http://b.example.org/x")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, "review").collect()}
+    assert got == {1: ("org/", "allow"), 2: ("a.b.example.org/x", "block"), 3: (None, "review"), 4: (None, "review"), 5: (None, "review"), 6: ("example.org/", "block")}
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
 def test_language(spark):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(40))
@@ -118,6 +138,22 @@ def test_decontamination_brute_force(spark):
     assert {r.n_hit for r in decontaminate.decontaminate(spark.createDataFrame(docs, DOCS), empty).collect()} == {0}
 
 
+def test_decontamination_of_very_many_hits(spark):
+    items = [(1, "x"), (2, "x"), (3, "y z"), (None, "q")]
+    docs = [(1, "x " * 400_000), (2, "y z " * 3), (3, "q q a"), (4, "X"), (5, None)]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (400_000, 400_000, 2, True) and (got[2].n_hit, got[2].n_items) == (6, 1)
+    assert (got[3].n_hit, got[3].n_items, got[3].items_sha256) == (2, 0, hashlib.sha256(b"").hexdigest()) and got[4].n_items == 2 and not got[5].contaminated
+
+
+@pytest.mark.parametrize("anchors", [0, decontaminate.MAX_ANCHORS])
+def test_both_ways_to_find_short_items(spark, monkeypatch, anchors):
+    monkeypatch.setattr(decontaminate, "MAX_ANCHORS", anchors)
+    items, docs = [(k, f"w{k} w{k + 1}") for k in range(20)], [(k, f"a w{k} w{k + 1} w{k + 2} b") for k in range(25)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: hits(t, items) for i, t in docs}
+
+
 def test_bpe_equals_tiktoken(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = byte_bpe.public_vocabulary()
@@ -190,6 +226,19 @@ def test_quality(spark, texts):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_quality_metrics_brute_force():
+    rng = random.Random(21)
+    pieces = ["- ", "•", "▪x", "*", "...", "…", "\n", " \n", "word ", "é ", "12 ", "| ", "\t", ". . .", "◦ a"]
+    texts = ["", "\n", *("".join(rng.choices(pieces, k=rng.randrange(25))) for _ in range(500))]
+    data = "".join(texts).encode()
+    t = quality_rules.Texts(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(x.encode()) for x in texts)]))
+    lines = [[x for x in text.split("\n") if x.strip(" \t\n\v\f\r")] for text in texts]
+    assert t.get("n_text_lines").tolist() == [len(x) for x in lines]
+    assert t.get("n_bullet_lines").tolist() == [sum(x.strip(" \t")[0] in "-*•‣▪●◦" for x in own) for own in lines]
+    assert t.get("n_ellipsis_lines").tolist() == [sum(x.rstrip(" \t").endswith(("...", "…")) for x in own) for own in lines]
+    assert t.get("n_letter_words").tolist() == [sum(any(c.isascii() and c.isalpha() or ord(c) > 127 for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", x)) for x in texts]
+
+
 def test_scores(spark):
     good, bad = "the cat sat on the mat " * 20, "zq xv kj " * 40
     docs = spark.createDataFrame([(1, good), (2, bad), (3, None), (4, ""), (5, good)], DOCS)
