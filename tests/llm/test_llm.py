@@ -107,6 +107,57 @@ def test_language(spark):
     assert language_id.predict(spark.createDataFrame([(1, "abc")], DOCS), [], np.zeros((0, language_id.TABLE), np.float32)).first().lang_pred == "und"
 
 
+def plain_mixture(text, model):
+    """The language and its share, step by step, from dicts of cell probabilities."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    cell = lambda i: (int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32 >> 16) & 65535
+    n = Counter(cell(i) for i in range(len(raw) - 2))
+    names = sorted(model)
+
+    def em(some, steps):
+        share = {k: 1 / len(some) for k in some}
+        for _ in range(steps):
+            new = dict.fromkeys(some, 0.0)
+            for c, m in n.items():
+                total = sum(share[k] * model[k][c] for k in some)
+                for k in some:
+                    new[k] += m * share[k] * model[k][c] / total
+            share = {k: v / sum(new.values()) for k, v in new.items()}
+        return share, sum(m * math.log(sum(share[k] * model[k][c] for k in some)) for c, m in n.items())
+
+    single = {k: sum(m * math.log(model[k][c]) for c, m in n.items()) for k in names}
+    best = max(names, key=lambda k: (single[k], -names.index(k)))
+    rest, _ = em(names, 4)
+    chosen, share, level = [best], {best: 1.0}, single[best]
+    for k in sorted((k for k in names if k != best), key=lambda k: (-rest[k], names.index(k))):
+        more, new = em([*chosen, k], language_id.STEPS)
+        if new - level <= language_id.PENALTY * math.log(max(2, sum(n.values()))):
+            break
+        chosen, share, level = [*chosen, k], more, new
+    return min(chosen, key=lambda k: (-share[k], names.index(k))), max(share.values())
+
+
+def test_language_brute_force(spark):
+    rng = random.Random(22)
+    letters = {"aa": "abcde", "bb": "defgh", "cc": "ghißé", "zz": "vwxyz"}
+    make = lambda k, n=30: " ".join("".join(rng.choices(letters[k], k=rng.randrange(1, 7))) for _ in range(n))
+    train = [(make(k), k) for k in letters for _ in range(6)] + [(None, "aa"), ("abc", None), ("", "bb")]
+    counts = {k: Counter() for k in letters}
+    for text, k in train:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()) if k else b""
+        for i in range(len(raw) - 2):
+            counts[k][(int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32 >> 16) & 65535] += 1
+    model = {k: {c: (own[c] + 0.5) / (sum(own.values()) + 0.5 * 65536) for c in range(65536)} for k, own in counts.items()}
+    docs = [(i, " ".join(make(rng.choice("aa bb cc zz".split()), 12) for _ in range(1 + i % 3)).title()) for i in range(24)]
+    docs += [(100, "x" * 200_000 + make("aa")), (101, docs[3][1]), (101, docs[3][1])]
+    got = language_id.predict(spark.createDataFrame(docs, DOCS), *language_id.train(spark.createDataFrame(train, "text string, lang string"))).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        lang, share = plain_mixture(dict(docs)[r.doc_id], model)
+        assert r.lang_pred == lang and abs(r.score - min(1, share)) < 1e-4
+    assert language_id.predict(spark.createDataFrame([], DOCS), ["aa"], np.zeros((1, language_id.TABLE), np.float32)).count() == 0
+
+
 def hits(text, items):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, covered, listed = find(text), set(), set()
@@ -391,3 +442,62 @@ def test_disclosure_brute_force(spark, monkeypatch, limit):
     assert any(s.kind == "term" for r in few for s in r.spans)
     terms = {s for r in few for s in ((texts[r.doc_id] or "")[x.start : x.end].lower() for x in r.spans if x.kind == "term")}
     assert terms == set(got) or terms < set(got)
+
+
+def plain_quality(text):
+    """Whether a text passes, straight from the rules."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    repeated = {p for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for p in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
+    n, chars = len(w), sum(map(len, w))
+    return not (
+        n < 20 or 100 * len(repeated) > 30 * n or chars > 15 * n or 10 * chars < 15 * n or 10 * len(re.findall(r"[#*$%&|<>]", text)) > 3 * n or 2 * (len(lines) - len({*lines})) > text.count("\n") + 1
+        or 10 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > 3 * n or 10 * sum(x.strip()[0] in "-*•‣▪●◦" for x in lines) > 9 * len(lines) or 10 * sum(x.rstrip().endswith(("...", "…")) for x in lines) > 3 * len(lines)
+        or 10 * sum(any(c.isascii() and c.isalpha() or ord(c) > 127 for c in x) for x in w) < 6 * n
+    )
+
+
+def plain_clean(text, terms):
+    """The text with base spans and disclosing terms (p and kind) replaced."""
+    base = plain_spans(text)
+    spans = base + [("term", *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", text) if m[0].lower() in terms and not any(m.start() < e and s < m.end() for _, s, e in base)]
+    out, at = "", 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            p, of = terms.get(text[s:e].lower(), (0, ""))
+            out += text[at:s] + (f"[{kind.upper()}]" if kind != "term" else "" if p >= pii.REMOVE else f"[{of.upper()} TERM]")
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mé", "ni") for b in ("ra", "tu", "vo", "sch") for c in ("s", "n", "kt", "")]
+    make = lambda n=60: "\n".join(" ".join(rng.choices(vocabulary, k=10)) for _ in range(n // 10))
+    items = [(k, make(30)) for k in range(4)]
+    docs = [(k, make(rng.choice((10, 40, 90)))) for k in range(150)] + [(200 + k, f"{make(30)}\n{make(10)} zorblax boss@corp.example {k} quimby\n{make(20)}") for k in range(6)]
+    docs += [(300, docs[3][1]), (301, docs[3][1].upper()), (302, docs[4][1] + " tail"), (303, make(40) + "\n" + items[1][1]), (304, "spam " * 50), (305, None), (306, ""), (307, "call +1 (234) 555-6789 now\n" + make(40))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    kept = [(i, t) for i, t in docs if plain_quality(t)]
+    sets, label = {i: shingles(t) for i, t in kept}, {i: i for i, _ in kept}
+    linked = {i: [j for j in sets if i == j or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in sets}
+    for _ in range(9):
+        label = {i: min(label[j] for j in linked[i]) for i in sets}
+    kept = [(i, t) for i, t in kept if label[i] == i]
+    judged = {i: hits(t, items) for i, t in kept}
+    kept = [(i, t) for i, t in kept if not (judged[i][1] > 0 and 20 * judged[i][1] >= judged[i][0])]
+    shares = plain_disclosure([t for _, t in kept])
+    assert {"zorblax", "quimby"} <= set(shares)
+    kinds = {r.term: r.kind for r in pii.disclosing_terms(spark.createDataFrame(kept, DOCS)).collect()}
+    path, pattern = byte_bpe.public_vocabulary()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(byte_bpe.read_ranks(path))}, special_tokens={})
+    assert set(got) == {i for i, _ in kept} and len(got) < len(docs) - 10
+    for i, t in kept:
+        text = plain_clean(t, {k: (p, kinds[k]) for k, p in shares.items()})
+        assert bytes(got[i].decoded).decode() == text and np.frombuffer(got[i].ids, "<u4").tolist() == known.encode_ordinary(text)
