@@ -3,9 +3,11 @@ import struct
 
 from pyspark.sql import functions as F
 
-from quire import config
+from quire import config, streaming
+from quire.functions import files
 from quire.functions import text as T
-from quire.operators import blocks, figures, records, sections
+from quire.operators import blocks, figures, plan, records, sections, streams
+from quire.sources import sinks
 from quire.sources.records import decode_records
 
 REPORT = "머리말\n# 사업 개요\n1. 추진 계획\n가. 2024년 1단계 착공\n◦ 세부 위치\n◦ 면적 비교"
@@ -119,3 +121,112 @@ def test_tree_parents_past_gaps(spark):
     rows = spark.createDataFrame([(name, 10 * i, level) for name, levels in files.items() for i, level in enumerate(levels)], "file string, ord long, level int")
     assert {(r.file, r.ord): r.parent_ord for r in records.tree_parents(rows).collect()} == want
     assert records.tree_parents(rows.limit(0)).columns == ["file", "ord", "level", "parent_ord"]
+
+
+def test_stack_of_sections_and_wide_spaces(spark):
+    md = "# A\n◦ b\n◦ c\n1.　한글\n가. 둘\n- x"
+    rows = sections.with_parents(sections.split_sections(spark.createDataFrame([(1, md)], "doc_id long, md string"))).orderBy("ord").collect()
+    assert [(r.title, r.depth, r.parent_path) for r in rows] == [("A", 1, ""), ("b", 3, "A"), ("c", 3, "A > b"), ("한글", 1, ""), ("둘", 2, "한글"), ("x", 4, "한글 > 둘")]
+
+
+def test_features_of_a_table(spark):
+    md = "# T\n| a | b |\n| 대비 12 | 3 |"
+    rows = sections.scores(sections.features(sections.split_sections(spark.createDataFrame([(1, md)], "doc_id long, md string")))).collect()
+    assert rows[0].has_table and 0 < rows[0].t2 <= 0.3
+
+
+def _file(spark, records, name="f", stream="BodyText/Section0"):
+    rows = [(name, stream, i, tag, level, bytes(data)) for i, (tag, level, data) in enumerate(records)]
+    return spark.createDataFrame([(name, stream)], "file string, stream string"), spark.createDataFrame(rows, "file string, stream string, ord int, tag int, level int, data binary")
+
+
+GOOD = [(0x32, 0, b"abcd"), (0x33, 0, b"xy"), (0x36, 1, b"secd"), (0x45, 2, b"\1\0"), (0x32, 3, b"")]
+
+
+def test_contract_and_checks_of_a_stream(spark):
+    found = streams.section_rules(*_file(spark, GOOD)).collect()
+    assert found == [] and streams.structure_checks(_file(spark, GOOD)[1]).count() == 0
+    bad = [(0x33, 0, b"x"), (0x36, 2, b"zzzz"), (0x45, 0, b"\1"), (0x45, 0, b"\5\0"), (0x32, 1, b""), (0x36, 1, b"revt")]
+    assert {(r.rule, r.offset) for r in streams.section_rules(*_file(spark, bad)).collect()} == {("R-031", 0), ("R-042", 0), ("R-040", 5), ("R-041", 5), ("R-041", 28)}
+    checks = {(r.rule, r.severity, r.detail) for r in streams.verify(*_file(spark, bad)).collect()}
+    assert {("S-001", "ERROR", None), ("S-002", "ERROR", "too short"), ("S-002", "WARN", "5:1"), ("controls", "ERROR", "unknown"), ("controls", "ERROR", "no data"), ("controls", "WARN", "REVISION")} == checks
+    counts = (2).to_bytes(4, "little") + bytes(28)
+    doc = [(0x10, 0, b""), (0x11, 0, counts), (0x12, 0, b""), (0x1E, 1, b"")]
+    assert {(r.rule, r.detail) for r in streams.document_rules(*_file(spark, doc, stream="DocInfo")).collect()} == {("R-014", "BIN_DATA:2:1"), ("R-015", None)}
+    assert {r.rule for r in streams.document_rules(*_file(spark, GOOD)).collect()} == {"R-010"}
+
+
+def test_streams_that_are_empty_or_missing(spark):
+    names = spark.createDataFrame([("a", "DocInfo"), ("a", "BodyText/Section0"), ("a", "MasterPage/0"), ("b", "BodyText/Section0"), ("b", "BodyText/Section1")], "file string, stream string")
+    records = _file(spark, [(0x32, 0, b""), (0x36, 0, b"hdr ")], "b")[1]
+    assert {(r.file, r.rule) for r in streams.contract(names, records).collect()} == {("a", "R-011"), ("a", "R-030"), ("b", "R-010"), ("b", "R-030"), ("b", "R-041")}
+    assert {(r.file, r.rule) for r in streams.contract(names, records, 1).collect()} == {("a", "R-011"), ("a", "R-030"), ("b", "R-010"), ("b", "R-041")}
+    assert {(r.file, r.severity) for r in streams.master_checks(names, records).collect()} == {("a", "ERROR"), ("b", "WARN")}
+    report = {r.file: r.status for r in streams.report(names, streams.master_checks(names, records), ("ERROR", "WARN", "INFO")).collect()}
+    assert report == {"a": "FAIL", "b": "PASS"}
+
+
+def test_comparison_of_files(spark):
+    one = _file(spark, GOOD)
+    assert streams.compare(one, one).count() == 0
+    same = streams.diff_report(one[0], streams.compare(one, one)).first()
+    changed = [*GOOD[:1], (0x33, 0, b"xz"), *GOOD[2:]]
+    assert same.status == "IDENTICAL" and streams.diff_report(one[0], streams.compare(one, _file(spark, changed))).first().status == "WARN"
+    diffs = streams.prioritised(streams.compare(one, _file(spark, [(0x32, 1, b"abXdef"), *changed[1:4]]))).orderBy("priority").collect()
+    assert [(r.kind, r.severity, r.i, r.differs_at) for r in diffs] == [("MISSING", "CRITICAL", 4, None), ("LEVEL", "HIGH", 0, None), ("SIZE", "HIGH", 0, None), ("DATA", "MEDIUM", 0, 2), ("DATA", "MEDIUM", 1, 1)]
+    raw = spark.createDataFrame([(bytes(5000) + b"a", bytes(5000) + b"b"), (b"", b"x"), (b"ab", b"ab"), (b"ab", b"abc")], "a binary, b binary")
+    assert [r.n for r in raw.select(streams.first_difference(F.col("a"), F.col("b")).alias("n")).collect()] == [5000, 0, 2, 2]
+
+
+def test_vote_counts_runs_without_figures(spark):
+    rows = [(1, 0, 0, "A", "photo", 0.5, 0.5, ["x", "y"], "first"), (1, 1, 0, "A", "photo", 0.7, 0.9, ["y", "z"], "second")]
+    runs = spark.createDataFrame(rows, "doc_id long, run_id int, pos int, section_path string, figure_type string, confidence double, final_score double, suggested_content array<string>, purpose string")
+    got = figures.vote(runs).first()
+    assert (got.suggested_content, got.purpose, round(got.confidence, 6), got.vote_count) == (["x", "y", "z"], "first", 0.6, 2)
+    assert figures.vote(runs, spark.createDataFrame([(1, k) for k in range(4)], "doc_id long, run_id int")).count() == 0
+
+
+def test_islands_keep_content(spark):
+    rows = [(1, k, f"F{k}", "A", "photo", 1.0 - k / 10, c) for k, c in enumerate((["a", "b"], ["b", "c"], None))] + [(1, 3, "F3", "B", "photo", 0.1, ["d"])]
+    got = figures.merge_islands(spark.createDataFrame(rows, "doc_id long, rank int, figure_id string, section_path string, figure_type string, final_score double, suggested_content array<string>")).orderBy("rank").collect()
+    assert [(r.figure_id, r.suggested_content, r.merged) for r in got] == [("F0", ["a", "b", "c"], 3), ("F3", ["d"], 1)]
+
+
+def test_similar_figures_and_self_check(spark):
+    purposes = ["a b c d e", "a b c d x", "", " ", "a b c", "e d c b a", None]
+    got = figures.drop_similar(spark.createDataFrame([(1, k, p) for k, p in enumerate(purposes)], "doc_id long, pos int, purpose string"))
+    assert sorted(r.pos for r in got.collect()) == [0, 2, 3, 4, 6]
+    md = "the first anchor of all\nand another　anchor here " + "x" * 3000
+    rows = [(1, "F1", "first anchor of", 0.9, "p q"), (1, "F2", "another anchor here", 0.5, "r s"), (1, "F3", "not in the text", 0.9, "t"), (1, "F4", "the first anchor", 0.4, "u"), (1, "F5", "the first anchor", 0.9, "q p"), (1, "F10", "short", 1.0, "v")]
+    checked = plan.self_check(spark.createDataFrame(rows, "doc_id long, figure_id string, anchor_text string, confidence double, purpose string"), spark.createDataFrame([(1, md)], "doc_id long, md string"))
+    assert sorted((r.figure_id, r.purpose) for r in checked.collect()) == [("F1", "p q"), ("F2", "r s")]
+
+
+def test_blocks(spark):
+    rows = [(1, 0, "text", "&lt;T&gt; &amp; title here", []), (1, 1, "table", "", [["a|b", "c"], ["d\ne"], []]), (1, 2, "image", "", []), (1, 3, "text", " ", []), (1, 4, "text", "- point", [])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, ord int, kind string, text string, rows array<array<string>>, section_index int")
+    assert blocks.to_markdown(df).first().md == "<T> & title here\n\n| a|b | c |\n| --- | --- |\n| d e |  |\n\n- point"
+    assert blocks.to_plain_text(df).first().plain == "&lt;T&gt; &amp; title here\na|b\tc\nd e\n- point"
+    assert blocks.to_display_markdown(df.filter("ord <> 1")).first().md == "# &lt;T&gt; &amp; title here\n\n- point"
+    assert tuple(blocks.statistics(df).first()) == (1, 1, 3, 1, 41)
+
+
+def test_file_functions(spark):
+    raw = "한글".encode("cp949")
+    df = spark.createDataFrame([("a.TXT", raw), ("b.md", "﻿é\r\n\r\n\r\n\r\nx".encode()), ("c.pdf", b"%PDF"), ("d", b"\xff\xff\xff"), (None, None)], "path string, content binary")
+    got = [r.t for r in df.select(files.plain_text(F.col("content"), F.col("path")).alias("t")).collect()]
+    assert got[0] == "한글" and got[1].endswith("é\n\nx") and got[2] is None and got[3] == "�" * 3 and got[4] is None
+    assert spark.range(1).select(T.table_markdown(F.array(F.array(F.lit("a\nb"), F.lit("|")), F.array(F.lit("c")))).alias("t")).first().t == "| a<br>b | \\| |\n| --- | --- |\n| c |  |"
+
+
+def test_sinks_and_files_that_arrive(spark, tmp_path):
+    df = spark.createDataFrame([(1, "# a"), (2, None)], "doc_id long, md string")
+    sinks.write_json(df, f"{tmp_path}/json")
+    sinks.write_markdown(df, f"{tmp_path}/md")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/json").collect()) == ['{"doc_id":1,"md":"# a"}', '{"doc_id":2}']
+    df.write.parquet(f"{tmp_path}/in")
+    job = lambda batch: sections.split_sections(batch)
+    for _ in range(2):
+        streaming.follow(spark, f"{tmp_path}/in", "doc_id long, md string", job, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+        spark.createDataFrame([], "doc_id long, md string").write.mode("append").parquet(f"{tmp_path}/in")
