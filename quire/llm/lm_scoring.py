@@ -13,8 +13,8 @@ each document and group goes back. log p(w | v) is the log of its numerator less
 The pairs travel as compressed blocks of columns, one for each group and HELD pairs of a task, and the sums go back to the block of
 documents that they came from; in these blocks a word or pair is 48 bits of its hash and a sum a 32-bit float. Words of at least
 1 / FREQUENT of all words (at most FREQUENT) are known to every task, and their pairs are grouped by pair; so are the counts of
-pairs as frequent that some chunk of text holds often, which are scored without a shuffle. Labels are broadcast up to
-`common.BROADCAST_ROWS` rows and joined by shuffle beyond.
+pairs as frequent that some chunk of text holds often, which are scored without a shuffle. The ids of target texts are sent to
+every task as a sorted array of up to LABELS entries (8 bytes each); more are joined by a shuffle of the texts.
 
 Cases: a null or empty text has no tokens and null losses and score. Without any target text the target model is uniform.
 Rows of `labels` that repeat a doc_id count once. An empty table gives no rows.
@@ -39,7 +39,10 @@ FREQUENT = 40_000
 OFTEN = 8
 #: Word pairs in a group, about.
 GROUP = 1_000_000
+#: Ids of target texts that are sent to every task (64 MB).
+LABELS = 8_000_000
 #: Hashes that stand for the start and the end of a text.
+TEXTS = 9
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 
@@ -63,19 +66,21 @@ def added(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys, *(np.bincount(at, v, len(keys)) for v in values)]
 
 
-def count(docs: DataFrame, keys) -> DataFrame:
+def count(rows: DataFrame, is_target, keys) -> DataFrame:
     """kind, key, n (in all texts), good (in target texts) of the kinds of keys that `keys` makes of words and the words before them.
 
     `keys` returns (kind, key, keep, least) tuples; keys that a chunk of text holds fewer than `least` times are left out there.
+    Kind TEXTS counts the texts that have words.
     """
 
     def run(batches):
         held, size = {}, 0
         for batch in kernels.parts(batches):
-            target = batch.column(1)
-            for row, to, data, offs in kernels.chunks(batch.column(0)):
+            target = is_target(batch).astype(np.float64)
+            for row, to, data, offs in kernels.chunks(batch.column(1)):
                 w, before, n = tokens(data, offs)
-                good = np.repeat(target[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(np.float64), n)
+                good = np.repeat(target[row:to], n)
+                held.setdefault(TEXTS, []).append([np.zeros(1, np.uint64), np.array([np.count_nonzero(n)], np.float64), np.array([target[row:to][n > 0].sum()])])
                 for kind, key, keep, least in keys(w, before):
                     own = added(key[keep], np.ones(int(keep.sum())), good[keep])
                     held.setdefault(kind, []).append([x[own[1] >= least] for x in own] if least > 1 else own)
@@ -92,7 +97,7 @@ def count(docs: DataFrame, keys) -> DataFrame:
         x = added(*map(np.concatenate, zip(*item[1], strict=True)))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), item[0], np.int32)), *[pa.array(c.astype(np.uint64).view(np.int64)) for c in x]], ["kind", "key", "n", "good"])
 
-    return docs.select("text", "target").mapInArrow(run, "kind int, key long, n long, good long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    return rows.mapInArrow(run, "kind int, key long, n long, good long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -146,25 +151,35 @@ def place(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
 def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
-    ids = good_ids.select("doc_id").distinct().withColumn("target", F.lit(True))
-    few = common.small_enough(ids)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left")
-    rows = rows if few else common.written(rows)
+    ids = good_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    few = common.small_enough(ids, LABELS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if few:
+        known_ids = spark.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
+    else:
+        rows = common.written(rows.join(ids.withColumn("target", F.lit(True)), "doc_id", "left"))
+
+    def is_target(batch):
+        """A flag for each row of doc_id, text (and target)."""
+        if not few:
+            return batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
+        own = batch.column(0)
+        return place(known_ids.value, own.fill_null(0).to_numpy())[1] & own.is_valid().to_numpy(zero_copy_only=False)
 
     everything = lambda w, before: [(0, w, np.ones(len(w), bool), 1), (1, pair_hash(before, w), np.ones(len(w), bool), OFTEN)]
-    counts = common.written(count(rows, everything))
+    counts = common.written(count(rows, is_target, everything))
     total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
     n_all, n_good, vocabulary = (max(1, int(x)) for x in total)
     least = max(2.0, n_all / FREQUENT)
     known = frequent(counts, 0, least)
     often = frequent(counts, 1, least)[0]
-    opened = rows.filter(F.col("text").rlike(r"[^\x09-\x0D\x20]")).agg(F.count("*"), F.count_if(F.col("target"))).first()
+    opened = counts.filter(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
 
     def both_known(w, before):
         key = pair_hash(before, w)
         return [(1, key, place(known[0], w)[1] & place(often, key)[1], 1)]
 
-    pairs = frequent(count(rows, both_known), 1, 1)
+    pairs = frequent(count(rows, is_target, both_known), 1, 1)
     shared = spark.sparkContext.broadcast((known, pairs))
     scale, s = n_good / n_all, SMOOTHING
     groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_all // GROUP))
@@ -207,11 +222,12 @@ def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
             ], ["part", "f", "docs", "size", "block"])
 
         for batch in kernels.parts(batches):
+            targets = is_target(batch).astype(np.uint8)
             for row, to, data, offs in kernels.chunks(batch.column(1)):
                 w, before, n = tokens(data, offs)
                 count_ = to - row
                 text = np.repeat(np.arange(count_), n)
-                target = batch.column(2)[row:to].fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
+                target = targets[row:to]
                 some = np.flatnonzero(n)
                 last = np.cumsum(n)[some] - 1
                 # Equal pairs of a text become one row; after them a row for each last word, which is no context.

@@ -316,9 +316,10 @@ def word_losses(docs, good, s=lm_scoring.SMOOTHING):
     return sorted((i, len(w), *((loss(w, "good", 1), loss(w, "all", scale)) if w else (-1, -1))) for i, w in texts)
 
 
-@pytest.mark.parametrize("frequent", [3, 60, 20_000])  # no, some and all words known to every task
-def test_word_scores_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, labels", [(3, 0), (60, lm_scoring.LABELS), (20_000, lm_scoring.LABELS)])  # no, some and all words known to every task
+def test_word_scores_brute_force(spark, monkeypatch, frequent, labels):
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_scoring, "LABELS", labels)
     rng = random.Random(8)
     docs = [(i, " ".join(rng.choices(("the", "of", *(f"w{rng.randrange(300)}" for _ in range(6))), k=rng.randrange(60)))) for i in range(120)]
     docs += [(200, None), (201, ""), (202, " \n"), (203, "of"), (4, docs[4][1]), (4, "the the the"), *((300 + k, docs[0][1]) for k in range(40))]
