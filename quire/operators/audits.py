@@ -104,3 +104,20 @@ def audit_groups(groups: DataFrame, elements: DataFrame) -> DataFrame:
 def warnings(audit: DataFrame) -> DataFrame:
     """doc_id, warnings: how many items of the audit are warnings."""
     return audit.groupBy("doc_id").agg(F.count_if(F.col("level") == "warn").alias("warnings"))
+
+
+def section_entries(entries: DataFrame) -> DataFrame:
+    """doc_id, name, rank of the entries that hold sections, in lexicographic order: those in the usual place, else those of the
+    usual name, else any markup with `section` in its name; the first kind that a package has counts."""
+    base = F.substring_index("name", "/", -1)
+    tier = F.when(F.col("name").rlike(r"(?i)^Contents/section\d+\.xml"), 1).when(base.rlike(r"(?i)^section\d+\.xml"), 2).when(F.col("name").endswith(".xml") & F.contains(F.lower("name"), F.lit("section")), 3)
+    rows = entries.select("doc_id", "name", tier.alias("tier")).filter("tier IS NOT NULL")
+    rows = rows.withColumn("least", F.min("tier").over(Window.partitionBy("doc_id"))).filter("tier = least")
+    return rows.select("doc_id", "name", F.row_number().over(Window.partitionBy("doc_id").orderBy("name")).alias("rank"))
+
+
+def numbered_sections(entries: DataFrame) -> DataFrame:
+    """doc_id, name, section_index of the entries `section<number>.xml`, in order of their numbers, from 0."""
+    number = F.regexp_extract("name", r"(?i)(^|/)section(\d+)\.xml$", 2)
+    rows = entries.select("doc_id", "name", number.alias("number")).filter("number <> ''")
+    return rows.select("doc_id", "name", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("number").cast("decimal(38,0)"), "name")) - 1).alias("section_index"))

@@ -283,3 +283,28 @@ def colours_and_sizes(spark, sf_dir):
     colour = F.when(k % 9 == 0, "red").otherwise(F.concat(F.lit("#"), hex2(7), hex2(5), hex2(3)))
     size = T.size_on_page(F.when(F.col("p_size") % 4 != 0, F.col("p_size")).otherwise(0), (k % 50 + 1))
     return _read(spark, sf_dir, "part").select("p_partkey", T.is_dark(colour).alias("dark"), T.hwp_units(F.col("p_size")).alias("units"), size.alias("s")).select("p_partkey", "dark", "units", "s.*")
+
+
+# Line items as entries again, with names of sections in other places.
+_PLACES = ["Contents/section{}.xml", "other/Section{}.xml", "my_section{}a.xml", "Contents/header{}.xml", "section{}.xml"]
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_partkey").alias("p"))
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), F.when(F.col("doc_id") % 4 == 0, F.col("p") % 2 + 2).otherwise(F.col("p") % 5).cast("int") + 1)
+    return li.select("doc_id", F.replace(place, F.lit("{}"), (F.col("ord") * 5).cast("string")).alias("name"))
+
+
+_NAMES = f"""nm AS (SELECT doc_id, replace({_PLACES}[CASE WHEN doc_id % 4 = 0 THEN p % 2 + 2 ELSE p % 5 END + 1], '{{}}', CAST(ord * 5 AS VARCHAR)) AS name FROM (SELECT l_orderkey AS doc_id, l_linenumber AS ord, min(l_partkey) AS p FROM lineitem GROUP BY ALL))"""
+
+
+@_query(f"""WITH {_NAMES}, t AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)^contents/section\\d+\\.xml') THEN 1 WHEN regexp_matches(split_part(name, '/', -1), '(?i)^section\\d+\\.xml') THEN 2 WHEN ends_with(name, '.xml') AND contains(lower(name), 'section') THEN 3 END AS tier FROM nm),
+m AS (SELECT *, min(tier) OVER (PARTITION BY doc_id) AS least FROM t WHERE tier IS NOT NULL) SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY name) AS INTEGER) AS rank FROM m WHERE tier = least""")
+def section_entries(spark, sf_dir):
+    return A.section_entries(_entries(spark, sf_dir))
+
+
+@_query(f"""WITH {_NAMES}, t AS (SELECT *, regexp_extract(name, '(?i)(^|/)section(\\d+)\\.xml$', 2) AS number FROM nm)
+SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CAST(number AS BIGINT), name) - 1 AS INTEGER) AS section_index FROM t WHERE number <> ''""")
+def numbered_sections(spark, sf_dir):
+    return A.numbered_sections(_entries(spark, sf_dir))
