@@ -15,14 +15,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and cuts the lineage.
-
-    The folder is the cluster's (spark.checkpoint.dir). One of our own is set only where that is unset, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors see: the cluster's (spark.checkpoint.dir), or in local mode, as in tests, one of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared checkpoint folder and cuts the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -33,9 +39,6 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows of `df` as a Parquet table in the shared checkpoint folder, read again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
