@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import gc
 import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -292,7 +291,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label of that label, until nothing changes. All of it is
     joins and pre-aggregated groups; each round is written to the shared folder.
     """
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = common.durable(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = common.durable(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -304,12 +303,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`labels` (node, label) after more links: only the labels that these connect are gone through again."""
+    if labels is None:
+        return components(links)
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    new = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b").distinct())
+    old = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return common.durable(old.union(new.join(labels.select("node"), "node", "left_anti")))
+
+
 def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
     return F.least(x, y) * den >= F.greatest(x, y) * num
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(token, heavy, rep, n, weight) of tokens that at least two representatives have in their prefixes; at most MAX_HEAVY are heavy."""
+    """(token, rep, n, weight) of tokens that at least two representatives have in their prefixes."""
     light = reps.select("rep", "n", F.explode("light").alias("token")).repartition("token")
     block = [F.min("rep").alias("hub"), F.max("rep").alias("last")]
     several = light.groupBy("token").agg(*block).filter("hub < last").select("token")
@@ -317,10 +328,10 @@ def _postings(reps: DataFrame) -> DataFrame:
     frequent = reps.select("rep", "n", F.explode("frequent").alias("token"))
     # at most MAX_HEAVY rows
     frequent = frequent.join(F.broadcast(frequent.groupBy("token").agg(*block).filter("hub < last").select("token")), "token")
-    live = light.select("token", F.lit(False).alias("heavy"), "rep", "n").union(frequent.select("token", F.lit(True), "rep", "n"))
+    live = light.select("token", "rep", "n").union(frequent.select("token", "rep", "n"))
     # copies that were edited share more with their original than with each other: in its prefix all tokens recur
     weight = live.groupBy("rep").agg((F.count("*") / F.first("n")).alias("weight"))
-    return live.join(weight, "rep").select("token", "heavy", "rep", "n", "weight")
+    return live.join(weight, "rep").select("token", "rep", "n", "weight")
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -337,20 +348,17 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
     reps = common.durable(reps.select(F.col("r.doc_id").alias("rep"), "n", "r.light", "r.frequent", "r.signature"))
     live = common.durable(_postings(reps))
     gc.collect()
-    links: list[DataFrame] = []
     labels = None
     for turn in range(HUB_ROUNDS + 1):
         known = live.withColumn("label", F.col("rep")) if labels is None else live.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        block = known.groupBy("token", "heavy").agg(F.min(F.struct((-F.col("weight")).alias("last"), "rep", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        block = block.filter("low < high").select("token", "heavy", "hub", "size")
+        block = known.groupBy("token").agg(F.min(F.struct((-F.col("weight")).alias("last"), "rep", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        block = block.filter("low < high").select("token", "hub", "size")
         if turn < HUB_ROUNDS:
-            # the postings of heavy tokens stay where they are
-            rest = known.filter("NOT heavy").join(block.filter("NOT heavy"), ["token", "heavy"]).union(known.filter("heavy").join(F.broadcast(block.filter("heavy")), ["token", "heavy"]))
-            rest = common.durable(rest.filter("rep <> hub.rep"))
+            rest = common.durable(known.join(block, "token").filter("rep <> hub.rep"))
             if rest.isEmpty():
                 break
             pairs = rest.filter(F.col("label") != F.col("hub.label")).filter(_sizes_fit(F.col("n"), F.col("hub.n"), num, den)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-            live = rest.select("token", "heavy", "rep", "n", "weight")
+            live = rest.select("token", "rep", "n", "weight")
             pairs = _sift(pairs.distinct(), reps, num, den)
         else:
             few = known.join(block.filter(F.col("size") <= SMALL).select("token"), "token").select("token", "rep", "n", "label")
@@ -363,8 +371,8 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
             continue
         found = common.durable(_verify(pairs, docs, size, num, den))
         if not found.isEmpty():
-            links.append(found)
-            labels = components(reduce(DataFrame.union, links))
+            labels = _merged(labels, found)
+        gc.collect()  # what the turn has written can go
     classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("k"))
     if labels is None:
         classes = classes.withColumn("label", F.col("set_id"))
