@@ -12,27 +12,41 @@ from quire.llm import byte_bpe, common, decontaminate, ngram_join, pii, quality_
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.
+
+    Null, empty and very short texts are rejected (too few words); repeated rows are judged alike; a null doc_id changes nothing.
+    """
     return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
+    """The document with the smallest doc_id of each group of near duplicates.
+
+    Of rows that repeat that doc_id one with the smallest text stays. Rows without a doc_id, or without a word, belong to no
+    group: all stay.
+    """
     return ngram_join.one_per_component(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates.
+
+    Null and empty texts have no words and stay; rows that repeat a doc_id are judged each by its own text; so are rows without one.
+    """
     return decontaminate.drop_contaminated(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced."""
+    """All documents, personal data and terms that disclose it replaced in their texts.
+
+    A null text stays null, an empty one empty. Of spans that begin together the longer one names the replacement; equal rows are
+    cleaned alike.
+    """
     return pii.sanitise(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids of each text; the text itself is what the ids decode to."""
+    """doc_id, n_tokens and the ids of each text; the text itself is what the ids decode to. A null text counts as empty."""
     return byte_bpe.encode(docs.select("doc_id", "text"), *byte_bpe.public_vocabulary()).select("doc_id", "n_tokens", "ids", "decoded")
 
 
@@ -44,7 +58,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: The statistics of the personal-data stage and byte-pair merges have no reasonable SQL; tests compare with brute force.
+#: The statistics of the personal-data stage and byte-pair merges have no reasonable SQL; a test compares run() with a brute-force version of all stages.
 ORACLE_SQL = None
 
 
