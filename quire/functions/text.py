@@ -31,9 +31,13 @@ def title(line: Column) -> Column:
 
 def depth(line: Column) -> Column:
     """The depth of a heading line, or null."""
-    line = strip(line)
+    return stripped_depth(strip(line))
+
+
+def stripped_depth(line: Column) -> Column:
+    """The depth of a heading line without white space at either end, or null."""
     marks = F.length(F.regexp_extract(line, r"(?U)^(#{1,6})\s+\S", 1))
-    found = F.when(marks > 0, F.least(marks, F.lit(config.MAX_MARKDOWN_DEPTH)))
+    found = F.when(line.startswith("#"), F.when(marks > 0, F.least(marks, F.lit(config.MAX_MARKDOWN_DEPTH))))
     return reduce(lambda c, p: c.when(line.rlike(f"(?U){p[0]}"), F.lit(p[1])), config.HEADINGS, found)
 
 
