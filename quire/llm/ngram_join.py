@@ -378,7 +378,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
         classes = classes.withColumn("label", F.col("set_id"))
     else:
         classes = classes.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    classes = classes.select("d1", "d2", "n", "k", F.struct("set_id", "label").alias("class"))
+    classes = common.durable(classes.select("d1", "d2", "n", "k", F.struct("set_id", "label").alias("class")))
     # a large class is known SALTS times; its documents then carry a key of their own, so that the second join spreads them
     large = classes.filter(F.col("k") > HOT).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("d1", "d2", "n", "salt", F.col("class").alias("large"))
     rows = sets.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(large, ["d1", "d2", "n", "salt"], "left")
@@ -397,16 +397,16 @@ def one_per_component(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat such a doc_id one with the smallest text stays. Rows without a doc_id are no nodes: all of them stay.
     """
-    found = ngram_jaccard_join(docs).select("doc_id", "component_id").distinct()
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    named = kept.filter("doc_id IS NOT NULL")
-    least = named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text").alias("least")).filter("rows > 1").select(F.col("doc_id").alias("id"), "least")
-    if least.isEmpty():
+    found = ngram_jaccard_join(docs).select("doc_id", "component_id").filter("doc_id IS NOT NULL")
+    per = common.durable(found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1 OR doc_id <> least"))
+    kept = docs.join(per.filter("doc_id <> least").select("doc_id"), "doc_id", "left_anti")
+    several = per.filter("doc_id = least AND rows > 1").select("doc_id")
+    if several.isEmpty():
         return kept
-    once = named.join(least.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    again = named.join(least, (F.col("doc_id") == F.col("id")) & F.col("text").eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(kept.filter("doc_id IS NULL"))
+    again = kept.join(several, "doc_id", "left_semi")
+    least = again.groupBy("doc_id").agg(F.min("text").alias("least")).select(F.col("doc_id").alias("id"), "least")
+    again = again.join(least, (F.col("doc_id") == F.col("id")) & F.col("text").eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(several, "doc_id", "left_anti").union(again)
 
 
 #: DuckDB: exact where a fixed number of label steps reaches all of a component.
