@@ -80,7 +80,8 @@ def format_chats(turns: DataFrame, head: str = "<|", foot: str = "|>") -> DataFr
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "d", segment.alias("s")))), lambda x: x["s"]), "")
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("part", "bucket")) - 1
     order = rows.select(*KEY).distinct().withColumn("at", at.cast("long"))
-    return rows.groupBy(*KEY, "n_turns").agg(text.alias("text")).join(order, KEY).select("conv_id", "n_turns", F.col("at").alias("part"), "text")
+    # grouped by KEY alone, so that the texts stay where they are for the join
+    return rows.groupBy(*KEY).agg(F.first("n_turns").alias("n_turns"), text.alias("text")).join(order, KEY).select("conv_id", "n_turns", F.col("at").alias("part"), "text")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
