@@ -71,7 +71,9 @@ def _unescaped(texts: pd.Series) -> pd.Series:
 
 def clean(c: Column, multiline: bool = False) -> Column:
     """Entities as characters, no-break spaces as spaces; white space as one space, or (multiline) at most one empty line in a row."""
-    c = F.regexp_replace(F.replace(_unescaped(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(" ")), "[ \t]+\n", "\n")
+    c = F.coalesce(c, F.lit(""))
+    c = F.coalesce(_unescaped(F.when(F.contains(c, F.lit("&")), c)), c)  # texts without an entity stay in the JVM
+    c = F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), "[ \t]+\n", "\n")
     return strip(F.regexp_replace(c, "\n{3,}", "\n\n") if multiline else F.regexp_replace(c, r"(?U)\s+", " "))
 
 

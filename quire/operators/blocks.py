@@ -12,14 +12,17 @@ from quire import config
 from quire.functions import text as T
 
 
-def merged_rows(cells: DataFrame) -> DataFrame:
-    """doc_id, table_id, r, texts: the rows of each table without cells that another cell's spans cover; blank rows go."""
-    key = ["doc_id", "table_id", "r", "c"]
+def covered_cells(cells: DataFrame, table: tuple[str, ...] = ("doc_id", "table_id")) -> DataFrame:
+    """Columns of `table`, r, c of the places that the spans of cells cover, but for the cells' own."""
     reach = lambda at, span: F.sequence(F.col(at), F.col(at) + F.greatest(F.col(span), F.lit(1)) - 1)
-    spread = cells.filter("rowspan > 1 OR colspan > 1").select("doc_id", "table_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(reach("r", "rowspan")).alias("r"), reach("c", "colspan").alias("cs"))
-    covered = spread.withColumn("c", F.explode("cs")).filter("r <> r0 OR c <> c0").select(*key).distinct()
+    spread = cells.filter("rowspan > 1 OR colspan > 1").select(*table, F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(reach("r", "rowspan")).alias("r"), reach("c", "colspan").alias("cs"))
+    return spread.withColumn("c", F.explode("cs")).filter("r <> r0 OR c <> c0").select(*table, "r", "c").distinct()
+
+
+def merged_rows(cells: DataFrame, table: tuple[str, ...] = ("doc_id", "table_id")) -> DataFrame:
+    """Columns of `table`, r, texts: the rows of each table without cells that another cell's spans cover; blank rows go."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    rows = cells.join(covered, key, "left_anti").groupBy("doc_id", "table_id", "r").agg(texts.alias("texts"))
+    rows = cells.join(covered_cells(cells, table), [*table, "r", "c"], "left_anti").groupBy(*table, "r").agg(texts.alias("texts"))
     return rows.filter(F.exists("texts", lambda x: x != ""))
 
 
