@@ -61,9 +61,11 @@ REPORT_TITLE = "분석 결과"
 # Labels of a plan written as text.
 @dataclass(frozen=True)
 class ReportLabels:
+    file: str = "파일"
     total: str = "총 글자수"
     baseline: str = "기준 개수"
     final: str = "최종 그림 수"
+    summary: str = "분석 요약"
     figures: str = "추천 그림 목록"
     section: str = "섹션"
     place: str = "위치"
@@ -74,6 +76,7 @@ class ReportLabels:
     votes: str = "투표 수"
     content: str = "구성 요소"
     prompt: str = "이미지 프롬프트"
+    meta: str = "메타 정보"
 
 
 #: Words of the invented prose in the test tables, where the Korean lists match nothing.
@@ -81,6 +84,7 @@ PROSE = Lexicons(comparison="the|que", process="and|und", space="ing|eau", evide
 
 CANDIDATE_SCORE = 0.4
 CHARS_PER_FIGURE, MAX_FIGURES = 1500, 8
+PROMPT_CHARS = 12_000
 CONTENT_ITEMS = 8
 MIN_ANCHOR, ANCHOR_SHARE, MIN_CONFIDENCE, MAX_OVERLAP = 10, 0.7, 0.5, 0.6
 

@@ -19,8 +19,8 @@ def strip(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """LF line ends, at most one empty line in a row, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n{3,}", "\n\n"))
+    """CRLF as LF (a lone CR stays), at most one empty line in a row, stripped."""
+    return strip(F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n{3,}", "\n\n"))
 
 
 def title(line: Column) -> Column:
@@ -49,10 +49,42 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, r"(?U)\s+"), ""))
 
 
+def strict_json(c: Column) -> Column:
+    """The text as a variant, or null where it is no JSON as a whole.
+
+    The parser stops at the end of the first value. A text that is more than one value fails inside a list or inside an object.
+    """
+    inside = [F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"a":', "}"))]
+    return F.when(inside[0] & inside[1], F.try_parse_json(c))
+
+
 def json_object(reply: Column) -> Column:
-    """The JSON object of a model's reply: in a fence, else from the first brace to the last."""
+    """The JSON object of a model's reply: in a fence, else from the first brace to the last; null where that is no JSON.
+
+    A fence decides: if what it holds is no JSON, the rest of the reply is not searched. Objects that repeat a key are refused.
+    """
     fenced, outer = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", fenced).when(outer != "", outer)
+    found = F.when(fenced != "", fenced).when(outer != "", outer)
+    return F.when(strict_json(found).isNotNull(), found)
+
+
+# What messages of calls that may be tried again, and of used-up quotas, contain.
+TRANSIENT = ("503", "UNAVAILABLE", "overloaded", "high demand", "429", "RESOURCE_EXHAUSTED", "500", "INTERNAL")
+QUOTA = ("429", "RESOURCE_EXHAUSTED", "insufficient_quota")
+
+
+def _has_any(message: Column, markers: tuple[str, ...]) -> Column:
+    return F.coalesce(reduce(lambda c, m: c | F.contains(message, F.lit(m)), markers, F.lit(False)), F.lit(False))
+
+
+def is_transient(message: Column) -> Column:
+    """Whether a call that failed with this message may be tried again."""
+    return _has_any(message, TRANSIENT)
+
+
+def is_quota(message: Column) -> Column:
+    """Whether a call failed because a quota is used up, so that another key has to be taken."""
+    return _has_any(message, QUOTA)
 
 
 def table_markdown(rows: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quire import config
 from quire.operators import figures as G
@@ -66,6 +67,11 @@ def content_matches(kinds: dict[str, tuple[str, ...]] = config.TYPE_CONTENT) ->
     return out
 
 
+def baseline(total_chars: Column, max_figures: int = config.MAX_FIGURES) -> Column:
+    """Figures that the length of a report suggests."""
+    return F.least(F.floor(total_chars / config.CHARS_PER_FIGURE), F.lit(max_figures)).cast("int")
+
+
 def cap(total_chars: Column) -> Column:
     """Figures that the length of a report allows."""
     return F.greatest(F.lit(1), F.floor(total_chars / config.CHARS_PER_FIGURE)).cast("int")
@@ -105,20 +111,51 @@ def final_figures(reports: DataFrame, sections: DataFrame, voted: DataFrame, wor
     return self_check(optimise(sized.withColumn("pos", F.col("vote_rank"))), reports)
 
 
-def summary(reports: DataFrame, final: DataFrame, max_figures: int = config.MAX_FIGURES) -> DataFrame:
-    """doc_id, total_chars, baseline_count, total_figures and figures (JSON, in order) for each report; the result document."""
+def run_facts(runs: DataFrame, model: str = "", n: int = 3, critic_used: bool = True, elapsed_ms: int = 0) -> DataFrame:
+    """doc_id, report_summary (of the first run), meta (struct) for the result documents, from the planner's `runs`."""
+    first = runs.groupBy("doc_id").agg(F.min_by(F.struct(F.try_variant_get("result", "$.report_summary", "string").alias("s"), "errors"), "run_id").alias("r"))
+    meta = F.struct(
+        F.lit(model).alias("model"), F.lit(n).alias("self_consistency_n"), F.lit(critic_used).alias("critic_used"), F.lit(elapsed_ms).cast("long").alias("elapsed_ms"), F.coalesce("r.errors", F.array().cast("array<string>")).alias("planner_errors"),
+    )
+    return first.select("doc_id", F.coalesce("r.s", F.lit("")).alias("report_summary"), meta.alias("meta"))
+
+
+def summary(reports: DataFrame, final: DataFrame, facts: DataFrame | None = None, max_figures: int = config.MAX_FIGURES) -> DataFrame:
+    """doc_id, report_summary, total_chars, baseline_count, total_figures, figures (JSON, in order), meta for each report; the result document.
+
+    `facts` (doc_id, report_summary, meta: a struct) as of `run_facts`; without it, or for reports that it lacks, the summary is empty
+    and meta null.
+    """
     own = [c for c in ("section_path", "anchor_text", "figure_type", "purpose", "confidence", "final_score", "suggested_content", "vote_count", "char_start", "char_end") if c in final.columns]
     each = F.array_sort(F.collect_list(F.struct(number(F.col("figure_id")).alias("_at"), "figure_id", *own)))
     listed = final.groupBy("doc_id").agg(F.transform(each, lambda x: F.struct(x["figure_id"].alias("figure_id"), *[x[c].alias(c) for c in own])).alias("figures"))
     rows = reports.select("doc_id", F.length("md").alias("total_chars")).join(listed, "doc_id", "left")
+    rows = rows.join(facts, "doc_id", "left") if facts is not None else rows.withColumns({"report_summary": F.lit(""), "meta": F.lit(None).cast("struct<model:string>")})
     return rows.select(
-        "doc_id", "total_chars", F.least(F.floor(F.col("total_chars") / config.CHARS_PER_FIGURE), F.lit(max_figures)).cast("int").alias("baseline_count"),
-        F.coalesce(F.size("figures"), F.lit(0)).alias("total_figures"), F.coalesce(F.to_json("figures"), F.lit("[]")).alias("figures"),
+        "doc_id", F.coalesce("report_summary", F.lit("")).alias("report_summary"), "total_chars", baseline(F.col("total_chars"), max_figures).alias("baseline_count"),
+        F.coalesce(F.size("figures"), F.lit(0)).alias("total_figures"), F.coalesce(F.to_json("figures"), F.lit("[]")).alias("figures"), "meta",
     )
 
 
-def report_lines(summaries: DataFrame, final: DataFrame, title: str = config.REPORT_TITLE, labels: config.ReportLabels = config.ReportLabels()) -> DataFrame:
-    """doc_id, md: the plan of each document as Markdown: its sizes, then a heading and the facts of each figure in order."""
+def pretty(meta: Column, kind: StructType) -> Column:
+    """A flat struct as JSON text, a line for each field and each entry of a list; {} for null."""
+    plain = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+    def value(f: StructField) -> Column:
+        c = meta[f.name]
+        if not isinstance(f.dataType, ArrayType):
+            return F.when(c.isNull(), "null").otherwise(plain(c))
+        return F.when(F.size(c) > 0, F.concat(F.lit("[\n    "), F.array_join(F.transform(c, plain), ",\n    "), F.lit("\n  ]"))).otherwise("[]")
+
+    lines = F.array(*[F.concat(F.lit(f'  "{f.name}": '), value(f)) for f in kind.fields])
+    return F.when(meta.isNull(), "{}").otherwise(F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}")))
+
+
+def report_lines(summaries: DataFrame, final: DataFrame, file_name: Column | None = None, title: str = config.REPORT_TITLE, labels: config.ReportLabels = config.ReportLabels()) -> DataFrame:
+    """doc_id, md: the plan of each document as Markdown: file, sizes and summary, a heading and the facts of each figure in order, meta.
+
+    `file_name` may use the columns of `summaries`; without it the document's key is the name.
+    """
     have = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in final.columns else F.lit("")
     share = lambda c: F.format_number(F.coalesce(F.col(c), F.lit(0.0)), 2) if c in final.columns else F.lit("0.00")
     fact = lambda label, value: F.concat(F.lit(f"- **{label}**: "), value)
@@ -129,8 +166,13 @@ def report_lines(summaries: DataFrame, final: DataFrame, title: str = config.REP
     )
     each = F.array_sort(F.collect_list(F.struct(number(F.col("figure_id")).alias("at"), facts.alias("s"))))
     listed = final.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["s"]), "\n").alias("body"))
-    top = F.concat_ws("\n", F.lit(f"# {title}"), F.lit(""), fact(labels.total, F.format_number("total_chars", 0)), fact(labels.baseline, F.col("baseline_count").cast("string")), fact(labels.final, F.col("total_figures").cast("string")), F.lit(""), F.lit(f"## {labels.figures}"), F.lit(""))
-    return summaries.join(listed, "doc_id", "left").select("doc_id", F.concat_ws("\n", top, "body").alias("md"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")) if file_name is None else file_name
+    top = F.concat_ws(
+        "\n", F.lit(f"# {title}"), F.lit(""), fact(labels.file, name), fact(labels.total, F.format_number("total_chars", 0)), fact(labels.baseline, F.col("baseline_count").cast("string")), fact(labels.final, F.col("total_figures").cast("string")),
+        fact(labels.summary, F.col("report_summary")), F.lit(""), F.lit(f"## {labels.figures}"), F.lit(""),
+    )
+    end = F.concat_ws("\n", F.lit(f"## {labels.meta}"), F.lit(""), F.lit("```json"), pretty(F.col("meta"), summaries.schema["meta"].dataType), F.lit("```"))
+    return summaries.join(listed, "doc_id", "left").select("doc_id", F.concat_ws("\n", top, "body", end).alias("md"))
 
 
 def candidate_context(candidates: DataFrame, chars: int = 500, digits: int = 3) -> DataFrame:

@@ -111,11 +111,18 @@ def final_figures(spark, sf_dir):
     return f.select("doc_id", "figure_id", "section_path", "figure_type", "purpose", "vote_count", F.round("confidence", 6).alias("confidence"), F.round("final_score", 6).alias("final_score"), F.array_join("suggested_content", ",").alias("content"))
 
 
+def _facts(reports: DataFrame) -> DataFrame:
+    errors = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit('run 1: a "b"'), F.lit("run 2: c"))).otherwise(F.array().cast("array<string>"))
+    meta = F.struct(F.lit("rules").alias("model"), F.lit(3).alias("self_consistency_n"), F.lit(False).alias("critic_used"), F.col("doc_id").alias("elapsed_ms"), errors.alias("planner_errors"))
+    return reports.select("doc_id", F.concat(F.lit("About "), "doc_id").alias("report_summary"), meta.alias("meta"))
+
+
 @_query(f"""WITH {_FINAL}, js AS (SELECT doc_id, count(*) AS n, array_to_string(list(json_object('figure_id', 'F' || r, 'section_path', section_path, 'figure_type', figure_type, 'purpose', purpose, 'vote_count', vote_count) ORDER BY r), ',') AS j FROM final GROUP BY doc_id)
-SELECT doc_id, CAST(length(md) AS INTEGER) AS total_chars, CAST(least(length(md) // 1500, 8) AS INTEGER) AS baseline_count, CAST(coalesce(n, 0) AS INTEGER) AS total_figures, '[' || coalesce(j, '') || ']' AS figures FROM reports LEFT JOIN js USING (doc_id)""")
+SELECT doc_id, 'About ' || doc_id AS report_summary, CAST(length(md) AS INTEGER) AS total_chars, CAST(least(length(md) // 1500, 8) AS INTEGER) AS baseline_count, CAST(coalesce(n, 0) AS INTEGER) AS total_figures, '[' || coalesce(j, '') || ']' AS figures,
+  '{{"model":"rules","self_consistency_n":3,"critic_used":false,"elapsed_ms":' || doc_id || ',"planner_errors":[' || CASE WHEN doc_id % 3 = 0 THEN '"run 1: a \\"b\\"","run 2: c"' ELSE '' END || ']}}' AS meta FROM reports LEFT JOIN js USING (doc_id)""")
 def plan_json(spark, sf_dir):
     reports, final = _finished(spark, sf_dir)
-    return P.summary(reports, final.select("doc_id", "figure_id", "section_path", "figure_type", "purpose", "vote_count"))
+    return P.summary(reports, final.select("doc_id", "figure_id", "section_path", "figure_type", "purpose", "vote_count"), _facts(reports)).withColumn("meta", F.to_json("meta"))
 
 
 _L = config.ReportLabels()
@@ -123,12 +130,12 @@ _L = config.ReportLabels()
 
 @_query(f"""WITH {_FINAL}, fm AS (SELECT doc_id, count(*) AS n, string_agg('### F' || r || ' — ' || figure_type || chr(10) || '- **{_L.section}**: ' || section_path || chr(10) || '- **{_L.place}**: ' || chr(10) || '- **{_L.purpose}**: ' || purpose || chr(10) || '- **{_L.anchor}**: ' || anchor_text || chr(10)
   || '- **{_L.confidence}**: ' || printf('%.2f', floor(confidence * 64) / 64) || chr(10) || '- **{_L.score}**: ' || printf('%.2f', floor(final_score * 64) / 64) || chr(10) || '- **{_L.votes}**: ' || vote_count || chr(10) || '- **{_L.content}**: ' || array_to_string(content, ', ') || chr(10) || '- **{_L.prompt}**: ' || chr(10), chr(10) ORDER BY r) AS body FROM final GROUP BY doc_id)
-SELECT doc_id, '# {config.REPORT_TITLE}' || chr(10) || chr(10) || '- **{_L.total}**: ' || format('{{:,}}', length(md)) || chr(10) || '- **{_L.baseline}**: ' || least(length(md) // 1500, 8) || chr(10) || '- **{_L.final}**: ' || coalesce(n, 0) || chr(10) || chr(10) || '## {_L.figures}' || chr(10)
-  || CASE WHEN body IS NULL THEN '' ELSE chr(10) || body END AS md FROM reports LEFT JOIN fm USING (doc_id)""")
+SELECT doc_id, '# {config.REPORT_TITLE}' || chr(10) || chr(10) || '- **{_L.file}**: report-' || doc_id || '.md' || chr(10) || '- **{_L.total}**: ' || format('{{:,}}', length(md)) || chr(10) || '- **{_L.baseline}**: ' || least(length(md) // 1500, 8) || chr(10) || '- **{_L.final}**: ' || coalesce(n, 0) || chr(10) || '- **{_L.summary}**: About ' || doc_id || chr(10) || chr(10) || '## {_L.figures}' || chr(10) || CASE WHEN body IS NULL THEN '' ELSE chr(10) || body END || chr(10) || '## {_L.meta}' || chr(10) || chr(10) || '```json' || chr(10)
+  || '{{' || chr(10) || '  "model": "rules",' || chr(10) || '  "self_consistency_n": 3,' || chr(10) || '  "critic_used": false,' || chr(10) || '  "elapsed_ms": ' || doc_id || ',' || chr(10) || '  "planner_errors": ' || CASE WHEN doc_id % 3 = 0 THEN '[' || chr(10) || '    "run 1: a \\"b\\"",' || chr(10) || '    "run 2: c"' || chr(10) || '  ]' ELSE '[]' END || chr(10) || '}}' || chr(10) || '```' AS md FROM reports LEFT JOIN fm USING (doc_id)""")
 def plan_markdown(spark, sf_dir):
     reports, final = _finished(spark, sf_dir)
     final = final.withColumns({"confidence": F.floor(F.col("confidence") * 64) / 64, "final_score": F.floor(F.col("final_score") * 64) / 64})
-    return P.report_lines(P.summary(reports, final), final)
+    return P.report_lines(P.summary(reports, final, _facts(reports)), final, F.concat(F.lit("report-"), "doc_id", F.lit(".md")))
 
 
 @_query(f"""WITH {_PATHS}, c AS (SELECT * FROM sp WHERE greatest(t1, t2, t3, t4, t5, t6) >= 0.4)

@@ -16,7 +16,7 @@ from quire.operators import figures as G
 from quire.operators import records as R
 from quire.operators import sections as S
 from quire.operators import slots
-from quire.plans import block_queries, markup_queries, plan_queries, slot_queries, stream_queries  # noqa: F401  (they add theirs)
+from quire.plans import block_queries, markup_queries, plan_queries, planner_queries, slot_queries, stream_queries  # noqa: F401  (they add theirs)
 from quire.plans.base import ORACLE_SQL, QUERIES, _query, _read
 from quire.plans.views import _FEATURES, _LINES, _SCORES, _SECTIONS, _T, _reports, _rounded, _scored
 from quire.sources.records import decode_records
@@ -24,9 +24,12 @@ from quire.sources.records import decode_records
 FLAGSHIP = "section_ranking"
 
 
-@_query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS md FROM documents")
+# Some texts get line ends of two characters, some lone carriage returns, some runs of empty lines.
+@_query(r"WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(text, '. ', '.' || chr(13)) WHEN 2 THEN replace(text, chr(10), chr(10) || chr(13) || chr(10) || chr(10) || chr(10)) ELSE text END AS t FROM documents) SELECT doc_id, regexp_replace(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS md FROM d")
 def normalize_text(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("md"))
+    k, to = F.col("doc_id") % 4, lambda old, new: F.replace("text", F.lit(old), F.lit(new))
+    text = F.when(k == 0, to("\n", "\r\n")).when(k == 1, to(". ", ".\r")).when(k == 2, to("\n", "\n\r\n\n\n")).otherwise(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.normalise(text).alias("md"))
 
 
 @_query(f"WITH {_LINES} SELECT doc_id, CAST(ord AS INTEGER) AS ord, line, start FROM lines")
@@ -321,11 +324,11 @@ def block_context(spark, sf_dir):
     return B.with_context(B.with_nearest_title(blocks, "^[0-9]+[.] ", "none")).select("doc_id", "ord", "nearest_title", "context")
 
 
-@_query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN trim(props) WHEN 1 THEN trim(props) WHEN 2 THEN trim(props) || ' and ' || trim(props) END AS object FROM events""")
+@_query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN trim(props) WHEN 1 THEN trim(props) WHEN 3 THEN trim(props) END AS object FROM events""")
 def json_replies(spark, sf_dir):
     k, p = F.col("event_id") % 4, F.col("props")
     fence = lambda tag: F.concat(F.lit(f"Sure.\n```{tag}\n"), p, F.lit("\n```"))
-    reply = F.when(k == 0, fence("json")).when(k == 1, fence("")).when(k == 2, F.concat(F.lit("It is "), p, F.lit(" and "), p, F.lit("."))).otherwise("no object")
+    reply = F.when(k == 0, fence("json")).when(k == 1, fence("")).when(k == 2, F.concat(F.lit("It is "), p, F.lit(" and "), p, F.lit("."))).otherwise(F.concat(F.lit("It is\n"), p, F.lit(" - so.")))
     return _read(spark, sf_dir, "events").select("event_id", T.json_object(reply).alias("object"))
 
 
