@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import config
-
-#: Positions that are numbered together.
-BLOCK = 1024
+from quire.operators.numbering import numbered
 
 
 def vote(figures: DataFrame, results: DataFrame | None = None) -> DataFrame:
@@ -132,18 +130,14 @@ def add_missing(approved: DataFrame, voted: DataFrame, missing: DataFrame) -> Da
     """`approved` and the figures that a review adds, numbered on from the voted ones; they have fixed scores, no content and one vote.
 
     `missing`: doc_id, pos, section_path, figure_type, confidence, and perhaps anchor_text and purpose. Of the fixed fields those
-    that `approved` lacks are null on its side. Additions are numbered by ranges of BLOCK positions: counts of ranges, then ranks.
+    that `approved` lacks are null on its side. Additions are numbered in blocks of positions.
     """
     n = voted.groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = missing.withColumn("_block", F.floor(F.col("pos") / BLOCK))
-    counts = rows.groupBy("doc_id", "_block").agg(F.count("*").alias("_own"))
-    before = counts.withColumn("_before", F.sum("_own").over(Window.partitionBy("doc_id").orderBy("_block")) - F.col("_own")).drop("_own")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "_block").orderBy("pos"))
-    rows = rows.withColumn("_rank", rank).join(before, ["doc_id", "_block"]).join(n, "doc_id", "left")
+    rows = numbered(missing, ["doc_id"], "pos", "_n").join(n, "doc_id", "left")
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in missing.columns else F.lit("")
     given = lambda c: F.coalesce(F.col(c), F.lit(ADDED[c]))
     rows = rows.select(
-        "doc_id", F.concat(F.lit("F"), F.coalesce("n", F.lit(0)) + F.col("_before") + F.col("_rank")).alias("figure_id"), *[text(c).alias(c) for c in ("section_path", "anchor_text", "purpose")], given("figure_type").alias("figure_type"), given("confidence").alias("confidence"),
+        "doc_id", F.concat(F.lit("F"), F.coalesce("n", F.lit(0)) + F.col("_n")).alias("figure_id"), *[text(c).alias(c) for c in ("section_path", "anchor_text", "purpose")], given("figure_type").alias("figure_type"), given("confidence").alias("confidence"),
         *[F.lit(v).alias(k) for k, v in ADDED.items() if k not in ("figure_type", "confidence")], F.lit(1).cast("long").alias("vote_count"), F.array().cast("array<string>").alias("suggested_content"), *[F.lit(0.0).alias(t) for t in ("t1", "t2", "t3", "t4", "t5", "t6")],
     )
     return approved.unionByName(rows, allowMissingColumns=True)

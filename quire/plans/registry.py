@@ -16,7 +16,7 @@ from quire.operators import figures as G
 from quire.operators import records as R
 from quire.operators import sections as S
 from quire.operators import slots
-from quire.plans import block_queries, markup_queries, plan_queries, planner_queries, slot_queries, stream_queries  # noqa: F401  (they add theirs)
+from quire.plans import block_queries, edit_queries, markup_queries, plan_queries, planner_queries, slot_queries, stream_queries  # noqa: F401  (they add theirs)
 from quire.plans.base import ORACLE_SQL, QUERIES, _query, _read
 from quire.plans.views import _FEATURES, _LINES, _SCORES, _SECTIONS, _T, _reports, _rounded, _scored
 from quire.sources.records import decode_records
