@@ -117,6 +117,9 @@ PARTIAL_CONTROLS = ("revt", "mequ", "idot")
 DECLARED_TAGS = (0x12, 0x13, 0x14, 0x15, 0x16, 0x17, 0x18, 0x1A)
 COLUMNS = (1, 20)
 LOOK_AHEAD, DATA_AHEAD = 5, 4
+# What a file header starts with, and the names of its flags from the lowest bit on.
+FILE_SIGNATURE = "HWP Document File"
+FILE_FLAGS = ("compressed", "password", "distributed", "script", "drm", "xml_template", "history", "sign", "cert_encrypt", "ccl", "mobile", "track_changes")
 DOC_STREAM, SECTION_STREAM, MASTER_STREAM = "DocInfo", "BodyText/Section", "MasterPage"
 
 # Display classes of lines, in order of precedence.

@@ -1,77 +1,41 @@
-"""Low-level records: level and neighbour rules, parents, look-ahead, comparison of two files, roll-ups.
+"""Low-level records of files that are one stream each: rules, parents, counts, comparison by position.
 
-`records`: file, ord, tag, level, size. Rules are windows by file; comparison is a full outer join by position.
+`records`: file, ord, tag, level, size. What streams share with them is in `streams` and `levels`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import config
-from quire.operators import streams
+from quire.operators import levels, streams
 
 
-def _w():
-    return Window.partitionBy("file").orderBy("ord")
-
-
-def _finding(rows: DataFrame, rule: str, severity: str) -> DataFrame:
-    return rows.select("file", "ord", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
-
-
-def level_jumps(records: DataFrame) -> DataFrame:
-    """A record more than one level below the one before it."""
-    rows = records.withColumn("jump", F.col("level") - F.lag("level").over(_w()))
-    return _finding(rows.filter("jump > 1"), "R-040", "HIGH")
-
-
-def text_without_head(records: DataFrame) -> DataFrame:
-    """A paragraph text that doesn't follow a paragraph head directly."""
-    rows = records.withColumn("before", F.lag("tag").over(_w())).filter(F.col("tag") == config.PARA_TEXT)
-    return _finding(rows.filter(~F.col("before").eqNullSafe(F.lit(config.PARA_HEAD))), "R-042", "MEDIUM")
-
-
-def controls_without_list(records: DataFrame, reach: int = 5) -> DataFrame:
-    """A control header without a list header one level below among the next records, before its level ends."""
-    ahead = F.collect_list(F.struct("tag", "level")).over(_w().rowsBetween(1, reach))
-    rows = records.withColumn("ahead", ahead).filter(F.col("tag") == config.CTRL_HEADER)
-    state = F.aggregate(
-        "ahead", F.lit(0),
-        lambda s, x: F.when(s != 0, s).when((x["level"] <= F.col("level")) & (x["tag"] != config.CTRL_DATA), F.lit(-1)).when((x["tag"] == config.LIST_HEADER) & (x["level"] == F.col("level") + 1), F.lit(1)).otherwise(s),
-    )
-    return _finding(rows.filter(state != 1), "R-041", "HIGH")
+#: Rules on sections that need no payload.
+RULES = ("R-040", "R-041", "R-042")
 
 
 def findings(records: DataFrame) -> DataFrame:
-    return level_jumps(records).union(text_without_head(records)).union(controls_without_list(records))
+    """file, ord, rule, severity: level jumps, controls without a list, texts without a head, as in the contract of a section."""
+    rows = records.select("file", F.lit(f"{config.SECTION_STREAM}0").alias("stream"), "ord", "tag", "level", F.col("ord").alias("offset"), F.lit(None).cast("binary").alias("data"))
+    found = streams.record_rules(rows).filter(F.col("rule").isin(*RULES))
+    return found.select("file", F.col("offset").cast(records.schema["ord"].dataType).alias("ord"), "rule", "severity")
 
 
 def parents(records: DataFrame) -> DataFrame:
-    """Adds parent_ord: the nearest earlier record of a smaller level, or null.
-
-    One running maximum for each level that occurs (a level has 10 bits, so that there are at most 1,024); nothing is gathered.
-    """
-    levels = sorted(r.level for r in records.select("level").filter("level IS NOT NULL").distinct().collect())
-    past = _w().rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("ord"))).over(past)) for k in levels[:-1]]
-    none = F.lit(None).cast(records.schema["ord"].dataType)
-    return records.withColumn("parent_ord", F.greatest(*last, none, none))
+    """Adds parent_ord: the nearest earlier record of a smaller level, or null."""
+    found = levels.enclosed(records, ["file"], "ord")
+    return found.select(*records.columns, F.col("above").cast(records.schema["ord"].dataType).alias("parent_ord"))
 
 
 def tree_parents(records: DataFrame) -> DataFrame:
     """Adds parent_ord by the stack of open records: a record closes those from its level on, has the top one as parent, is pushed.
 
-    A record past a gap in levels is pushed on the next free place, depth = min(level, depth before + 1). That is a running
-    minimum of level less position; and as depths have no gaps, the parent is the nearest earlier record of a smaller depth.
+    A record past a gap in levels is pushed on the next free place; columns called depth or above are not kept apart from those.
     """
-    levels = "_" * (1 + max(map(len, records.columns)))  # longer than any name in use
-    at = F.row_number().over(_w())
-    deepest = F.min(F.col("level") - F.col(levels)).over(_w().rowsBetween(Window.unboundedPreceding, 0)) + F.col(levels)
-    numbered = records.withColumn(levels, at)
-    depth = F.when(F.col("level").isNotNull(), F.least(deepest, F.col(levels) - 1))
-    known = parents(numbered.withColumn(levels, depth).withColumnsRenamed({"level": f"{levels}own", levels: "level"}))
-    return known.drop("level").withColumnRenamed(f"{levels}own", "level").select(*records.columns, "parent_ord")
+    found = levels.stacked(records, ["file"], "ord")
+    return found.select(*records.columns, F.col("above").cast(records.schema["ord"].dataType).alias("parent_ord"))
 
 
 def declared_count(data: Column) -> Column:
@@ -105,11 +69,6 @@ def compare(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.select("file", "ord", F.explode(F.array_compact(found)).alias("x")).select("file", "ord", "x.*")
 
 
-def roll_up(files: DataFrame, found: DataFrame) -> DataFrame:
-    """file, counts of each severity, status (IDENTICAL, WARN, FAIL) for each row of `files`, with or without differences."""
-    return streams.diff_report(files, found)
-
-
 def declared_and_actual(records: DataFrame, declared: DataFrame) -> DataFrame:
     """file, tag, declared, actual where the declared number of records of a tag is not the actual one."""
     actual = records.groupBy("file", "tag").agg(F.count("*").alias("actual"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import config
+from quire.operators import levels
 
 FINDING = ("file", "stream", "offset", "name", "rule", "severity", "detail")
 
@@ -78,80 +79,132 @@ def first_sections(streams: DataFrame, limit: int) -> DataFrame:
     return streams.withColumn("_rank", rank).filter(~_is(config.SECTION_STREAM) | (F.col("_rank") <= limit)).drop("_rank")
 
 
-def document_rules(streams: DataFrame, records: DataFrame) -> DataFrame:
-    """Findings on the document stream: R-010 absent, R-011 empty, R-012 first two tags, R-013 required tag, R-014 declared counts, R-015 levels."""
-    name, doc = config.DOC_STREAM, numbered(records.filter(F.col("stream") == config.DOC_STREAM))
-    absent = streams.groupBy("file").agg(F.max(F.col("stream") == name).alias("has")).filter("NOT has").select("file", F.lit(name).alias("stream"))
-    parts = [_found(absent, "R-010", "CRITICAL", "STREAM", offset=-1), _found(empty_streams(streams.filter(F.col("stream") == name), records), "R-011", "CRITICAL", "STREAM", offset=-1)]
-    whole = doc.groupBy("file", "stream").agg(F.count("*").alias("n"), F.max(F.col("tag") == config.COMPATIBLE_DOCUMENT).alias("compatible"))
-    code = lambda tag: f"TAG_{tag:#05x}"
-    for i, tag in enumerate((config.DOC_PROPERTIES, config.ID_MAPPINGS)):
-        parts.append(_found(doc.filter((F.col("i") == i) & (F.col("tag") != tag)), "R-012", "CRITICAL"))
-        parts.append(_found(whole.filter(F.col("n") <= i), "R-012", "CRITICAL", code(tag), offset=-1))
-    parts.append(_found(whole.filter("NOT compatible"), "R-013", "HIGH", code(config.COMPATIBLE_DOCUMENT), offset=-1))
-    parts.append(mapping_counts(doc))
-    parts.append(_found(doc.filter("level <> 0"), "R-015", "MEDIUM"))
-    return _union(parts)
-
-
-def mapping_counts(doc: DataFrame) -> DataFrame:
-    """R-014: counts that the second record declares and that are not those of the records after it, or a payload too short for them."""
-    maps = doc.filter((F.col("i") == 1) & (F.col("tag") == config.ID_MAPPINGS))
-    need = 4 * len(config.DECLARED_TAGS)
-    short = _found(maps.filter(F.octet_length("data") < need), "R-014", "HIGH", detail=F.lit("too short"))
-    declared = F.array(*[F.struct(F.lit(t).alias("tag"), number_at(F.col("data"), 4 * k, 4).alias("declared")) for k, t in enumerate(config.DECLARED_TAGS)])
-    said = maps.filter(F.octet_length("data") >= need).select("file", "stream", "offset", F.explode(declared).alias("x")).select("file", "stream", "offset", "x.*")
-    actual = doc.filter("i >= 2").groupBy("file", "tag").agg(F.count("*").alias("actual"))
-    both = said.join(actual, ["file", "tag"], "left").withColumn("actual", F.coalesce("actual", F.lit(0).cast("long"))).filter("declared <> actual")
-    return short.unionAll(_found(both, "R-014", "HIGH", "ID_MAPPINGS", F.concat_ws(":", tag_name(F.col("tag")), F.col("declared").cast("string"), F.col("actual").cast("string"))))
+def _each(rows: DataFrame, cases: list[tuple]) -> DataFrame:
+    """The findings of rows: cases are (condition, rule, severity, name, detail, offset), all looked at in one pass."""
+    text = lambda c: F.lit(c).cast("string") if c is None or isinstance(c, str) else c
+    made = [F.when(cond, F.struct((F.col("offset") if at is None else F.lit(at)).cast("long").alias("offset"), (tag_name(F.col("tag")) if name is None else text(name)).alias("name"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), text(detail).alias("detail"))) for cond, rule, severity, name, detail, at in cases]
+    return rows.select("file", "stream", F.explode(F.array_compact(F.array(*made))).alias("f")).select("file", "stream", "f.*")
 
 
-def section_rules(streams: DataFrame, records: DataFrame) -> DataFrame:
-    """Findings on sections: R-030 empty, R-031 first tag, R-040 level jumps, R-041 controls without a list, R-042 texts without a head."""
-    rows = numbered(records.filter(_is(config.SECTION_STREAM)))
+def record_rules(records: DataFrame) -> DataFrame:
+    """Findings on single records and their neighbours, in one pass: R-012 first tags and R-015 levels of the document stream; R-031
+    first tag, R-040 level jumps, R-041 controls without a list, R-042 texts without a head in sections; R-070 first tag of master pages."""
+    doc, section, master = F.col("stream") == config.DOC_STREAM, _is(config.SECTION_STREAM), _is(config.MASTER_STREAM)
+    rows = numbered(records.filter(doc | section | master))
     rows = rows.withColumn("ahead", F.collect_list(F.struct("tag", "level")).over(_w().rowsBetween(1, config.LOOK_AHEAD)))
     state = F.aggregate(
         "ahead", F.lit(0),
         lambda s, x: F.when(s != 0, s).when((x["level"] <= F.col("level")) & (x["tag"] != config.CTRL_DATA), F.lit(-1)).when((x["tag"] == config.LIST_HEADER) & (x["level"] == F.col("level") + 1), F.lit(1)).otherwise(s),
     )
-    return _union([
-        _found(empty_streams(streams.filter(_is(config.SECTION_STREAM)), records), "R-030", "CRITICAL", "STREAM", offset=-1),
-        _found(rows.filter((F.col("i") == 0) & (F.col("tag") != config.PARA_HEAD)), "R-031", "CRITICAL"),
-        _found(rows.filter("level - prev_level > 1"), "R-040", "HIGH"),
-        _found(rows.filter((F.col("tag") == config.CTRL_HEADER) & (state != 1)), "R-041", "HIGH", detail=control_name(F.col("ctrl"))),
-        _found(rows.filter((F.col("tag") == config.PARA_TEXT) & ~F.col("prev_tag").eqNullSafe(F.lit(config.PARA_HEAD))), "R-042", "MEDIUM"),
+    tag, first, head = F.col("tag"), F.col("i") == 0, F.col("tag") == config.PARA_HEAD
+    return _each(rows, [
+        *((doc & (F.col("i") == i) & (tag != want), "R-012", "CRITICAL", None, None, None) for i, want in enumerate((config.DOC_PROPERTIES, config.ID_MAPPINGS))),
+        (doc & (F.col("level") != 0), "R-015", "MEDIUM", None, None, None), (section & first & ~head, "R-031", "CRITICAL", None, None, None), (section & (F.col("level") - F.col("prev_level") > 1), "R-040", "HIGH", None, None, None),
+        (section & (tag == config.CTRL_HEADER) & (state != 1), "R-041", "HIGH", None, control_name(F.col("ctrl")), None), (section & (tag == config.PARA_TEXT) & ~F.col("prev_tag").eqNullSafe(F.lit(config.PARA_HEAD)), "R-042", "MEDIUM", None, None, None),
+        (master & first & ~head, "R-070", "MEDIUM", None, None, None),
     ])
 
 
-def master_rules(records: DataFrame) -> DataFrame:
-    """R-070: a master page that doesn't start with a paragraph head."""
-    rows = numbered(records.filter(_is(config.MASTER_STREAM)))
-    return _found(rows.filter((F.col("i") == 0) & (F.col("tag") != config.PARA_HEAD)), "R-070", "MEDIUM")
+def document_counts(records: DataFrame) -> DataFrame:
+    """Findings on document streams as wholes: R-012 records that lack, R-013 required tag, R-014 declared counts that are not the
+    actual ones, or a payload too short for them. One row of counts for each stream is all that is gathered."""
+    doc = numbered(records.filter(F.col("stream") == config.DOC_STREAM))
+    maps = (F.col("i") == 1) & (F.col("tag") == config.ID_MAPPINGS)
+    counts = F.struct(*[F.count_if((F.col("i") >= 2) & (F.col("tag") == t)).alias(f"t{t}") for t in config.DECLARED_TAGS])
+    whole = doc.groupBy("file", "stream").agg(F.count("*").alias("n"), F.max(F.col("tag") == config.COMPATIBLE_DOCUMENT).alias("compatible"), F.max(F.when(maps, F.struct("offset", "data"))).alias("maps"), counts.alias("actual"))
+    code, need, data = lambda tag: f"TAG_{tag:#05x}", 4 * len(config.DECLARED_TAGS), F.col("maps.data")
+    at = F.col("maps.offset")
+    said = [(number_at(data, 4 * k, 4), F.col(f"actual.t{t}"), t) for k, t in enumerate(config.DECLARED_TAGS)]
+    return _each(whole, [
+        *((F.col("n") <= i, "R-012", "CRITICAL", code(t), None, -1) for i, t in enumerate((config.DOC_PROPERTIES, config.ID_MAPPINGS))), (~F.col("compatible"), "R-013", "HIGH", code(config.COMPATIBLE_DOCUMENT), None, -1),
+        (F.col("maps").isNotNull() & (F.octet_length(data) < need), "R-014", "HIGH", tag_name(F.lit(config.ID_MAPPINGS)), "too short", at),
+        *((F.col("maps").isNotNull() & (F.octet_length(data) >= need) & (declared != actual), "R-014", "HIGH", "ID_MAPPINGS", F.concat_ws(":", tag_name(F.lit(t)), declared.cast("string"), actual.cast("string")), at) for declared, actual, t in said),
+    ])
+
+
+def stream_rules(streams: DataFrame, records: DataFrame) -> DataFrame:
+    """Findings on streams that lack or are empty: R-010 no document stream, R-011 an empty one, R-030 an empty section."""
+    doc = F.col("stream") == config.DOC_STREAM
+    filled = records.groupBy("file", "stream").agg(F.count("*").alias("n"))
+    own = _each(streams.join(filled, ["file", "stream"], "left"), [(doc & F.col("n").isNull(), "R-011", "CRITICAL", "STREAM", None, -1), (_is(config.SECTION_STREAM) & F.col("n").isNull(), "R-030", "CRITICAL", "STREAM", None, -1)])
+    absent = streams.groupBy("file").agg(F.max(doc).alias("has"), F.lit(config.DOC_STREAM).alias("stream"))
+    return own.unionAll(_each(absent, [(~F.col("has"), "R-010", "CRITICAL", "STREAM", None, -1)]))
+
+
+def document_rules(streams: DataFrame, records: DataFrame) -> DataFrame:
+    """The findings on document streams alone: R-010 to R-015."""
+    own = records.filter(F.col("stream") == config.DOC_STREAM)
+    return _union([stream_rules(streams, own).filter("rule IN ('R-010', 'R-011')"), document_counts(own), record_rules(own)])
+
+
+def section_rules(streams: DataFrame, records: DataFrame) -> DataFrame:
+    """The findings of `record_rules` and `stream_rules` on sections alone."""
+    own = records.filter(_is(config.SECTION_STREAM))
+    return record_rules(own).unionAll(stream_rules(streams.filter(_is(config.SECTION_STREAM)), own).filter("rule = 'R-030'"))
+
 
+def file_version(header: Column) -> Column:
+    """major.minor.micro.build from the bytes of a file header; 0.0.0.0 for a shorter one."""
+    parts = [number_at(header, at, 1).cast("string") for at in (35, 34, 33, 32)]
+    return F.when(F.octet_length(header) >= 36, F.concat_ws(".", *parts)).otherwise("0.0.0.0")
 
-def contract(streams: DataFrame, records: DataFrame, max_sections: int = 0) -> DataFrame:
-    """All contract findings of each file."""
+
+def file_flags(header: Column) -> Column:
+    """Map of the named flags of a file header; empty for a shorter one."""
+    word = number_at(header, 36, 4)
+    made = F.map_from_arrays(F.array(*map(F.lit, config.FILE_FLAGS)), F.array(*[F.getbit(word, F.lit(k)) == 1 for k in range(len(config.FILE_FLAGS))]))
+    return F.when(F.octet_length(header) >= 40, made).otherwise(F.create_map().cast("map<string,boolean>"))
+
+
+def header_rules(files: DataFrame, headers: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Findings on files: R-000 those that couldn't be opened, R-001 no header or another signature, R-002 a version before 5.
+
+    `files`: file. `headers`: file, data: the bytes of each file's header. `failures`: file, reason; such a file is judged by
+    nothing else.
+    """
+    rows = files.select("file").distinct().join(headers.groupBy("file").agg(F.first("data", ignorenulls=True).alias("data")), "file", "left")
+    if failures is not None:
+        rows = rows.join(failures.groupBy("file").agg(F.min("reason").alias("reason")), "file", "full_outer")
+    else:
+        rows = rows.withColumn("reason", F.lit(None).cast("string"))
+    data, opened = F.col("data"), F.col("reason").isNull()
+    signed = F.hex(F.substring(data, 1, len(config.FILE_SIGNATURE))) == config.FILE_SIGNATURE.encode().hex().upper()
+    head = rows.withColumn("stream", F.when(opened, "FileHeader").otherwise("<open>"))
+    return _each(head, [
+        (~opened, "R-000", "CRITICAL", "FILE", F.col("reason"), -1), (opened & data.isNull(), "R-001", "CRITICAL", "FILE_SIGNATURE", "missing", -1), (opened & ~signed, "R-001", "CRITICAL", "FILE_SIGNATURE", "absent", -1),
+        (opened & signed & (F.split_part(file_version(data), F.lit("."), F.lit(1)).cast("int") < 5), "R-002", "HIGH", "HWP_VERSION", file_version(data), -1),
+    ])
+
+
+def _opened(rows: DataFrame, failures: DataFrame | None) -> DataFrame:
+    return rows if failures is None else rows.join(failures.select("file").distinct(), "file", "left_anti")
+
+
+def contract(streams: DataFrame, records: DataFrame, max_sections: int = 0, headers: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """All contract findings of each file; with `headers` and `failures` as in `header_rules`, also on the files as such."""
+    streams, records = _opened(streams, failures), _opened(records, failures)
     some = first_sections(streams, max_sections)
     own = records.join(some, ["file", "stream"], "left_semi") if max_sections else records
-    return _union([document_rules(streams, records), section_rules(some, own), master_rules(records)])
+    parts = [stream_rules(some, own), document_counts(own), record_rules(own)]
+    return _union(parts if headers is None else [*parts, header_rules(streams, headers, failures)])
 
 
 def column_checks(records: DataFrame) -> DataFrame:
     """multicol: section controls without a later, deeper column control, and column controls with a bad count.
 
-    A column control is reported once, with the number of section controls that it follows on a deeper level as detail. There is
-    one running sum for each level at which section controls occur (a level has 10 bits).
+    A column control is reported once, with the number of section controls that it follows on a deeper level as detail.
     """
     rows = numbered(records.filter(_is(config.SECTION_STREAM)))
     secd, cold = F.col("ctrl") == "secd", F.col("ctrl") == "cold"
-    later = F.max(F.when(cold, F.col("level"))).over(_w().rowsBetween(1, Window.unboundedFollowing))
-    alone = rows.withColumn("later", later).filter(secd & ~F.coalesce(F.col("later") > F.col("level"), F.lit(False)))
-    levels = sorted(r.level for r in rows.filter(secd).select("level").distinct().collect())
-    past = _w().rowsBetween(Window.unboundedPreceding, -1)
-    times = sum((F.when(F.col("level") > k, F.coalesce(F.sum(F.when(secd & (F.col("level") == k), 1).otherwise(0)).over(past), F.lit(0))).otherwise(0) for k in levels), F.lit(0).cast("long"))
+    rows = rows.filter(secd | cold).withColumn("is_secd", secd)
+    backwards = Window.partitionBy("file", "stream").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("later", F.max(F.when(cold, F.col("level"))).over(backwards))
+    rows = levels.enclosed(rows, ["file", "stream"], "i", marked="is_secd")
     count = number_at(F.col("data"), 0, 2)
-    bad = rows.withColumn("times", times).filter(cold & (F.col("times") > 0) & ~F.coalesce(count.between(*config.COLUMNS), F.lit(False)))
-    return _found(alone, "multicol", "INFO", "CTRL_HEADER(secd)").unionAll(_found(bad, "multicol", "ERROR", "CTRL_HEADER(cold)", F.col("times").cast("string")))
+    return _each(rows, [
+        (secd & ~F.coalesce(F.col("later") > F.col("level"), F.lit(False)), "multicol", "INFO", "CTRL_HEADER(secd)", None, None),
+        (cold & (F.col("shallower") > 0) & ~F.coalesce(count.between(*config.COLUMNS), F.lit(False)), "multicol", "ERROR", "CTRL_HEADER(cold)", F.col("shallower").cast("string"), None),
+    ])
 
 
 def master_checks(streams: DataFrame, records: DataFrame) -> DataFrame:
@@ -185,15 +238,11 @@ def control_checks(records: DataFrame) -> DataFrame:
 def _list_children(rows: DataFrame) -> DataFrame:
     """Lists with `declared` and `actual`, the number of paragraph heads one level below, up to the next record of their level or above.
 
-    A head belongs to the last record before it of a smaller level, if that is a list one level above; there is one running
-    maximum for each level at which lists occur (a level has 10 bits).
+    A head belongs to the nearest record before it of a smaller level, if that is a list one level above.
     """
-    is_list, past = F.col("tag") == config.LIST_HEADER, _w().rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted(r.level for r in rows.filter(is_list).select("level").distinct().collect())
-    last = [F.when(F.col("level") == k + 1, F.max(F.when(F.col("level") <= k, F.col("i"))).over(past)) for k in levels]
-    heads = rows.withColumn("i", F.coalesce(*last, F.lit(None).cast("int"))).filter((F.col("tag") == config.PARA_HEAD) & F.col("i").isNotNull())
-    actual = heads.groupBy("file", "stream", "i", (F.col("level") - 1).alias("level")).agg(F.count("*").alias("actual"))
-    lists = rows.filter(is_list).withColumn("declared", number_at(F.col("data"), 0, 2))
+    heads = levels.enclosed(rows.select("file", "stream", "i", "tag", "level"), ["file", "stream"], "i").filter(F.col("tag") == config.PARA_HEAD)
+    actual = heads.groupBy("file", "stream", F.col("above").alias("i"), (F.col("level") - 1).alias("level")).agg(F.count("*").alias("actual"))
+    lists = rows.filter(F.col("tag") == config.LIST_HEADER).withColumn("declared", number_at(F.col("data"), 0, 2))
     return lists.join(actual, ["file", "stream", "i", "level"], "left").withColumn("actual", F.coalesce("actual", F.lit(0).cast("long")))
 
 
@@ -213,10 +262,17 @@ def structure_checks(records: DataFrame) -> DataFrame:
 CHECKS = ("multicol", "masterpage", "controls", "structure")
 
 
-def verify(streams: DataFrame, records: DataFrame, features: tuple[str, ...] = CHECKS) -> DataFrame:
-    """The findings of the chosen feature checks; `feature` names the check."""
+def verify(streams: DataFrame, records: DataFrame, features: tuple[str, ...] = CHECKS, failures: DataFrame | None = None) -> DataFrame:
+    """The findings of the chosen feature checks; `feature` names the check. Files of `failures` (file, reason) are an ERROR each."""
+    streams, records = _opened(streams, failures), _opened(records, failures)
     made = {"multicol": lambda: column_checks(records), "masterpage": lambda: master_checks(streams, records), "controls": lambda: control_checks(records), "structure": lambda: structure_checks(records)}
-    return _union([made[f]().withColumn("feature", F.lit(f)) for f in features])
+    parts = [made[f]().withColumn("feature", F.lit(f)) for f in features]
+    return _union(parts if failures is None else [*parts, _not_opened(failures, "open", "ERROR").withColumn("feature", F.lit("open"))])
+
+
+def _not_opened(failures: DataFrame, rule: str, severity: str) -> DataFrame:
+    rows = failures.groupBy("file").agg(F.min("reason").alias("reason"), F.lit("<open>").alias("stream"))
+    return _found(rows, rule, severity, "FILE", F.col("reason"), -1)
 
 
 def report(files: DataFrame, findings: DataFrame, severities: tuple[str, ...] = ("CRITICAL", "HIGH", "MEDIUM", "LOW")) -> DataFrame:
@@ -229,6 +285,12 @@ def report(files: DataFrame, findings: DataFrame, severities: tuple[str, ...] =
     return files.select("file").distinct().join(per, "file", "left").select("file", *zero).withColumn("passed", passed).withColumn("status", F.when(passed, "PASS").otherwise("FAIL"))
 
 
+def all_files(files: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """file: those of `files` and those that couldn't be opened."""
+    own = files.select("file")
+    return (own if failures is None else own.union(failures.select("file"))).distinct()
+
+
 def listing(findings: DataFrame) -> DataFrame:
     """Adds rank: the order in which a file's findings are printed, by the name of the severity."""
     return findings.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("severity", "stream", "offset", "rule", "detail")))
@@ -258,13 +320,17 @@ def _compared(stream: Column) -> Column:
     return stream.isin("FileHeader", config.DOC_STREAM) | stream.startswith(config.SECTION_STREAM) | stream.startswith(config.MASTER_STREAM)
 
 
-def compare(reference: tuple[DataFrame, DataFrame], candidate: tuple[DataFrame, DataFrame]) -> DataFrame:
+def compare(reference: tuple[DataFrame, DataFrame], candidate: tuple[DataFrame, DataFrame], max_sections: int = 0, failures: DataFrame | None = None) -> DataFrame:
     """file, stream, i, kind, severity, differs_at of all differences between two versions of files, each a pair (streams, records).
 
+    With max_sections only the first so many sections of each version count. A file of `failures` (file, reason), of which a
+    version couldn't be opened, is one difference in the stream <open>.
+
     A stream of one side is a difference without i. In streams of both, records meet by position: one without a partner, another
     tag (which hides the rest), level, size, and data (differs_at: the first byte that differs, on the common prefix of records of
     different size).
     """
+    reference, candidate = (tuple(_opened(x, failures) for x in (first_sections(s, max_sections), r)) for s, r in (reference, candidate))
     sides = [s.filter(_compared(F.col("stream"))).select("file", "stream").distinct().withColumn(f"in_{k}", F.lit(True)) for k, (s, _) in zip("ab", (reference, candidate), strict=True)]
     names = sides[0].join(sides[1], ["file", "stream"], "full_outer")
     only = lambda k, kind, severity: names.filter(F.col(f"in_{k}").isNull()).select("file", "stream", F.lit(None).cast("int").alias("i"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(None).cast("int").alias("differs_at"))
@@ -286,7 +352,39 @@ def compare(reference: tuple[DataFrame, DataFrame], candidate: tuple[DataFrame,
         diff(same & (F.col("a_size") != F.col("b_size")), "SIZE", "HIGH"), diff(same & F.col("differs_at").isNotNull(), "DATA", weight, F.col("differs_at")),
     )
     records = both.select("file", "stream", "i", F.explode(F.array_compact(found)).alias("v")).select("file", "stream", "i", "v.*")
-    return only("b", "MISSING", "CRITICAL").unionAll(only("a", "EXTRA", "LOW")).unionAll(records)
+    out = only("b", "MISSING", "CRITICAL").unionAll(only("a", "EXTRA", "LOW")).unionAll(records)
+    if failures is None:
+        return out
+    closed = _not_opened(failures, "MISSING", "CRITICAL")
+    return out.unionAll(closed.select("file", "stream", F.lit(None).cast("int").alias("i"), F.col("rule").alias("kind"), "severity", F.lit(None).cast("int").alias("differs_at")))
+
+
+def stream_names(*versions: DataFrame) -> DataFrame:
+    """file, stream: each stream that one of the versions (streams) has."""
+    return _union([v.select("file", "stream") for v in versions]).distinct()
+
+
+def tag_counts(records: DataFrame) -> DataFrame:
+    """file, stream, name, n: how many records of each tag a stream has."""
+    return records.groupBy("file", "stream", tag_name(F.col("tag")).alias("name")).agg(F.count("*").alias("n"))
+
+
+def trees(records: DataFrame, with_data: bool = False, most: int = 64) -> DataFrame:
+    """file, stream, tree: the records of a stream as a JSON list, each with its children; with_data adds its first `most` bytes in hex.
+
+    The text is put together from a piece for each record in order: after a record come its children, if the next one is deeper,
+    or as many ends as the next one is less deep. The pieces of one stream meet in a row.
+    """
+    rows = levels.stacked(numbered(records), ["file", "stream"], "i")
+    rows = rows.withColumns({"_next": F.lead("depth").over(_w()), "_prev": F.lag("depth").over(_w())})
+    facts = F.to_json(F.struct(
+        "tag", tag_name(F.col("tag")).alias("tag_name"), "level", "size", "offset", "stream", F.when(F.col("ctrl") != "", F.col("ctrl")).alias("ctrl_id"),
+        *([F.when(F.octet_length("data") > 0, F.lower(F.hex(F.substring("data", 1, most)))).alias("data_hex")] if with_data else []),
+    ))
+    body, down = F.substring(facts, F.lit(1), F.length(facts) - 1), F.coalesce(F.col("_next"), F.lit(1))
+    piece = F.concat(F.when(F.col("depth") <= F.col("_prev"), ",").otherwise(""), body, F.when(down > F.col("depth"), ',"children":[').otherwise(F.concat(F.lit("}"), F.repeat(F.lit("]}"), F.col("depth") - down))))
+    each = F.array_sort(F.collect_list(F.struct("i", piece.alias("s"))))
+    return rows.groupBy("file", "stream").agg(F.concat(F.lit("["), F.array_join(F.transform(each, lambda x: x["s"]), ""), F.lit("]")).alias("tree"))
 
 
 def diff_report(files: DataFrame, diffs: DataFrame) -> DataFrame:

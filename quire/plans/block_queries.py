@@ -14,6 +14,7 @@ from quire.functions import files as N
 from quire.functions import text as T
 from quire.operators import audits as A
 from quire.operators import blocks as B
+from quire.operators import intake as K
 from quire.operators import sections as S
 from quire.plans.base import _query, _read
 from quire.plans.views import _LINES, _reports
@@ -308,3 +309,20 @@ def section_entries(spark, sf_dir):
 SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CAST(number AS BIGINT), name) - 1 AS INTEGER) AS section_index FROM t WHERE number <> ''""")
 def numbered_sections(spark, sf_dir):
     return A.numbered_sections(_entries(spark, sf_dir))
+
+
+# Documents and pages as files that arrive: names of many kinds, contents that fit them or don't, some in a Korean encoding.
+_NAMED = ["a.md", "b.TXT", "c.docx", "d.pdf", "e.exe", "", "f.hwp", "g", "h.hwpx", "i.txt"]
+
+
+@_query(f"""WITH f AS (SELECT doc_id, doc_id % 10 AS k, doc_id // 10 % 3 AS v, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, {_NAMED!r}[k + 1] AS path, CASE WHEN k IN (0, 1, 9) AND v < 2 THEN sha256(CASE WHEN v = 1 THEN '가나 다' ELSE regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') END) END AS text_sha256,
+  CASE WHEN k IN (4, 5, 7) THEN 'upload' WHEN v = 2 OR k IN (2, 3, 6, 8) THEN 'read' END AS stage,
+  CASE k WHEN 5 THEN 'no name' WHEN 4 THEN 'unknown format: e.exe' WHEN 7 THEN 'unknown format: g' ELSE CASE WHEN v = 2 THEN 'no content' WHEN k IN (2, 3, 6, 8) THEN CASE WHEN v = 0 THEN 'not a ' ELSE 'no reader of ' END || ['docx', 'pdf', '', '', 'hwp', '', 'hwpx'][k - 1] END END AS reason FROM f""")
+def arrived_files(spark, sf_dir):
+    k, v = F.col("doc_id") % 10, F.floor(F.col("doc_id") / 10) % 3
+    head = F.when(k.isin(2, 8), "504B0304").when(k == 6, "D0CF11E0").when(k == 3, "25504446").otherwise("B0A1B3AA20B4D9")  # the last in EUC-KR
+    content = F.when(v == 0, F.encode(F.coalesce("text", F.lit("")), "UTF-8")).when(v == 1, F.unhex(head))
+    path = F.element_at(F.array(*map(F.lit, _NAMED)), (k + 1).cast("int"))
+    files = _read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), content.alias("content"))
+    return K.judged(files).select("doc_id", "path", F.sha2("text", 256).alias("text_sha256"), "stage", "reason")

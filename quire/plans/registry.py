@@ -15,7 +15,7 @@ from quire.operators import blocks as B
 from quire.operators import figures as G
 from quire.operators import records as R
 from quire.operators import sections as S
-from quire.operators import slots
+from quire.operators import slots, streams
 from quire.plans import block_queries, edit_queries, markup_queries, plan_queries, planner_queries, slot_queries, stream_queries  # noqa: F401  (they add theirs)
 from quire.plans.base import ORACLE_SQL, QUERIES, _query, _read
 from quire.plans.views import _FEATURES, _LINES, _SCORES, _SECTIONS, _T, _reports, _rounded, _scored
@@ -248,7 +248,7 @@ _COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS n_{s.lower()}"
 SELECT *, CASE WHEN n_critical + n_high > 0 THEN 'FAIL' WHEN n_medium + n_low > 0 THEN 'WARN' ELSE 'IDENTICAL' END AS status FROM n""")
 def severity_rollup(spark, sf_dir):
     records = _records(spark, sf_dir)
-    return R.roll_up(records, R.compare(records, _records(spark, sf_dir, 3)))
+    return streams.diff_report(records, R.compare(records, _records(spark, sf_dir, 3)))
 
 
 

@@ -220,10 +220,67 @@ def diff_priority(spark, sf_dir):
 
 @_query(f"WITH {_view(11, '')}, {_view(13, '2')} SELECT file, stream FROM streams UNION SELECT file, stream FROM streams2")
 def stream_names(spark, sf_dir):
-    return _files(spark, sf_dir)[0].union(_files(spark, sf_dir, True)[0]).distinct()
+    return S.stream_names(_files(spark, sf_dir)[0], _files(spark, sf_dir, True)[0])
 
 
 @_query(f"WITH {_RECORDS} SELECT file, stream, {_NAME} AS name, count(*) AS n FROM rec GROUP BY ALL")
 def tag_counts(spark, sf_dir):
-    records = _files(spark, sf_dir)[1]
-    return records.groupBy("file", "stream", S.tag_name(F.col("tag")).alias("name")).agg(F.count("*").alias("n"))
+    return S.tag_counts(_files(spark, sf_dir)[1])
+
+
+# Every file has a header, but for some: of some it is cut, of some it has another signature or an old version; some can't be opened.
+_HEADERS = """hd AS (SELECT DISTINCT file FROM streams WHERE file % 9 <> 4), fl AS (SELECT DISTINCT file, 'locked' AS reason FROM streams WHERE file % 10 = 7)"""
+_HEAD_FOUND = """SELECT file, '<open>' AS stream, CAST(-1 AS BIGINT) AS "offset", 'FILE' AS name, 'R-000' AS rule, 'CRITICAL' AS severity, reason AS detail FROM fl
+UNION ALL SELECT DISTINCT file, 'FileHeader', -1, 'FILE_SIGNATURE', 'R-001', 'CRITICAL', CASE WHEN file % 9 = 4 THEN 'missing' ELSE 'absent' END FROM streams WHERE file % 10 <> 7 AND (file % 9 = 4 OR file % 7 = 3)
+UNION ALL SELECT DISTINCT file, 'FileHeader', -1, 'HWP_VERSION', 'R-002', 'HIGH', CASE WHEN file % 6 = 1 THEN '0.0.0.0' ELSE '4.3.2.1' END FROM streams WHERE file % 10 <> 7 AND file % 9 <> 4 AND file % 7 <> 3 AND (file % 6 = 1 OR file % 5 = 2)"""
+
+
+def _headers(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    f = F.col("file")
+    sign = F.when(f % 7 == 3, F.encode(F.lit("PK Document File "), "UTF-8")).otherwise(F.encode(F.lit(config.FILE_SIGNATURE), "UTF-8"))
+    version = F.when(f % 5 == 2, F.unhex(F.lit("01020304"))).otherwise(F.unhex(F.lit("00000005")))
+    flags = F.unhex(F.concat(F.lpad(F.hex(f % 256), 2, "0"), F.lpad(F.hex(F.floor(f / 256) % 256), 2, "0"), F.lit("0000")))
+    whole = F.concat(sign, F.unhex(F.lit("00" * 15)), version, flags)
+    files = streams.select("file").distinct()
+    headers = files.filter(f % 9 != 4).select("file", F.when(f % 6 == 1, F.substring(whole, 1, 34)).otherwise(whole).alias("data"))
+    return headers, files.filter(f % 10 == 7).select("file", F.lit("locked").alias("reason"))
+
+
+@_query(f"WITH {_RECORDS}, {_HEADERS} {_HEAD_FOUND}")
+def header_findings(spark, sf_dir):
+    streams = _files(spark, sf_dir)[0]
+    return S.header_rules(streams, *_headers(streams))
+
+
+@_query(f"WITH {_RECORDS}, {_HEADERS} SELECT file, CASE WHEN file % 6 = 1 THEN '0.0.0.0' WHEN file % 5 = 2 THEN '4.3.2.1' ELSE '5.0.0.0' END AS version, CASE WHEN file % 6 <> 1 THEN file & 1 = 1 END AS compressed, CASE WHEN file % 6 <> 1 THEN file & 2048 = 2048 END AS track_changes FROM hd")
+def file_headers(spark, sf_dir):
+    flags = S.file_flags(F.col("data"))
+    return _headers(_files(spark, sf_dir)[0])[0].select("file", S.file_version(F.col("data")).alias("version"), *[F.try_element_at(flags, F.lit(k)).alias(k) for k in ("compressed", "track_changes")])
+
+
+@_query(f"WITH {_FOUND}, {_HEADERS} SELECT found.* FROM found WHERE file % 10 <> 7 UNION ALL {_HEAD_FOUND}")
+def contract_of_files(spark, sf_dir):
+    streams, records = _files(spark, sf_dir)
+    return S.contract(streams, records, 0, *_headers(streams))
+
+
+_FIRSTS = "fa AS (SELECT file, min(stream) AS s FROM streams WHERE starts_with(stream, 'BodyText/Section') GROUP BY file), fb AS (SELECT file, min(stream) AS s FROM streams2 WHERE starts_with(stream, 'BodyText/Section') GROUP BY file)"
+
+
+@_query(f"""WITH {_DIFF}, {_FIRSTS}, c AS (SELECT t.*, starts_with(t.stream, 'BodyText/Section') AS section, coalesce(t.stream = fa.s, false) AS a, coalesce(t.stream = fb.s, false) AS b FROM typed t LEFT JOIN fa USING (file) LEFT JOIN fb USING (file)),
+one AS (SELECT file, stream, i, kind, severity, differs_at FROM c WHERE NOT section OR a AND b),
+solo AS (SELECT coalesce(fa.file, fb.file) AS file, fa.s AS x, fb.s AS y FROM fa FULL JOIN fb ON fa.file = fb.file WHERE fa.s IS DISTINCT FROM fb.s),
+every AS (SELECT * FROM one UNION ALL SELECT file, x, NULL, 'MISSING', 'CRITICAL', NULL FROM solo WHERE x IS NOT NULL UNION ALL SELECT file, y, NULL, 'EXTRA', 'LOW', NULL FROM solo WHERE y IS NOT NULL)
+SELECT * FROM every WHERE file % 10 <> 7 UNION ALL SELECT DISTINCT file, '<open>', CAST(NULL AS INTEGER), 'MISSING', 'CRITICAL', CAST(NULL AS INTEGER) FROM streams WHERE file % 10 = 7""")
+def diff_first_section(spark, sf_dir):
+    a, b = _files(spark, sf_dir), _files(spark, sf_dir, True)
+    return S.compare(a, b, 1, _headers(a[0])[1])
+
+
+@_query(f"""WITH {_RECORDS}, dp AS (SELECT *, row_number() OVER w + least(0, min(level + 1 - i - 1) OVER (PARTITION BY file, stream ORDER BY i)) AS depth FROM rec WINDOW w AS (PARTITION BY file, stream ORDER BY i)),
+nx AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY file, stream ORDER BY i), 1) AS nd, lag(depth) OVER (PARTITION BY file, stream ORDER BY i) AS pd FROM dp),
+pc AS (SELECT file, stream, i, CASE WHEN depth <= pd THEN ',' ELSE '' END || '{{"tag":' || tag || ',"tag_name":"' || {_NAME} || '","level":' || level || ',"size":' || size || ',"offset":' || CAST("offset" AS BIGINT) || ',"stream":"' || stream || '"' || CASE WHEN ctrl <> '' THEN ',"ctrl_id":"' || ctrl || '"' ELSE '' END
+  || CASE WHEN size > 0 THEN ',"data_hex":"' || d || '"' ELSE '' END || CASE WHEN nd > depth THEN ',"children":[' ELSE '}}' || repeat(']}}', CAST(depth - nd AS INTEGER)) END AS s FROM nx)
+SELECT file, stream, '[' || string_agg(s, '' ORDER BY i) || ']' AS tree FROM pc GROUP BY file, stream""")
+def record_trees(spark, sf_dir):
+    return S.trees(_files(spark, sf_dir)[1], with_data=True)
