@@ -9,7 +9,9 @@ Scale: training is one pass that counts per task and adds the counts by key (at
 broadcast, languages x 256 KB, with at most `MAX_LANGUAGES` languages (more are refused). Prediction is one pass without a
 shuffle. A worker holds 2 MB of text and one long text's distinct trigrams at a time.
 
-Cases: a text that is null or has no letter is `und` with score 0. Rows with a null lang or text teach nothing. A null doc_id
+Cases: a text that is null or has no letter is `und` with score 0. A text of one or two bytes has no trigram: all languages are
+equally likely, the first by name is predicted and its share is the score. Repeated rows are judged each; very long texts as a
+whole. Columns other than doc_id, text and lang are neither read nor returned. Rows with a null lang or text teach nothing. A null doc_id
 is not held out and teaches nothing. Without any training rows all texts are `und`. Ties go to the first language by name.
 """
 
@@ -89,7 +91,9 @@ def _em(like: np.ndarray, n: np.ndarray, steps: int) -> tuple[np.ndarray, float]
 
 
 def mixture(cells: np.ndarray, n: np.ndarray, model: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, float]]:
-    """(language, share) of the selected languages, largest first."""
+    """(language, share) of the selected languages, largest first; without any trigram, all languages with equal shares."""
+    if n.sum() == 0:
+        return [(k, 1 / len(model)) for k in range(len(model))]
     logs = model[:, cells].astype(np.float64)
     scale = logs.max(0)
     single = ((logs - scale) * n).sum(1)
@@ -125,8 +129,6 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFra
                     if not languages or not text or not any(map(str.isalpha, text)):
                         pred.append("und"), score.append(0.0), mixes.append([])
                         continue
-                    if len(own[0]) == 0:  # one or two bytes
-                        own = (np.zeros(1, np.int64), np.zeros(1))
                     shares = mixture(*own, model)
                     pred.append(languages[shares[0][0]]), score.append(min(1.0, shares[0][1])), mixes.append([(languages[k], s) for k, s in shares])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "mixture"])

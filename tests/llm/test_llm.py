@@ -137,6 +137,17 @@ def plain_mixture(text, model):
     return min(chosen, key=lambda k: (-share[k], names.index(k))), max(share.values())
 
 
+def test_language_of_tiny_repeated_and_long_texts(spark):
+    train = [("the cat and the dog " * 20, "en"), ("le chat et le chien " * 20, "fr")]
+    model = language_id.train(spark.createDataFrame(train, "text string, lang string"))
+    rows = [(1, "A."), (2, "q"), (3, "le chat"), (3, "le chat"), (4, "the dog and " * 200_000), (5, "é")]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS lang_pred", "1 AS score", "2 AS mixture")
+    got = language_id.predict(docs, *model).collect()
+    by = {(r.doc_id, r.lang_pred, r.score) for r in got if r.doc_id in (1, 2, 5)}
+    assert by == {(1, "en", 0.5), (2, "en", 0.5), (5, "en", 0.5)} and all(r.mixture == {"en": 0.5, "fr": 0.5} for r in got if r.doc_id in (1, 2, 5))
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id) if r.doc_id in (3, 4)] == ["fr", "fr", "en"] and len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_language_brute_force(spark):
     rng = random.Random(22)
     letters = {"aa": "abcde", "bb": "defgh", "cc": "ghißé", "zz": "vwxyz"}
