@@ -13,6 +13,8 @@ HEADINGS = (
     (r"^☐\s+", 3),
     (r"^-\s+", 4),
 )
+#: What all of them, and hash marks, begin with.
+HEADING_SIGNS = r"(?U)^\s*[#□\d가나다라마바사아자차카타파하◦☐-]"
 MAX_MARKDOWN_DEPTH = 4
 WHOLE_TITLE = "전체 문서"
 TITLE_PREFIX = r"^(□\s*\([^)]*\)\s*|\d+\.\s+|[가나다라마바사아자차카타파하]\.\s+|[◦☐]\s+|-\s+)"

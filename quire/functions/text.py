@@ -13,9 +13,13 @@ from pyspark.sql.types import StringType
 from quire import config
 
 
+#: All characters of white space, Unicode included.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at either end, Unicode included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, Unicode included; looks at the ends only, not at the whole text."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalise(c: Column) -> Column:
@@ -26,7 +30,7 @@ def normalise(c: Column) -> Column:
 def title(line: Column) -> Column:
     """A heading's title: one list or number prefix goes, then hash marks; a line that would be empty stays."""
     bare = strip(F.regexp_replace(strip(F.regexp_replace(line, f"(?U){config.TITLE_PREFIX}", "")), r"(?U)^#{1,6}\s+", ""))
-    return F.when(bare != "", bare).otherwise(strip(line))
+    return F.coalesce(F.nullif(bare, F.lit("")), strip(line))
 
 
 def depth(line: Column) -> Column:
@@ -34,6 +38,11 @@ def depth(line: Column) -> Column:
     return stripped_depth(strip(line))
 
 
+def may_be_heading(line: Column) -> Column:
+    """Whether a line begins with a character that a heading can begin with; cheap, so that `depth` need not look at all lines."""
+    return line.rlike(config.HEADING_SIGNS)
+
+
 def stripped_depth(line: Column) -> Column:
     """The depth of a heading line without white space at either end, or null."""
     marks = F.length(F.regexp_extract(line, r"(?U)^(#{1,6})\s+\S", 1))
@@ -42,11 +51,11 @@ def stripped_depth(line: Column) -> Column:
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(f"(?iU)({pattern})"), 1))
+    return F.regexp_count(text, F.lit(f"(?iU)(?:{pattern})"))
 
 
 def n_tokens(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, r"(?U)\s+"), ""))
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
 def strict_json(c: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quire import config
 from quire.operators.numbering import numbered
 
+#: Digits of mean scores by which figures are ordered.
+SCORE_DIGITS = 9
+
 
 def vote(figures: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Keeps (section_path, figure_type) groups with a majority of the document's runs, numbered in order of first appearance.
@@ -15,7 +18,8 @@ def vote(figures: DataFrame, results: DataFrame | None = None) -> DataFrame:
     `figures`: doc_id, run_id, pos, section_path, figure_type, confidence, final_score, suggested_content, and more, which the
     first figure of a group keeps. `results` (doc_id, run_id) lists all successful runs, also those without figures; without it
     the runs that have figures count. vote_rank is the order by score. The items of a group are reduced to the distinct ones
-    before they are gathered, and only the first CONTENT_ITEMS of these are.
+    before they are gathered, and only the first CONTENT_ITEMS of these are. Figures are ordered by rounded scores, since the order
+    in which the parts of a mean meet would else decide between equal ones.
     """
     key, first = ["doc_id", "section_path", "figure_type"], F.struct("run_id", "pos")
     figures = figures.withColumns({c: F.coalesce(c, F.lit("")) for c in key[1:]})
@@ -31,7 +35,7 @@ def vote(figures: DataFrame, results: DataFrame | None = None) -> DataFrame:
     kept = groups.join(n, "doc_id").filter(F.col("vote_count") >= F.floor(F.col("n") / 2) + 1).join(items, key, "left")
     kept = kept.withColumn("suggested_content", F.coalesce("suggested_content", F.array().cast("array<string>")))
     ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("final_score"), "first"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.round("final_score", SCORE_DIGITS).desc(), "first"))
     return kept.withColumns({"figure_id": F.concat(F.lit("F"), ordinal), "vote_rank": rank}).drop("n", "first")
 
 
@@ -49,7 +53,7 @@ def allowed(total_chars: Column, limit: int = config.MAX_FIGURES) -> Column:
 
 def top_k(figures: DataFrame) -> DataFrame:
     """The figures of each document with the highest scores, as many as its total_chars allow."""
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("final_score"), "pos"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.round("final_score", SCORE_DIGITS).desc(), "pos"))
     return figures.withColumn("rank", rank).filter(F.col("rank") <= allowed(F.col("total_chars")))
 
 
@@ -74,10 +78,17 @@ def in_document_order(figures: DataFrame) -> DataFrame:
     return renumber(figures, F.col("char_start").asc_nulls_last(), "island")
 
 
-def anchor_exists(anchor: Column, text: Column) -> Column:
-    """At least ten characters of anchor that occur as they are, with other white space, or in a run of seven tenths."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    a, t = flat(anchor), flat(text)
+def flat(c: Column) -> Column:
+    """Runs of white space as one space."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def anchor_exists(anchor: Column, text: Column, flat_text: Column | None = None) -> Column:
+    """At least ten characters of anchor that occur as they are, with other white space, or in a run of seven tenths.
+
+    `flat_text` is `flat(text)` where a caller has it as a column: here it would be made once for each run that is tried.
+    """
+    a, t = flat(anchor), flat(text) if flat_text is None else flat_text
     part = F.floor(F.length(a) * config.ANCHOR_SHARE).cast("int")
     part = F.greatest(part, F.lit(1))
     windows = F.sequence(F.lit(0), F.length(a) - part)
@@ -85,6 +96,22 @@ def anchor_exists(anchor: Column, text: Column) -> Column:
     return (F.length(anchor) >= config.MIN_ANCHOR) & (F.contains(text, anchor) | F.contains(t, a) | some)
 
 
+def in_report(figures: DataFrame, reports: DataFrame) -> DataFrame:
+    """Adds total_chars, here (char_start and char_end of the anchor, or null) and anchored (whether it exists at all).
+
+    The figures of a document, as one array, meet its text once; no text is copied for a figure or goes on with it. Figures
+    without a report are kept, with nulls.
+    """
+    own = figures.columns
+    gathered = figures.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("_figures"))
+    met = gathered.join(reports.select("doc_id", "md"), "doc_id", "left").withColumn("_flat", flat(F.col("md")))
+    found = lambda f: F.when(f["anchor_text"] != "", F.position(f["anchor_text"], F.col("md")))
+    place = lambda f: F.when(found(f) > 0, F.struct((found(f) - 1).cast("long").alias("char_start"), (found(f) - 1 + F.length(f["anchor_text"])).cast("long").alias("char_end")))
+    sound = lambda f: F.coalesce(anchor_exists(F.coalesce(f["anchor_text"], F.lit("")), F.col("md"), F.col("_flat")), F.lit(False))
+    rows = met.select(F.length("md").alias("total_chars"), F.explode(F.transform("_figures", lambda f: F.struct(f.alias("f"), place(f).alias("here"), sound(f).alias("anchored")))).alias("x"))
+    return rows.select(*[F.col(f"x.f.{c}").alias(c) for c in own], "total_chars", F.col("x.here").alias("here"), F.col("x.anchored").alias("anchored"))
+
+
 def drop_similar(figures: DataFrame, order: str = "pos") -> DataFrame:
     """In document order, a figure goes if its purpose shares over six tenths of its words with one kept before.
 
@@ -106,7 +133,13 @@ def drop_similar(figures: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def locate(figures: DataFrame, reports: DataFrame, sections: DataFrame) -> DataFrame:
-    """Adds char_start and char_end: of the anchor in the report, else of the section path, else of the first title in the path.
+    """Adds char_start and char_end: of the anchor in the report, else of the section path, else of the first title in the path."""
+    own = [c for c in figures.columns if c not in ("total_chars", "here", "anchored")]
+    return place(in_report(figures.select(*own), reports), sections).select(*own, "char_start", "char_end")
+
+
+def place(figures: DataFrame, sections: DataFrame) -> DataFrame:
+    """Adds char_start and char_end to figures that `in_report` has met with their reports.
 
     Of sections with the same path or title the last one counts; titles are tried in order of first appearance. The titles of a
     report meet its figures as one array, so that no pairs are made.
@@ -115,11 +148,9 @@ def locate(figures: DataFrame, reports: DataFrame, sections: DataFrame) -> DataF
     paths = sections.groupBy("doc_id", "section_path").agg(F.max_by(at, "ord").alias("by_path"))
     titles = sections.filter("title <> ''").groupBy("doc_id", "title").agg(F.min("ord").alias("first"), F.max_by(at, "ord").alias("at"))
     titles = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "title", "at"))).alias("titles"))
-    known = figures.join(reports.select("doc_id", "md"), "doc_id", "left").join(paths, ["doc_id", "section_path"], "left").join(titles, "doc_id", "left")
-    found = F.when(F.col("anchor_text") != "", F.position(F.col("anchor_text"), F.col("md")))
+    known = figures.join(paths, ["doc_id", "section_path"], "left").join(titles, "doc_id", "left")
     by_title = F.get(F.filter("titles", lambda t: F.contains(F.col("section_path"), t["title"])), F.lit(0))["at"]
-    here = F.when(found > 0, F.struct((found - 1).cast("long").alias("char_start"), (found - 1 + F.length("anchor_text")).cast("long").alias("char_end")))
-    return known.withColumn("_at", F.coalesce(here, "by_path", by_title)).select(*figures.columns, "_at.char_start", "_at.char_end")
+    return known.withColumn("_at", F.coalesce("here", "by_path", by_title)).select(*figures.columns, "_at.char_start", "_at.char_end")
 
 
 #: What a figure has that a review adds.

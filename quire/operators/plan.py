@@ -90,25 +90,31 @@ def number(figure_id: Column) -> Column:
 
 def self_check(figures: DataFrame, reports: DataFrame) -> DataFrame:
     """Figures whose anchor exists in the report and whose confidence is high enough, without near repetitions, capped, renumbered."""
-    known = figures.join(reports.select("doc_id", "md"), "doc_id").withColumn("_at", number(F.col("figure_id")))
-    sound = known.filter(F.coalesce(G.anchor_exists(F.coalesce("anchor_text", F.lit("")), F.col("md")), F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) >= config.MIN_CONFIDENCE))
-    kept = G.drop_similar(sound.withColumn("_chars", F.length("md")).drop("md"), "_at")
+    own = [c for c in figures.columns if c not in ("total_chars", "here", "anchored")]
+    return checked(G.in_report(figures.select(*own), reports)).select(*own)
+
+
+def checked(figures: DataFrame) -> DataFrame:
+    """`self_check` of figures that `in_report` has met with their reports."""
+    known = figures.withColumn("_at", number(F.col("figure_id")))
+    sound = known.filter(F.col("anchored") & (F.coalesce("confidence", F.lit(0.0)) >= config.MIN_CONFIDENCE))
+    kept = G.drop_similar(sound, "_at")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at"))
-    kept = kept.withColumn("_rank", rank).filter(F.col("_rank") <= cap(F.col("_chars")))
-    return G.renumber(kept, "_rank").drop("_at", "_chars", "_rank")
+    kept = kept.withColumn("_rank", rank).filter(F.col("_rank") <= cap(F.col("total_chars")))
+    return G.renumber(kept, "_rank").drop("_at", "_rank")
 
 
 def final_figures(reports: DataFrame, sections: DataFrame, voted: DataFrame, words: config.TypeWords = config.TypeWords()) -> DataFrame:
     """The figures of the finished plan from those that a vote (and review) kept.
 
-    `reports`: doc_id, md. `sections`: scored sections with section_path. `voted`: doc_id, figure_id, anchor_text, section_path,
-    figure_type, confidence, final_score, purpose, suggested_content, and t1 to t6 or none of them.
+    `reports`: doc_id, md. `sections`: scored sections with section_path; best a written table, as it is read four times. `voted`:
+    doc_id, figure_id, anchor_text, section_path, figure_type, confidence, final_score, purpose, suggested_content, and t1 to t6
+    or none of them. The texts of the reports are read and shuffled once, to meet the figures.
     """
     lacking = {t: F.lit(None).cast("double") for t in S.TRIGGERS if t not in voted.columns}
     typed = classify(voted.withColumns(lacking), sections, words)
-    placed = G.locate(typed, reports, sections)
-    sized = placed.join(reports.select("doc_id", F.length("md").alias("total_chars")), "doc_id")
-    return self_check(optimise(sized.withColumn("pos", F.col("vote_rank"))), reports)
+    placed = G.place(G.in_report(typed, reports), sections)
+    return checked(optimise(placed.withColumn("pos", F.col("vote_rank")))).drop("here", "anchored")
 
 
 def run_facts(runs: DataFrame, model: str = "", n: int = 3, critic_used: bool = True, elapsed_ms: int = 0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Reports into sections, sections into features, scores and candidates.
 
-All is keyed by doc_id: the line window, the sections' groups and the ancestors share one exchange.
+A report is split in its own row; features and scores are expressions over a section's text. Only `lines`, `with_parents` and
+`ranking` go by doc_id and shuffle.
 """
 
 from __future__ import annotations
@@ -21,31 +22,47 @@ def lines(reports: DataFrame) -> DataFrame:
     return rows.withColumn("start", (F.sum(F.length("line") + 1).over(w) - F.length("line") - 1).cast("long"))
 
 
-def split_sections(reports: DataFrame) -> DataFrame:
-    """doc_id, ord, section_id, depth, title, text, char_start, char_end. Lines before the first heading belong to none.
+def split_sections(reports: DataFrame, paths: bool = False) -> DataFrame:
+    """doc_id, ord, section_id, depth, title, text, char_start, char_end; with paths also parent_path and section_path.
 
-    A report without a heading is one section of depth 0; a blank report has none.
+    Lines before the first heading belong to no section. A report without a heading is one section of depth 0; a blank or null
+    report has none. All is found in the row of a report: its lines are an array, a section a slice of it between two headings,
+    and one fold over the sections adds up their lengths and keeps the stack of titles. No row meets another, so that reports of
+    equal or null doc_id stay apart, each with sections of its own.
     """
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    rows = lines(reports).withColumn("depth", T.depth(F.col("line")))
-    rows = rows.withColumn("sec", F.count("depth").over(w) - 1).withColumn("headings", F.count("depth").over(Window.partitionBy("doc_id")))
-    rows = rows.filter((F.col("sec") >= 0) | (F.col("headings") == 0)).withColumn("sec", F.greatest("sec", F.lit(0)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
-    out = rows.groupBy("doc_id", "sec").agg(
-        F.min("ord").alias("ord"), F.min_by("depth", "ord").alias("depth"), F.min_by("line", "ord").alias("line"), body.alias("body"),
-        F.min("start").alias("char_start"), F.max(F.col("start") + F.length("line") + 1).alias("end"),
-    )
-    is_last = F.max("sec").over(Window.partitionBy("doc_id")) == F.col("sec")
-    out = out.withColumn("char_end", F.col("end") - F.when(is_last, 1).otherwise(0)).withColumn("text", T.strip(F.col("body")))
-    none = F.col("depth").isNull()
-    return out.filter(~none | (F.col("text") != "")).select(
-        "doc_id", F.col("sec").cast("int").alias("ord"), F.concat(F.lit("S"), F.col("sec")).alias("section_id"), F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.when(none, config.WHOLE_TITLE).otherwise(T.title(F.col("line"))).alias("title"), F.when(none, F.col("body")).otherwise(F.col("text")).alias("text"), "char_start", "char_end",
+    rows = reports.select("doc_id", "md", F.split("md", "\n").alias("_lines"))
+    marked = F.filter(F.transform("_lines", lambda x, i: F.when(T.may_be_heading(x), F.struct(i.alias("at"), x.alias("line"), T.strip(x).alias("bare")))), lambda h: h.isNotNull())
+    found = F.transform(marked, lambda h: F.struct(h["at"].alias("at"), T.stripped_depth(h["bare"]).alias("depth"), h["line"].alias("line")))
+    rows = rows.withColumn("_heads", F.filter(found, lambda h: h["depth"].isNotNull()))
+    until = lambda k: F.coalesce(F.get("_heads", k + 1)["at"], F.size("_lines"))
+    body = lambda h, k: F.array_join(F.slice("_lines", h["at"] + 1, until(k) - h["at"]), "\n")
+    parts = F.transform("_heads", lambda h, k: F.struct(h["depth"].alias("depth"), T.title(h["line"]).alias("title"), body(h, k).alias("body")))
+    whole = F.array(F.struct(F.lit(0).alias("depth"), F.lit(config.WHOLE_TITLE).alias("title"), F.col("md").alias("body")))
+    rows = rows.withColumn("_parts", F.when(F.size("_heads") > 0, parts).when(T.strip(F.col("md")) != "", whole))
+    first = F.get("_heads", F.lit(0))["at"]
+    start = F.when(first > 0, F.length(F.array_join(F.slice("_lines", F.lit(1), first), "\n")) + 1).otherwise(0).cast("long")
+    texts = F.array().cast("array<string>")
+    none = F.array().cast("array<struct<char_start:bigint,char_end:bigint,above:string>>")
+    state = lambda at, stack, out: F.struct(at.alias("at"), stack.alias("stack"), out.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x["body"]) + 1
+        above = F.slice(a["stack"], F.lit(1), F.greatest(x["depth"] - 1, F.lit(0))) if paths else texts
+        stack = F.concat(above, F.array(x["title"])) if paths else texts
+        return state(end, stack, F.concat(a["out"], F.array(F.struct(a["at"].alias("char_start"), end.alias("char_end"), F.array_join(above, " > ").alias("above")))))
+
+    places = F.aggregate("_parts", state(start, texts, none), step, lambda a: a["out"])
+    rows = rows.select("doc_id", F.size("_parts").alias("_n"), F.posexplode(F.arrays_zip("_parts", places.alias("_places"))).alias("ord", "_s"))
+    part, place = F.col("_s._parts"), F.col("_s._places")
+    path = [place["above"].alias("parent_path"), F.when(place["above"] == "", part["title"]).otherwise(F.concat_ws(" > ", place["above"], part["title"])).alias("section_path")]
+    return rows.select(
+        "doc_id", "ord", F.concat(F.lit("S"), F.col("ord")).alias("section_id"), part["depth"].alias("depth"), part["title"].alias("title"), F.when(part["depth"] > 0, T.strip(part["body"])).otherwise(part["body"]).alias("text"),
+        place["char_start"].alias("char_start"), (place["char_end"] - F.when(F.col("ord") == F.col("_n") - 1, 1).otherwise(0)).alias("char_end"), *(path if paths else []),
     )
 
 
 def with_parents(sections: DataFrame) -> DataFrame:
-    """Adds parent_path and section_path. The ancestors are a stack cut to depth - 1, so that depth gaps make siblings nest.
+    """Adds parent_path and section_path to sections that don't come from `split_sections`. The ancestors are a stack cut to depth - 1, so that depth gaps make siblings nest.
 
     The height of the stack is min(depth, height before + 1), a running minimum; the ancestor at height k is the last section
     of that height. All windows share the key and order of the sections.

@@ -16,13 +16,14 @@ from quire.operators import plan as P
 from quire.operators import sections as S
 from quire.plans.base import _query, _read
 from quire.plans.views import _SCORES, _reports, _scored
+from quire.sources.tables import written
 
 #: Words that occur in the invented prose.
 WORDS = config.TypeWords(maps="ingb", plans="enbe", views="eaux", dates=r"\d|th", numbers=r"\d|en", trends="ou")
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.with_parents(_scored(spark, sf_dir))
+    return written(_scored(spark, sf_dir, paths=True))  # several branches read them
 
 
 def _proposed(sections: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ rated AS (SELECT *, best * 0.4e0 + load * 0.6e0 AS fs FROM asked), strong AS (SE
 runs AS (SELECT doc_id, run_id, rank - 1 AS pos, run_id * CAST(1000000000 AS BIGINT) + rank - 1 AS k, section_path, kind AS figure_type, substr(text, 1, 24) AS anchor_text, load / 2 + 0.5e0 AS confidence, fs AS final_score, title AS purpose, [title, kind] AS content,
   {{'t1': t1, 't2': t2, 't3': t3, 't4': t4, 't5': t5, 't6': t6}} AS t FROM strong WHERE rank <= greatest(1, least(total_chars // 1500, 8)))"""
 _OLD_NR = "nr AS (SELECT doc_id, count(DISTINCT run_id) AS n FROM runs GROUP BY doc_id),\n"
-_PLANNED = _FINAL.replace(_PROPOSED[len(_PATHS) :], _RUNS).replace(_OLD_NR, "")
+_PLANNED = _FINAL.replace(_PROPOSED[len(_PATHS) :], _RUNS).replace(_OLD_NR, "").replace("ORDER BY final_score DESC", "ORDER BY round(final_score, 9) DESC")
 assert _OLD_NR in _FINAL and "calls AS" in _PLANNED
 
 

@@ -49,7 +49,7 @@ p AS (SELECT *, array_to_string(st[1:greatest(depth - 1, 0)], ' > ') AS parent_p
 SELECT doc_id, section_id, parent_path, CASE WHEN parent_path = '' THEN title ELSE parent_path || ' > ' || title END AS section_path FROM p"""
 )
 def section_paths(spark, sf_dir):
-    return S.with_parents(S.split_sections(_reports(spark, sf_dir))).select("doc_id", "section_id", "parent_path", "section_path")
+    return S.split_sections(_reports(spark, sf_dir), paths=True).select("doc_id", "section_id", "parent_path", "section_path")
 
 
 @_query(f"WITH {_FEATURES} SELECT doc_id, section_id, length, round(numeric_density, 6) AS numeric_density, comparison_words, process_words, space_words, evidence_words, has_table, is_top FROM feat")

@@ -38,8 +38,8 @@ _SCORES = _FEATURES + rf""", scored AS (SELECT *, CASE WHEN regexp_matches(text,
 _T = "round(t1, 6) AS t1, round(t2, 6) AS t2, round(t3, 6) AS t3, round(t4, 6) AS t4, round(t5, 6) AS t5, round(t6, 6) AS t6"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.scores(S.features(S.split_sections(_reports(spark, sf_dir)), config.PROSE), config.PROSE)
+def _scored(spark: SparkSession, sf_dir: str, paths: bool = False) -> DataFrame:
+    return S.scores(S.features(S.split_sections(_reports(spark, sf_dir), paths), config.PROSE), config.PROSE)
 
 
 def _rounded() -> list:
