@@ -179,6 +179,22 @@ WIDE_TABLE, HIGH_TABLE, WIDE_CELL, HIGH_CELL = 50_000, 20_000, 25_000, 12_000
 PROMPT_PURPOSE = "보고서 내용 시각화"
 PROMPT_GUIDE = "공공기관 보고서용, 흰 배경, 명확한 한글 라벨, 16:9 비율, 간결하고 전문적인 스타일"
 PROMPT_LABELS = ("이미지 목적", "시각화 요소", "유형", "생성 방향")
+
+
+# Labels of the parts of a structured request for an image, and the rules that end each request.
+@dataclass(frozen=True)
+class PromptParts:
+    type: str = "유형"
+    purpose: str = "이미지 목적"
+    content: str = "이미지 내용"
+    topic: str = "문서 주제"
+    direction: str = "생성 방향"
+    rules: tuple[str, ...] = (
+        "IMPORTANT: Absolutely NO people, NO human figures, NO portraits, NO faces, NO characters, NO anime, NO realistic humans. Abstract diagram, infographic, or map illustration ONLY.",
+        "16:9 landscape ratio. White background. Suitable for embedding in an official Korean public-sector report. No watermark, no extra text artifacts.",
+    )
+
+
 PLACE_TITLE = "AI 추천 위치"
 
 # What a converter's status lines start with.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire import config
 from quire.functions import files as N
+from quire.functions import settings as V
 from quire.functions import text as T
 from quire.operators import audits as A
 from quire.operators import blocks as B
@@ -222,15 +223,19 @@ _DECLARED = {"UTF_8": "utf-8", "cp949": "euc-kr", "ks_c_5601-1987": "euc-kr", "U
 _SNIFFED = [*_HEADS, *((f'<?xml version="1.0" encoding="{k}"?>'.encode().hex(), v) for k, v in _DECLARED.items())]
 
 
-@_query(f"SELECT p_partkey, {[v for _, v in _SNIFFED]}[p_partkey % {len(_SNIFFED)} + 1] AS encoding FROM part")
+# Documents as bytes: with marks, in two bytes a character without a mark, plain, or after a declaration.
+@_query(f"SELECT doc_id, {[v for _, v in _SNIFFED]}[doc_id % {len(_SNIFFED)} + 1] AS encoding FROM documents")
 def encodings(spark, sf_dir):
-    raw = F.element_at(F.array(*[F.lit(h) for h, _ in _SNIFFED]), (F.col("p_partkey") % len(_SNIFFED) + 1).cast("int"))
-    return _read(spark, sf_dir, "part").select("p_partkey", N.sniff_encoding(F.unhex(raw)).alias("encoding"))
+    k = F.col("doc_id") % len(_SNIFFED)
+    head = F.unhex(F.element_at(F.array(*[F.lit(h) for h, _ in _SNIFFED]), (k + 1).cast("int")))
+    text = F.coalesce("text", F.lit(""))
+    body = F.when(k.isin(1, 3), F.encode(text, "UTF-16LE")).when(k.isin(2, 4), F.encode(text, "UTF-16BE")).otherwise(F.encode(text, "UTF-8"))
+    return _read(spark, sf_dir, "documents").select("doc_id", N.sniff_encoding(F.concat(head, body)).alias("encoding"))
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') END AS md FROM documents")
+@_query("SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS md FROM documents")
 def plain_files(spark, sf_dir):
-    path = F.when(F.col("doc_id") % 3 == 0, "a.pdf").when(F.col("doc_id") % 3 == 1, "a.md").otherwise("note")
+    path = F.when(F.col("doc_id") % 3 == 0, "a.MD").when(F.col("doc_id") % 3 == 1, "b.txt").otherwise("note")
     return _read(spark, sf_dir, "documents").select("doc_id", N.plain_text(F.encode("text", "UTF-8"), path).alias("md"))
 
 
@@ -252,11 +257,10 @@ def page_names(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.escape_html(html).alias("escaped"), T.escape_html(html, False).alias("short"), T.safe_name(url).alias("name"), T.plain_name(url).alias("plain"), T.count_of(html, "<p").alias("paragraphs"))
 
 
-@_query("""WITH d AS (SELECT doc_id, regexp_replace(substr(text, 1, 400), '[&<>]', '', 'g') AS t FROM documents)
+@_query("""WITH d AS (SELECT doc_id, regexp_replace(text, '[&<>]', '', 'g') AS t FROM documents)
 SELECT doc_id, '<b> & ' || trim(regexp_replace(t, '\\s+', ' ', 'g')) AS line FROM d WHERE trim(t) <> ''""")
 def clean_lines(spark, sf_dir):
-    t = F.regexp_replace(F.substring("text", 1, 400), "[&<>]", "")
-    d = _read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).filter(F.trim("t") != "")
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[&<>]", "").alias("t")).filter(F.trim("t") != "")
     return d.select("doc_id", T.clean(F.concat(F.lit(" &lt;b&gt;&nbsp;&#38; \t\n"), "t")).alias("line"))
 
 
@@ -267,12 +271,14 @@ def clean_replies(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.clean_reply(noisy, config.STATUS_PREFIXES).alias("reply"))
 
 
-@_query("""WITH h AS (SELECT doc_id, ['1. ', '가. ', '□', '[a] ', 'x'][doc_id % 5 + 1] || substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, doc_id % 60) AS t FROM documents)
-SELECT doc_id, length(t) <= 40 AND (regexp_matches(t, '^(\\s*(\\d+\\.|[가-힣]\\.|[ⅠⅡⅢⅣⅤ]+\\.|[【\\[].+[】\\]])\\s*)\\S') OR regexp_matches(t, '^[□■▣]')) AS heading FROM h""")
+# Every line of every document, behind one of five marks; the sentences of a line are lines too, as whole lines are mostly too long.
+@_query("""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[.]\\s|\\n')) AS t, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[.]\\s|\\n'), 1) - 1 AS i FROM documents),
+h AS (SELECT doc_id, i, ['1. ', '가. ', '□', '[a] ', 'x'][(doc_id + i) % 5 + 1] || t AS t FROM l)
+SELECT doc_id, CAST(i AS INTEGER) AS i, length(t) <= 40 AND (regexp_matches(t, '^(\\s*(\\d+\\.|[가-힣]\\.|[ⅠⅡⅢⅣⅤ]+\\.|[【\\[].+[】\\]])\\s*)\\S') OR regexp_matches(t, '^[□■▣]')) AS heading FROM h""")
 def headings(spark, sf_dir):
-    mark = F.element_at(F.array(*map(F.lit, ("1. ", "가. ", "□", "[a] ", "x"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    t = F.concat(mark, F.substring(F.regexp_replace("text", r"\s+", " "), F.lit(1), (F.col("doc_id") % 60).cast("int")))
-    return _read(spark, sf_dir, "documents").select("doc_id", T.looks_like_heading(t).alias("heading"))
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.]\\s|\n")).alias("i", "t"))
+    mark = F.element_at(F.array(*map(F.lit, ("1. ", "가. ", "□", "[a] ", "x"))), ((F.col("doc_id") + F.col("i")) % 5 + 1).cast("int"))
+    return lines.select("doc_id", "i", T.looks_like_heading(F.concat(mark, "t")).alias("heading"))
 
 
 @_query("""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN false ELSE (p_partkey * 7 % 256) * 0.299e0 + (p_partkey * 5 % 256) * 0.587e0 + (p_partkey * 3 % 256) * 0.114e0 < 100 END AS dark, CAST(round(p_size * 283.465e0) AS BIGINT) AS units,
@@ -326,3 +332,29 @@ def arrived_files(spark, sf_dir):
     path = F.element_at(F.array(*map(F.lit, _NAMED)), (k + 1).cast("int"))
     files = _read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), content.alias("content"))
     return K.judged(files).select("doc_id", "path", F.sha2("text", 256).alias("text_sha256"), "stage", "reason")
+
+
+_GUIDES = {"map": "A flat map.", "chart": "Bars only."}
+_RULES = " || chr(10) || ".join("'" + r + "'" for r in config.PromptParts().rules)
+
+
+# Turns as requests for images: labelled ones of known and unknown types, plain ones, empty ones.
+@_query(f"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '[\\[\\]]', '', 'g') AS t, (conv_id + turn) % 4 AS k FROM conversations), d AS (SELECT *, {"trim(t, ' ' || chr(9) || chr(10) || chr(13))"} AS b FROM c)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'A flat map.' || chr(10) || 'Visual purpose: ' || b || chr(10) WHEN 1 THEN 'go' || chr(10) || 'Content to depict: ' || b || chr(10) || 'Document context: topic' || chr(10) WHEN 2 THEN b || chr(10) || 'said' || chr(10) || 'Figure type: ' || role || chr(10) ELSE 'said' || chr(10) || 'Figure type: ' || role || chr(10) END || {_RULES} AS prompt FROM d""")
+def image_prompts(spark, sf_dir):
+    k, t, p = (F.col("conv_id") + F.col("turn")) % 4, F.regexp_replace("text", r"[\[\]]", ""), config.PromptParts()
+    seed = F.when(k == 0, F.concat(F.lit(f"[{p.type}] chart [{p.type}]map\n[{p.purpose}]  "), t)).when(k == 1, F.concat(F.lit(f" [{p.direction}] go [{p.content}] "), t, F.lit(f" [{p.topic}] topic [{p.type}] other"))).when(k == 2, t)
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", V.image_prompt(seed, F.lit("said"), F.col("role"), _GUIDES).alias("prompt"))
+
+
+# Pages as settings: a session's own, then those of two files, one of them with placeholders, comments and quotes.
+@_query("""WITH p AS (SELECT page_id, page_id % 5 AS k, 'https://h' || page_id || '/x' AS u FROM pages)
+SELECT page_id, CASE WHEN k = 0 THEN 'own' WHEN k = 4 THEN NULL ELSE u END AS url, CASE WHEN k = 2 THEN 'b' WHEN k = 4 THEN NULL ELSE 'c' END AS mode FROM p""")
+def layered_settings(spark, sf_dir):
+    k = F.col("page_id") % 5
+    url = F.concat(F.lit("https://h"), "page_id", F.lit("/x//"))
+    own = F.when(k == 0, F.map_from_arrays(F.array(F.lit("URL"), F.lit("MODE")), F.array(F.lit("own/"), F.lit(""))))
+    one = F.when(k < 4, F.concat(F.lit("# URL=no\nURL={host}\r\n BASE = '"), url, F.lit("'\nMODE="), F.when(k == 2, "\"b\"").otherwise("")))
+    two = F.when(k < 4, F.lit("MODE=c\nMODE=d\nnothing\n=x"))
+    rows = _read(spark, sf_dir, "pages").select("page_id", V.layered(own, V.parsed(one), V.parsed(two)).alias("s"))
+    return rows.select("page_id", V.setting(F.col("s"), "URL", "BASE").alias("url"), V.setting(F.col("s"), "MODE").alias("mode"))

@@ -169,9 +169,9 @@ def vision_defaults(spark, sf_dir):
 _KINDS = {"photo": ("the", "que"), "bar_chart": ("und",)}
 
 
-@_query("""WITH d AS (SELECT doc_id, substr(text, 1, 40) AS purpose, ['photo', 'bar_chart', 'roadmap'][doc_id % 3 + 1] AS kind, source FROM documents)
+@_query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS purpose, ['photo', 'bar_chart', 'roadmap'][doc_id % 3 + 1] AS kind, source FROM documents)
 SELECT doc_id, CASE kind WHEN 'photo' THEN contains(purpose, 'the') OR contains(purpose, 'que') WHEN 'bar_chart' THEN contains(purpose, 'und') ELSE true END AS matches FROM d""")
 def content_matches(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("photo", "bar_chart", "roadmap"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("purpose"), kind.alias("figure_type"), F.array("source").alias("suggested_content"))
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("purpose"), kind.alias("figure_type"), F.array("source").alias("suggested_content"))
     return d.select("doc_id", P.content_matches(_KINDS).alias("matches"))

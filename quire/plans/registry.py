@@ -178,10 +178,11 @@ def anchor_exists(spark, sf_dir):
     return d.select("doc_id", G.anchor_exists(anchor, F.col("text")).alias("found"))
 
 
-@_query(f"""WITH cv AS (SELECT conv_id AS doc_id, turn AS pos, text AS purpose FROM conversations), {plan_queries._greedy('cv', 'doc_id', 'pos', plan_queries._WORDS('purpose'))} SELECT cv.* FROM cv JOIN kept USING (doc_id, pos)""")
+# Each turn is followed by a near copy with one more word.
+@_query(f"""WITH cv AS (SELECT conv_id AS doc_id, turn * 2 + k AS pos, text || CASE k WHEN 1 THEN ' again' ELSE '' END AS purpose FROM conversations, (VALUES (0), (1)) v(k)), {plan_queries._greedy('cv', 'doc_id', 'pos', plan_queries._WORDS('purpose'))} SELECT cv.* FROM cv JOIN kept USING (doc_id, pos)""")
 def near_dup_greedy(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("purpose"))
-    return G.drop_similar(c)
+    c = _read(spark, sf_dir, "conversations").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return G.drop_similar(c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2 + F.col("k")).alias("pos"), F.concat("text", F.when(F.col("k") == 1, " again").otherwise("")).alias("purpose")))
 
 
 @_query("SELECT event_id, trim(props) AS object FROM events")
@@ -257,9 +258,14 @@ def required_tags(spark, sf_dir):
     return R.missing_tags(_records(spark, sf_dir), [0x32, 0x45])
 
 
-@_query("SELECT text AS prompt, min(conv_id) AS first_conv, count(*) AS uses FROM conversations GROUP BY text")
+# Prompts are roles and first words, so that many turns share one.
+@_query("SELECT role || ' ' || split_part(text, ' ', 1) AS prompt, min(conv_id) AS first_conv, count(*) AS uses FROM conversations GROUP BY ALL")
 def prompt_dedup(spark, sf_dir):
-    return _read(spark, sf_dir, "conversations").groupBy(F.col("text").alias("prompt")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("uses"))
+    return _read(spark, sf_dir, "conversations").groupBy(_prompt().alias("prompt")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("uses"))
+
+
+def _prompt():
+    return F.concat("role", F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1)))
 
 
 @_query(f"""WITH {_RECORDS}, lists AS (SELECT file, ord, level, p % 3 AS declared FROM rec WHERE tag = 69),
@@ -308,10 +314,13 @@ def critic_additions(spark, sf_dir):
     return G.add_missing(voted, voted, more).select("doc_id", "figure_id", "section_path", "figure_type", "vote_count", F.round("final_score", 6).alias("final_score"))
 
 
-@_query("""WITH k AS (SELECT conv_id AS doc_id, turn, role, CASE WHEN role <> 'user' AND trim(text) <> '' THEN lower(trim(text)) ELSE lower(substr(text, 1, 30)) END AS k FROM conversations)
+# Every turn comes twice, the second time later, with capitals and blanks.
+@_query("""WITH c AS (SELECT conv_id, turn + n * 1000 AS turn, role, CASE n WHEN 1 THEN replace(text, 'a', 'A') || '  ' ELSE text END AS text FROM conversations, (VALUES (0), (1)) v(n)),
+k AS (SELECT conv_id AS doc_id, turn, role, CASE WHEN role <> 'user' AND trim(text) <> '' THEN lower(trim(text)) ELSE lower(substr(text, 1, 30)) END AS k FROM c)
 SELECT doc_id, role AS figure_type, min(turn) AS pos FROM k GROUP BY doc_id, role, k""")
 def figure_dedup(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations")
+    n = F.col("n")
+    c = _read(spark, sf_dir, "conversations").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"turn": F.col("turn") + n * 1000, "text": F.when(n == 1, F.concat(F.replace("text", F.lit("a"), F.lit("A")), F.lit("  "))).otherwise(F.col("text"))})
     f = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("role") != "user", F.col("text")).alias("anchor_text"), F.col("text").alias("purpose"), F.col("role").alias("figure_type"), F.lit("").alias("section_path"))
     return G.drop_repeated(f).select("doc_id", "figure_type", "pos")
 
@@ -354,8 +363,18 @@ def declared_counts(spark, sf_dir):
 
 
 # Prompts are answered once each; the answer goes back to all turns with the prompt.
-@_query("SELECT conv_id, turn, c.text AS prompt, 'made for ' || first AS answer FROM conversations c JOIN (SELECT text, min(conv_id) AS first FROM conversations GROUP BY text) p ON p.text IS NOT DISTINCT FROM c.text")
+@_query("WITH c AS (SELECT conv_id, turn, role || ' ' || split_part(text, ' ', 1) AS prompt FROM conversations) SELECT conv_id, turn, c.prompt, 'made for ' || first AS answer FROM c JOIN (SELECT prompt, min(conv_id) AS first FROM c GROUP BY prompt) p ON p.prompt IS NOT DISTINCT FROM c.prompt")
 def prompt_answers(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations").withColumnRenamed("text", "prompt")
+    c = _read(spark, sf_dir, "conversations").withColumn("prompt", _prompt())
     made = c.groupBy("prompt").agg(F.concat(F.lit("made for "), F.min("conv_id")).alias("image"))
     return slots.with_images(c.select("conv_id", "turn", "prompt"), made).withColumnRenamed("image", "answer")
+
+
+# Turns as sections; the odd ones are lines of a pipe table.
+@_query(r"""WITH c AS (SELECT conv_id AS doc_id, turn, trim(CASE WHEN turn % 2 = 1 THEN '| ' || text || ' |' ELSE text END, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations),
+f AS (SELECT *, regexp_matches(t, '(?m)^[|].*[|]$') AS has_table, least(1e0, len(regexp_extract_all(t, '\d+')) / greatest(len(regexp_extract_all(t, '\S+')), 1) * 0.4e0 + len(regexp_extract_all(t, '(?i)the|que')) * 0.2e0) AS x FROM c)
+SELECT doc_id, turn, has_table, round(x * CASE WHEN has_table THEN 0.3e0 ELSE 1e0 END, 6) AS t2 FROM f""")
+def section_tables(spark, sf_dir):
+    text = T.strip(F.when(F.col("turn") % 2 == 1, F.concat(F.lit("| "), "text", F.lit(" |"))).otherwise(F.col("text")))
+    c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", text.alias("text"), F.lit(0).alias("ord"), F.lit(1).alias("depth"))
+    return S.scores(S.features(c, config.PROSE), config.PROSE).select("doc_id", "turn", "has_table", F.round("t2", 6).alias("t2"))
