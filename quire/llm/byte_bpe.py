@@ -133,6 +133,8 @@ def _codec(vocabulary: str, pattern: str, shared) -> Codec:
 def encode(docs: DataFrame, vocabulary: str, pattern: str, digest_only: bool = False) -> DataFrame:
     """The columns of `docs` (which has text), then n_tokens and ids (binary, little-endian 32-bit) and decoded (text's bytes).
 
+    Columns of `docs` that are called n_tokens, ids or decoded are replaced.
+
     With digest_only: doc_id, n_tokens and the SHA-256 of ids and of decoded, so that neither travels.
     """
     shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(vocabulary)))

@@ -8,7 +8,8 @@ and what remains is rendered.
 Scale: what is numbered, hashed and joined are rows without texts, which carry an MD5 of the text; they are dealt once, by
 (conv_id, block of BLOCK turn numbers), so that one endless conversation is many small groups. A block of more than HOT rows, such
 as that of a conversation without turn numbers, is cut further, by turn, role and the start of the MD5. Counts and hashes of the
-blocks before come from windows over the few rows of blocks. Prefixes are pre-aggregated before they meet, so that a first turn
+blocks before come from windows over the few rows of blocks. Up to `common.BROADCAST_ROWS` maximal conversations meet their turns
+by a checked broadcast; with more of them the texts are dealt by conv_id alone, so that an endless conversation is one task there. Prefixes are pre-aggregated before they meet, so that a first turn
 that opens very many conversations is one row. Texts are shuffled once, and only those of the conversations that stay; each
 block is rendered as a text of its own, so that no text grows without bound.
 

@@ -5,8 +5,8 @@ with its position (the leftmost of equals). Two texts that share WINDOW consecut
 the kept hashes misses no shared window. A hit is then extended: every window of WINDOW words around it is hashed from its
 words and joined with the benchmark's windows. Benchmark items of fewer words are one window, found by their first word.
 
-Scale: the documents are read three times (fingerprints, texts with hits, word counts) and their texts are shuffled only where
-a fingerprint hit and the hit documents are too many for a checked broadcast. Nothing pairs documents with items: windows join
+Scale: the documents are read three times (fingerprints, texts with hits, word counts). Up to `common.BROADCAST_ROWS` documents
+with a fingerprint hit are found by a checked broadcast of their ids; with more of them all texts are shuffled once to meet the hits. Nothing pairs documents with items: windows join
 by their hash; the set of items that hold a window has an id, a document gathers such ids, and each distinct list of ids is
 expanded to items once. Positions are packed longs, so that a text with very many hits costs time in proportion. Benchmark
 tables are broadcast up to `common.BROADCAST_ROWS` rows and shuffled beyond; up to MAX_ANCHORS first words of short items are

@@ -11,9 +11,10 @@ documents without a shingle meet nothing. A token's documents (its block) are ne
 other; each round pairs one document of a block (that with the largest share of recurring tokens: an original
 rather than its edited copies) with the rest, so that a round is linear in the postings. Blocks whose
 documents are already connected are done. What is left after `HUB_ROUNDS` is compared across components only, chunk by
-chunk inside tasks, by signatures; pairs that can't be linked are never emitted. Frequent tokens
-(a bounded list) never travel by key: their blocks' smallest documents are a pre-aggregated, broadcast table of at most
-`MAX_HEAVY` rows. Intermediate tables live in the shared checkpoint folder; nothing is collected.
+chunk inside tasks, by signatures; pairs that can't be linked are never emitted. Postings travel by token; for frequent tokens
+(a bounded list) the smallest documents of their blocks are a pre-aggregated, broadcast table of at most
+`MAX_HEAVY` rows, and what is left of them travels by token too. The verification meets texts by a checked broadcast of ids up to
+`common.BROADCAST_ROWS` of them; beyond, it shuffles the texts. Intermediate tables live in the shared checkpoint folder.
 
 Cases: null and empty texts have an empty set, n_shingles 0, and are linked with nothing (component_id = doc_id). A text of
 fewer than five words is one shingle. A repeated doc_id is one node; a null doc_id gets the smallest id among equal sets, or

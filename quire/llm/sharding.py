@@ -12,6 +12,7 @@ Scale: the text is read once for its size and checksum and never shuffled; a row
 
 Cases: a null text counts no bytes (size 1, checksum 0); a null doc_id is the empty key. Rows that repeat a doc_id go to one
 shard and get slots of their own. Equal texts with different keys may part: under law `key` only the key decides.
+An empty table gives no rows; columns other than doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
