@@ -17,7 +17,8 @@ pairs as frequent that some chunk of text holds often, which are scored without
 every task as a sorted array of up to LABELS entries (8 bytes each); more are joined by a shuffle of the texts.
 
 Cases: a null or empty text has no tokens and null losses and score. Without any target text the target model is uniform.
-Rows of `labels` that repeat a doc_id count once. An empty table gives no rows.
+Rows of `labels` that repeat a doc_id count once. An empty table gives no rows. Columns other than doc_id and text are neither read
+nor returned.
 """
 
 from __future__ import annotations
@@ -207,12 +208,12 @@ def score(docs: DataFrame, good_ids: DataFrame) -> DataFrame:
             for rows, order in ((ofknown, (1, 0)), (others, (2, 1, 0))):
                 cols = list(map(np.concatenate, zip(*rows, strict=True)))
                 at = np.lexsort([cols[k] for k in order])
-                cols = [x[at] for x in cols]
-                some.append((cols, np.searchsorted(cols[0], np.arange(groups + 1))))
-            for g in range(groups):
-                cut = [[x[e[g] : e[g + 1]] for x in cols[1:]] for cols, e in some]
-                if len(cut[0][0]) or len(cut[1][0]):
-                    out.append((g, f, False, pack(*cut[0], *cut[1])))
+                some.append([x[at] for x in cols])
+            occurring = np.unique(np.concatenate([cols[0] for cols in some]))  # groups without a pair cost nothing
+            edges = [[np.searchsorted(cols[0], occurring, side) for side in ("left", "right")] for cols in some]
+            for i, g in enumerate(occurring.tolist()):
+                cut = [[x[lo[i] : hi[i]] for x in cols[1:]] for cols, (lo, hi) in zip(some, edges, strict=True)]
+                out.append((g, f, False, pack(*cut[0], *cut[1])))
             for x in (docs, ofknown, others):
                 x.clear()
             raw = [x[3] for x in out]

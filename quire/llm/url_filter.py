@@ -11,7 +11,8 @@ are not tried, so that a host of very many labels costs no more than one of that
 each rule and is bounded by `MAX_RULES`; a longer list is refused rather than cut.
 
 Cases: a null URL, or one without `://`, has an empty host and path and no rule; where no rule fits, the verdict is the
-`default` (allow). An empty rule list leaves every URL to the default; an empty table gives no rows; repeated rows stay.
+`default` (allow). An empty rule list leaves every URL to the default; an empty table gives no rows; repeated rows stay. Columns other
+than page_id and url are neither read nor returned.
 """
 
 from __future__ import annotations
