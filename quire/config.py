@@ -86,7 +86,7 @@ PROSE = Lexicons(comparison="the|que", process="and|und", space="ing|eau", evide
 
 CANDIDATE_SCORE = 0.4
 CHARS_PER_FIGURE, MAX_FIGURES = 1500, 8
-PROMPT_CHARS = 12_000
+PROMPT_CHARS, PAGE_CHARS = 12_000, 1800
 CONTENT_ITEMS = 8
 MIN_ANCHOR, ANCHOR_SHARE, MIN_CONFIDENCE, MAX_OVERLAP = 10, 0.7, 0.5, 0.6
 

@@ -1,8 +1,9 @@
-"""Jobs over record streams with an exit status, for schedulers: `spark-submit quire/jobs.py check|verify|diff ...`.
+"""Jobs with an exit status, for schedulers: `spark-submit quire/jobs.py check|verify|diff|read ...`.
 
 Inputs are Parquet tables that Spark reads: streams (file, stream), records (file, stream, ord, tag, level, data), and perhaps
-headers (file, data) and failures (file, reason). Results are written as JSON lines, findings and a report for each file. The
-status is 0 if every file passes (for diff: has no difference), 1 if not, 2 for a bad call.
+headers (file, data) and failures (file, reason); for read, sections (doc_id, section_index, xml). Results are written as JSON
+lines, findings and a report for each file. The status is 0 if every file passes (for diff: has no difference; for read: each
+section can be read), 1 if not, 2 for a bad call.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.operators import markup as M
 from quire.operators import streams as S
 from quire.sources.sinks import write_json
 
@@ -42,6 +44,17 @@ def diff(reference: tuple[DataFrame, DataFrame], candidate: tuple[DataFrame, Dat
     return _finish(found, S.diff_report(files, found), out, "status = 'IDENTICAL'")
 
 
+def read(sections: DataFrame, out: str | None = None) -> int:
+    """Blocks and text of section markup, and errors, as JSON lines; status 1 if a section can't be read."""
+    rows, errors = M.read(sections)
+    if out:
+        found = M.reader_blocks(rows)
+        write_json(found, f"{out}/blocks")
+        write_json(M.reader_text(found), f"{out}/text")
+        write_json(errors, f"{out}/errors")
+    return int(errors.limit(1).count())
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quire.jobs")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -56,17 +69,21 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument("--feature", action="append", choices=S.CHECKS)
         p.add_argument("--headers") if name == "check" else None
         p.add_argument("--failures"), p.add_argument("--out")
+    p = jobs.add_parser("read")
+    p.add_argument("sections"), p.add_argument("--out")
     try:
         a = parser.parse_args(args)
     except SystemExit as e:
         return 0 if not e.code else 2
     spark = spark or SparkSession.builder.getOrCreate()
-    read = lambda path: spark.read.parquet(path) if path else None
+    table = lambda path: spark.read.parquet(path) if path else None
+    if a.job == "read":
+        return read(table(a.sections), a.out)
     if a.job == "check":
-        return check(read(a.streams), read(a.records), a.out, a.max_sections, read(a.headers), read(a.failures))
+        return check(table(a.streams), table(a.records), a.out, a.max_sections, table(a.headers), table(a.failures))
     if a.job == "verify":
-        return verify(read(a.streams), read(a.records), a.out, tuple(a.feature or S.CHECKS), read(a.failures))
-    return diff((read(a.streams), read(a.records)), (read(a.other_streams), read(a.other_records)), a.out, a.max_sections, read(a.failures))
+        return verify(table(a.streams), table(a.records), a.out, tuple(a.feature or S.CHECKS), table(a.failures))
+    return diff((table(a.streams), table(a.records)), (table(a.other_streams), table(a.other_records)), a.out, a.max_sections, table(a.failures))
 
 
 if __name__ == "__main__":

@@ -101,6 +101,14 @@ def audit_groups(groups: DataFrame, elements: DataFrame) -> DataFrame:
     return both.select("doc_id", F.when(F.col("declared") == F.col("actual"), "ok").otherwise("warn").alias("level"), F.concat("name", F.lit(" itemCnt")).alias("title"), F.concat_ws(":", F.col("declared").cast("string"), F.col("actual").cast("string")).alias("detail"))
 
 
+def audit_header(elements: DataFrame) -> DataFrame:
+    """doc_id, level, title, detail of what every header gives: how many styles it defines, and that references to them are to be kept."""
+    n = style_counts(elements)
+    counts = F.concat_ws(":", *[F.col(k).cast("string") for k in config.STYLE_GROUPS.values()])
+    items = [F.struct(F.lit(level).alias("level"), F.lit(title).alias("title"), detail.alias("detail")) for level, title, detail in (("ok", "header styles", counts), ("info", "style references", F.lit("")))]
+    return n.select("doc_id", F.explode(F.array(*items)).alias("x")).select("doc_id", "x.*")
+
+
 def warnings(audit: DataFrame) -> DataFrame:
     """doc_id, warnings: how many items of the audit are warnings."""
     return audit.groupBy("doc_id").agg(F.count_if(F.col("level") == "warn").alias("warnings"))

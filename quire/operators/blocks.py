@@ -26,10 +26,18 @@ def merged_rows(cells: DataFrame, table: tuple[str, ...] = ("doc_id", "table_id"
     return rows.filter(F.exists("texts", lambda x: x != ""))
 
 
-def with_context(blocks: DataFrame, span: int = 8) -> DataFrame:
-    """Adds context: the texts of at most `span` blocks on either side and of the block itself."""
-    around = F.collect_list(F.coalesce("text", F.lit(""))).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(-span, span))
-    return blocks.withColumn("context", T.normalise(F.array_join(around, "\n")))
+def with_context(blocks: DataFrame, span: int = 8, of: Column | None = None) -> DataFrame:
+    """Adds context: the texts of at most `span` blocks on either side and of the block itself.
+
+    With `of` the context is right for blocks where it holds, and holds only their texts elsewhere: texts that are near none of
+    them are not gathered for anything.
+    """
+    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(-span, span)
+    text = F.coalesce("text", F.lit(""))
+    if of is None:
+        return blocks.withColumn("context", T.normalise(F.array_join(F.collect_list(text).over(w), "\n")))
+    rows = blocks.withColumn("_of", F.coalesce(of, F.lit(False))).withColumn("_near", F.max("_of").over(w))
+    return rows.withColumn("context", T.normalise(F.array_join(F.collect_list(F.when(F.col("_near"), text)).over(w), "\n"))).drop("_of", "_near")
 
 
 def with_nearest_title(blocks: DataFrame, pattern: str, default: str, chars: int = 80) -> DataFrame:

@@ -32,6 +32,15 @@ def prompts(reports: DataFrame, contexts: DataFrame, template: str, examples: st
     return rows.select("doc_id", F.concat(prompt, F.lit(f"\n\n{examples}")).alias("prompt") if examples else prompt.alias("prompt"))
 
 
+def page_texts(pages: DataFrame, chars: int = config.PAGE_CHARS) -> DataFrame:
+    """doc_id, text: the start of the text of each page (doc_id, page_number, text) that has one, in order, for a prompt."""
+    flat = T.strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
+    rows = pages.select("doc_id", "page_number", flat.alias("s")).filter("s <> ''")
+    one = F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit(" text]\n"), F.substring("s", 1, chars))
+    each = F.array_sort(F.collect_list(F.struct("page_number", one.alias("s"))))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(each, lambda x: x["s"]), "\n\n").alias("text"))
+
+
 def draw(seed: int, *key: Column) -> Column:
     """A number from 0 to 1 in steps of 1/4096, drawn from a key."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])), 1, 3), 16, 10).cast("long") / 4096

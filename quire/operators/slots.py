@@ -1,7 +1,7 @@
 """Places for images in a document, and what is put there.
 
 `blocks`: doc_id, ord, section_index, kind, text (of a table: its cells joined), width, height, and empty_large for tables with
-an empty cell that is large. A slot is a row: doc_id, id, block_ord, section_index, type, ui_type, style, desc, title, context,
+an empty cell that is large (the function of that name finds it in the cells of `markup.paragraph_blocks`). A slot is a row: doc_id, id, block_ord, section_index, type, ui_type, style, desc, title, context,
 prompt.
 """
 
@@ -47,15 +47,22 @@ def prompt(purpose: Column, path: Column, content: Column, kind: Column, words:
     return F.concat_ws("\n", line(0, F.coalesce(own, other)), F.when(F.size(items) > 0, line(1, F.array_join(items, " / "))), line(2, kind), line(3, guide))
 
 
+def empty_large(cells: Column) -> Column:
+    """Whether a table (rows of structs of text, width, height) has a cell without text that is large."""
+    big = lambda c: (T.strip(F.coalesce(c["text"], F.lit(""))) == "") & ((c["width"] > config.WIDE_CELL) | (c["height"] > config.HIGH_CELL))
+    return F.coalesce(F.exists(F.flatten(cells), big), F.lit(False))
+
+
 def find_slots(blocks: DataFrame, words: config.SlotWords = config.SlotWords(), limit: int = config.MAX_SLOTS) -> DataFrame:
     """The first places (at most `limit`) of each document: marked texts, large tables, tables with large empty cells.
 
     A document without any has one place at its start, with the context of its first blocks.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = B.with_nearest_title(B.with_context(blocks.withColumn("text", text)), words.nearest, words.nearest_default)
     table = F.col("kind") == "table"
     fits = F.col("text").rlike(words.marker) | (table & ((F.col("width") > config.WIDE_TABLE) | (F.col("height") > config.HIGH_TABLE) | F.col("empty_large")))
+    titled = B.with_nearest_title(blocks.withColumn("text", text), words.nearest, words.nearest_default)
+    rows = B.with_context(titled, of=fits)
     title = F.when(F.col("text").rlike(words.title), F.col("text")).otherwise(F.col("nearest_title"))
     found = rows.filter(F.coalesce(fits, F.lit(False))).withColumn("title", title).withColumn("type", slot_type(F.concat_ws("\n", "title", "context"), words))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
@@ -65,7 +72,7 @@ def find_slots(blocks: DataFrame, words: config.SlotWords = config.SlotWords(),
     near = blocks.withColumn("_at", at).filter(F.col("ord").between(F.col("_at") - 10, F.col("_at") + 10))
     around = F.array_sort(F.collect_list(F.struct("ord", text.alias("s"))))
     rest = near.join(found.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(T.normalise(F.array_join(F.transform(around, lambda x: x["s"]), "\n")).alias("context"))
-    opening = rows.filter("ord = 0").select("doc_id", F.col("nearest_title").alias("title"))
+    opening = titled.filter("ord = 0").select("doc_id", F.col("nearest_title").alias("title"))
     rest = rest.join(opening, "doc_id").select("doc_id", F.lit(0).alias("id"), F.lit(0).alias("block_ord"), F.lit(0).alias("section_index"), slot_type(F.col("context"), words).alias("type"), "title", "context")
     slots = found.unionAll(rest.select(*[F.col(c).cast(found.schema[c].dataType) for c in found.columns]))
     return slots.withColumns({

@@ -200,6 +200,12 @@ def style_group_audit(spark, sf_dir):
     return A.audit_groups(groups, e)
 
 
+@_query(f"""WITH {_ELEMENTS}, n AS (SELECT doc_id, count(*) FILTER (WHERE name = 'charPr') AS a, count(*) FILTER (WHERE name = 'paraPr') AS b, count(*) FILTER (WHERE name = 'borderFill') AS c FROM el GROUP BY doc_id)
+SELECT doc_id, 'ok' AS level, 'header styles' AS title, a || ':' || b || ':' || c AS detail FROM n UNION ALL SELECT doc_id, 'info', 'style references', '' FROM n""")
+def header_audit(spark, sf_dir):
+    return A.audit_header(_elements(spark, sf_dir))
+
+
 # Names and bytes of files, from parts and documents.
 _PATHS = "paths AS (SELECT p_partkey, '/in/' || p_name || ['.hwpx', '.HWP', '.docx', '.pdf', '.md', '.TXT', '.doc', '', '.bak'][p_partkey % 9 + 1] AS path FROM part)"
 _EXT = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"

@@ -119,3 +119,9 @@ def page_payloads(spark, sf_dir):
     found = rows.withColumn("pages", F.filter("pages", lambda p: p["page_number"] <= F.col("most")))
     alone = F.size("pages") == 0
     return found.select("page_id", F.explode_outer("pages").alias("p"), F.when(alone, F.col("document")).alias("document"), "reason").select("page_id", "p.*", "document", "reason")
+
+
+# Turns as pages of a report.
+@_query("""WITH p AS (SELECT conv_id AS doc_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM conversations) SELECT doc_id, string_agg('[Page ' || turn || ' text]' || chr(10) || substr(s, 1, 1800), chr(10) || chr(10) ORDER BY turn) AS text FROM p WHERE s <> '' GROUP BY doc_id""")
+def page_texts(spark, sf_dir):
+    return R.page_texts(_read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "text"))

@@ -9,7 +9,7 @@ from quire import config
 from quire.operators import blocks as B
 from quire.operators import sections as S
 from quire.operators import slots as P
-from quire.plans.base import _query
+from quire.plans.base import _query, _read
 from quire.plans.block_queries import _BLOCKS, _blocks
 from quire.plans.views import _SECTIONS, _reports
 
@@ -129,3 +129,14 @@ SELECT f.doc_id AS doc_id, CAST(row_number() OVER (PARTITION BY f.doc_id ORDER B
 def figure_slots(spark, sf_dir):
     out = P.figure_slots(_planned(spark, sf_dir), _blocks(spark, sf_dir), WORDS)
     return out.select("doc_id", "id", "block_ord", "section_index", "ui_type", "desc", "title", "context", "prompt")
+
+
+# Line items as cells of one table for each order; some are empty, some of these large.
+@_query("""WITH li AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL)
+SELECT doc_id, max(p % 3 = 0 AND (p % 4 * 10000 > 25000 OR p % 5 * 4000 > 12000)) AS empty_large FROM li GROUP BY doc_id""")
+def empty_cells(spark, sf_dir):
+    li = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    p = F.col("p")
+    cell = F.struct(F.when(p % 3 != 0, "x").when(p % 2 == 0, " \u00a0").alias("text"), (p % 4 * 10_000).alias("width"), (p % 5 * 4000).alias("height"))
+    rows = li.groupBy("doc_id", F.floor(F.col("n") / 3).alias("r")).agg(F.collect_list(cell).alias("row")).groupBy("doc_id").agg(F.collect_list("row").alias("cells"))
+    return rows.select("doc_id", P.empty_large(F.col("cells")).alias("empty_large"))

@@ -85,6 +85,10 @@ def test_jobs_have_a_status(spark, tmp_path):
     assert jobs.main(["verify", *fine, "--failures", f"{tmp_path}/failures"], spark) == 1
     assert jobs.main(["diff", *fine, *fine], spark) == 0 and jobs.main(["diff", *fine, *bad], spark) == 1 and jobs.main(["diff", *fine, *bad, "--max-sections", "1"], spark) == 0
     assert jobs.main(["no"], spark) == 2
+    spark.createDataFrame([(1, 0, "<a><p><t>x</t></p></a>"), (1, 1, "<a><p><t>y</t></p></a>")], "doc_id long, section_index int, xml string").write.parquet(f"{tmp_path}/sections")
+    spark.createDataFrame([(2, 0, "<a>")], "doc_id long, section_index int, xml string").write.parquet(f"{tmp_path}/broken")
+    assert jobs.main(["read", f"{tmp_path}/sections", "--out", f"{tmp_path}/read"], spark) == 0 and jobs.main(["read", f"{tmp_path}/broken"], spark) == 1
+    assert [json.loads(x.value) for x in spark.read.text(f"{tmp_path}/read/text").collect()] == [{"doc_id": 1, "plain": "x\ny"}]
 
 
 def test_refused_files_are_rows(spark):
