@@ -16,6 +16,7 @@ from quire.functions import text as T
 from quire.operators import audits as A
 from quire.operators import blocks as B
 from quire.operators import intake as K
+from quire.operators import pages as H
 from quire.operators import sections as S
 from quire.plans.base import _query, _read
 from quire.plans.views import _LINES, _reports
@@ -364,3 +365,26 @@ def layered_settings(spark, sf_dir):
     two = F.when(k < 4, F.lit("MODE=c\nMODE=d\nnothing\n=x"))
     rows = _read(spark, sf_dir, "pages").select("page_id", V.layered(own, V.parsed(one), V.parsed(two)).alias("s"))
     return rows.select("page_id", V.setting(F.col("s"), "URL", "BASE").alias("url"), V.setting(F.col("s"), "MODE").alias("mode"))
+
+
+_CHARS = [("0", 10.0, False, False, ""), ("1", 30.5, True, False, "#ff0000"), ("2", 5.0, False, True, "red")]
+_PARAS = [("0", "center", 0.0, 0.0), ("1", "justify", 12.5, 40.0)]
+_HTML_LINE = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')".format
+
+
+# The blocks of documents as pages: styles by the line's number, every third image is missing, one section more than has blocks.
+@_query(f"""WITH {_BLOCKS}, b AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'font-size:10.0pt' WHEN 1 THEN 'font-size:28pt;font-weight:700;color:#ff0000' ELSE 'font-size:7pt;font-style:italic' END || CASE ord % 2 WHEN 0 THEN ';text-align:center' ELSE ';margin-top:12.5pt;margin-bottom:30pt' END AS css,
+  CASE WHEN length(bare) <= 40 AND regexp_matches(bare, '^(\\s*(\\d+\\.|[가-힣]\\.|[ⅠⅡⅢⅣⅤ]+\\.|[【\\[].+[】\\]])\\s*)\\S') THEN 'h3' ELSE 'p' END AS tag FROM cl),
+p AS (SELECT doc_id, section_index, ord, CASE kind WHEN 'image' THEN CASE WHEN ord % 3 <> 0 THEN '{H.IMAGE[0]}x' || ord || '{H.IMAGE[1]}' END WHEN 'table' THEN '<table><tr><th>' || {_HTML_LINE("w1")} || '</th><th>' || {_HTML_LINE("w2")} || '</th></tr><tr><td>' || {_HTML_LINE("w3")} || '</td></tr></table>'
+  ELSE CASE WHEN bare <> '' THEN '<' || tag || ' style="' || css || '">' || {_HTML_LINE("bare")} || '</' || tag || '>' END END AS s FROM b
+  UNION ALL SELECT DISTINCT doc_id, section_index, -1, '{H.BREAK}' FROM blk WHERE section_index > 0 UNION ALL SELECT doc_id, max(section_index) + 1, -1, '{H.BREAK}' FROM blk GROUP BY doc_id)
+SELECT doc_id, sha256('<!DOCTYPE html><html lang="ko"><head><meta charset="utf-8"><style>p{{margin:0}}</style></head><body>' || string_agg(s, '' ORDER BY section_index, ord) || '</body></html>') AS html_sha256 FROM p WHERE s IS NOT NULL GROUP BY doc_id""")
+def section_pages(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    table = lambda rows, names: docs.select("doc_id", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])).alias("s")).select("doc_id", "s.*")
+    styled = B.with_styles(blocks.withColumns({"char": (F.col("ord") % 3).cast("string"), "para": (F.col("ord") % 2).cast("string")}), table(_CHARS, ("id", "font_size", "bold", "italic", "color")), "char", "char_")
+    styled = B.with_styles(styled, table(_PARAS, ("id", "align", "margin_top", "margin_bottom")), "para", "para_")
+    rows = styled.withColumns({"style": H.style_attribute(), "src": F.when(F.col("ord") % 3 != 0, F.concat(F.lit("x"), "ord"))})
+    last = blocks.groupBy("doc_id").agg((F.max("section_index") + 1).alias("section_index"))
+    return H.to_html(rows, blocks.select("doc_id", "section_index").unionByName(last), "p{margin:0}").select("doc_id", F.sha2("html", 256).alias("html_sha256"))
