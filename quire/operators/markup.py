@@ -30,7 +30,8 @@ from quire.sources.tables import written
 KEY = ["doc_id", "section_index"]
 TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++"""
 NAME = r"^</?(?:[^\s<>/:]+:)?([^\s<>/:]+)"
-NESTED = ("p", "tbl", "tr", "tc", "t")
+NESTED = ("p", "tbl", "tr", "tc")
+COUNTED = (*NESTED, "t")
 TEXT_TAGS, BREAK_TAGS = ("t", "text"), ("lineBreak", "br")
 _BAD_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
 
@@ -100,20 +101,21 @@ def errors(rows: DataFrame) -> DataFrame:
 def nested(rows: DataFrame) -> DataFrame:
     """The well-formed rows of `tokens`, with what encloses them.
 
-    For each name x of NESTED: n_x, how many x enclose the row, and in_x (at, depth), the innermost of them; an element doesn't
-    enclose itself. `starts` is true for openings and empty elements, `before` the kind and name of the tag before the row.
+    For each name x of COUNTED: n_x, how many x enclose the row, and for those of NESTED in_x (at, depth), the innermost of them; an
+    element doesn't enclose itself. `starts` is true for openings and empty elements, `before` the kind and name of the tag before the row.
     """
     opens, closes, name = F.col("kind") == "open", F.col("kind") == "close", F.col("name")
     rows = rows.filter("reason IS NULL AND kind <> 'skip'").withColumn("starts", F.col("kind").isin("open", "empty"))
-    after = {f"_n_{x}": F.sum(F.when(name == x, F.when(opens, 1).when(closes, -1)).otherwise(0)).over(_w()) for x in NESTED}
+    after = {f"_n_{x}": F.sum(F.when(name == x, F.when(opens, 1).when(closes, -1)).otherwise(0)).over(_w()) for x in COUNTED}
     before = F.last(F.when(F.col("kind") != "text", F.struct("kind", "name")), ignorenulls=True).over(_w().rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({**after, "before": before})
     for x in NESTED:
         last = F.last(F.when(opens & (name == x), F.struct("at", "depth")), ignorenulls=True).over(Window.partitionBy(*KEY, f"_n_{x}").orderBy("at"))
         rows = rows.withColumn(f"_in_{x}", F.when(F.col(f"_n_{x}") > 0, last))
-    outer = {f"{k}_{x}": F.when(F.col("kind") == "text", F.col(f"_{k}_{x}")).otherwise(F.lag(f"_{k}_{x}").over(_w())) for x in NESTED for k in ("n", "in")}
+    held = [*(f"n_{x}" for x in COUNTED), *(f"in_{x}" for x in NESTED)]
+    outer = {k: F.when(F.col("kind") == "text", F.col(f"_{k}")).otherwise(F.lag(f"_{k}").over(_w())) for k in held}
     rows = rows.withColumns({k: F.coalesce(c, F.lit(0)) if k.startswith("n_") else c for k, c in outer.items()})
-    return rows.drop(*[f"_{k}_{x}" for x in NESTED for k in ("n", "in")])
+    return rows.drop(*[f"_{k}" for k in held])
 
 
 def read(sections: DataFrame) -> tuple[DataFrame, DataFrame]:

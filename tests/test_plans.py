@@ -65,3 +65,20 @@ def test_white_space_is_what_the_pattern_takes(spark):
 def test_every_query_with_sql_is_registered():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 130
+
+
+def test_pages(spark):
+    from quire.operators import pages as H
+
+    style = "char_font_size double, char_bold boolean, char_italic boolean, char_color string, para_align string, para_margin_top double, para_margin_bottom double"
+    rows = [
+        (1, 0, 0, "text", " 1. Head & <b> ", None, None, 10.0, True, True, "#00ff00", "left", 3.5, 99.0), (1, 0, 1, "text", "plain " * 9, None, None, 99.0, False, None, "green", "justify", 0.0, None), (1, 2, 0, "table", None, [["a", None], ['"', "d"]], None, *[None] * 7),
+        (1, 2, 1, "image", None, None, "data:x", *[None] * 7), (1, 2, 2, "image", None, None, None, *[None] * 7), (1, 2, 3, "table", None, [], None, *[None] * 7), (1, 2, 4, "text", " ", None, None, *[None] * 7), (2, 0, 0, "text", None, None, None, *[None] * 7),
+    ]
+    blocks = spark.createDataFrame(rows, f"doc_id long, section_index int, ord int, kind string, text string, rows array<array<string>>, src string, {style}").withColumn("style", H.style_attribute())
+    sections = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (3, 1)], "doc_id long, section_index int")
+    got = {r.doc_id: r.html.split("<body>")[1] for r in H.to_html(blocks, sections).collect()}
+    assert got == {
+        1: '<h3 style="font-size:10.0pt;font-weight:700;font-style:italic;color:#00ff00;text-align:left;margin-top:3.5pt;margin-bottom:30pt">1. Head &amp; &lt;b&gt;</h3>' + f'<p style="font-size:28pt">{("plain " * 9).strip()}</p>' + H.BREAK * 2
+        + f"<table><tr><th>a</th><th></th></tr><tr><td>&quot;</td><td>d</td></tr></table>{H.IMAGE[0]}data:x{H.IMAGE[1]}</body></html>", 3: f"{H.BREAK}</body></html>",
+    }
