@@ -16,6 +16,7 @@ from quire.operators import sections as S
 from quire.plans.base import _query, _read
 from quire.plans.plan_queries import _DOM, _FINAL, _PATHS, _PROPOSED, WORDS, _sections
 from quire.plans.views import _reports
+from quire.sources.tables import written
 
 
 def _replies(reports: DataFrame, sections: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def _replies(reports: DataFrame, sections: DataFrame) -> DataFrame:
     rows = R.rule_replies(S.candidates(sections), totals, words=WORDS)
     rows = rows.withColumn("error", F.when((d + r) % 7 == 0, F.when(r == 1, "429 RESOURCE_EXHAUSTED").otherwise("503 UNAVAILABLE")))
     broken = F.when(d % 11 == 5, F.concat(F.lit("Here: {"), r.cast("string"))).when(d % 11 == 6, F.replace("reply", F.lit("\n```"), F.lit("} and {}\n```"))).when(d % 11 == 7, F.replace(F.replace("reply", F.lit("```json"), F.lit("")), F.lit("```"), F.lit(".")))
-    return rows.withColumn("reply", F.coalesce(broken, "reply"))
+    return written(rows.withColumn("reply", F.coalesce(broken, "reply")))  # as recorded replies are
 
 
 _kind = "CASE {dom} WHEN 'T6' THEN 'cover_banner' WHEN 'T3' THEN CASE WHEN {maps} THEN 'map_layout' WHEN {plans} THEN 'floor_plan' WHEN {views} THEN 'rendering' ELSE 'map_layout' END WHEN 'T4' THEN CASE WHEN {dates} >= 3 THEN 'roadmap' ELSE 'flow_chart' END WHEN 'T2' THEN CASE WHEN {numbers} >= 5 THEN 'bar_chart' ELSE 'comparison_table' END WHEN 'T5' THEN CASE WHEN {trends} THEN 'line_chart' ELSE 'photo' END ELSE 'concept_diagram' END".format(
