@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from quire import config
 from quire.operators import figures as G
 from quire.operators import sections as S
+from quire.sources.tables import written
 
 #: What a figure of the vision planner has where it says nothing.
 DEFAULTS = {"position_hint": "after", "figure_type": "concept_diagram", "cognitive_load": 0.7, "image_prompt_seed": "", "vote_count": 1, "critic_approved": True}
@@ -95,9 +96,13 @@ def self_check(figures: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def checked(figures: DataFrame) -> DataFrame:
-    """`self_check` of figures that `in_report` has met with their reports."""
+    """`self_check` of figures that `in_report` has met with their reports.
+
+    The sound ones are written to the shared folder: `drop_similar` reads them three times, and all that leads to them, texts
+    included, would be made as often.
+    """
     known = figures.withColumn("_at", number(F.col("figure_id")))
-    sound = known.filter(F.col("anchored") & (F.coalesce("confidence", F.lit(0.0)) >= config.MIN_CONFIDENCE))
+    sound = written(known.filter(F.col("anchored") & (F.coalesce("confidence", F.lit(0.0)) >= config.MIN_CONFIDENCE)))
     kept = G.drop_similar(sound, "_at")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at"))
     kept = kept.withColumn("_rank", rank).filter(F.col("_rank") <= cap(F.col("total_chars")))
