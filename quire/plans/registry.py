@@ -82,7 +82,7 @@ SELECT doc_id, section_id, CASE t WHEN 'T6' THEN 'cover_banner' WHEN 'T3' THEN '
   WHEN 'T2' THEN CASE WHEN len(regexp_extract_all(text, '\d+(?:\.\d+)?')) >= 5 THEN 'bar_chart' ELSE 'comparison_table' END WHEN 'T5' THEN 'photo' ELSE 'concept_diagram' END AS figure_type FROM d"""
 )
 def classify(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "section_id", S.figure_type(S.dominant(), F.col("text")).alias("figure_type"))
+    return _scored(spark, sf_dir).select("doc_id", "section_id", S.figure_type(S.dominant(), F.col("text"), config.PROSE_TYPES).alias("figure_type"))
 
 
 @_query(f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY greatest(t1, t2, t3, t4, t5, t6) DESC, ord) AS rank FROM scored)
