@@ -362,10 +362,10 @@ def declared_counts(spark, sf_dir):
     return R.declared_and_actual(records, declared)
 
 
-# Prompts are answered once each; the answer goes back to all turns with the prompt.
-@_query("WITH c AS (SELECT conv_id, turn, role || ' ' || split_part(text, ' ', 1) AS prompt FROM conversations) SELECT conv_id, turn, c.prompt, 'made for ' || first AS answer FROM c JOIN (SELECT prompt, min(conv_id) AS first FROM c GROUP BY prompt) p ON p.prompt IS NOT DISTINCT FROM c.prompt")
+# Prompts are whole turns, each asked twice, and answered once each; the answer goes back to all turns with the prompt.
+@_query("WITH c AS (SELECT conv_id, turn * 2 + k AS turn, role || ' ' || text AS prompt FROM conversations, (VALUES (0), (1)) v(k)) SELECT conv_id, turn, c.prompt, 'made for ' || first AS answer FROM c JOIN (SELECT prompt, min(conv_id) AS first FROM c GROUP BY prompt) p ON p.prompt IS NOT DISTINCT FROM c.prompt")
 def prompt_answers(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations").withColumn("prompt", _prompt())
+    c = _read(spark, sf_dir, "conversations").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"turn": F.col("turn") * 2 + F.col("k"), "prompt": F.concat("role", F.lit(" "), "text")})
     made = c.groupBy("prompt").agg(F.concat(F.lit("made for "), F.min("conv_id")).alias("image"))
     return slots.with_images(c.select("conv_id", "turn", "prompt"), made).withColumnRenamed("image", "answer")
 
