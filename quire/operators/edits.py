@@ -73,29 +73,34 @@ def _counted(text: Column, old: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, old, F.lit("")))) / F.length(old)).cast("long")
 
 
+def _step(rows: DataFrame, old: str, new: str, on: Column | None = None) -> DataFrame:
+    """`rows` with old replaced in text (where `on` holds), and n raised by how often."""
+    text, n = F.replace("text", F.lit(old), F.lit(new)), F.col("n") + _counted(F.col("text"), F.lit(old))
+    return rows.withColumns({"text": text, "n": n} if on is None else {"text": F.when(on, text).otherwise(F.col("text")), "n": F.when(on, n).otherwise(F.col("n"))})
+
+
 def replaced(runs: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """doc_id, para, ord, text, n of `runs` (doc_id, para, ord, text) with texts replaced; n is the count of the paragraph.
 
     Replacements go in the order of `mapping`, each on the result of those before: first inside each run, then, if the joined text
-    of a paragraph still holds one, over that text, which goes to the first run while the others become empty. The runs of a
-    paragraph meet as one array. Null texts are empty; an empty key replaces nothing.
+    of a paragraph still holds one, over that text, which goes to the first run while the others become empty. Runs are replaced in
+    their rows; those of a paragraph meet as one array, and what a run gets is put into the array before it is parted again, so that
+    no run carries the text of its paragraph. Null texts are empty; an empty key replaces nothing.
     """
-    pairs = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in mapping.items() if a])
-    each = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text"))))
-    rows = runs.groupBy("doc_id", "para").agg(each.alias("runs"))
-    if not any(mapping):
-        return rows.select("doc_id", "para", F.explode("runs").alias("r"), F.lit(0).cast("long").alias("n")).select("doc_id", "para", "r.ord", "r.text", "n")
-    start = lambda t: F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))
-    step = lambda s, p: F.struct(F.replace(s["text"], p["old"], p["new"]).alias("text"), (s["n"] + _counted(s["text"], p["old"])).alias("n"))
-    rows = rows.withColumn("first", F.transform("runs", lambda r: F.struct(r["ord"].alias("ord"), F.aggregate(pairs, start(r["text"]), step).alias("s"))))
-    joined = F.array_join(F.transform("first", lambda r: r["s"]["text"]), "")
-    rows = rows.withColumn("joined", joined)
-    rows = rows.withColumn("need", F.filter(pairs, lambda p: F.contains("joined", p["old"])))
-    rows = rows.withColumn("whole", F.when(F.size("need") > 0, F.aggregate("need", start(F.col("joined")), step)))
-    n = F.aggregate("first", F.lit(0).cast("long"), lambda s, r: s + r["s"]["n"]) + F.coalesce("whole.n", F.lit(0).cast("long"))
-    out = rows.select("doc_id", "para", n.alias("n"), "whole", F.posexplode("first").alias("i", "r"))
-    text = F.when(F.col("whole").isNull(), F.col("r.s.text")).when(F.col("i") == 0, F.col("whole.text")).otherwise("")
-    return out.select("doc_id", "para", "r.ord", text.alias("text"), "n")
+    pairs = [(a, b) for a, b in mapping.items() if a]
+    own, n = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    rows = runs.select("doc_id", "para", "ord", own.alias("text"), n.alias("n"))
+    for a, b in pairs:
+        rows = _step(rows, a, b)
+    rows = rows.groupBy("doc_id", "para").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("runs"), F.sum("n").alias("n"))
+    rows = rows.withColumn("joined", F.array_join("runs.text", "")).withColumn("_need", F.array(*[F.contains("joined", F.lit(a)) for a, _ in pairs]).cast("array<boolean>"))
+    # the texts that are needed were named before any of them is replaced
+    rows = rows.withColumnRenamed("joined", "text")
+    for k, (a, b) in enumerate(pairs):
+        rows = _step(rows, a, b, F.col("_need")[k])
+    whole = lambda r, i: F.struct(r["ord"].alias("ord"), F.when(i == 0, F.col("text")).otherwise("").alias("text"))
+    out = F.when(F.exists("_need", lambda x: x), F.transform("runs", whole)).otherwise(F.col("runs"))
+    return rows.select("doc_id", "para", "n", F.explode(out).alias("r")).select("doc_id", "para", "r.ord", "r.text", "n")
 
 
 _ADDRESS = ["doc_id", "table_id", "r", "c"]
