@@ -15,6 +15,7 @@ from quire.functions import text as T
 from quire.operators import figures as G
 from quire.operators import plan as P
 from quire.operators import sections as S
+from quire.sources.tables import written
 
 #: Shares of the best trigger score and the cognitive load in the final score, and the least score that is kept.
 SCORE_SHARE, LOAD_SHARE, LEAST_SCORE = 0.4, 0.6, 0.5
@@ -72,22 +73,23 @@ def rule_replies(candidates: DataFrame, totals: DataFrame, n: int = 3, seed: int
 
 def parsed(replies: DataFrame) -> DataFrame:
     """Adds result (variant, null for a failed call) and reason (of the failure, else null)."""
-    result = F.when(F.col("error").isNull(), F.try_parse_json(T.json_object(F.col("reply"))))
+    result = F.when(F.col("error").isNull(), T.parsed_object(F.col("reply")))
     return replies.withColumn("result", result).withColumn("reason", F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("result").isNull(), NO_OBJECT))
 
 
 def failures(replies: DataFrame) -> DataFrame:
     """doc_id, run_id, stage, reason, transient, quota of the calls that failed."""
-    bad = parsed(replies).filter("reason IS NOT NULL")
+    bad = parsed(replies).select("doc_id", "run_id", F.explode(F.array_compact(F.array("reason"))).alias("reason"))  # a filter would parse again
     return bad.select("doc_id", "run_id", F.lit("plan").alias("stage"), "reason", T.is_transient(F.col("reason")).alias("transient"), T.is_quota(F.col("reason")).alias("quota"))
 
 
 def runs(reports: DataFrame, replies: DataFrame, max_figures: int = config.MAX_FIGURES) -> DataFrame:
     """doc_id, run_id, result, errors: the successful runs of each report, the first one with the reasons of those that failed.
 
-    A report without a successful run has one of its own, numbered 0: without figures. `reports`: doc_id, md.
+    A report without a successful run has one of its own, numbered 0: without figures. `reports`: doc_id, md. Replies are parsed
+    once and written to the shared folder: three branches read them.
     """
-    known = parsed(replies)
+    known = written(parsed(replies).drop("reply", "error"))
     bad = known.filter("reason IS NOT NULL").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "reason"))), lambda x: F.concat(F.lit("run "), x["run_id"].cast("string"), F.lit(": "), x["reason"])).alias("errors"))
     good = known.filter("reason IS NULL").select("doc_id", "run_id", "result")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("run_id")) == 1
@@ -136,9 +138,9 @@ def reviewed(figures: DataFrame, replies: DataFrame) -> DataFrame:
     """`figures` (doc_id, figure_id, figure_type, and more) after the critic: rejected ones go, others may change type, missing ones are added.
 
     `replies` has at most one row for each document. Where the call failed, or there was none, all figures stay as they are.
-    Documents without figures are not reviewed, so that nothing is added to them.
+    Documents without figures are not reviewed, so that nothing is added to them. Replies are parsed once and written.
     """
-    asked = parsed(replies).filter("reason IS NULL").select("doc_id", "result").join(figures.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = written(parsed(replies).select("doc_id", "result", "reason")).filter("reason IS NULL").select("doc_id", "result").join(figures.select("doc_id").distinct(), "doc_id", "left_semi")
     each = asked.select("doc_id", F.posexplode(_objects(F.col("result"), "reviewed")).alias("ord", "r"))
     r = F.col("r")
     reviews = each.select("doc_id", "ord", _string(r, "figure_id").alias("figure_id"), F.try_variant_get(r, "$.approved", "boolean").alias("approved"), _string(r, "suggest_alternative_type").alias("alternative"))
