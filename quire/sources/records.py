@@ -10,25 +10,42 @@ from pyspark.sql import DataFrame
 SCHEMA = "file string, ord int, offset long, tag int, level int, size long, data binary"
 
 
+#: Records and bytes of payload after which a batch is handed on.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4_000_000
+_NAMES = ("file", "ord", "offset", "tag", "level", "size", "data")
+_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+
+def _records(file: str | None, raw: bytes):
+    at = n = 0
+    while at + 4 <= len(raw):
+        (head,) = struct.unpack_from("<I", raw, at)
+        start, size, body = at, head >> 20, at + 4
+        if size == 0xFFF:
+            if body + 4 > len(raw):
+                break
+            (size,) = struct.unpack_from("<I", raw, body)
+            body += 4
+        yield file, n, start, head & 0x3FF, head >> 10 & 0x3FF, size, raw[body : body + size]
+        n, at = n + 1, body + size
+
+
+def record_batches(batches):
+    """Batches of records from batches of streams (file, content): many small streams share one, a long stream is parted."""
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], list(_NAMES))
+    rows, held = [], 0
+    for batch in batches:
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for row in _records(file, content.as_py() or b""):
+                rows.append(row)
+                held += len(row[-1])
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
 def decode_records(streams: DataFrame) -> DataFrame:
     """A row for each record in `streams` (file, content). A short header ends a stream; a cut payload is kept as it is."""
-
-    def run(batches):
-        for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                raw, at, rows = content.as_py() or b"", 0, []
-                while at + 4 <= len(raw):
-                    (head,) = struct.unpack_from("<I", raw, at)
-                    start, size, body = at, head >> 20, at + 4
-                    if size == 0xFFF:
-                        if body + 4 > len(raw):
-                            break
-                        (size,) = struct.unpack_from("<I", raw, body)
-                        body += 4
-                    rows.append((file.as_py(), len(rows), start, head & 0x3FF, head >> 10 & 0x3FF, size, raw[body : body + size]))
-                    at = body + size
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                types = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "ord", "offset", "tag", "level", "size", "data"])
-
-    return streams.select("file", "content").mapInArrow(run, SCHEMA)
+    return streams.select("file", "content").mapInArrow(record_batches, SCHEMA)
