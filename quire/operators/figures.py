@@ -18,21 +18,23 @@ def vote(figures: DataFrame, results: DataFrame | None = None) -> DataFrame:
     `figures`: doc_id, run_id, pos, section_path, figure_type, confidence, final_score, suggested_content, and more, which the
     first figure of a group keeps. `results` (doc_id, run_id) lists all successful runs, also those without figures; without it
     the runs that have figures count. vote_rank is the order by score. The items of a group are reduced to the distinct ones
-    before they are gathered, and only the first CONTENT_ITEMS of these are. Figures are ordered by rounded scores, since the order
+    before they are gathered, and only the first CONTENT_ITEMS of these are. Paths, which may be long, are grouped by their MD5, so that
+    the items are shuffled without them; groups meet their items before the number of runs, by the key that both have. Figures are ordered by rounded scores, since the order
     in which the parts of a mean meet would else decide between equal ones.
     """
-    key, first = ["doc_id", "section_path", "figure_type"], F.struct("run_id", "pos")
-    figures = figures.withColumns({c: F.coalesce(c, F.lit("")) for c in key[1:]})
+    names, key, first = ["doc_id", "section_path", "figure_type"], ["doc_id", "_path", "figure_type"], F.struct("run_id", "pos")
+    figures = figures.withColumns({c: F.coalesce(c, F.lit("")) for c in names[1:]}).withColumn("_path", F.unhex(F.md5("section_path")))
     n = (figures if results is None else results).groupBy("doc_id").agg(F.count_distinct("run_id").alias("n"))
-    own = [c for c in figures.columns if c not in (*key, "run_id", "pos", "confidence", "final_score", "suggested_content")]
+    own = [c for c in figures.columns if c not in (*names, "_path", "run_id", "pos", "confidence", "final_score", "suggested_content")]
     groups = figures.groupBy(*key).agg(
-        F.count("*").alias("vote_count"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.avg(F.coalesce("final_score", F.lit(0.0))).alias("final_score"),
+        F.min("section_path").alias("section_path"), F.count("*").alias("vote_count"), F.avg(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.avg(F.coalesce("final_score", F.lit(0.0))).alias("final_score"),
         F.min(first).alias("first"), *[F.min_by(c, first).alias(c) for c in own],
     )
     items = figures.select(*key, "run_id", "pos", F.posexplode("suggested_content").alias("at", "item")).groupBy(*key, "item").agg(F.min(F.struct("run_id", "pos", "at")).alias("seen"))
     items = items.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("seen"))).filter(F.col("rank") <= config.CONTENT_ITEMS)
     items = items.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("suggested_content"))
-    kept = groups.join(n, "doc_id").filter(F.col("vote_count") >= F.floor(F.col("n") / 2) + 1).join(items, key, "left")
+    kept = groups.join(items, key, "left").join(n, "doc_id").filter(F.col("vote_count") >= F.floor(F.col("n") / 2) + 1)
+    kept = kept.select(*names, *[c for c in groups.columns if c not in (*names, "_path")], "suggested_content", "n")
     kept = kept.withColumn("suggested_content", F.coalesce("suggested_content", F.array().cast("array<string>")))
     ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.round("final_score", SCORE_DIGITS).desc(), "first"))
