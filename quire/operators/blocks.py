@@ -124,11 +124,14 @@ def distinct_images(images: DataFrame) -> DataFrame:
 
 
 def with_styles(paragraphs: DataFrame, styles: DataFrame, ref: str, prefix: str) -> DataFrame:
-    """Adds the columns of the style that `ref` names, with a prefix; else those of style "0", else null. `styles`: doc_id, id, and more."""
+    """Adds the columns of the style that `ref` names, with a prefix; else those of style "0", else null. `styles`: doc_id, id (once in a document), and more.
+
+    The styles of a document meet its paragraphs as one array, by the document alone.
+    """
     own = [c for c in styles.columns if c not in ("doc_id", "id")]
-    named = styles.select("doc_id", F.col("id").alias(ref), F.struct(*own).alias("_own"))
-    default = styles.filter("id = '0'").select("doc_id", F.struct(*own).alias("_default"))
-    rows = paragraphs.withColumn(ref, F.coalesce(ref, F.lit("0"))).join(named, ["doc_id", ref], "left").join(default, "doc_id", "left").withColumn("_s", F.coalesce("_own", "_default"))
+    known = styles.groupBy("doc_id").agg(F.collect_list(F.struct("id", *own)).alias("_styles"))
+    named = lambda name: F.get(F.filter("_styles", lambda s: s["id"] == name), F.lit(0))
+    rows = paragraphs.withColumn(ref, F.coalesce(ref, F.lit("0"))).join(known, "doc_id", "left").withColumn("_s", F.coalesce(named(F.col(ref)), named(F.lit("0"))))
     return rows.select(*paragraphs.columns, *[F.col(f"_s.{c}").alias(f"{prefix}{c}") for c in own])
 
 

@@ -46,8 +46,8 @@ def to_html(blocks: DataFrame, sections: DataFrame, css: str = "") -> DataFrame:
         .when(text != "", F.concat(F.lit("<"), tag, F.coalesce("style", F.lit("")), F.lit(">"), T.escape_html(text, False), F.lit("</"), tag, F.lit(">")))
     )
     rows = blocks.select("doc_id", "section_index", "ord", shown.alias("s")).filter("s IS NOT NULL")
-    first = sections.groupBy("doc_id").agg(F.min("section_index").alias("_first"))
-    breaks = sections.select("doc_id", "section_index").distinct().join(first, "doc_id").filter(F.col("section_index") > F.col("_first"))
+    breaks = sections.groupBy("doc_id").agg(F.collect_set("section_index").alias("_all"), F.min("section_index").alias("_first"))
+    breaks = breaks.select("doc_id", F.explode(F.filter("_all", lambda k: k > F.col("_first"))).alias("section_index"))
     rows = rows.unionByName(breaks.select("doc_id", "section_index", F.lit(-1).cast(blocks.schema["ord"].dataType).alias("ord"), F.lit(BREAK).alias("s")))
     each = F.array_sort(F.collect_list(F.struct("section_index", "ord", "s")))
     body = F.array_join(F.transform(each, lambda x: x["s"]), "")
