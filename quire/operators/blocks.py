@@ -26,7 +26,11 @@ def merged_rows(cells: DataFrame, table: tuple[str, ...] = ("doc_id", "table_id"
     return rows.filter(F.exists("texts", lambda x: x != ""))
 
 
-def with_context(blocks: DataFrame, span: int = 8, of: Column | None = None) -> DataFrame:
+#: Blocks on either side of one that are its context.
+SPAN = 8
+
+
+def with_context(blocks: DataFrame, span: int = SPAN, of: Column | None = None) -> DataFrame:
     """Adds context: the texts of at most `span` blocks on either side and of the block itself.
 
     With `of` the context is right for blocks where it holds, and holds only their texts elsewhere: texts that are near none of
@@ -135,13 +139,21 @@ def with_styles(paragraphs: DataFrame, styles: DataFrame, ref: str, prefix: str)
     return rows.select(*paragraphs.columns, *[F.col(f"_s.{c}").alias(f"{prefix}{c}") for c in own])
 
 
+def gathered(blocks: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, _blocks: the blocks of a document in order as one array of ord, text (null: empty) and more columns."""
+    return blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text"), *columns))).alias("_blocks"))
+
+
+def ord_of_anchor(blocks: Column, anchor: Column, chars: int = config.ANCHOR_CHARS) -> Column:
+    """ord of the first of the blocks (of `gathered`) that holds the start of an anchor, or -1."""
+    needle = F.substring(anchor, 1, chars)
+    found = F.get(F.filter(blocks, lambda b: F.contains(b["text"], needle)), F.lit(0))["ord"]
+    return F.coalesce(F.when(F.coalesce(anchor, F.lit("")) != "", found), F.lit(-1)).cast("int")
+
+
 def block_of_anchor(figures: DataFrame, blocks: DataFrame, chars: int = config.ANCHOR_CHARS) -> DataFrame:
     """Adds block_ord: the first block of the document that holds the start of the figure's anchor, or -1.
 
     The texts of a document's blocks meet its figures as one array.
     """
-    texts = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))).alias("_blocks"))
-    needle = F.substring("anchor_text", 1, chars)
-    found = F.get(F.filter("_blocks", lambda b: F.contains(b["text"], needle)), F.lit(0))["ord"]
-    rows = figures.join(texts, "doc_id", "left")
-    return rows.withColumn("block_ord", F.coalesce(F.when(F.coalesce("anchor_text", F.lit("")) != "", found), F.lit(-1)).cast("int")).drop("_blocks")
+    return figures.join(gathered(blocks), "doc_id", "left").withColumn("block_ord", ord_of_anchor(F.col("_blocks"), F.col("anchor_text"), chars)).drop("_blocks")

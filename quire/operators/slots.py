@@ -85,13 +85,20 @@ def figure_slots(figures: DataFrame, blocks: DataFrame, words: config.SlotWords
     """A slot for each planned figure (doc_id, pos, anchor_text, figure_type, section_path, purpose, suggested_content), at the block of its anchor, else at the first."""
     f = figures.withColumns({c: F.coalesce(c, F.lit("")) for c in ("anchor_text", "section_path", "purpose")}).withColumn("anchor_text", T.strip(F.col("anchor_text")))
     f = f.withColumn("figure_type", F.when(F.coalesce("figure_type", F.lit("")) != "", F.col("figure_type")).otherwise("concept_diagram"))
-    placed = B.block_of_anchor(f, blocks).withColumn("block_ord", F.greatest("block_ord", F.lit(0)))
-    known = B.with_context(blocks).select("doc_id", F.col("ord").alias("block_ord"), "section_index", "context")
-    rows = placed.join(known, ["doc_id", "block_ord"], "left")
+    # the figures of a document meet its blocks once, each as one array; what goes on is a figure with the texts around its block
+    every = f.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in f.columns if c not in ("doc_id", "pos")]))).alias("_figures"))
+    rows = every.join(B.gathered(blocks, "section_index"), "doc_id", "left").withColumn("_texts", F.transform("_blocks", lambda x: x["text"]))
+    placed = F.transform("_figures", lambda x: x.withField("block_ord", F.greatest(B.ord_of_anchor(F.col("_blocks"), x["anchor_text"]), F.lit(0))))
+    known = lambda o: F.filter(F.transform("_blocks", lambda b, k: F.struct(b["ord"].alias("ord"), b["section_index"].alias("section_index"), k.alias("k"))), lambda b: b["ord"] == o)
+    around = lambda k: T.normalise(F.array_join(F.slice("_texts", F.greatest(k - B.SPAN, F.lit(0)) + 1, k + B.SPAN + 1 - F.greatest(k - B.SPAN, F.lit(0))), "\n"))
+    none = F.struct(F.lit(None).cast(blocks.schema["section_index"].dataType).alias("section_index"), F.lit(None).cast("string").alias("context"))
+    seen = lambda o: F.transform(known(o), lambda b: F.struct(b["section_index"].alias("section_index"), around(b["k"]).alias("context")))
+    met = F.transform(placed, lambda x: F.transform(F.when(F.size(known(x["block_ord"])) > 0, seen(x["block_ord"])).otherwise(F.array(none)), lambda b: F.struct(x.alias("f"), b.alias("b"))))
+    rows = rows.select("doc_id", F.posexplode(F.flatten(met)).alias("id", "_m")).select("doc_id", "id", "_m.f.*", "_m.b.*")
     label = _from(config.FIGURE_KINDS, F.col("figure_type"), config.DEFAULT_KIND)
     one = lambda *values: F.coalesce(*[F.when(v != "", v) for v in values])
     return rows.select(
-        "doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("id"), "block_ord", F.coalesce("section_index", F.lit(0)).alias("section_index"), F.lit("diagram").alias("type"), label.alias("ui_type"),
+        "doc_id", "id", "block_ord", F.coalesce("section_index", F.lit(0)).alias("section_index"), F.lit("diagram").alias("type"), label.alias("ui_type"),
         F.lit("official").alias("style"), one(F.substring("purpose", 1, config.SLOT_CHARS), F.col("section_path"), F.concat(label, F.lit(" 후보"))).alias("desc"), one(F.col("section_path"), F.col("purpose"), F.lit(config.PLACE_TITLE)).alias("title"),
         F.coalesce("context", F.lit("")).alias("context"), prompt(F.col("purpose"), F.col("section_path"), F.col("suggested_content"), label, words).alias("prompt"), "figure_type", "anchor_text",
     )
