@@ -61,20 +61,20 @@ def find_slots(blocks: DataFrame, words: config.SlotWords = config.SlotWords(),
     text = F.coalesce("text", F.lit(""))
     table = F.col("kind") == "table"
     fits = F.col("text").rlike(words.marker) | (table & ((F.col("width") > config.WIDE_TABLE) | (F.col("height") > config.HIGH_TABLE) | F.col("empty_large")))
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fits = F.coalesce(fits, F.lit(False))
     titled = B.with_nearest_title(blocks.withColumn("text", text), words.nearest, words.nearest_default)
-    rows = B.with_context(titled, of=fits)
-    title = F.when(F.col("text").rlike(words.title), F.col("text")).otherwise(F.col("nearest_title"))
-    found = rows.filter(F.coalesce(fits, F.lit(False))).withColumn("title", title).withColumn("type", slot_type(F.concat_ws("\n", "title", "context"), words))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
-    found = found.withColumn("id", rank - 1).filter(F.col("id") < limit).select("doc_id", "id", F.col("ord").alias("block_ord"), "section_index", "type", "title", "context")
-    # documents without a place: the context around the ninth block (or the last), ten to either side
-    at = F.least(F.lit(8), F.max("ord").over(Window.partitionBy("doc_id")))
-    near = blocks.withColumn("_at", at).filter(F.col("ord").between(F.col("_at") - 10, F.col("_at") + 10))
-    around = F.array_sort(F.collect_list(F.struct("ord", text.alias("s"))))
-    rest = near.join(found.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(T.normalise(F.array_join(F.transform(around, lambda x: x["s"]), "\n")).alias("context"))
-    opening = titled.filter("ord = 0").select("doc_id", F.col("nearest_title").alias("title"))
-    rest = rest.join(opening, "doc_id").select("doc_id", F.lit(0).alias("id"), F.lit(0).alias("block_ord"), F.lit(0).alias("section_index"), slot_type(F.col("context"), words).alias("type"), "title", "context")
-    slots = found.unionAll(rest.select(*[F.col(c).cast(found.schema[c].dataType) for c in found.columns]))
+    rows = B.with_context(titled, of=fits).withColumns({"_fits": fits, "id": (F.sum(fits.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"), "_some": F.max(fits).over(whole), "_at": F.least(F.lit(8), F.max("ord").over(whole))})
+    # documents without a place: the context around the ninth block (or the last), ten to either side, in the row of the first
+    near = ~F.col("_some") & F.col("ord").between(F.col("_at") - 10, F.col("_at") + 10)
+    rows = rows.withColumn("_around", F.collect_list(F.when(near, F.col("text"))).over(whole)).filter(F.col("_fits") & (F.col("id") < limit) | ~F.col("_some") & (F.col("ord") == 0))
+    opening = ~F.col("_some")
+    title = F.when(~opening & F.col("text").rlike(words.title), F.col("text")).otherwise(F.col("nearest_title"))
+    rows = rows.withColumns({"title": title, "context": F.when(opening, T.normalise(F.array_join("_around", "\n"))).otherwise(F.col("context"))})
+    of = F.when(opening, F.col("context")).otherwise(F.concat_ws("\n", "title", "context"))
+    first = lambda c: F.when(opening, F.lit(0)).otherwise(F.col(c)).cast(blocks.schema[c].dataType)
+    slots = rows.select("doc_id", F.when(opening, 0).otherwise(F.col("id")).alias("id"), first("ord").alias("block_ord"), first("section_index").alias("section_index"), slot_type(of, words).alias("type"), "title", "context")
     return slots.withColumns({
         "ui_type": _from(config.SLOT_KINDS, F.col("type"), config.DEFAULT_KIND), "style": F.when(F.col("type") == "venue", "field").otherwise("official"),
         "desc": F.substring(description(F.col("type"), F.col("title")), 1, config.SLOT_CHARS),
@@ -125,9 +125,8 @@ def drop_repeated_images(slots: DataFrame) -> DataFrame:
 def in_visual_order(slots: DataFrame) -> DataFrame:
     """doc_id, block_ord, image: the images of a document in their visual order (id), put at its slots in order of blocks."""
     some = slots.filter(F.coalesce("image", F.lit("")) != "")
-    place = some.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_ord", "id"))).select("doc_id", "_k", "block_ord")
-    shown = some.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("id"))).select("doc_id", "_k", "image")
-    return place.join(shown, ["doc_id", "_k"]).drop("_k")
+    lists = some.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", "id"))).alias("place"), F.array_sort(F.collect_list(F.struct("id", "image"))).alias("shown"))
+    return lists.select("doc_id", F.explode(F.arrays_zip("place", "shown")).alias("v")).select("doc_id", "v.place.block_ord", "v.shown.image")
 
 
 def plan_documents(slots: DataFrame) -> DataFrame:
