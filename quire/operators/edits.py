@@ -116,29 +116,33 @@ def updated_cells(cells: DataFrame, updates: DataFrame) -> tuple[DataFrame, Data
     of cells with equal addresses the first is meant. ord of added cells goes on after the table's largest.
     """
     key = ["doc_id", "table_id"]
-    tables = cells.groupBy(*key).agg(F.max("r").alias("_last"), F.max("ord").alias("_ord"))
+    # all goes by table; what is by address is a window over rows that are dealt by table already
+    marked = cells.select(*key, "ord", "r", "c", "text", "state").withColumn("_top", F.max("r").over(Window.partitionBy(*key)))
+    row = F.array_sort(F.collect_list(F.when(F.col("r") == F.col("_top"), F.struct("ord", "c", "state", F.col("text").alias("old")))))
+    tables = marked.groupBy(*key).agg(F.max("_top").alias("_last"), F.max("ord").alias("_ord"), F.count("*").alias("_there"), row.alias("_row"))
     known = updates.join(tables, key, "left")
-    appends = known.filter("op = 'append' AND _last IS NOT NULL")
-    appends = numbered(appends, key, "pos", "_n")
-    pattern = cells.join(tables, key).filter("r = _last").withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("ord")))
-    width = pattern.groupBy(*key).agg(F.count("*").alias("_width"))
-    pattern = pattern.select(*key, "c", "state", "_i", F.col("text").alias("_old")).join(width, key)
-    added = appends.join(pattern.withColumnRenamed("c", "_c"), key).select(
-        *key, (F.col("_ord") + (F.col("_n") - 1) * F.col("_width") + F.col("_i")).cast(cells.schema["ord"].dataType).alias("ord"), (F.col("_last") + F.col("_n")).cast(cells.schema["r"].dataType).alias("r"), F.col("_c").alias("c"),
-        F.when(F.col("state") == "text", F.coalesce(F.get("values", F.col("_i") - 1), F.lit(""))).otherwise(F.col("_old")).alias("text"), "state", F.col("pos").alias("_made"),
+    appends = known.filter("op = 'append' AND _there IS NOT NULL AND _last IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("pos")))
+    appends = appends.select(*key, "pos", "values", "_n", "_ord", "_last", F.size("_row").alias("_width"), F.posexplode("_row").alias("_i", "_cell"))
+    added = appends.select(
+        *key, (F.col("_ord") + (F.col("_n") - 1) * F.col("_width") + F.col("_i") + 1).cast(cells.schema["ord"].dataType).alias("ord"), (F.col("_last") + F.col("_n")).cast(cells.schema["r"].dataType).alias("r"), F.col("_cell.c").alias("c"),
+        F.when(F.col("_cell.state") == "text", F.coalesce(F.get("values", F.col("_i")), F.lit(""))).otherwise(F.col("_cell.old")).alias("text"), F.col("_cell.state").alias("state"), F.col("pos").alias("_made"),
     )
-    every = cells.select(*key, "ord", "r", "c", "text", "state").withColumn("_made", F.lit(None).cast(updates.schema["pos"].dataType)).unionByName(added)
-    every = every.withColumn("_first", F.row_number().over(Window.partitionBy(*_ADDRESS).orderBy("ord")) == 1)
-    sets = updates.filter("op = 'set'").select(*_ADDRESS, F.col("pos").alias("_pos"), F.col("text").alias("_text"))
-    target = every.filter("_first").select(*_ADDRESS, "state", "_made")
-    tried = sets.join(target, _ADDRESS, "left").join(tables.select(*key, F.lit(True).alias("_there")), key, "left")
-    there = F.col("state").isNotNull() & (F.col("_made").isNull() | (F.col("_made") < F.col("_pos")))
-    reason = F.when(F.col("_there").isNull(), "no such table").when(~there, "no such cell").when(F.col("state") == "none", "no paragraph")
-    tried = tried.withColumn("reason", reason)
-    last = tried.filter("reason IS NULL AND state = 'text'").groupBy(*_ADDRESS).agg(F.max_by("_text", "_pos").alias("_text"), F.lit(True).alias("_set"))
-    out = every.join(last, _ADDRESS, "left").select(*key, "ord", "r", "c", F.when(F.col("_first") & F.coalesce("_set", F.lit(False)), F.col("_text")).otherwise(F.col("text")).alias("text"))
-    bad = tried.filter("reason IS NOT NULL").select("doc_id", F.col("_pos").alias("pos"), F.lit("set").alias("op"), "reason")
-    bad = bad.unionByName(known.filter("op = 'append' AND _last IS NULL").select("doc_id", "pos", "op", F.lit("no such table").alias("reason")))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    pos = updates.schema["pos"].dataType
+    sets = known.filter("op = 'set'").select(*key, none("ord", cells.schema["ord"].dataType), "r", "c", "text", none("state", "string"), none("_made", pos), F.col("pos").alias("_pos"), F.lit(True).alias("_set"), F.col("_there").isNotNull().alias("_there"))
+    plain = [none("_pos", pos), F.lit(False).alias("_set"), F.lit(True).alias("_there")]
+    every = cells.select(*key, "ord", "r", "c", "text", "state", none("_made", pos), *plain).unionByName(added.select("*", *plain)).unionByName(sets)
+    w = Window.partitionBy(*_ADDRESS).orderBy("_set", "ord")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = every.withColumns({"_first": (F.row_number().over(w) == 1) & ~F.col("_set"), "_cell": F.first(F.when(~F.col("_set"), F.struct("state", "_made"))).over(whole)})
+    there = F.col("_cell").isNotNull() & F.col("r").isNotNull() & F.col("c").isNotNull() & F.col("_cell.state").isNotNull() & F.coalesce(F.col("_cell._made").isNull() | (F.col("_cell._made") < F.col("_pos")), F.lit(False))
+    reason = F.when(~F.col("_there"), "no such table").when(~there, "no such cell").when(F.col("_cell.state") == "none", "no paragraph")
+    every = every.withColumn("reason", F.when(F.col("_set"), reason))
+    last = F.max(F.when(F.col("_set") & F.col("reason").isNull() & (F.col("_cell.state") == "text"), F.struct("_pos", "text"))).over(whole)
+    every = every.withColumn("_last", last)
+    out = every.filter("NOT _set").select(*key, "ord", "r", "c", F.when(F.col("_first") & F.col("_last").isNotNull(), F.col("_last.text")).otherwise(F.col("text")).alias("text"))
+    bad = every.filter("_set AND reason IS NOT NULL").select("doc_id", F.col("_pos").alias("pos"), F.lit("set").alias("op"), "reason")
+    bad = bad.unionByName(known.filter("op = 'append' AND (_there IS NULL OR _last IS NULL)").select("doc_id", "pos", "op", F.lit("no such table").alias("reason")))
     return out, bad.unionByName(known.filter("op NOT IN ('set', 'append') OR op IS NULL").select("doc_id", "pos", "op", F.lit("no such update").alias("reason")))
 
 
