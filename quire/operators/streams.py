@@ -225,13 +225,12 @@ def master_checks(streams: DataFrame, records: DataFrame) -> DataFrame:
 def control_checks(records: DataFrame) -> DataFrame:
     """controls: unknown ones, unknown ones without control data among the next records, and those handled in part only."""
     rows = numbered(records.filter(_is(config.SECTION_STREAM)))
-    ahead = F.collect_list(F.struct("tag", "level")).over(_w().rowsBetween(1, config.DATA_AHEAD))
-    rows = rows.withColumn("ahead", ahead).filter("ctrl IS NOT NULL")
-    unknown = rows.filter(~F.col("ctrl").isin(*config.CONTROL_NAMES))
-    bare = unknown.filter(~F.exists("ahead", lambda x: (x["tag"] == config.CTRL_DATA) & (x["level"] == F.col("level"))))
-    return _union([
-        _found(unknown, "controls", "ERROR", detail=F.lit("unknown")), _found(bare, "controls", "ERROR", detail=F.lit("no data")),
-        _found(rows.filter(F.col("ctrl").isin(*config.PARTIAL_CONTROLS)), "controls", "WARN", detail=control_name(F.col("ctrl"))),
+    ahead = reduce(lambda a, k: a | F.coalesce((F.lead("tag", k).over(_w()) == config.CTRL_DATA) & (F.lead("level", k).over(_w()) == F.col("level")), F.lit(False)), range(1, config.DATA_AHEAD + 1), F.lit(False))
+    rows = rows.withColumn("fed", ahead).filter("ctrl IS NOT NULL")
+    unknown = ~F.col("ctrl").isin(*config.CONTROL_NAMES)
+    return _each(rows, [
+        (unknown, "controls", "ERROR", None, "unknown", None), (unknown & ~F.col("fed"), "controls", "ERROR", None, "no data", None),
+        (F.col("ctrl").isin(*config.PARTIAL_CONTROLS), "controls", "WARN", None, control_name(F.col("ctrl")), None),
     ])
 
 
