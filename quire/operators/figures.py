@@ -60,15 +60,24 @@ def top_k(figures: DataFrame) -> DataFrame:
 
 
 def merge_islands(ranked: DataFrame) -> DataFrame:
-    """Neighbours in order of rank with equal section and type become one: the first, with the others' unseen content items added."""
-    w = Window.partitionBy("doc_id").orderBy("rank")
-    key = F.struct("section_path", "figure_type")
-    island = F.sum(F.when(key.eqNullSafe(F.lag(key).over(w)), 0).otherwise(1)).over(w)
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggested_content"))), lambda x: F.coalesce(x["suggested_content"], F.array().cast("array<string>")))
-    content = F.aggregate(rows, F.array().cast("array<string>"), lambda seen, own: F.concat(seen, F.filter(own, lambda x: ~F.array_contains(seen, x))))
+    """Neighbours in order of rank with equal section and type become one: the first, with the others' unseen content items (where given) added.
+
+    The figures of a document, few as `top_k` leaves, are one array, cut into islands where section or type changes.
+    """
     own = [c for c in ranked.columns if c not in ("doc_id", "final_score", "suggested_content", "island")]
-    return ranked.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.max("final_score").alias("final_score"), F.count("*").alias("merged"), content.alias("suggested_content"), *[F.min_by(c, "rank").alias(c) for c in own],
+    rows = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in ranked.columns if c not in ("doc_id", "rank", "island")]))).alias("_figures"))
+    at = lambda i: F.get("_figures", i)
+    same = lambda i: at(i)["section_path"].eqNullSafe(at(i - 1)["section_path"]) & at(i)["figure_type"].eqNullSafe(at(i - 1)["figure_type"])
+    starts = F.filter(F.sequence(F.lit(0), F.size("_figures") - 1), lambda i: (i == 0) | ~same(i))
+    rows = rows.withColumn("_starts", starts)
+    ends = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_figures"))
+    islands = F.transform("_starts", lambda i, k: F.slice("_figures", i + 1, ends(k) - i))
+    rows = rows.select("doc_id", F.posexplode(islands).alias("island", "_i"))
+    items = F.transform("_i", lambda x: F.coalesce(x["suggested_content"], F.array().cast("array<string>")))
+    content = F.aggregate(items, F.array().cast("array<string>"), lambda seen, new: F.concat(seen, F.filter(new, lambda x: ~F.array_contains(seen, x))))
+    first, made = F.get("_i", F.lit(0)), [content.alias("suggested_content")] if "suggested_content" in ranked.columns else []
+    return rows.select(
+        "doc_id", (F.col("island") + 1).cast("long").alias("island"), F.array_max(F.transform("_i", lambda x: x["final_score"])).alias("final_score"), F.size("_i").cast("long").alias("merged"), *made, *[first[c].alias(c) for c in own],
     )
 
 

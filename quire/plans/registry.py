@@ -161,7 +161,8 @@ def merge_islands(spark, sf_dir):
 
 @_query(f"WITH {_ISLANDS} SELECT doc_id, 'F' || row_number() OVER (PARTITION BY doc_id ORDER BY char_start NULLS LAST, island) AS figure_id, section_path, figure_type, CAST(coalesce(char_start, -1) AS BIGINT) AS char_start FROM merged")
 def doc_order_renumber(spark, sf_dir):
-    return G.in_document_order(G.merge_islands(G.top_k(_lineitems(spark, sf_dir)))).select("doc_id", "figure_id", "section_path", "figure_type", F.coalesce("char_start", F.lit(-1)).alias("char_start"))
+    top = G.top_k(_lineitems(spark, sf_dir)).drop("pos", "figure_id", "total_chars", "suggested_content")  # not in the result
+    return G.in_document_order(G.merge_islands(top)).select("doc_id", "figure_id", "section_path", "figure_type", F.coalesce("char_start", F.lit(-1)).alias("char_start"))
 
 
 # Anchors cut from a document, every third with another word in it.
