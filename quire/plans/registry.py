@@ -18,7 +18,7 @@ from quire.operators import sections as S
 from quire.operators import slots, streams
 from quire.plans import block_queries, edit_queries, markup_queries, plan_queries, planner_queries, slot_queries, stream_queries  # noqa: F401  (they add theirs)
 from quire.plans.base import ORACLE_SQL, QUERIES, _query, _read
-from quire.plans.views import _FEATURES, _LINES, _SCORES, _SECTIONS, _T, _reports, _rounded, _scored
+from quire.plans.views import _FEATURES, _LINES, _SCORES, _SECTIONS, _T, _headed, _reports, _rounded, _scored
 from quire.sources.records import decode_records
 
 FLAGSHIP = "section_ranking"
@@ -39,7 +39,7 @@ def split_lines_offsets(spark, sf_dir):
 
 @_query(f"WITH {_SECTIONS} SELECT * FROM sections")
 def sections(spark, sf_dir):
-    return S.split_sections(_reports(spark, sf_dir))
+    return _headed(spark, sf_dir)
 
 
 @_query(
@@ -49,12 +49,12 @@ p AS (SELECT *, array_to_string(st[1:greatest(depth - 1, 0)], ' > ') AS parent_p
 SELECT doc_id, section_id, parent_path, CASE WHEN parent_path = '' THEN title ELSE parent_path || ' > ' || title END AS section_path FROM p"""
 )
 def section_paths(spark, sf_dir):
-    return S.split_sections(_reports(spark, sf_dir), paths=True).select("doc_id", "section_id", "parent_path", "section_path")
+    return _headed(spark, sf_dir, paths=True).select("doc_id", "section_id", "parent_path", "section_path")
 
 
 @_query(f"WITH {_FEATURES} SELECT doc_id, section_id, length, round(numeric_density, 6) AS numeric_density, comparison_words, process_words, space_words, evidence_words, has_table, is_top FROM feat")
 def section_features(spark, sf_dir):
-    f = S.features(S.split_sections(_reports(spark, sf_dir)), config.PROSE)
+    f = S.features(_headed(spark, sf_dir), config.PROSE)
     return f.select("doc_id", "section_id", "length", F.round("numeric_density", 6).alias("numeric_density"), "comparison_words", "process_words", "space_words", "evidence_words", "has_table", "is_top")
 
 
@@ -299,7 +299,7 @@ j AS (SELECT doc_id, figure_id, anchor, CASE WHEN anchor <> '' THEN instr(md, an
 SELECT doc_id, figure_id, CAST(CASE WHEN i > 0 THEN i - 1 ELSE coalesce(pv.a, mv.a) END AS BIGINT) AS char_start, CAST(CASE WHEN i > 0 THEN i - 1 + length(anchor) ELSE coalesce(pv.b, mv.b) END AS BIGINT) AS char_end FROM j""")
 def figure_positions(spark, sf_dir):
     reports = _reports(spark, sf_dir)
-    s = S.split_sections(reports).withColumn("section_path", F.concat("title", F.lit("#"), "depth"))
+    s = _headed(spark, sf_dir).withColumn("section_path", F.concat("title", F.lit("#"), "depth"))
     path = F.when(F.col("ord") % 3 == 1, F.col("section_path")).otherwise(F.concat(F.lit("x "), "title"))
     f = s.select("doc_id", F.concat(F.lit("F"), "ord").alias("figure_id"), F.when(F.col("ord") % 3 == 0, F.substring("text", 1, 12)).otherwise("").alias("anchor_text"), path.alias("section_path"))
     return G.locate(f, reports, s).select("doc_id", "figure_id", "char_start", "char_end")
