@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,12 @@ def review(figures: DataFrame, reviews: DataFrame) -> DataFrame:
     """Drops figures that their last review rejects; a review may name another type. Without a review a figure stays."""
     last = reviews.groupBy("doc_id", "figure_id").agg(F.max_by(F.struct("approved", "alternative"), "ord").alias("r"))
     out = figures.join(last, ["doc_id", "figure_id"], "left").filter(F.coalesce("r.approved", F.lit(True)))
-    other = F.when(~F.col("r.alternative").isin("", "null"), F.col("r.alternative"))
-    return out.withColumn("figure_type", F.coalesce(other, "figure_type")).drop("r")
+    return out.withColumn("figure_type", reviewed_type(F.col("figure_type"), F.col("r.alternative"))).drop("r")
+
+
+def reviewed_type(own: Column, alternative: Column) -> Column:
+    """The type that a review names, else a figure's own."""
+    return F.coalesce(F.when(~alternative.isin("", "null"), alternative), own)
 
 
 def allowed(total_chars: Column, limit: int = config.MAX_FIGURES) -> Column:
@@ -168,6 +174,16 @@ def place(figures: DataFrame, sections: DataFrame) -> DataFrame:
 ADDED = {"figure_type": "concept_diagram", "confidence": 0.5, "final_score": 0.6, "cognitive_load": 0.6, "position_hint": "after", "image_prompt_seed": "", "critic_approved": True}
 
 
+def added(given: Callable[[str], Column | None], number: Column) -> dict[str, Column]:
+    """The fields of a figure that a review adds, by name: fixed ones, and those that the review may have given (else None)."""
+    some = lambda c, kind="string": F.lit(None).cast(kind) if given(c) is None else given(c)
+    return {
+        "figure_id": F.concat(F.lit("F"), number), **{c: F.coalesce(some(c), F.lit("")) for c in ("section_path", "anchor_text", "purpose")}, "figure_type": F.coalesce(some("figure_type"), F.lit(ADDED["figure_type"])),
+        "confidence": F.coalesce(some("confidence", "double"), F.lit(ADDED["confidence"])), **{k: F.lit(v) for k, v in ADDED.items() if k not in ("figure_type", "confidence")},
+        "vote_count": F.lit(1).cast("long"), "suggested_content": F.array().cast("array<string>"), **{t: F.lit(0.0) for t in ("t1", "t2", "t3", "t4", "t5", "t6")},
+    }
+
+
 def add_missing(approved: DataFrame, voted: DataFrame, missing: DataFrame) -> DataFrame:
     """`approved` and the figures that a review adds, numbered on from the voted ones; they have fixed scores, no content and one vote.
 
@@ -176,13 +192,8 @@ def add_missing(approved: DataFrame, voted: DataFrame, missing: DataFrame) -> Da
     """
     n = voted.groupBy("doc_id").agg(F.count("*").alias("n"))
     rows = numbered(missing, ["doc_id"], "pos", "_n").join(n, "doc_id", "left")
-    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in missing.columns else F.lit("")
-    given = lambda c: F.coalesce(F.col(c), F.lit(ADDED[c]))
-    rows = rows.select(
-        "doc_id", F.concat(F.lit("F"), F.coalesce("n", F.lit(0)) + F.col("_n")).alias("figure_id"), *[text(c).alias(c) for c in ("section_path", "anchor_text", "purpose")], given("figure_type").alias("figure_type"), given("confidence").alias("confidence"),
-        *[F.lit(v).alias(k) for k, v in ADDED.items() if k not in ("figure_type", "confidence")], F.lit(1).cast("long").alias("vote_count"), F.array().cast("array<string>").alias("suggested_content"), *[F.lit(0.0).alias(t) for t in ("t1", "t2", "t3", "t4", "t5", "t6")],
-    )
-    return approved.unionByName(rows, allowMissingColumns=True)
+    fields = added(lambda c: F.col(c) if c in missing.columns else None, F.coalesce("n", F.lit(0)) + F.col("_n"))
+    return approved.unionByName(rows.select("doc_id", *[v.alias(k) for k, v in fields.items()]), allowMissingColumns=True)
 
 
 def drop_repeated(figures: DataFrame) -> DataFrame:
