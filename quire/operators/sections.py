@@ -103,7 +103,9 @@ TRIGGERS = ("t1", "t2", "t3", "t4", "t5", "t6")
 
 
 def candidates(scored: DataFrame) -> DataFrame:
-    return scored.filter(F.greatest(*TRIGGERS) >= config.CANDIDATE_SCORE)
+    """Sections with a high score. A row is made whole before it is judged: a plain filter would make all features twice."""
+    rows = scored.select(F.explode(F.array(F.struct(*scored.columns))).alias("_s"))
+    return rows.filter(F.greatest(*[F.col(f"_s.{t}") for t in TRIGGERS]) >= config.CANDIDATE_SCORE).select("_s.*")
 
 
 def dominant() -> Column:

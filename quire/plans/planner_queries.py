@@ -15,8 +15,7 @@ from quire.operators import planner as R
 from quire.operators import sections as S
 from quire.plans.base import _query, _read
 from quire.plans.plan_queries import _DOM, _FINAL, _PATHS, _PROPOSED, WORDS, _sections
-from quire.plans.views import _reports
-from quire.sources.tables import written
+from quire.plans.views import _reports, _scored
 
 
 def _replies(reports: DataFrame, sections: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def _replies(reports: DataFrame, sections: DataFrame) -> DataFrame:
     rows = R.rule_replies(S.candidates(sections), totals, words=WORDS)
     rows = rows.withColumn("error", F.when((d + r) % 7 == 0, F.when(r == 1, "429 RESOURCE_EXHAUSTED").otherwise("503 UNAVAILABLE")))
     broken = F.when(d % 11 == 5, F.concat(F.lit("Here: {"), r.cast("string"))).when(d % 11 == 6, F.replace("reply", F.lit("\n```"), F.lit("} and {}\n```"))).when(d % 11 == 7, F.replace(F.replace("reply", F.lit("```json"), F.lit("")), F.lit("```"), F.lit(".")))
-    return written(rows.withColumn("reply", F.coalesce(broken, "reply")))  # as recorded replies are
+    return rows.withColumn("reply", F.coalesce(broken, "reply"))
 
 
 _kind = "CASE {dom} WHEN 'T6' THEN 'cover_banner' WHEN 'T3' THEN CASE WHEN {maps} THEN 'map_layout' WHEN {plans} THEN 'floor_plan' WHEN {views} THEN 'rendering' ELSE 'map_layout' END WHEN 'T4' THEN CASE WHEN {dates} >= 3 THEN 'roadmap' ELSE 'flow_chart' END WHEN 'T2' THEN CASE WHEN {numbers} >= 5 THEN 'bar_chart' ELSE 'comparison_table' END WHEN 'T5' THEN CASE WHEN {trends} THEN 'line_chart' ELSE 'photo' END ELSE 'concept_diagram' END".format(
@@ -54,14 +53,14 @@ def planned_figures(spark, sf_dir):
 good AS (SELECT doc_id, run_id, total_chars FROM calls WHERE reason IS NULL UNION ALL SELECT DISTINCT doc_id, 0, total_chars FROM calls WHERE doc_id NOT IN (SELECT doc_id FROM nr))
 SELECT doc_id, CAST(run_id AS INTEGER) AS run_id, CAST(total_chars AS INTEGER) AS total_chars, CAST(least(total_chars // 1500, 8) AS INTEGER) AS baseline_count, CASE WHEN run_id = min(run_id) OVER (PARTITION BY doc_id) THEN errors END AS errors FROM good LEFT JOIN bad USING (doc_id)""")
 def planner_runs(spark, sf_dir):
-    reports, sections = _reports(spark, sf_dir), _sections(spark, sf_dir)
+    reports, sections = _reports(spark, sf_dir), _scored(spark, sf_dir, paths=True)
     found = R.runs(reports, _replies(reports, sections))
     return found.select("doc_id", "run_id", *[F.try_variant_get("result", f"$.{c}", "int").alias(c) for c in ("total_chars", "baseline_count")], F.array_join("errors", "; ").alias("errors"))
 
 
 @_query(f"WITH {_PATHS}{_CALLS} SELECT doc_id, CAST(run_id AS INTEGER) AS run_id, 'plan' AS stage, reason, NOT starts_with(reason, 'no') AS transient, starts_with(reason, '429') AS quota FROM calls WHERE reason IS NOT NULL")
 def planner_failures(spark, sf_dir):
-    reports, sections = _reports(spark, sf_dir), _sections(spark, sf_dir)
+    reports, sections = _reports(spark, sf_dir), _scored(spark, sf_dir, paths=True)
     return R.failures(_replies(reports, sections))
 
 
