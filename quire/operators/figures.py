@@ -122,33 +122,53 @@ def in_report(figures: DataFrame, reports: DataFrame) -> DataFrame:
     own = figures.columns
     gathered = figures.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("_figures"))
     met = gathered.join(reports.select("doc_id", "md"), "doc_id", "left").withColumn("_flat", flat(F.col("md")))
-    found = lambda f: F.when(f["anchor_text"] != "", F.position(f["anchor_text"], F.col("md")))
-    place = lambda f: F.when(found(f) > 0, F.struct((found(f) - 1).cast("long").alias("char_start"), (found(f) - 1 + F.length(f["anchor_text"])).cast("long").alias("char_end")))
-    sound = lambda f: F.coalesce(anchor_exists(F.coalesce(f["anchor_text"], F.lit("")), F.col("md"), F.col("_flat")), F.lit(False))
-    rows = met.select(F.length("md").alias("total_chars"), F.explode(F.transform("_figures", lambda f: F.struct(f.alias("f"), place(f).alias("here"), sound(f).alias("anchored")))).alias("x"))
+    rows = met.select(F.length("md").alias("total_chars"), F.explode(F.transform("_figures", lambda f: F.struct(f.alias("f"), anchor_place(f["anchor_text"]).alias("here"), anchored(f["anchor_text"]).alias("anchored")))).alias("x"))
     return rows.select(*[F.col(f"x.f.{c}").alias(c) for c in own], "total_chars", F.col("x.here").alias("here"), F.col("x.anchored").alias("anchored"))
 
 
+def anchor_place(anchor: Column) -> Column:
+    """char_start and char_end of an anchor in the report `md` of its row, or null."""
+    found = F.when(anchor != "", F.position(anchor, F.col("md")))
+    return F.when(found > 0, F.struct((found - 1).cast("long").alias("char_start"), (found - 1 + F.length(anchor)).cast("long").alias("char_end")))
+
+
+def anchored(anchor: Column) -> Column:
+    """Whether an anchor exists in the report `md` of its row, whose flat text is `_flat`."""
+    return F.coalesce(anchor_exists(F.coalesce(anchor, F.lit("")), F.col("md"), F.col("_flat")), F.lit(False))
+
+
 def drop_similar(figures: DataFrame, order: str = "pos") -> DataFrame:
     """In document order, a figure goes if its purpose shares over six tenths of its words with one kept before.
 
     Of figures with equal sets of words only the first takes part in the comparison: whatever drops it drops the others, and else
     it drops them itself. Words are taken once for each figure.
     """
-    words = F.array_sort(F.array_distinct(F.array_remove(F.split(F.coalesce("purpose", F.lit("")), r"(?U)\s+"), "")))
-    rows = figures.withColumn("_words", words)
+    rows = figures.withColumn("_words", _purpose_words())
     first = rows.filter(F.size("_words") > 0).groupBy("doc_id", "_words").agg(F.min(order).alias("_first"))
-
-    def similar(a: Column, b: Column) -> Column:
-        return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) > config.MAX_OVERLAP
-
     each = F.array_sort(F.collect_list(F.struct("_first", "_words")))
-    kept = F.aggregate(each, F.slice(each, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: similar(x["_words"], y["_words"])), acc).otherwise(F.concat(acc, F.array(x))))
+    kept = F.aggregate(each, F.slice(each, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: _similar(x["_words"], y["_words"])), acc).otherwise(F.concat(acc, F.array(x))))
     kept = first.groupBy("doc_id").agg(F.transform(kept, lambda x: x["_first"]).alias("k")).select("doc_id", F.explode("k").alias(order))
     some = rows.filter(F.size("_words") > 0).join(kept, ["doc_id", order], "left_semi")
     return some.unionByName(rows.filter(F.size("_words") == 0)).select(*figures.columns)
 
 
+def _purpose_words() -> Column:
+    return F.array_sort(F.array_distinct(F.array_remove(F.split(F.coalesce("purpose", F.lit("")), r"(?U)\s+"), "")))
+
+
+def _similar(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) > config.MAX_OVERLAP
+
+
+def drop_similar_few(figures: DataFrame, order: str = "pos") -> DataFrame:
+    """`drop_similar` where a document has few figures, as in a plan: they are one array, so that nothing is dealt out again. `order` is unique in a document."""
+    own = [c for c in figures.columns if c != "doc_id"]
+    rows = figures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), _purpose_words().alias("_words"), F.struct(*own).alias("f")))).alias("_figures"))
+    again = lambda acc, x: (F.size(x["_words"]) > 0) & F.exists(acc, lambda y: _similar(x["_words"], y["_words"]))
+    kept = F.aggregate("_figures", F.slice("_figures", 1, 0), lambda acc, x: F.when(again(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return rows.select("doc_id", F.explode(kept).alias("x")).select(*[F.col(c if c == "doc_id" else f"x.f.{c}") for c in figures.columns])
+
+
 def locate(figures: DataFrame, reports: DataFrame, sections: DataFrame) -> DataFrame:
     """Adds char_start and char_end: of the anchor in the report, else of the section path, else of the first title in the path."""
     own = [c for c in figures.columns if c not in ("total_chars", "here", "anchored")]

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quire import config
+from quire.functions import text as T
 from quire.operators import figures as G
 from quire.operators import sections as S
-from quire.sources.tables import written
 
 #: What a figure of the vision planner has where it says nothing.
 DEFAULTS = {"position_hint": "after", "figure_type": "concept_diagram", "cognitive_load": 0.7, "image_prompt_seed": "", "vote_count": 1, "critic_approved": True}
@@ -53,9 +53,44 @@ def determined_type(words: config.TypeWords = config.TypeWords()) -> Column:
 
 def classify(figures: DataFrame, sections: DataFrame, words: config.TypeWords = config.TypeWords()) -> DataFrame:
     """Fills figure_type where it is empty; a type that is there stays."""
-    typed = with_section_text(figures, sections)
-    own = F.when(F.coalesce("figure_type", F.lit("")) != "", F.col("figure_type"))
-    return typed.withColumn("figure_type", F.coalesce(own, determined_type(words))).drop("section_text")
+    return with_section_text(figures, sections).withColumn("figure_type", _filled_type(words)).drop("section_text")
+
+
+def _filled_type(words: config.TypeWords) -> Column:
+    return F.coalesce(F.when(F.coalesce("figure_type", F.lit("")) != "", F.col("figure_type")), determined_type(words))
+
+
+def met(figures: DataFrame, reports: DataFrame, sections: DataFrame, words: config.TypeWords = config.TypeWords()) -> DataFrame:
+    """`classify`, `in_report` and `place` in one meeting: figures with figure_type, total_chars, here, anchored, char_start and char_end.
+
+    The figures of a document, the places and names of its sections (as of `split_sections`, with paths) and its report meet in one
+    row, dealt by document alone. The text of a section is what the report holds between its ends; it goes with no figure beyond the
+    row, and into it only where a figure lacks a type.
+    """
+    own = [c for c in figures.columns if c != "doc_id"]
+    gathered = figures.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("_figures"))
+    known = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("section_path").alias("path"), "title", "char_start", "char_end"))).alias("_sections"))
+    rows = gathered.join(known, "doc_id", "left").join(reports.select("doc_id", "md"), "doc_id", "left").withColumn("_flat", G.flat(F.col("md")))
+    where = lambda fits: F.filter("_sections", fits)
+    place = lambda s: F.when(s.isNotNull(), F.struct(s["char_start"].alias("char_start"), s["char_end"].alias("char_end")))
+    last = lambda fits: F.try_element_at(where(fits), F.lit(-1))
+
+    def text(path: Column) -> Column:
+        found = F.get(where(lambda s: (s["path"] == path) | F.contains(path, s["title"])), F.lit(0))
+        return F.get(F.transform(F.array(found), lambda s: T.strip(F.substring(F.col("md"), (s["char_start"] + 1).cast("int"), (s["char_end"] - s["char_start"]).cast("int")))), F.lit(0))
+
+    def seen(f: Column) -> Column:
+        lacks, path = F.coalesce(f["figure_type"], F.lit("")) == "", f["section_path"]
+        title = F.get(where(lambda s: (s["title"] != "") & F.contains(path, s["title"])), F.lit(0))["title"]
+        return F.struct(
+            f.alias("f"), G.anchor_place(f["anchor_text"]).alias("here"), G.anchored(f["anchor_text"]).alias("anchored"), F.when(lacks, text(F.coalesce(path, F.lit("")))).alias("text"),
+            place(last(lambda s: s["path"] == path)).alias("by_path"), title.alias("title"),
+        )
+
+    each = F.transform(F.transform("_figures", seen), lambda x: F.struct(x.alias("x"), F.coalesce(x["here"], x["by_path"], place(last(lambda s: s["title"] == x["title"]))).alias("at")))
+    rows = rows.select("doc_id", F.length("md").alias("total_chars"), F.explode(each).alias("_e"))
+    rows = rows.select("doc_id", *[F.col(f"_e.x.f.{c}") for c in own], "total_chars", "_e.x.here", "_e.x.anchored", "_e.at.char_start", "_e.at.char_end", F.coalesce("_e.x.text", F.lit("")).alias("section_text"))
+    return rows.withColumn("figure_type", _filled_type(words)).select(*figures.columns, "total_chars", "here", "anchored", "char_start", "char_end")
 
 
 def content_matches(kinds: dict[str, tuple[str, ...]] = config.TYPE_CONTENT) -> Column:
@@ -96,14 +131,9 @@ def self_check(figures: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def checked(figures: DataFrame) -> DataFrame:
-    """`self_check` of figures that `in_report` has met with their reports.
-
-    The sound ones are written to the shared folder: `drop_similar` reads them three times, and all that leads to them, texts
-    included, would be made as often.
-    """
+    """`self_check` of figures that have met their reports: those of a document are few and checked in one row."""
     known = figures.withColumn("_at", number(F.col("figure_id")))
-    sound = written(known.filter(F.col("anchored") & (F.coalesce("confidence", F.lit(0.0)) >= config.MIN_CONFIDENCE)))
-    kept = G.drop_similar(sound, "_at")
+    kept = G.drop_similar_few(known.filter(F.col("anchored") & (F.coalesce("confidence", F.lit(0.0)) >= config.MIN_CONFIDENCE)), "_at")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at"))
     kept = kept.withColumn("_rank", rank).filter(F.col("_rank") <= cap(F.col("total_chars")))
     return G.renumber(kept, "_rank").drop("_at", "_rank")
@@ -112,14 +142,21 @@ def checked(figures: DataFrame) -> DataFrame:
 def final_figures(reports: DataFrame, sections: DataFrame, voted: DataFrame, words: config.TypeWords = config.TypeWords()) -> DataFrame:
     """The figures of the finished plan from those that a vote (and review) kept.
 
-    `reports`: doc_id, md. `sections`: scored sections with section_path; best a written table, as it is read four times. `voted`:
-    doc_id, figure_id, anchor_text, section_path, figure_type, confidence, final_score, purpose, suggested_content, and t1 to t6
-    or none of them. The texts of the reports are read and shuffled once, to meet the figures.
+    `reports`: doc_id, md. `sections`: those of the reports, with section_path. `voted`: doc_id, figure_id, anchor_text, section_path,
+    figure_type, confidence, final_score, purpose, suggested_content, and t1 to t6 or none of them. The texts of the reports are read
+    and shuffled once, to meet the figures.
     """
+    return checked(optimise(_placed(reports, sections, voted, words))).drop("here", "anchored")
+
+
+def _placed(reports: DataFrame, sections: DataFrame, voted: DataFrame, words: config.TypeWords) -> DataFrame:
     lacking = {t: F.lit(None).cast("double") for t in S.TRIGGERS if t not in voted.columns}
-    typed = classify(voted.withColumns(lacking), sections, words)
-    placed = G.place(G.in_report(typed, reports), sections)
-    return checked(optimise(placed.withColumn("pos", F.col("vote_rank")))).drop("here", "anchored")
+    return met(voted.withColumns(lacking), reports, sections, words).withColumn("pos", F.col("vote_rank"))
+
+
+def optimised_figures(reports: DataFrame, sections: DataFrame, voted: DataFrame, words: config.TypeWords = config.TypeWords()) -> DataFrame:
+    """The figures that `final_figures` checks: typed, placed, the best of each document, merged, in document order."""
+    return optimise(_placed(reports, sections, voted, words)).drop("here", "anchored")
 
 
 def run_facts(runs: DataFrame, model: str = "", n: int = 3, critic_used: bool = True, elapsed_ms: int = 0) -> DataFrame:

@@ -135,12 +135,13 @@ def _number(v: Column, name: str, kind: str = "double") -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
-def run_figures(found: DataFrame) -> DataFrame:
+def run_figures(found: DataFrame, outer: bool = False) -> DataFrame:
     """The figures of `runs` for the vote: doc_id, run_id, pos, and the fields of a figure; what lacks or has another type is null or a default.
 
-    A result whose `figures` is no list has none.
+    A result whose `figures` is no list has none. With `outer` a run without figures has a row, without pos.
     """
-    rows = found.select("doc_id", "run_id", F.posexplode(_objects(F.col("result"), "figures")).alias("pos", "f"))
+    each = F.posexplode_outer if outer else F.posexplode
+    rows = found.select("doc_id", "run_id", each(_objects(F.col("result"), "figures")).alias("pos", "f"))
     f = F.col("f")
     items = F.transform(F.try_variant_get(f, "$.suggested_content", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
     return rows.select(
@@ -151,9 +152,9 @@ def run_figures(found: DataFrame) -> DataFrame:
 
 
 def voted(reports: DataFrame, replies: DataFrame, max_figures: int = config.MAX_FIGURES) -> DataFrame:
-    """The figures that a majority of the successful runs of each report agrees on."""
-    found = runs(reports, replies, max_figures)
-    return G.vote(run_figures(found), found.select("doc_id", "run_id"))
+    """The figures that a majority of the successful runs of each report agrees on. The vote reads them three times; they are written once, as columns."""
+    found = written(run_figures(runs(reports, replies, max_figures), outer=True))
+    return G.vote(found.filter("pos IS NOT NULL"), found.select("doc_id", "run_id"))
 
 
 def reviewed(figures: DataFrame, replies: DataFrame) -> DataFrame:

@@ -26,6 +26,12 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(_scored(spark, sf_dir, paths=True))  # several branches read them
 
 
+# What several branches read of sections beside their texts: of these only the start, for anchors.
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir, paths=True)
+    return written(rows.select("doc_id", "ord", "title", "section_path", "char_start", "char_end", F.substring("text", 1, 24).alias("text"), *S.TRIGGERS))
+
+
 def _proposed(sections: DataFrame) -> DataFrame:
     run, i, d = F.explode(F.array(*map(F.lit, range(3)))), F.col("ord"), F.col("doc_id")
     rows = sections.withColumn("run_id", run).filter((d + i + F.col("run_id")) % 3 != 0)
@@ -88,7 +94,7 @@ def _voted(sections: DataFrame) -> DataFrame:
 
 
 def _finished(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    reports, sections = _reports(spark, sf_dir), _sections(spark, sf_dir)
+    reports, sections = _reports(spark, sf_dir), _named(spark, sf_dir)
     return reports, P.final_figures(reports, sections, _voted(sections), WORDS)
 
 
@@ -100,9 +106,8 @@ def figure_types(spark, sf_dir):
 
 @_query(f"WITH {_CHOSEN} SELECT doc_id, 'F' || n AS figure_id, section_path, figure_type, array_to_string(content, ',') AS content, CAST(char_start AS BIGINT) AS char_start FROM chosen")
 def optimised_figures(spark, sf_dir):
-    reports, sections = _reports(spark, sf_dir), _sections(spark, sf_dir)
-    placed = G.locate(P.classify(_voted(sections), sections, WORDS), reports, sections).join(reports.select("doc_id", F.length("md").alias("total_chars")), "doc_id")
-    out = P.optimise(placed.withColumn("pos", F.col("vote_rank")))
+    sections = _named(spark, sf_dir)
+    out = P.optimised_figures(_reports(spark, sf_dir), sections, _voted(sections), WORDS)
     return out.select("doc_id", "figure_id", "section_path", "figure_type", F.array_join("suggested_content", ",").alias("content"), "char_start")
 
 
@@ -135,7 +140,7 @@ SELECT doc_id, '# {config.REPORT_TITLE}' || chr(10) || chr(10) || '- **{_L.file}
   || '{{' || chr(10) || '  "model": "rules",' || chr(10) || '  "self_consistency_n": 3,' || chr(10) || '  "critic_used": false,' || chr(10) || '  "elapsed_ms": ' || doc_id || ',' || chr(10) || '  "planner_errors": ' || CASE WHEN doc_id % 3 = 0 THEN '[' || chr(10) || '    "run 1: a \\"b\\"",' || chr(10) || '    "run 2: c"' || chr(10) || '  ]' ELSE '[]' END || chr(10) || '}}' || chr(10) || '```' AS md FROM reports LEFT JOIN fm USING (doc_id)""")
 def plan_markdown(spark, sf_dir):
     reports, final = _finished(spark, sf_dir)
-    final = final.withColumns({"confidence": F.floor(F.col("confidence") * 64) / 64, "final_score": F.floor(F.col("final_score") * 64) / 64})
+    final = written(final.withColumns({"confidence": F.floor(F.col("confidence") * 64) / 64, "final_score": F.floor(F.col("final_score") * 64) / 64}))  # summary and lines read it
     return P.report_lines(P.summary(reports, final, _facts(reports)), final, F.concat(F.lit("report-"), "doc_id", F.lit(".md")))
 
 
