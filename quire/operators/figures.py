@@ -128,8 +128,8 @@ def in_report(figures: DataFrame, reports: DataFrame) -> DataFrame:
 
 def anchor_place(anchor: Column) -> Column:
     """char_start and char_end of an anchor in the report `md` of its row, or null."""
-    found = F.when(anchor != "", F.position(anchor, F.col("md")))
-    return F.when(found > 0, F.struct((found - 1).cast("long").alias("char_start"), (found - 1 + F.length(anchor)).cast("long").alias("char_end")))
+    found = F.array(F.when(anchor != "", F.position(anchor, F.col("md"))))  # looked for once
+    return F.get(F.transform(found, lambda at: F.when(at > 0, F.struct((at - 1).cast("long").alias("char_start"), (at - 1 + F.length(anchor)).cast("long").alias("char_end")))), F.lit(0))
 
 
 def anchored(anchor: Column) -> Column:

@@ -79,15 +79,18 @@ def met(figures: DataFrame, reports: DataFrame, sections: DataFrame, words: conf
         found = F.get(where(lambda s: (s["path"] == path) | F.contains(path, s["title"])), F.lit(0))
         return F.get(F.transform(F.array(found), lambda s: T.strip(F.substring(F.col("md"), (s["char_start"] + 1).cast("int"), (s["char_end"] - s["char_start"]).cast("int")))), F.lit(0))
 
-    def seen(f: Column) -> Column:
+    def seen(x: Column) -> Column:
+        f, here = x["f"], x["here"]
         lacks, path = F.coalesce(f["figure_type"], F.lit("")) == "", f["section_path"]
+        found = here.isNotNull() & (F.length(f["anchor_text"]) >= config.MIN_ANCHOR)
         title = F.get(where(lambda s: (s["title"] != "") & F.contains(path, s["title"])), F.lit(0))["title"]
         return F.struct(
-            f.alias("f"), G.anchor_place(f["anchor_text"]).alias("here"), G.anchored(f["anchor_text"]).alias("anchored"), F.when(lacks, text(F.coalesce(path, F.lit("")))).alias("text"),
+            f.alias("f"), here.alias("here"), F.when(found, True).otherwise(G.anchored(f["anchor_text"])).alias("anchored"), F.when(lacks, text(F.coalesce(path, F.lit("")))).alias("text"),
             place(last(lambda s: s["path"] == path)).alias("by_path"), title.alias("title"),
         )
 
-    each = F.transform(F.transform("_figures", seen), lambda x: F.struct(x.alias("x"), F.coalesce(x["here"], x["by_path"], place(last(lambda s: s["title"] == x["title"]))).alias("at")))
+    placed = F.transform("_figures", lambda f: F.struct(f.alias("f"), G.anchor_place(f["anchor_text"]).alias("here")))
+    each = F.transform(F.transform(placed, seen), lambda x: F.struct(x.alias("x"), F.coalesce(x["here"], x["by_path"], place(last(lambda s: s["title"] == x["title"]))).alias("at")))
     rows = rows.select("doc_id", F.length("md").alias("total_chars"), F.explode(each).alias("_e"))
     rows = rows.select("doc_id", *[F.col(f"_e.x.f.{c}") for c in own], "total_chars", "_e.x.here", "_e.x.anchored", "_e.at.char_start", "_e.at.char_end", F.coalesce("_e.x.text", F.lit("")).alias("section_text"))
     return rows.withColumn("figure_type", _filled_type(words)).select(*figures.columns, "total_chars", "here", "anchored", "char_start", "char_end")
